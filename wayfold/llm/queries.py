@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, mixing, sharding
+from wayfold.llm import chat, decontam, mixing, sharding
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -37,8 +37,12 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, "doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))) + 1, MIX)
 
 
+def op9_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op8_poisson_mix)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op8_poisson_mix, op9_spaced_seed_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
