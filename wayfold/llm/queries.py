@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, mixing, sharding
+from wayfold.llm import chat, decontam, jaccard, mixing, sharding
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -32,6 +32,10 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.replicate(docs, "doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))) + 1, MIX)
@@ -42,7 +46,7 @@ def op9_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op8_poisson_mix, op9_spaced_seed_decontam)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op8_poisson_mix, op9_spaced_seed_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
