@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
+from wayfold.llm.filters import bitmap, holds
 from wayfold.llm.storage import materialize
 
 MASKS = ("11101011", "11001000111")
@@ -91,13 +92,7 @@ def index_items(benchmark: DataFrame, item: str = "item_id", text: str = "text")
 
 def seed_filter(items: DataFrame) -> np.ndarray:
     """A bitmap of the seeds' hashes: at most 2**(FILTER_BITS - 6) rows come to the driver, however large the benchmark."""
-    seed = items.select(F.explode("seeds.hash").alias("hash"))
-    bit = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = seed.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63L as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
+    return bitmap(items.select(F.explode("seeds.hash").alias("hash")), F.col("hash"), FILTER_BITS)
 
 
 def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,8 +108,7 @@ def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
             for c in K.chunks(batch.column(2)):
                 h, row, begins = _tokens(c)
                 value, at = _seeds(h, row)
-                bit = value & low
-                hit = np.flatnonzero(known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                hit = np.flatnonzero(holds(known, value & low))
                 if not len(hit):
                     continue
                 order = hit[np.argsort(at[hit], kind="stable")]

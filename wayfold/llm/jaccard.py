@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
 from wayfold.llm.components import components
+from wayfold.llm.filters import bit_of, bitmap, holds
 from wayfold.llm.storage import materialize
 
 #: Buckets of the token frequency sketch: its size doesn't depend on the corpus.
@@ -95,32 +96,21 @@ def _signed(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) ->
     return docs.select(doc, text).mapInArrow(run, "doc bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
 
 
-def _bitmap(ids: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of hashed ids, at most 2**(NEEDED_BITS - 6) rows on the driver."""
-    bit = F.xxhash64(name).bitwiseAND(F.lit((1 << NEEDED_BITS) - 1))
-    got = ids.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("at"))
-    got = got.select("word", F.expr("shiftleft(1L, at)").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (NEEDED_BITS - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def _sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, k: int) -> DataFrame:
     """(node, tokens): the whole sets of the documents whose id is among ``ids``, and of a few more that share a bit with one."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, "node"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("node"), NEEDED_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.flatnonzero(known[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            rows = np.flatnonzero(holds(known, batch.column(2).to_numpy()))
             some = batch.take(pa.array(rows))
             for c in K.chunks(some.column(1)):
                 sets = list(shingle_sets(c, k))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(c.first, c.rows), K.list_array(flat.view(np.int64), K.starts(np.array([len(s) for s in sets], np.int64)), pa.int64())], ["node", "tokens"])
 
-    hashed = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), text, F.xxhash64(F.col(doc).cast("long")).bitwiseAND(F.lit((1 << NEEDED_BITS) - 1)).alias("bit"))
+    hashed = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), text, bit_of(F.xxhash64(F.col(doc).cast("long")), NEEDED_BITS).alias("bit"))
     return hashed.mapInArrow(run, "node bigint, tokens array<bigint>")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, jaccard, mixing, sharding
+from wayfold.llm import chat, decontam, jaccard, mixing, sharding, suffixes
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -45,8 +45,12 @@ def op9_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op8_poisson_mix, op9_spaced_seed_decontam)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
