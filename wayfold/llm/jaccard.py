@@ -114,8 +114,10 @@ def _sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, k: int) -> DataF
     return hashed.mapInArrow(run, "node bigint, tokens array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets are similar enough, by their exact intersection."""
+def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets are similar enough, by the exact intersection of the whole sets."""
+    pairs = materialize(pairs, "pairs")
+    sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), doc, text, k), "sets")
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
 
@@ -134,6 +136,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _indexed(n: Column, num: int, den: int) -> Column:
+    """How many tokens the prefix of a set of size n holds for partners that are no smaller."""
+    return F.floor(n - F.ceil(n * (2 * num) / (num + den)) + 1)
+
+
+def _probing(n: Column, num: int, den: int) -> Column:
+    """How many tokens the whole prefix holds."""
+    return F.floor(n - F.ceil(n * num / den) + 1)
+
+
+def _fit(n: Column, m: Column, num: int, den: int) -> Column:
+    """Whether sets of sizes n and m can be similar enough."""
+    return (n * den >= m * num) & (m * den >= n * num)
+
+
+def _reach(n: Column, n_at: Column, m: Column, m_at: Column, num: int, den: int) -> Column:
+    """Whether what two sets still share from this first common token on can be enough."""
+    return F.least(n - n_at, m - m_at) * (num + den) >= (n + m) * num
+
+
+def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, node, n, at, leader, leader_n, leader_at): prefix tokens where classes meet, each with the token's leader.
+
+    The leader is the smallest class that has the token in its indexing prefix, else the smallest of all.
+    """
+    rows = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    # size and place in one number: these rows are the largest shuffle
+    rows = rows.select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("where"))
+    n, at = F.shiftright("where", 32), F.col("where").bitwiseAND(F.lit((1 << 32) - 1))
+    under = W.partitionBy("token")
+    leader = F.min(F.struct((at >= _indexed(n, num, den)).alias("late"), "where", "node")).over(under)
+    met = rows.select("*", leader.alias("leader"), F.count(F.lit(1)).over(under).alias("meet")).filter("meet > 1")
+    led = F.col("leader.where")
+    return met.select("token", "node", n.alias("n"), at.alias("at"), F.col("leader.node").alias("leader"), F.shiftright(led, 32).alias("leader_n"), led.bitwiseAND(F.lit((1 << 32) - 1)).alias("leader_at"))
+
+
+def _bounded(common: Column, n: Column, m: Column, most: Column, num: int, den: int) -> Column:
+    """Whether sets of sizes n and m (at least) can be similar enough if their prefixes share ``common`` tokens.
+
+    Up to the end of the prefix that ends first, all they share is in both prefixes; beyond it at most that set's rest, which is no more than ``most``'s rest.
+    """
+    return (common + most - _probing(most, num, den)) * (num + den) >= (n + m) * num
+
+
+def _plausible(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those that share enough prefix tokens."""
+    one = entries.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "token")
+    other = entries.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "token")
+    common = pairs.join(one, "a").join(other, ["b", "token"]).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+    return common.filter(_bounded(F.col("common"), F.col("n_a"), F.col("n_b"), F.greatest("n_a", "n_b"), num, den)).select("a", "b")
+
+
+def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may link classes of different groups, by the token-group matrix.
+
+    A column of the matrix is a part of a group: GROUP members next to each other in size. A cell counts the query's
+    prefix tokens in the column's token union, and so bounds what the query shares with any member. Columns that can
+    reach the threshold are opened: the query meets their members.
+    """
+    member = placed.select("node", "n", "component").distinct()
+    order = W.partitionBy("component").orderBy("n", "node")
+    member = materialize(member.withColumn("column", F.floor((F.row_number().over(order) - 1) / GROUP)), "members")
+    matrix = placed.select("token", "node").join(member.withColumnRenamed("n", "m"), "node").groupBy("token", "component", "column").agg(F.min("m").alias("m_min"), F.max("m").alias("m_max"))
+    query = placed.select("token", "node", "n", F.col("component").alias("own"))
+    # a pair is found from its larger set
+    fit = (F.col("component") != F.col("own")) & (F.col("m_min") <= F.col("n")) & (F.col("m_max") * den >= F.col("n") * num)
+    cells = query.join(matrix, "token").filter(fit).groupBy("node", "n", "component", "column").agg(F.count(F.lit(1)).alias("common"), F.min("m_min").alias("m_min"))
+    reached = cells.filter(_bounded(F.col("common"), F.col("n"), F.col("m_min"), F.col("n"), num, den)).select("node", "n", "component", "column")
+    opened = reached.join(member.select(F.col("node").alias("b"), F.col("n").alias("m"), "component", "column"), ["component", "column"])
+    pairs = opened.filter(_fit(F.col("n"), F.col("m"), num, den) & (F.col("m") <= F.col("n"))).select(F.col("node").alias("a"), "b")
+    return _plausible(pairs, placed, num, den)
+
+
 def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """A row for each row of ``docs``: (doc_id, n_shingles, component_id).
 
@@ -146,50 +221,21 @@ def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int =
     signed = materialize(_signed(docs, doc, text, k, num, den), "signed")
     named = signed.filter((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = materialize(_entries(classes, num, den), "entries")
 
-    # the matrix' rows: tokens of prefixes, kept where at least two classes meet and one has the token in its shorter, indexing prefix
-    shorter = F.expr(f"n - (n * {2 * num} + {num + den - 1}) div {num + den} + 1")
-    entries = classes.select("node", "n", shorter.alias("index_len"), F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at", (F.col("at") < F.col("index_len")).alias("indexed"))
-    under = W.partitionBy("token")
-    entries = entries.withColumn("leader", F.min(F.struct(~F.col("indexed"), "n", "node")).over(under)).withColumn("meet", F.count(F.lit(1)).over(under))
-    entries = entries.filter((F.col("meet") > 1) & ~F.col("leader.col1"))
-    entries = materialize(entries.select("token", "node", "n", "at", "indexed", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "entries")
-
-    sets = materialize(_sets(docs, entries.select("node").distinct(), doc, text, k), "sets")
-    fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-    stars = entries.filter((F.col("node") != F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_verified(stars, sets, num, den), "links")
+    led = (F.col("leader_at") < _indexed(F.col("leader_n"), num, den)) & (F.col("node") != F.col("leader"))
+    stars = entries.filter(led & _reach(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at"), num, den) & _fit(F.col("n"), F.col("leader_n"), num, den))
+    stars = stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = materialize(_verified(_plausible(stars, entries, num, den), docs, doc, text, k, num, den), "links")
     groups = materialize(components(first), "groups")
 
-    # what is left: a class and a group under the same token, not yet connected
+    # what is left: a class and a group under the same token that aren't connected yet
     placed = entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
     placed = materialize(placed.join(open_tokens, "token"), "placed")
-    second = materialize(_across(placed, sets, fits, num, den), "links")
+    second = materialize(_verified(_across(placed, num, den), docs, doc, text, k, num, den), "links")
     whole = components(first.union(second))
 
     ids = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node")).join(whole, "node", "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc", "n", "sig_a", "sig_b").join(ids, ["sig_a", "sig_b"], "left")
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
-
-
-def _across(placed: DataFrame, sets: DataFrame, fits, num: int, den: int) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix."""
-    member = placed.select("node", "n", "component").distinct()
-    # a group's members by size, GROUP to a column of the matrix: those of one column are alike and its union stays small
-    order = W.partitionBy("component").orderBy("n", "node")
-    member = member.withColumn("column", F.floor((F.row_number().over(order) - 1) / GROUP))
-    matrix = placed.filter("indexed").join(member.select("node", "column"), "node").groupBy("token", "component", "column").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"))
-    query = placed.select("token", "node", F.col("n").alias("q_n"), F.col("at").alias("q_at"), F.col("component").alias("own"))
-    fit = (F.col("component") != F.col("own")) & (F.col("n_min") <= F.col("q_n")) & (F.col("n_max") * den >= F.col("q_n") * num)
-    # what both can still share from this token on
-    rest = F.least(F.col("q_n") - F.col("q_at"), F.col("n_max") - F.col("at_min"))
-    fit &= rest * (num + den) >= F.lit(num) * (F.col("q_n") + F.col("n_min"))
-    cell = query.join(matrix, "token").filter(fit).select("node", "q_n", "component", "column").distinct()
-    wanted = cell.select("component", "column").distinct()
-    tokens = member.join(wanted, ["component", "column"]).join(sets, "node")
-    union = tokens.groupBy("component", "column").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = cell.join(union, ["component", "column"]).join(sets, "node")
-    opened = bound.filter(F.size(F.array_intersect("tokens", "union")) * den >= F.col("q_n") * num).select("node", "q_n", "component", "column")
-    pairs = opened.join(member.select(F.col("node").alias("other"), F.col("n").alias("o_n"), "component", "column"), ["component", "column"]).filter(fits("q_n", "o_n") & (F.col("o_n") <= F.col("q_n")))
-    return _verified(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), sets, num, den)
