@@ -23,7 +23,7 @@ MASKS = ("11101011", "11001000111")
 #: An overlap: so many aligned tokens, of which so many agree. A shorter item must lie in the text whole, with the same share.
 WINDOW, FEWEST = 16, 13
 #: The filter before the join has 2**FILTER_BITS bits whatever the benchmark's size.
-FILTER_BITS = 24
+FILTER_BITS = 26
 _REACH = WINDOW + max(map(len, MASKS))
 
 #: Bytes of a token: ASCII letters and digits, and all of non-ASCII characters.
@@ -134,11 +134,30 @@ def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
     return docs.select(doc, F.xxhash64(text).alias("uid"), text).mapInArrow(run, f"doc {kind}, uid bigint, start int, tokens array<int>, hits array<struct<hash:bigint,at:int>>")
 
 
-def _best_window(doc_tokens, item_tokens, doc_from, item_from, length, width):
-    """The most agreeing tokens in any ``width`` aligned ones."""
-    same = F.transform(F.sequence(F.lit(0), length - 1), lambda i: (F.get(doc_tokens, doc_from + i) == F.get(item_tokens, item_from + i)).cast("int"))
-    sums = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return F.array_max(F.transform(F.sequence(width, length), lambda i: F.get(sums, i) - F.get(sums, i - width)))
+def _verified(found: DataFrame, kind: str, item_kind: str) -> DataFrame:
+    """Alignments whose best window agrees well enough, from (doc, uid, item, diagonal, start, tokens, item_tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            diagonal, start = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            mine, theirs = batch.column(5), batch.column(6)
+            lo, length, equal = (np.zeros(batch.num_rows, np.int32) for _ in range(3))
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = mine[i].values.to_numpy(), theirs[i].values.to_numpy()
+                lo[i] = max(diagonal[i], start[i])
+                length[i] = min(diagonal[i] + len(b), start[i] + len(a)) - lo[i]
+                width = min(WINDOW, len(b))
+                if length[i] >= width:
+                    at, other = lo[i] - start[i], lo[i] - diagonal[i]
+                    sums = np.concatenate([[0], np.cumsum(a[at : at + length[i]] == b[other : other + length[i]])])
+                    equal[i] = np.max(sums[width:] - sums[: len(sums) - width])
+                    keep[i] = equal[i] * WINDOW >= width * FEWEST
+            out = [batch.column(0), batch.column(1), batch.column(2), pa.array(lo), pa.array(length), pa.array(equal)]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "uid", "item", "token_start", "n_tokens", "n_equal"]).filter(pa.array(keep))
+
+    found = found.select("doc", "uid", "item", "diagonal", "start", "tokens", "item_tokens")
+    return found.mapInArrow(run, f"doc {kind}, uid bigint, item {item_kind}, token_start int, n_tokens int, n_equal int")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -156,13 +175,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text
     found = hits.join(seeds, "hash").select("doc", "uid", "start", "item", (F.col("at") - F.col("seed_at")).alias("diagonal")).distinct()
     found = found.join(regions.select("doc", "uid", "start", "tokens"), ["doc", "uid", "start"])
     found = found.join(items.select("item", F.col("tokens").alias("item_tokens")), "item")
-    lo = F.greatest(F.col("diagonal"), F.col("start"))
-    hi = F.least(F.col("diagonal") + F.size("item_tokens"), F.col("start") + F.size("tokens"))
-    width = F.least(F.lit(WINDOW), F.size("item_tokens"))
-    found = found.select("doc", "uid", "item", "diagonal", "start", "tokens", "item_tokens", lo.alias("lo"), (hi - lo).alias("length"), width.alias("width")).filter(F.col("length") >= F.col("width"))
-    best = _best_window(F.col("tokens"), F.col("item_tokens"), F.col("lo") - F.col("start"), F.col("lo") - F.col("diagonal"), F.col("length"), F.col("width"))
-    found = found.withColumn("n_equal", best).filter(F.col("n_equal") * WINDOW >= F.col("width") * FEWEST)
-    return found.select("doc", "uid", "item", F.col("lo").alias("token_start"), F.col("length").alias("n_tokens"), "n_equal").dropDuplicates(["doc", "uid", "item", "token_start"])
+    checked = _verified(found, docs.schema[doc].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
+    return checked.dropDuplicates(["doc", "uid", "item", "token_start"])
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
