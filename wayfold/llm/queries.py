@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, jaccard, mixing, sharding, suffixes
+from wayfold.llm import chat, decontam, jaccard, mixing, rules, sharding, suffixes
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -36,6 +36,11 @@ def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.replicate(docs, "doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))) + 1, MIX)
@@ -50,7 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
