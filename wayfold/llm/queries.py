@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, jaccard, mixing, rules, sharding, suffixes
+from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, rules, sharding, suffixes
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -32,6 +32,14 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op4_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = folds.fold(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.filter(~held))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op5_token_group_join, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
