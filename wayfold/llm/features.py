@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
 
@@ -45,3 +50,22 @@ def project(row: np.ndarray, value: np.ndarray, feature: np.ndarray, table: np.n
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; rows of zeros stay."""
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def document_frequencies(docs: DataFrame, gram: int, bits: int, prepare: Callable[[K.Chunk], K.Chunk] | None = None, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many of all ``docs`` have each of the 2**bits features, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << bits, np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for c in K.chunks(batch.column(0)):
+                total += np.bincount(ngram_counts(prepare(c) if prepare else c, gram, bits)[1], minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["feature", "n"])
+
+    got = docs.select(text).mapInArrow(run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = got.column("feature").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(1 << bits, np.int64)
+    out[feature[feature >= 0]] = n[feature >= 0]
+    return out, int(n[feature < 0].sum())

@@ -14,3 +14,13 @@ def fold(doc: Column, n: int) -> Column:
 def sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     """At most ``most`` rows, those with the least hash of ``key``: the same at every run and partitioning."""
     return rows.withColumn("_order", F.xxhash64(key)).orderBy("_order").limit(most).drop("_order")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of at most ``most`` labelled documents with a text, those with the least hash of their id.
+
+    The ids are drawn from ``labels`` first, so the side that is broadcast has at most ``most`` rows; ids without a document and
+    repeated or null labels are left out.
+    """
+    drawn = sample(labels.filter(F.col(label).isNotNull()).select(doc, label).dropDuplicates([doc]), F.col(doc), most)
+    return docs.filter(F.col(text).isNotNull()).select(doc, text).join(F.broadcast(drawn), doc).dropDuplicates([doc]).select(text, label)

@@ -22,6 +22,8 @@ from wayfold.llm import kernels as K
 GRAM, DIMENSION_BITS = 3, 13
 #: Sampled texts and centroids of each language.
 SAMPLE, CENTROIDS = 600, 4
+#: More languages than this are an error: the model holds centroids for each.
+MOST_LANGUAGES = 256
 #: A text farther from its centroid than this share of the sampled texts, times SLACK, is rejected.
 REJECT_QUANTILE, SLACK = 0.995, 1.25
 
@@ -52,26 +54,6 @@ class Model(NamedTuple):
     radius: np.ndarray  #: least cosine that a centroid accepts
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """How many of all ``docs`` have each feature, and how many there are: 2**DIMENSION_BITS numbers."""
-    size = 1 << DIMENSION_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(size, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for c in K.chunks(batch.column(0)):
-                total += np.bincount(features.ngram_counts(letters(c), GRAM, DIMENSION_BITS)[1], minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["feature", "n"])
-
-    got = docs.select(text).mapInArrow(run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    feature, n = got.column("feature").to_numpy(), got.column("n").to_numpy()
-    out = np.zeros(size, np.int64)
-    out[feature[feature >= 0]] = n[feature >= 0]
-    return out, int(n[feature < 0].sum())
-
-
 def vectors(c: K.Chunk, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows of a chunk; the frequency of a trigram counts by its logarithm."""
     row, feature, count = features.ngram_counts(letters(c), GRAM, DIMENSION_BITS)
@@ -105,9 +87,11 @@ def train(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str
     with the least hash of their id.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    df, n = document_frequencies(rows, text)
+    df, n = features.document_frequencies(rows, GRAM, DIMENSION_BITS, letters, text)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    names = sorted(x[0] for x in rows.select(lang).distinct().collect())
+    names = sorted(x[0] for x in rows.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     centers, owner, radius = [np.zeros((0, len(idf)), np.float32)], [], []
     for i, name in enumerate(names):
         some = folds.sample(rows.filter(F.col(lang) == name).select(doc, text), F.col(doc), per_language).toArrow()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, rules, sharding, suffixes
+from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, quality, rules, sharding, suffixes
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -44,6 +44,14 @@ def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = folds.fold(F.col("doc_id"), 4) == 2
+    model = quality.train(docs, labels.filter(~held))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.judge(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,7 +71,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
