@@ -159,14 +159,15 @@ def _reach(n: Column, n_at: Column, m: Column, m_at: Column, num: int, den: int)
 def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
     """(token, node, n, at, leader, leader_n, leader_at): prefix tokens where classes meet, each with the token's leader.
 
-    The leader is the smallest class that has the token in its indexing prefix, else the smallest of all.
+    The leader is a class that has the token in its indexing prefix, if there is one, and of those the one with the
+    fewest rarer tokens: among copies with small changes that is the copy changed least, which most others are near to.
     """
     rows = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     # size and place in one number: these rows are the largest shuffle
     rows = rows.select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("where"))
     n, at = F.shiftright("where", 32), F.col("where").bitwiseAND(F.lit((1 << 32) - 1))
     under = W.partitionBy("token")
-    leader = F.min(F.struct((at >= _indexed(n, num, den)).alias("late"), "where", "node")).over(under)
+    leader = F.min(F.struct((at >= _indexed(n, num, den)).alias("late"), at.alias("at"), "where", "node")).over(under)
     met = rows.select("*", leader.alias("leader"), F.count(F.lit(1)).over(under).alias("meet")).filter("meet > 1")
     led = F.col("leader.where")
     return met.select("token", "node", n.alias("n"), at.alias("at"), F.col("leader.node").alias("leader"), F.shiftright(led, 32).alias("leader_n"), led.bitwiseAND(F.lit((1 << 32) - 1)).alias("leader_at"))
@@ -198,15 +199,19 @@ def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
     member = placed.select("node", "n", "component").distinct()
     order = W.partitionBy("component").orderBy("n", "node")
     member = materialize(member.withColumn("column", F.floor((F.row_number().over(order) - 1) / GROUP)), "members")
-    matrix = placed.select("token", "node").join(member.withColumnRenamed("n", "m"), "node").groupBy("token", "component", "column").agg(F.min("m").alias("m_min"), F.max("m").alias("m_max"))
-    query = placed.select("token", "node", "n", F.col("component").alias("own"))
-    # a pair is found from its larger set
+    placed = placed.join(member.select("node", "column"), "node")
+    matrix = placed.groupBy("token", "component", "column").agg(F.min("n").alias("m_min"), F.max("n").alias("m_max"), F.min(F.when(F.col("at") < _indexed(F.col("n"), num, den), F.col("at"))).alias("m_at"))
+    query = placed.select("token", "node", "n", "at", F.col("component").alias("own"))
+    # a pair is found from its larger set, under a token of the smaller one's indexing prefix
     fit = (F.col("component") != F.col("own")) & (F.col("m_min") <= F.col("n")) & (F.col("m_max") * den >= F.col("n") * num)
-    cells = query.join(matrix, "token").filter(fit).groupBy("node", "n", "component", "column").agg(F.count(F.lit(1)).alias("common"), F.min("m_min").alias("m_min"))
-    reached = cells.filter(_bounded(F.col("common"), F.col("n"), F.col("m_min"), F.col("n"), num, den)).select("node", "n", "component", "column")
+    fit &= F.least(F.col("n") - F.col("at"), F.col("m_max") - F.col("m_at")) * (num + den) >= (F.col("n") + F.col("m_min")) * num
+    cells = query.join(matrix.filter("m_at is not null"), "token").filter(fit).select("node", "component", "column").distinct()
+    common = cells.join(placed.select("node", "n", "token"), "node").join(matrix, ["component", "column", "token"])
+    counted = common.groupBy("node", "n", "component", "column").agg(F.count(F.lit(1)).alias("common"), F.min("m_min").alias("m_min"))
+    reached = counted.filter(_bounded(F.col("common"), F.col("n"), F.col("m_min"), F.col("n"), num, den)).select("node", "n", "component", "column")
     opened = reached.join(member.select(F.col("node").alias("b"), F.col("n").alias("m"), "component", "column"), ["component", "column"])
     pairs = opened.filter(_fit(F.col("n"), F.col("m"), num, den) & (F.col("m") <= F.col("n"))).select(F.col("node").alias("a"), "b")
-    return _plausible(pairs, placed, num, den)
+    return _plausible(pairs.distinct(), placed, num, den)
 
 
 def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
