@@ -18,6 +18,8 @@ from wayfold.llm import features, folds
 from wayfold.llm import kernels as K
 
 GRAM, DIMENSION_BITS, RANK = 3, 13, 48
+#: Classes of how often a text's trigrams come, and their weight against the trigrams themselves.
+REPEATS, REPEAT_WEIGHT = 12, 2.0
 #: Labelled documents that are learned from, neighbours that vote, and the power of the cosine that weights a vote.
 SAMPLE, NEIGHBOURS, POWER = 4000, 25, 8.0
 
@@ -30,8 +32,17 @@ class Model(NamedTuple):
 
 
 def _weighted(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, weight): trigrams by the logarithm of their count, and how much of the text lies in trigrams that come once, twice, 4, 8, ... times."""
     row, feature, count = features.ngram_counts(c, GRAM, DIMENSION_BITS)
-    return row, feature, (1 + np.log(count)).astype(np.float32)
+    bucket = np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), REPEATS - 1)
+    share = np.bincount(row * REPEATS + bucket, count, minlength=c.rows * REPEATS).reshape(c.rows, REPEATS)
+    share /= np.maximum(share.sum(axis=1, keepdims=True), 1)
+    r, b = np.nonzero(share)
+    norm = np.sqrt(np.bincount(row, (1 + np.log(count)) ** 2, minlength=c.rows))
+    row, feature = np.concatenate([row, r]), np.concatenate([feature, (1 << DIMENSION_BITS) + b])
+    value = np.concatenate([1 + np.log(count), REPEAT_WEIGHT * norm[r] * share[r, b]])
+    order = np.argsort(row, kind="stable")
+    return row[order], feature[order], value[order].astype(np.float32)
 
 
 def _latent(c: K.Chunk, basis: np.ndarray) -> np.ndarray:
@@ -45,7 +56,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc: st
     df, n = features.document_frequencies(docs, GRAM, DIMENSION_BITS, text=text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     some = folds.labelled_sample(docs, labels, label, most, doc=doc, text=text).toArrow()
-    size = 1 << DIMENSION_BITS
+    idf = np.concatenate([idf, np.full(REPEATS, np.mean(idf), np.float32)])
+    size = len(idf)
     rows = []
     for c in K.chunks(some.column(0)):
         row, feature, value = _weighted(c)
