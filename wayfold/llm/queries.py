@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, quality, rules, sharding, suffixes
+from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, quality, rules, sharding, suffixes, toxicity
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = folds.fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, labels.filter(~held))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -71,7 +79,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
