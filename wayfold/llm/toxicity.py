@@ -3,7 +3,7 @@
 The kernel of two words sums over all subsequences of three letters that both have, gaps allowed, each weighted by DECAY to
 the power of the two spans: an insult with a letter put in, left out or doubled keeps most of its subsequences. Words are compared
 with a set of landmark words; the Nystroem map turns these kernel values into vectors, and a support vector machine learns on
-sentences of labelled texts, of which the most suspicious word counts. A text's score comes from its most toxic word.
+sentences of labelled texts, of which the most suspicious word counts. A text's score comes from its most toxic words.
 
 As the decision is a weighted sum of kernels with landmarks, and each kernel is a sum over subsequences, a
 trained model comes down to one weight for each subsequence: scoring a word means adding up those of its own.
@@ -26,7 +26,9 @@ ORDER, DECAY = 3, 0.6
 #: Letters of a word that are compared at a time; longer words are read in windows of so many, half a window apart.
 WIDTH = 16
 #: Labelled texts that are learned from, landmarks of either kind, other words, and rounds of choosing sentences' words.
-SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 6000, 96, 30_000, 3
+SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 6000, 192, 24_000, 4
+#: A text is judged by its so many most toxic words.
+TOP = 3
 
 #: Fixed letter classes: 1-26 a to z; accents are folded; digits read as the letters they stand for; other letters 27-43; 0 is dropped.
 _LETTER = np.zeros(256, np.uint8)
@@ -118,8 +120,7 @@ def _grouped(letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iter
 class Model(NamedTuple):
     weights: np.ndarray  #: of each subsequence
     bias: float
-    slope: float  #: logistic scale of a text's score
-    offset: float
+    logistic: np.ndarray  #: of a text's TOP margins, largest first, and the constant
 
 
 def margins(letters: np.ndarray, start: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -138,15 +139,27 @@ def _distinct(s: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def text_margins(c: K.Chunk, model: Model) -> np.ndarray:
-    """The largest margin of any word of each row; -1 for rows without a word."""
+    """The TOP largest margins of words of each row, largest first; -1 where there are fewer words."""
     s = spell(c)
-    out = np.full(c.rows, -1.0, np.float32)
+    out = np.full((c.rows, TOP), -1.0, np.float32)
     if len(s.start):
         start, length, which, doc = _distinct(s)
-        np.maximum.at(out, doc, (margins(s.letters, start, length, model.weights) + model.bias)[which])
+        margin = np.maximum(margins(s.letters, start, length, model.weights) + model.bias, -1)[which]
+        # a word that a row repeats counts once
+        _, first = np.unique(doc * len(start) + which, return_index=True)
+        doc, margin = doc[first], margin[first]
+        order = np.lexsort((-margin, doc))
+        doc, margin = doc[order], margin[order]
+        nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        top = nth < TOP
+        out[doc[top], nth[top]] = margin[top]
     return out
 
 
+def probability(top: np.ndarray, model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(top.astype(float) @ model.logistic[:-1] + model.logistic[-1], -50, 50)))
+
+
 # -- training on the driver, from a bounded sample -------------------------------------------------------------------------------
 
 
@@ -166,14 +179,15 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of P(y = 1) by x, lightly held back so that separable samples stay finite."""
-    a = np.stack([x, np.ones_like(x)], axis=1).astype(float)
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of the columns of x and a constant for P(y = 1), lightly held back so that separable samples stay finite."""
+    a = np.hstack([x.astype(float), np.ones((len(x), 1))])
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-a @ w))
-        w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2), a.T @ (p - y) + 0.05 * w)
-    return float(w[0]), float(w[1])
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), a.T @ (p - y) + 0.05 * w)
+        w = w - step * min(1.0, 5.0 / max(np.linalg.norm(step), 1e-9))
+    return w
 
 
 def _mutated(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
@@ -197,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     texts, y = got.column(0).to_pylist(), got.column(1).to_numpy().astype(int)
     size = CLASSES**ORDER
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(size, np.float32), -1.0, 0.0, -50.0)
+        return Model(np.zeros(size, np.float32), -1.0, np.array([0.0] * TOP + [-50.0]))
     sentences: list[tuple[int, int, list[bytes]]] = []  # text, label, words
     seen = [{}, {}]  # how many texts of either label have a word
     for i, t in enumerate(texts):
@@ -215,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
         sentences += [(i, y[i], ws) for ws in own if ws]
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     lift = {w: k / n1 * np.log((k / n1 + 1e-4) / (seen[0].get(w, 0) / n0 + 1e-4)) for w, k in seen[1].items()}
-    typical = sorted(lift, key=lambda w: (-lift[w], w))[: landmarks // 2]
+    typical = sorted(lift, key=lambda w: (-lift[w], w))[: landmarks * 2 // 3]
     by_count = sorted(seen[0], key=lambda w: (-seen[0][w], w))
     rng = np.random.default_rng(11)
     rare = by_count[2000:]
@@ -244,6 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     nystroem = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     with_bias = lambda words: np.hstack([features_of(words, table) @ nystroem, np.ones((len(words), 1), np.float32)])
     negative = with_bias(negatives)
+    clean = by_count
     suspicious = [max(ws, key=lambda w: (lift.get(w, -1), w)) for _, t, ws in sentences if t]
     limit = lift[typical[-1]]
     chosen = [w for w in suspicious if lift.get(w, -1) >= max(limit, 1e-3)]
@@ -257,17 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
         cost = np.where(sign > 0, 40.0 / len(positive), 200.0 / len(negative)) * 5
         w = _squared_hinge(x.astype(float), sign, cost)
         beta, bias = (table @ (nystroem @ w[:-1].astype(np.float32))).astype(np.float32), float(w[-1])
+        # clean words that look worst join the negative examples
+        looks = features_of(clean, beta[:, None])[:, 0]
+        negative = np.vstack([negative, with_bias([clean[i] for i in np.argsort(-looks, kind="stable")[: NEGATIVES // 8]])])
         score = dict(zip(toxic, (features_of(toxic, beta[:, None])[:, 0] + bias).tolist()))
         best = [max(ws, key=lambda v: (score[v], v)) for _, t, ws in sentences if t]
         chosen = [v for v in best if score[v] > 0 and seen[0].get(v, 0) / n0 < 0.2 * seen[1].get(v, 0) / n1] or chosen
-    model = Model(beta, bias, 1.0, 0.0)
-    peak = np.concatenate([text_margins(c, model) for c in K.chunks(pa.array(texts))])
-    slope, offset = _logistic(peak, y)
-    return model._replace(slope=slope, offset=offset)
+    model = Model(beta, bias, np.zeros(TOP + 1))
+    top = np.concatenate([text_margins(c, model) for c in K.chunks(pa.array(texts))])
+    return model._replace(logistic=_logistic(top, y))
 
 
 def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for each row of ``docs``: the probability, by its most toxic word, that the text is toxic.
+    """(doc_id, score) for each row of ``docs``: the probability, by its most toxic words, that the text is toxic.
 
     Whole texts are read. Texts without a word (null, empty) get the score of no suspicion at all.
     """
@@ -277,7 +294,7 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
         m = shared.value
         for batch in batches:
             for c in K.chunks(batch.column(1)):
-                p = 1 / (1 + np.exp(-np.clip(m.slope * text_margins(c, m).astype(float) + m.offset, -50, 50)))
+                p = probability(text_margins(c, m), m)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(p)], ["doc", "score"])
 
     kind = docs.schema[doc].dataType.simpleString()
