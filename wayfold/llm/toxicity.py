@@ -27,8 +27,10 @@ ORDER, DECAY = 3, 0.6
 WIDTH = 16
 #: Labelled texts that are learned from, landmarks of either kind, other words, and rounds of choosing sentences' words.
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 6000, 192, 24_000, 4
+#: What the examples of a class may weigh against the margin.
+COST = 3000.0
 #: A text is judged by its so many most toxic words.
-TOP = 3
+TOP = 2
 
 #: Fixed letter classes: 1-26 a to z; accents are folded; digits read as the letters they stand for; other letters 27-43; 0 is dropped.
 _LETTER = np.zeros(256, np.uint8)
@@ -145,9 +147,6 @@ def text_margins(c: K.Chunk, model: Model) -> np.ndarray:
     if len(s.start):
         start, length, which, doc = _distinct(s)
         margin = np.maximum(margins(s.letters, start, length, model.weights) + model.bias, -1)[which]
-        # a word that a row repeats counts once
-        _, first = np.unique(doc * len(start) + which, return_index=True)
-        doc, margin = doc[first], margin[first]
         order = np.lexsort((-margin, doc))
         doc, margin = doc[order], margin[order]
         nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -261,15 +260,19 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     clean = by_count
     suspicious = [max(ws, key=lambda w: (lift.get(w, -1), w)) for _, t, ws in sentences if t]
     limit = lift[typical[-1]]
-    chosen = [w for w in suspicious if lift.get(w, -1) >= max(limit, 1e-3)]
+    rare_elsewhere = lambda w: seen[0].get(w, 0) / n0 < 0.1 * seen[1].get(w, 0) / n1
+    sure = {w for w in suspicious if lift.get(w, -1) >= max(limit, 1e-3) and rare_elsewhere(w)}
+    chosen = sorted(sure)
     toxic = list({w for _, t, ws in sentences if t for w in ws})
     beta, bias = np.zeros(size, np.float32), -1.0
     for _ in range(ROUNDS):
         words = sorted(set(chosen))
         positive = with_bias(words + _mutated(words, rng))
+        often = np.sqrt([seen[1].get(w, 1) for w in words])
+        often = np.concatenate([often, np.repeat(often, 2) / 4])
         x = np.vstack([positive, negative])
         sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.where(sign > 0, 40.0 / len(positive), 200.0 / len(negative)) * 5
+        cost = np.concatenate([often / often.sum(), np.full(len(negative), 3.0 / len(negative))]) * COST
         w = _squared_hinge(x.astype(float), sign, cost)
         beta, bias = (table @ (nystroem @ w[:-1].astype(np.float32))).astype(np.float32), float(w[-1])
         # clean words that look worst join the negative examples
@@ -277,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
         negative = np.vstack([negative, with_bias([clean[i] for i in np.argsort(-looks, kind="stable")[: NEGATIVES // 8]])])
         score = dict(zip(toxic, (features_of(toxic, beta[:, None])[:, 0] + bias).tolist()))
         best = [max(ws, key=lambda v: (score[v], v)) for _, t, ws in sentences if t]
-        chosen = [v for v in best if score[v] > 0 and seen[0].get(v, 0) / n0 < 0.2 * seen[1].get(v, 0) / n1] or chosen
+        chosen = [*sure, *(v for v in best if score[v] > 0 and rare_elsewhere(v))]
     model = Model(beta, bias, np.zeros(TOP + 1))
     top = np.concatenate([text_margins(c, model) for c in K.chunks(pa.array(texts))])
     return model._replace(logistic=_logistic(top, y))
