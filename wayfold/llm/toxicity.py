@@ -190,11 +190,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def _mutated(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
-    """Each word with a letter put in, and with one doubled: what writers do to get past word lists."""
+    """Each word twice with a letter put in, and with one doubled: what writers do to get past word lists."""
     out = []
     for w in words:
-        at = int(rng.integers(1, len(w)))
-        out += [w[:at] + bytes([int(rng.integers(1, 27))]) + w[at:], w[:at] + w[at - 1 : at] + w[at:]]
+        at, other = (int(x) for x in rng.integers(1, len(w), 2))
+        letter, second = (bytes([int(x)]) for x in rng.integers(1, 27, 2))
+        out += [w[:at] + letter + w[at:], w[:other] + second + w[other:], w[:at] + w[at - 1 : at] + w[at:]]
     return [w[:WIDTH] for w in out]
 
 
@@ -269,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
         words = sorted(set(chosen))
         positive = with_bias(words + _mutated(words, rng))
         often = np.sqrt([seen[1].get(w, 1) for w in words])
-        often = np.concatenate([often, np.repeat(often, 2) / 4])
+        often = np.concatenate([often, np.repeat(often, 3) / 2])
         x = np.vstack([positive, negative])
         sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         cost = np.concatenate([often / often.sum(), np.full(len(negative), 3.0 / len(negative))]) * COST
