@@ -244,3 +244,14 @@ def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int =
     ids = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node")).join(whole, "node", "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc", "n", "sig_a", "sig_b").join(ids, ["sig_a", "sig_b"], "left")
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """One row of each group of linked rows, with all columns: the one with the smallest id.
+
+    Rows that share an id count as one group too; of those any one stays. Texts without words and rows with a null id stay.
+    """
+    groups = linked(docs, doc=doc, text=text, **options)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col(doc) == F.col("_first"), "left_semi").dropDuplicates([doc])
+    return kept.unionByName(docs.filter(F.col(doc).isNull()))

@@ -60,11 +60,10 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
     three added names are replaced. An empty table gives an empty one.
     """
     df = df.drop("n_copies", "copy", "order_key")
-    sized = df.select(F.col(source), size.alias("_size"))
-    rates = _rates(sized, source, weights, scale)
+    rates = _rates(df.select(F.col(source), size.alias("_mix_size")), source, weights, scale)
     # one row per named source and one more
-    rated = df.withColumn("_stratum", _stratum(source, weights)).join(F.broadcast(rates), F.col("_stratum") == F.col("stratum"), "left")
-    drawn = rated.withColumn("n_copies", poisson_inverse(unit_draw(F.col(key), seed), F.col("cdf"))).drop("_stratum", "stratum", "cdf")
+    rated = df.withColumn("_mix_stratum", _stratum(source, weights)).join(F.broadcast(rates), F.col("_mix_stratum") == F.col("_mix_of"), "left")
+    drawn = rated.withColumn("n_copies", poisson_inverse(unit_draw(F.col(key), seed), F.col("_mix_cdf"))).drop("_mix_stratum", "_mix_of", "_mix_cdf")
     copies = drawn.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     name = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/"), F.col("copy").cast("string"))
     copies = copies.withColumn("order_key", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
@@ -72,5 +71,6 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
 
 
 def _rates(sized: DataFrame, source: str, weights: dict, scale: float) -> DataFrame:
-    rates = source_rates(sized, source, F.col("_size"), weights, scale)
-    return rates.select("stratum", poisson_cdf(F.col("rate"), F.ceil(F.col("rate") + 12 * F.sqrt(F.col("rate")) + 24).cast("int")).alias("cdf"))
+    rates = source_rates(sized, source, F.col("_mix_size"), weights, scale)
+    terms = F.ceil(F.col("rate") + 12 * F.sqrt(F.col("rate")) + 24).cast("int")
+    return rates.select(F.col("stratum").alias("_mix_of"), poisson_cdf(F.col("rate"), terms).alias("_mix_cdf"))

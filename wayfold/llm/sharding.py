@@ -43,11 +43,11 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "sl
     give each bin its first slot; only within a bin are rows numbered one by one. ``order`` should tell rows apart:
     equal rows share a bin, and as they are equal either may come first.
     """
-    df = df.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
-    counts = df.groupBy(shard, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    below = W.partitionBy(shard).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col(shard).alias("_shard"), F.col("_bin").alias("_of"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-    within = df.withColumn("_at", F.row_number().over(W.partitionBy(shard, "_bin").orderBy(*order)) - 1)
+    df = df.withColumn("_slot_bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
+    counts = df.groupBy(shard, "_slot_bin").agg(F.count(F.lit(1)).alias("_slot_n"))
+    below = W.partitionBy(shard).orderBy("_slot_bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col(shard).alias("_slot_shard"), F.col("_slot_bin").alias("_slot_of"), F.coalesce(F.sum("_slot_n").over(below), F.lit(0)).alias("_slot_before"))
+    within = df.withColumn("_slot_at", F.row_number().over(W.partitionBy(shard, "_slot_bin").orderBy(*order)) - 1)
     # at most shards x bins rows: a size that doesn't grow with the data
-    joined = within.join(F.broadcast(counts), (F.col(shard).eqNullSafe(F.col("_shard"))) & (F.col("_bin") == F.col("_of")), "left")
-    return joined.withColumn(out, F.col("_before") + F.col("_at")).drop("_bin", "_n", "_shard", "_of", "_before", "_at")
+    joined = within.join(F.broadcast(counts), (F.col(shard).eqNullSafe(F.col("_slot_shard"))) & (F.col("_slot_bin") == F.col("_slot_of")), "left")
+    return joined.withColumn(out, F.col("_slot_before") + F.col("_slot_at")).drop("_slot_bin", "_slot_n", "_slot_shard", "_slot_of", "_slot_before", "_slot_at")
