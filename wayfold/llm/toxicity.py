@@ -32,20 +32,13 @@ COST = 3000.0
 #: A text is judged by its so many most toxic words.
 TOP = 2
 
-#: Fixed letter classes: 1-26 a to z; accents are folded; digits read as the letters they stand for; other letters 27-43; 0 is dropped.
+#: Fixed letter classes: 1-26 a to z; digits read as the letters they stand for; other letters 27-42 by their last byte; 0 is dropped.
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = np.arange(1, 27)
 _LETTER[65:91] = np.arange(1, 27)
 for _digit, _as in zip("01345789", "oieastbg", strict=True):
     _LETTER[ord(_digit)] = ord(_as) - 96
 _LETTER[128:192] = 27 + (np.arange(64) & 15)
-_FOLDED = {"a": range(0xA0, 0xA6), "c": [0xA7], "e": range(0xA8, 0xAC), "i": range(0xAC, 0xB0), "n": [0xB1], "o": [*range(0xB2, 0xB7), 0xB8], "u": range(0xB9, 0xBD), "y": [0xBD, 0xBF], "s": [0x9F]}
-_AFTER_C3 = _LETTER.copy()
-for _plain, _bytes in _FOLDED.items():
-    for _b in _bytes:
-        _AFTER_C3[_b] = ord(_plain) - 96
-        if 0xA0 <= _b <= 0xBE:
-            _AFTER_C3[_b - 0x20] = ord(_plain) - 96
 CLASSES = 44
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -79,9 +72,6 @@ class Letters(NamedTuple):
 def spell(c: K.Chunk) -> Letters:
     """A chunk's words as letter classes, without what isn't a letter or digit. Three or more single letters in a row are one word more."""
     letter = _LETTER[c.data]
-    if len(letter) > 1:
-        after = np.flatnonzero(c.data[:-1] == 0xC3) + 1
-        letter[after] = _AFTER_C3[c.data[after]]
     kept = np.concatenate([[0], np.cumsum(letter > 0)])
     alpha = np.concatenate([[0], np.cumsum(_IS_LETTER[c.data])])
     w = K.words(c)
@@ -228,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
             seen[y[i]][w] = seen[y[i]].get(w, 0) + 1
         sentences += [(i, y[i], ws) for ws in own if ws]
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    lift = {w: k / n1 * np.log((k / n1 + 1e-4) / (seen[0].get(w, 0) / n0 + 1e-4)) for w, k in seen[1].items()}
+    lift = {w: k / n1 * np.log(k / n1 / ((seen[0].get(w, 0) + 1) / (n0 + n1))) for w, k in seen[1].items() if k > 1}
     typical = sorted(lift, key=lambda w: (-lift[w], w))[: landmarks * 2 // 3]
     by_count = sorted(seen[0], key=lambda w: (-seen[0][w], w))
     rng = np.random.default_rng(11)
