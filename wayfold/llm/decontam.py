@@ -73,21 +73,22 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def index_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, tokens, seeds): token hashes of each item and (hash, position) of its seeds; items too short for a seed have none."""
+    """(item, key, tokens, seeds): token hashes of each item and (hash, position) of its seeds; items too short for a seed have none. key tells rows apart, whatever their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(2)):
                 h, doc, begins = _tokens(c)
                 value, at = _seeds(h, doc)
                 order = np.argsort(at, kind="stable")
                 value, at = value[order], at[order]
                 bounds = K.starts(np.bincount(doc[at], minlength=c.rows))
                 pairs = pa.StructArray.from_arrays([pa.array(value.view(np.int64)), pa.array((at - begins[doc[at]]).astype(np.int32))], ["hash", "at"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), K.list_array(_short(h), begins, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], ["item", "tokens", "seeds"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), batch.column(1).slice(c.first, c.rows), K.list_array(_short(h), begins, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], ["item", "key", "tokens", "seeds"])
 
     kind = benchmark.schema[item].dataType.simpleString()
-    return benchmark.select(item, text).mapInArrow(run, f"item {kind}, tokens array<int>, seeds array<struct<hash:bigint,at:int>>")
+    keyed = benchmark.select(F.col(item), F.xxhash64(item, text).alias("key"), F.col(text))
+    return keyed.mapInArrow(run, f"item {kind}, key bigint, tokens array<int>, seeds array<struct<hash:bigint,at:int>>").dropDuplicates(["key"])
 
 
 def seed_filter(items: DataFrame) -> np.ndarray:
@@ -131,7 +132,7 @@ def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
                 )
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, F.xxhash64(text).alias("uid"), text).mapInArrow(run, f"doc {kind}, uid bigint, start int, tokens array<int>, hits array<struct<hash:bigint,at:int>>")
+    return docs.select(F.col(doc), F.xxhash64(doc, text).alias("uid"), F.col(text)).mapInArrow(run, f"doc {kind}, uid bigint, start int, tokens array<int>, hits array<struct<hash:bigint,at:int>>")
 
 
 def _verified(found: DataFrame, kind: str, item_kind: str) -> DataFrame:
@@ -161,7 +162,7 @@ def _verified(found: DataFrame, kind: str, item_kind: str) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Verified overlaps: (doc, uid, item, token_start, n_tokens, n_equal); uid is xxhash64 of the text, for repeated ids.
+    """Verified overlaps: (doc, uid, item, token_start, n_tokens, n_equal); uid is xxhash64 of id and text, for repeated and null ids.
 
     Tokens are runs of letters and digits, lower-cased. A text overlaps an item if ``WINDOW`` aligned tokens (all of the
     item's, if it has fewer) agree in the share FEWEST / WINDOW. token_start is where the item's aligned part begins
@@ -170,11 +171,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text
     """
     items = materialize(index_items(benchmark, item, item_text), "items")
     regions = materialize(scan(docs, items, doc, text), "regions")
-    hits = regions.select("doc", "uid", "start", F.explode("hits").alias("hit")).select("doc", "uid", "start", F.col("hit.at").alias("at"), F.col("hit.hash").alias("hash"))
-    seeds = items.select("item", F.explode("seeds").alias("seed")).select("item", F.col("seed.at").alias("seed_at"), F.col("seed.hash").alias("hash"))
-    found = hits.join(seeds, "hash").select("doc", "uid", "start", "item", (F.col("at") - F.col("seed_at")).alias("diagonal")).distinct()
-    found = found.join(regions.select("doc", "uid", "start", "tokens"), ["doc", "uid", "start"])
-    found = found.join(items.select("item", F.col("tokens").alias("item_tokens")), "item")
+    regions = regions.dropDuplicates(["uid", "start"])
+    hits = regions.select("uid", "start", F.explode("hits").alias("hit")).select("uid", "start", F.col("hit.at").alias("at"), F.col("hit.hash").alias("hash"))
+    seeds = items.select("key", F.explode("seeds").alias("seed")).select("key", F.col("seed.at").alias("seed_at"), F.col("seed.hash").alias("hash"))
+    found = hits.join(seeds, "hash").select("uid", "start", "key", (F.col("at") - F.col("seed_at")).alias("diagonal")).distinct()
+    found = found.join(regions.select("doc", "uid", "start", "tokens"), ["uid", "start"])
+    found = found.join(items.select("item", "key", F.col("tokens").alias("item_tokens")), "key")
     checked = _verified(found, docs.schema[doc].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
     return checked.dropDuplicates(["doc", "uid", "item", "token_start"])
 
@@ -183,14 +185,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """A row for each row of ``docs``: (its id, contaminated, n_items, n_overlaps, best_equal)."""
     doc, text = names.get("doc", "doc_id"), names.get("text", "text")
     by_doc = overlaps(docs, benchmark, **names).groupBy("doc", "uid").agg(F.countDistinct("item").alias("n_items"), F.count(F.lit(1)).alias("n_overlaps"), F.max("n_equal").alias("best_equal"))
-    keyed = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_uid"))
+    keyed = docs.select(F.col(doc).alias("_doc"), F.xxhash64(doc, text).alias("_uid"))
     joined = keyed.join(by_doc, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_uid") == F.col("uid")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return joined.select(F.col("_doc").alias(doc), F.col("n_items").isNotNull().alias("contaminated"), zero("n_items"), zero("n_overlaps"), zero("best_equal"))
+    return joined.select(F.col("_doc").alias(doc), F.col("n_overlaps").isNotNull().alias("contaminated"), zero("n_items"), zero("n_overlaps"), zero("best_equal"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns; null and empty texts stay."""
     doc, text = names.get("doc", "doc_id"), names.get("text", "text")
     bad = overlaps(docs, benchmark, **names).select("doc", "uid").distinct()
-    return docs.join(bad, docs[doc].eqNullSafe(bad["doc"]) & (F.xxhash64(docs[text]) == bad["uid"]), "left_anti")
+    return docs.join(bad, docs[doc].eqNullSafe(bad["doc"]) & (F.xxhash64(docs[doc], docs[text]) == bad["uid"]), "left_anti")

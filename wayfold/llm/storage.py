@@ -23,6 +23,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so a lost executor never recomputes what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    # files by the cluster's cores, not by the input's splits: small tables don't become thousands of files
-    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    # files by the cluster's cores or the shuffles' size, not by the input's splits: small tables don't become thousands of files
+    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    df.coalesce(files).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

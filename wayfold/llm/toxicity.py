@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     Sentences end at ., !, ? or a new line. Landmarks are the words most typical of toxic texts and words drawn from the others. In
     each round a toxic text's sentences are represented by their most suspicious word and those whose word
     is suspicious enough are the positive examples; the other texts' words are the negative ones. Without either
-    kind of text the score is 0 everywhere.
+    kind of text, or a word that two toxic texts share, the score is 0 everywhere.
     """
     got = folds.labelled_sample(docs, labels, label, most, doc=doc, text=text).toArrow()
     texts, y = got.column(0).to_pylist(), got.column(1).to_numpy().astype(int)
@@ -220,6 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     lift = {w: k / n1 * np.log(k / n1 / ((seen[0].get(w, 0) + 1) / (n0 + n1))) for w, k in seen[1].items() if k > 1}
     typical = sorted(lift, key=lambda w: (-lift[w], w))[: landmarks * 2 // 3]
+    if not typical or not seen[0]:
+        return Model(np.zeros(size, np.float32), -1.0, np.array([0.0] * TOP + [-50.0]))
     by_count = sorted(seen[0], key=lambda w: (-seen[0][w], w))
     rng = np.random.default_rng(11)
     rare = by_count[2000:]
@@ -253,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc: str
     limit = lift[typical[-1]]
     rare_elsewhere = lambda w: seen[0].get(w, 0) / n0 < 0.1 * seen[1].get(w, 0) / n1
     sure = {w for w in suspicious if lift.get(w, -1) >= max(limit, 1e-3) and rare_elsewhere(w)}
-    chosen = sorted(sure)
+    chosen = sorted(sure) or typical[:1]
     toxic = list({w for _, t, ws in sentences if t for w in ws})
     beta, bias = np.zeros(size, np.float32), -1.0
     for _ in range(ROUNDS):
