@@ -2,10 +2,519 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from wayfold.functions import geo, normalize
+from wayfold.operators import graph, search, sequences, spatial
+from wayfold.plans import bindings as B
+from wayfold.sources.layers import content_hash, table
+from wayfold.streaming import proximity
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- SQL fragments ----------------------------------------------------------------------------------------------------------------
+
+_CUSTOMERS = "select c_custkey id, (51307000 + (c_custkey * 7919) % 16000) / 1e6 lat, (9385000 + (c_custkey * 10007) % 40000) / 1e6 lng from customer"
+_SUPPLIERS = "select s_suppkey id, (51307000 + (s_suppkey * 6007) % 16000) / 1e6 lat, (9385000 + (s_suppkey * 9973) % 40000) / 1e6 lng from supplier"
+_PLACES = "select cast(range as bigint) id, (51307000 + (range * 6007) % 16000) / 1e6 lat, (9385000 + (range * 9973) % 40000) / 1e6 lng from range(25)"
+_LINES = """select l_orderkey line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) pos,
+ (51307000 + (l_partkey * 7919) % 16000) / 1e6 lat, (9385000 + (l_partkey * 10007) % 40000) / 1e6 lng, 200 + l_quantity * 5 z,
+ case l_returnflag when 'A' then 'paved' when 'N' then 'gravel' when 'R' then 'dirt' end surface, l_linestatus = 'F' steps, l_quantity * 2 d from lineitem"""
+_EDGES = """select concat(fam, '-', src, '-', dst) id, src, dst, cast(p_size * 10 + src % 7 as bigint) w, p_size % 4 = 0 steps from (
+ select p_partkey src, (p_partkey * 7 + 3) % 200 dst, 'a' fam, p_size from part where p_partkey < 200 and p_size % 5 <> 0
+ union all select p_partkey, (p_partkey + 1) % 200, 'b', p_size from part where p_partkey < 200 and p_size % 3 = 0)"""
+_BOTH = f"select id, src, dst, w, steps from ({_EDGES}) union all select id, dst, src, w, steps from ({_EDGES})"
+
+
+def _dist(a: str, b: str) -> str:
+    return f"2 * 6371008.8 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)))"
+
+
+# -- joins and geometry --------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""with p as (select c.id, s.id other, round({_dist('c', 's')}, 3) distance_m from ({_CUSTOMERS}) c, ({_SUPPLIERS}) s),
+ r as (select *, row_number() over (partition by id order by distance_m, other) rank from p where distance_m <= 800)
+ select id, other, distance_m, cast(rank as int) rank from r where rank <= 3""")
+def proximity_topk(spark, d):
+    """Each customer's three nearest suppliers within 800 m."""
+    return spatial.proximity_topk(B.customers(spark, d), B.suppliers(spark, d), 800.0, 3).select("id", "other", "distance_m", "rank")
+
+
+@_query(f"""with p as (select c.id, s.id place, round({_dist('c', 's')}, 3) distance_m from ({_CUSTOMERS}) c, ({_PLACES}) s)
+ select id, arg_min(place, (distance_m, place)) place, min(distance_m) distance_m from p group by id""")
+def nearest_place(spark, d):
+    """Each customer's nearest place."""
+    return spatial.nearest_of(B.customers(spark, d), B.places()).select("id", "place", "distance_m")
+
+
+@_query(f"""with p as (select c.id, s.id place, round({_dist('c', 's')}, 3) distance_m from ({_CUSTOMERS}) c, ({_PLACES}) s),
+ n as (select id, arg_min(place, (distance_m, place)) place, min(distance_m) distance_m from p group by id)
+ select id, case when distance_m <= 150 then place end place, case when distance_m <= 150 then distance_m end distance_m from n""")
+def nearest_within_radius(spark, d):
+    """The nearest place, if it is within 150 m."""
+    return spatial.nearest_of(B.customers(spark, d), B.places(), 150.0).select("id", "place", "distance_m")
+
+
+def _ring_sql() -> str:
+    cross, near = [], []
+    for (ay, ax), (by, bx) in zip(B.RING, B.RING[1:]):
+        cross.append(f"case when (({ay}e0 > lat) <> ({by}e0 > lat)) and lng < ({bx - ax!r}::double) * (lat - {ay}e0) / ({by - ay!r}::double) + {ax}e0 then 1 else 0 end")
+        e = "cos(radians(lat)) * 111320.0::double"
+        x1, y1, x2, y2 = f"(({ax}e0 - lng) * {e})", f"(({ay}e0 - lat) * 110540.0::double)", f"(({bx}e0 - lng) * {e})", f"(({by}e0 - lat) * 110540.0::double)"
+        dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"
+        t = f"least(greatest(-({x1} * {dx} + {y1} * {dy}) / ({dx} * {dx} + {dy} * {dy}), 0e0), 1e0)"
+        near.append(f"sqrt(pow({x1} + {t} * {dx}, 2) + pow({y1} + {t} * {dy}, 2))")
+    return f"select id, ({' + '.join(cross)}) % 2 = 1 inside, round(least({', '.join(near)}), 3) boundary_m from ({_CUSTOMERS})"
+
+
+@_query(_ring_sql())
+def containment_join(spark, d):
+    """Which customers lie in a polygon, and how far its boundary is."""
+    return spatial.contained(B.customers(spark, d), B.RING).select("id", "inside", "boundary_m")
+
+
+@_query(f"select c.id, round({_dist('c', 's')}, 3) metres, round({_dist('c', 's')}, 3) clamped_metres, c.lng between 9.39 and 9.41 in_span from ({_CUSTOMERS}) c join ({_SUPPLIERS}) s on c.id = s.id")
+def haversine_pairs(spark, d):
+    """Distances of paired points; longitudes within bounds."""
+    c, s = B.customers(spark, d).alias("c"), B.suppliers(spark, d).alias("s")
+    at = [F.col(x) for x in ("c.lat", "c.lng", "s.lat", "s.lng")]
+    j = c.join(s, F.col("c.id") == F.col("s.id"))
+    return j.select("c.id", F.round(geo.haversine(*at), 3).alias("metres"), F.round(geo.surface_distance(*at), 3).alias("clamped_metres"), geo.longitude_between(F.col("c.lng"), F.lit(9.39), F.lit(9.41)).alias("in_span"))
+
+
+@_query(f"select id, cast(floor((lng + 180) / 360 * 65536) as bigint) x, cast(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 65536) as bigint) y from ({_CUSTOMERS})")
+def tile_of_points(spark, d):
+    """Web Mercator tiles at zoom 16."""
+    x, y = geo.tile_xy(F.col("lat"), F.col("lng"), 16)
+    return B.customers(spark, d).select("id", x.alias("x"), y.alias("y"))
+
+
+@_query("""with q as (select p_partkey id, cast(round_even((p_retailprice / 10 + 32768) * 256, 0) as bigint) q from part)
+ select id, q >> 16 r, (q >> 8) & 255 g, q & 255 b, ((q >> 16) * 65536 + ((q >> 8) & 255) * 256 + (q & 255)) / 256e0 - 32768 z from q""")
+def terrarium_roundtrip(spark, d):
+    """Elevations as red, green, blue and back."""
+    r, g, b = geo.terrarium(F.col("p_retailprice") / 10)
+    rgb = table(spark, d, "part").select(F.col("p_partkey").alias("id"), r.alias("r"), g.alias("g"), b.alias("b"))
+    return rgb.withColumn("z", geo.from_terrarium(F.col("r"), F.col("g"), F.col("b")))
+
+
+@_query("""with c as (select * from (values (0.004e0, 14), (0.002e0, 15), (0.001e0, 16)) v(cell, zoom)),
+ p as (""" + _CUSTOMERS + """)
+ select zoom, cast(floor(lat / cell) as bigint) cell_y, cast(floor(lng / cell) as bigint) cell_x, count(*) n, round(avg(lat), 6) lat, round(avg(lng), 6) lng,
+ least(36, cast(22 + round(log2(count(*) + 1) * 2) as int)) icon from p, c group by all""")
+def grid_clusters(spark, d):
+    """Clusters of customers by grid cell at three zooms."""
+    points = B.customers(spark, d)
+    parts = [spatial.grid_clusters(points, cell).select(F.lit(zoom).alias("zoom"), "*") for cell, zoom in ((0.004, 14), (0.002, 15), (0.001, 16))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# -- sequences --------------------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""with v as ({_LINES}), s as (select a.line, a.pos, coalesce({_dist('b', 'a')}, 0) step from v a left join v b on a.line = b.line and b.pos = a.pos - 1)
+ select line, count(*) n_vertices, round(sum(step order by pos), 3) length_m from s group by line""")
+def polyline_length(spark, d):
+    """Vertices and length of each polyline."""
+    return sequences.lengths(B.polylines(spark, d))
+
+
+@_query(f"""with v as ({_LINES}), s as (select line, z, coalesce(z - lag(z) over (partition by line order by pos), 0) dz from v)
+ select line, round(sum(greatest(dz, 0)), 3) ascent_m, round(sum(greatest(-dz, 0)), 3) descent_m, min(z) low_m, max(z) high_m from s group by line""")
+def ascent_descent(spark, d):
+    """Ascent, descent, lowest and highest point."""
+    return sequences.climbs(B.polylines(spark, d))
+
+
+@_query(f"""with v as ({_LINES}), f as (select *, case when lag(surface) over w is not distinct from surface and lag(steps) over w is not distinct from steps and lag(pos) over w is not null then 0 else 1 end f from v window w as (partition by line order by pos)),
+ r as (select *, sum(f) over (partition by line order by pos) run from f)
+ select line, cast(run as bigint) run, surface, steps, count(*) n, round(sum(d), 3) distance_m from r group by all""")
+def run_length_segments(spark, d):
+    """Runs of equal surface and steps along each polyline."""
+    return sequences.run_lengths(B.polylines(spark, d), ["surface", "steps"])
+
+
+@_query(f"""with recursive v as materialized ({_LINES}), s as materialized (select a.line, a.pos, coalesce({_dist('b', 'a')}, 0) step from v a left join v b on a.line = b.line and b.pos = a.pos - 1),
+ m as materialized (select line, max(pos) last from v group by line),
+ r as (select line, pos, 0e0 acc, true kept from s where pos = 1 union all
+  select s.line, s.pos, case when r.acc + s.step >= 900 then 0e0 else r.acc + s.step end, r.acc + s.step >= 900 from r join s on s.line = r.line and s.pos = r.pos + 1)
+ select r.line, r.pos from r join m on m.line = r.line where kept or pos = last""")
+def resample_by_distance(spark, d):
+    """Vertices kept by an accumulator that starts anew at each kept one."""
+    return sequences.keep_every(B.polylines(spark, d), 900.0)
+
+
+@_query(f"""with v as ({_LINES}), s as (select a.line, a.pos, a.lat, a.lng, coalesce({_dist('b', 'a')}, 0) step from v a left join v b on a.line = b.line and b.pos = a.pos - 1),
+ c as (select *, sum(step) over (partition by line order by pos) along from s),
+ l as (select *, lead(along) over w to_m, lead(lat) over w lat2, lead(lng) over w lng2, lead(pos) over w np, max(along) over (partition by line) length, max(pos) over (partition by line) last from c window w as (partition by line order by pos)),
+ u as (select *, greatest(1, cast(ceil(length / 500) as int)) n from l where np is not null and length > 0 and to_m > along),
+ k as (select *, length / n gap from u),
+ e as (select *, unnest(range(cast(ceil(along / gap) as int), 1 + least(n, case when np = last then n else cast(ceil(to_m / gap) as int) - 1 end))) k from k)
+ select line, cast(k as int) k, round(least(k * gap, length), 3) at_m, round(lat + (lat2 - lat) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 5) lat,
+ round(lng + (lng2 - lng) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 5) lng from e""")
+def equal_spacing_resample(spark, d):
+    """Points about every 500 m along each polyline, interpolated."""
+    return sequences.resample(B.polylines(spark, d), 500.0)
+
+
+@_query(f"""with v as ({_LINES}), g as (select line, surface, sum(d) m, min(pos) first from v group by all),
+ p as (select line, arg_max(surface, (m, -first)) primary_surface, round(sum(m), 3) total_m, round(max(m) / sum(m), 6) share from g group by line),
+ a as (select line, case when bool_or(steps) then 'not_step_free' when bool_or(surface in ('dirt', 'grass')) then 'limited' when bool_and(surface in ('paved', 'gravel')) then 'potentially_step_free_mapped_path' else 'unknown' end access from v group by line)
+ select line, primary_surface, total_m, share, access from p join a using (line)""")
+def surface_mix(spark, d):
+    """Each line's main surface (the first seen on a tie) and the accessibility ladder."""
+    v = B.polylines(spark, d)
+    sums = v.groupBy("line", "surface").agg(F.sum("d").alias("m"), F.min("pos").alias("first"), F.bool_or("steps").alias("steps"))
+    rough, firm = F.col("surface").isin("dirt", "grass"), F.col("surface").isin("paved", "gravel")
+    ladder = F.when(F.bool_or("steps"), "not_step_free").when(F.bool_or(rough), "limited").when(F.bool_and(firm), "potentially_step_free_mapped_path").otherwise("unknown")
+    return sums.groupBy("line").agg(F.max_by("surface", F.struct("m", -F.col("first"))).alias("primary_surface"), F.round(F.sum("m"), 3).alias("total_m"), F.round(F.max("m") / F.sum("m"), 6).alias("share"), ladder.alias("access"))
+
+
+# -- aggregations ------------------------------------------------------------------------------------------------------------------------
+
+
+@_query("""select o_custkey id, case when count(distinct o_orderstatus) > 1 then 'mixed' else min(o_orderstatus) end status, count_if(o_orderstatus = 'F') finished,
+ string_agg(distinct o_orderpriority, ',' order by o_orderpriority) priorities from orders group by o_custkey""")
+def single_or_mixed(spark, d):
+    """One value or 'mixed', conditional counts, sorted distinct lists."""
+    one = F.when(F.count_distinct("o_orderstatus") > 1, "mixed").otherwise(F.min("o_orderstatus"))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(one.alias("status"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.concat_ws(",", F.array_sort(F.collect_set("o_orderpriority"))).alias("priorities"))
+
+
+@_query("select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
+def duplicate_refs(spark, d):
+    """Keys that come more than once."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@_query("""select f family, coalesce(n, 0) n from (values ('access'), ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY'), ('transit')) v(f)
+ left join (select c_mktsegment, count(*) n from customer group by 1) c on c_mktsegment = f""")
+def family_counts(spark, d):
+    """Counts over a fixed domain, zero where nothing is."""
+    domain = spark.createDataFrame([(x,) for x in ("access", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "transit")], "family string")
+    counts = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return domain.join(counts, domain.family == counts.c_mktsegment, "left").select("family", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("""with r as (select o_orderpriority, o_totalprice v, row_number() over (partition by o_orderpriority order by o_totalprice) i, count(*) over (partition by o_orderpriority) n from orders)
+ select o_orderpriority, max(case when i = cast(ceil(0.5 * n) as bigint) then v end) p50, max(case when i = cast(ceil(0.95 * n) as bigint) then v end) p95, max(v) largest, min(v) least from r group by 1""")
+def nearest_rank_percentile(spark, d):
+    """Nearest-rank percentiles, not interpolated: the value at rank ceil(q n)."""
+    exact = lambda q: F.expr(f"percentile_disc({q}) within group (order by o_totalprice)")
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(exact(0.5).alias("p50"), exact(0.95).alias("p95"), F.max("o_totalprice").alias("largest"), F.min("o_totalprice").alias("least"))
+
+
+@_query(f"with e as ({_EDGES}), x as (select src node, dst other from e union all select dst, src from e) select node, count(*) degree, count(distinct other) neighbours, count(distinct other) >= 3 junction from x group by node")
+def junctions(spark, d):
+    """Degree, distinct neighbours, junctions."""
+    return graph.degrees(B.graph_edges(spark, d))
+
+
+# -- filters and projections -------------------------------------------------------------------------------------------------------------
+
+_TAGS = """select p_partkey id, case p_size % 6 when 0 then 'footway' when 1 then 'path' when 2 then 'steps' when 3 then 'motorway' when 4 then 'track' end highway,
+ case p_partkey % 5 when 0 then 'yes' when 1 then 'no' when 2 then 'designated' end foot, case p_partkey % 3 when 0 then 'private' when 1 then 'no' end access,
+ case p_partkey % 7 when 0 then 'asphalt' when 1 then 'gravel' when 2 then 'mud' when 3 then 'grass' when 4 then 'sett' when 5 then 'marble' end surface,
+ case p_partkey % 9 when 0 then 'up' when 1 then 'down' when 2 then '12%' when 3 then '-7%' when 4 then 'steep' end incline,
+ case p_partkey % 4 when 0 then 'forward' when 1 then 'reverse' when 2 then 'both' end direction, case p_partkey % 8 when 0 then 'stile' when 1 then 'gate' end barrier,
+ case when p_partkey % 11 = 0 then concat(' ', p_size, ',5 ') when p_partkey % 11 = 1 then 'n/a' else cast(p_retailprice as varchar) end width from part"""
+
+
+def _tags(spark, d) -> DataFrame:
+    e = lambda x: f"cast({x} as string)"
+    return table(spark, d, "part").selectExpr(
+        "p_partkey id",
+        "case p_size % 6 when 0 then 'footway' when 1 then 'path' when 2 then 'steps' when 3 then 'motorway' when 4 then 'track' end highway",
+        "case p_partkey % 5 when 0 then 'yes' when 1 then 'no' when 2 then 'designated' end foot",
+        "case p_partkey % 3 when 0 then 'private' when 1 then 'no' end access",
+        "case p_partkey % 7 when 0 then 'asphalt' when 1 then 'gravel' when 2 then 'mud' when 3 then 'grass' when 4 then 'sett' when 5 then 'marble' end surface",
+        "case p_partkey % 9 when 0 then 'up' when 1 then 'down' when 2 then '12%' when 3 then '-7%' when 4 then 'steep' end incline",
+        "case p_partkey % 4 when 0 then 'forward' when 1 then 'reverse' when 2 then 'both' end direction",
+        "case p_partkey % 8 when 0 then 'stile' when 1 then 'gate' end barrier",
+        f"case when p_partkey % 11 = 0 then concat(' ', p_size, ',5 ') when p_partkey % 11 = 1 then 'n/a' else {e('p_retailprice')} end width",
+    )
+
+
+@_query(f"""select id, case when highway is null or highway not in ('footway','path','steps','pedestrian','track','service','living_street','residential','unclassified','tertiary') then 'not_walkable'
+ when foot = 'no' then 'foot_no' when access in ('private','no') and coalesce(foot not in ('yes','designated','permissive'), true) then 'access_restricted' else 'included' end reason from ({_TAGS})""")
+def walkable_filter(spark, d):
+    """the first reason to leave a way out."""
+    return _tags(spark, d).select("id", normalize.pedestrian_policy(F.col("highway"), F.col("foot"), F.col("access")).alias("reason"))
+
+
+@_query(f"""select id, case when highway = 'steps' then 'stone_steps' when surface in ('asphalt','sett') then 'paved' when surface = 'gravel' then 'gravel' when surface = 'mud' then 'dirt' when surface = 'grass' then 'grass' else 'unknown' end surface,
+ case when id % 10 = 0 then 'unknown_unmapped_connector' when highway = 'steps' then 'known_steps' when foot = 'no' then 'known_wheelchair_no' when barrier = 'stile' then 'known_barrier_mobility_constraint' else 'unknown_not_field_verified' end access,
+ case when direction = 'forward' then incline when direction = 'reverse' then case when incline = 'up' then 'down' when incline = 'down' then 'up' when incline = '12%' then '-12%' when incline = '-7%' then '7%' else incline end end incline,
+ try_cast(replace(trim(width), ',', '.') as double) width from ({_TAGS})""")
+def normalized_tags(spark, d):
+    """Surfaces, accessibility ladder, route-relative inclines, permissive numbers."""
+    c = F.col
+    return _tags(spark, d).select("id", normalize.surface_bucket(c("surface"), c("highway")).alias("surface"), normalize.segment_access(c("id") % 10 == 0, c("highway") == "steps", c("foot"), c("barrier")).alias("access"), normalize.reverse_incline(c("incline"), c("direction")).alias("incline"), normalize.number_or_null(c("width")).alias("width"))
+
+
+@_query("""select p_partkey id, case when regexp_matches(p_name, '^red') then 'reds' when regexp_matches(p_name, 'ring$') then 'rings' when regexp_matches(p_name, 'o') then 'round' else 'other' end sector from part""")
+def sector_classify(spark, d):
+    """The first pattern that matches names the sector."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), normalize.first_match(F.col("p_name"), [("^red", "reds"), ("ring$", "rings"), ("o", "round")], "other").alias("sector"))
+
+
+# -- integrity ---------------------------------------------------------------------------------------------------------------------------
+
+
+@_query("select o_orderkey id from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def referential_orphans(spark, d):
+    """Orders without an item."""
+    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("id"))
+
+
+@_query(f"with e as ({_EDGES}) select a.id, b.id reverse_id, a.w - b.w difference from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst")
+def reverse_pair_audit(spark, d):
+    """Edges whose reverse is an edge too, and how far their measures differ."""
+    a, b = B.graph_edges(spark, d).alias("a"), B.graph_edges(spark, d).alias("b")
+    j = a.join(b, (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).filter("a.src < a.dst")
+    return j.select("a.id", F.col("b.id").alias("reverse_id"), (F.col("a.w") - F.col("b.w")).alias("difference"))
+
+
+@_query("""select concat('region-', r_regionkey) id, 'region' kind, r_name name, cast(null as varchar) parent from region union all
+ select concat('nation-', n_nationkey), 'nation', n_name, concat('region-', n_regionkey) from nation union all
+ select concat('supplier-', s_suppkey), 'supplier', s_name, concat('nation-', s_nationkey) from supplier union all
+ select concat('customer-', c_custkey), 'customer', c_name, concat('nation-', c_nationkey) from customer""")
+def entity_union(spark, d):
+    """Entities of four layers in one table."""
+    e = lambda t, k, name, parent=None: table(spark, d, t).select(F.concat(F.lit(f"{t}-"), k).alias("id"), F.lit(t).alias("kind"), F.col(name).alias("name"), *([F.concat(F.lit(f"{parent[0]}-"), parent[1]).alias("parent")] if parent else []))
+    layers = [e("nation", "n_nationkey", "n_name", ("region", "n_regionkey")), e("supplier", "s_suppkey", "s_name", ("nation", "s_nationkey")), e("customer", "c_custkey", "c_name", ("nation", "c_nationkey"))]
+    out = e("region", "r_regionkey", "r_name")
+    for layer in layers:
+        out = out.unionByName(layer, allowMissingColumns=True)
+    return out
+
+
+@_query("""with k as (select c_custkey k, 'customer' layer from customer union all select s_suppkey, 'supplier' from supplier union all select p_partkey, 'part' from part)
+ select k, count(distinct layer) layers, string_agg(distinct layer, ',' order by layer) names from k group by k having count(distinct layer) > 1""")
+def id_disjointness(spark, d):
+    """Keys that several layers use."""
+    keys = [table(spark, d, t).select(F.col(c).alias("k"), F.lit(t).alias("layer")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))]
+    out = keys[0].union(keys[1]).union(keys[2]).groupBy("k").agg(F.count_distinct("layer").alias("layers"), F.concat_ws(",", F.array_sort(F.collect_set("layer"))).alias("names"))
+    return out.filter("layers > 1")
+
+
+@_query("""(select 'only_open' side, o_custkey k from orders where o_orderstatus = 'O' except select 'only_open', o_custkey from orders where o_orderstatus = 'F') union all
+ (select 'only_finished', o_custkey from orders where o_orderstatus = 'F' except select 'only_finished', o_custkey from orders where o_orderstatus = 'O')""")
+def set_audit(spark, d):
+    """What either side has and the other hasn't."""
+    of = lambda status: table(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"))
+    return of("O").subtract(of("F")).select(F.lit("only_open").alias("side"), "k").union(of("F").subtract(of("O")).select(F.lit("only_finished"), "k"))
+
+
+@_query("""select 'orders_priced' check_id, count_if(not coalesce(o_totalprice > 0, false)) = 0 pass, count_if(not coalesce(o_totalprice > 0, false)) failures from orders union all
+ select 'orders_have_items', count(*) = 0, count(*) from orders where o_orderkey not in (select l_orderkey from lineitem) union all
+ select 'unique_item_keys', count(*) = 0, count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all
+ select 'discount_in_range', count_if(not coalesce(l_discount between 0 and 0.1, false)) = 0, count_if(not coalesce(l_discount between 0 and 0.1, false)) from lineitem union all
+ select 'customers_have_nation', count(*) = 0, count(*) from customer where c_nationkey not in (select n_nationkey from nation)""")
+def constraint_report(spark, d):
+    """A row for each check, with whether it passes and how many rows fail."""
+    orders, items, customers = (table(spark, d, t) for t in ("orders", "lineitem", "customer"))
+
+    def check(name, failing):
+        return failing.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check_id"), (F.col("failures") == 0).alias("pass"), "failures")
+
+    checks = [
+        check("orders_priced", orders.filter(~F.coalesce(F.col("o_totalprice") > 0, F.lit(False)))),
+        check("orders_have_items", orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")),
+        check("unique_item_keys", items.groupBy("l_orderkey", "l_linenumber").count().filter("count > 1")),
+        check("discount_in_range", items.filter(~F.coalesce(F.col("l_discount").between(0, 0.1), F.lit(False)))),
+        check("customers_have_nation", customers.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")),
+    ]
+    out = checks[0]
+    for more in checks[1:]:
+        out = out.union(more)
+    return out
+
+
+_HASH = "concat(coalesce(cast(sum(('0x' || substr(h, 1, 8))::bigint) as varchar), '0'), '-', coalesce(cast(sum(('0x' || substr(h, 9, 8))::bigint) as varchar), '0'))"
+
+
+@_query(f"""select 'nation' layer, count(*) n_rows, {_HASH} content_hash from (select md5(concat_ws('|', n_name, n_nationkey, n_regionkey)) h from nation) union all
+ select 'region', count(*), {_HASH} from (select md5(concat_ws('|', r_name, r_regionkey)) h from region)""")
+def layer_hash(spark, d):
+    """Content hashes of layers, whatever the order of rows and files."""
+    return content_hash(table(spark, d, "nation"), "nation").union(content_hash(table(spark, d, "region"), "region"))
+
+
+# -- ranking and search ------------------------------------------------------------------------------------------------------------------
+
+_TIER = lambda f, base: f"case when lower({f}) = '' then null when lower({f}) = 'red' then {base} when starts_with(lower({f}), 'red') then {base + 1} when contains(lower({f}), 'red') then {base + 2} end"
+
+
+@_query(f"""with h as (select p_partkey id, p_name title, least({_TIER('p_name', 0)}, {_TIER('p_type', 3)}, {_TIER('p_brand', 3)}) score from part)
+ select id, title, cast(score as int) score, (select count(*) from h where score is not null) total from h where score is not null order by score, title, id limit 80""")
+def search_rank(spark, d):
+    """The 80 best parts for a word, by field and kind of match."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_type", "p_brand")
+    matched = search.score("Réd ", F.col("title"), [F.col("p_type"), F.col("p_brand")], [], [])
+    return search.rank(part, matched, order=[F.col("title"), F.col("id")], limit=80).select("id", "title", F.col("score").cast("int").alias("score"), "total")
+
+
+@_query(f"select p_brand, count(*) n, min(least({_TIER('p_name', 0)}, {_TIER('p_type', 3)})) best from part where {_TIER('p_name', 0)} is not null or {_TIER('p_type', 3)} is not null group by p_brand")
+def search_categories(spark, d):
+    """Matches by category."""
+    part = table(spark, d, "part").withColumn("s", search.score("red", F.col("p_name"), [F.col("p_type")], [], []))
+    return part.filter("s is not null").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("s").cast("int").alias("best"))
+
+
+@_query("select doc_id, lang from documents where contains(lower(text), 'license')")
+def haystack_filter(spark, d):
+    """Documents that contain a string, in whole texts."""
+    return table(spark, d, "documents").filter(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", "lang")
+
+
+@_query("""with r as (select l_orderkey, l_partkey, l_extendedprice, l_quantity, row_number() over (partition by l_orderkey order by l_extendedprice nulls last, l_quantity nulls last, l_partkey, l_suppkey, l_linenumber) rank from lineitem)
+ select l_orderkey, l_partkey, l_extendedprice, cast(rank as int) rank from r where rank <= 2""")
+def route_comparison(spark, d):
+    """The two best options of each group by a chain of measures, missing ones last."""
+    by = W.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_extendedprice"), F.asc_nulls_last("l_quantity"), "l_partkey", "l_suppkey", "l_linenumber")
+    return table(spark, d, "lineitem").withColumn("rank", F.row_number().over(by)).filter("rank <= 2").select("l_orderkey", "l_partkey", "l_extendedprice", "rank")
+
+
+_KIND = "case w % 4 when 0 then 'created' when 1 then 'member_of' when 2 then 'located_at' else 'near' end"
+
+
+@_query(f"""with e as (select id, src, dst, {_KIND} kind from ({_EDGES})), i as (select src entity, id, dst other, kind from e union all select dst, id, src, kind from e),
+ f as (select *, row_number() over (partition by entity, other order by id) n from i where entity <> other),
+ p as (select *, row_number() over (partition by entity order by case kind when 'created' then 0 when 'member_of' then 3 when 'located_at' then 4 else 99 end, id, other) place from f where n = 1)
+ select entity, id, other, kind, cast(place as int) place from p where place <= 3""")
+def journey(spark, d):
+    """The next stops from each entity, by the kind of relation."""
+    relations = B.graph_edges(spark, d).selectExpr("id", "src", "dst", f"{_KIND} kind")
+    return search.journey(relations, {"created": 0, "member_of": 3, "located_at": 4}, 3).select("entity", "id", "other", "kind", "place")
+
+
+@_query("select c_custkey, c_name, (select count(*) from customer) > 40 has_more from customer order by c_name, c_custkey limit 20 offset 20")
+def paged_result(spark, d):
+    """The second page of twenty, and whether there are more."""
+    c = table(spark, d, "customer")
+    n = c.agg((F.count(F.lit(1)) > 40).alias("has_more")).withColumn("_one", F.lit(1))
+    page = c.orderBy("c_name", "c_custkey").offset(20).limit(20).select("c_custkey", "c_name", F.lit(1).alias("_one"))
+    return page.join(F.broadcast(n), "_one").drop("_one")  # the count is one row
+
+
+# -- graphs ------------------------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""with recursive b as materialized ({_BOTH}), n as (select p_partkey node from part where p_partkey < 200),
+ r(node, seen) as (select node, node from n union select r.node, b.dst from r join b on b.src = r.seen)
+ select node, min(seen) component from r group by node""")
+def connected_components(spark, d):
+    """Each node's component, by its least node."""
+    return graph.components(B.graph_nodes(spark, d), B.graph_edges(spark, d))
+
+
+@_query(f"""with recursive b as materialized ({_BOTH}), r(node, hops) as (select cast(0 as bigint), 0 union select b.dst, r.hops + 1 from r join b on b.src = r.node where r.hops < 60)
+ select node, cast(min(hops) as int) hops from r group by node""")
+def reachability(spark, d):
+    """Hops from node 0."""
+    edges = graph.mirrored(B.graph_edges(spark, d))
+    return graph.shortest(edges, 0, [F.lit(1)]).select("node", "hops")
+
+
+@_query(f"""with recursive b as materialized (select src, dst, min(w) w from ({_BOTH}) group by 1, 2),
+ r(node, cost) using key (node) as (select cast(0 as bigint), cast(0 as double) union
+  select b.dst, min(r.cost + b.w) from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where k.cost is null or r.cost + b.w < k.cost group by b.dst)
+ select node, cost from r""")
+def shortest_paths(spark, d):
+    """Least distances from node 0."""
+    edges = graph.mirrored(B.graph_edges(spark, d))
+    return graph.shortest(edges, 0, [F.col("w")]).select("node", F.col("cost_0").alias("cost"))
+
+
+@_query()
+def step_avoiding_routes(spark, d):
+    """Least paths by (distance on steps, distance), with hops and parent."""
+    edges = graph.mirrored(B.graph_edges(spark, d))
+    return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")])
+
+
+@_query()
+def spanning_backbone(spark, d):
+    """The least spanning forest."""
+    return graph.minimum_spanning_forest(B.graph_nodes(spark, d), B.graph_edges(spark, d))
+
+
+@_query(f"with e as ({_EDGES}), r as (select *, row_number() over (partition by least(src, dst), greatest(src, dst) order by id) n from e) select id, src, dst, w from r where n = 1")
+def unordered_pairs(spark, d):
+    """One edge for each unordered pair, the first by id."""
+    return graph.first_by_pair(B.graph_edges(spark, d), "id").select("id", "src", "dst", "w")
+
+
+# -- states and windows ------------------------------------------------------------------------------------------------------------------
+
+
+@_query()
+def proximity_events(spark, d):
+    """The proximity state machine over all fixes."""
+    return proximity.batch(B.fixes(spark, d), B.places())
+
+
+@_query("with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) select user_id, event_id, cast(n as int) n from r where n <= 12")
+def trail(spark, d):
+    """Each user's last twelve events."""
+    by = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(by).alias("n")).filter("n <= 12")
+
+
+@_query("select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) n, round(sum(value), 2) total from events group by all")
+def tumbling_windows(spark, d):
+    """Extension: hourly counts and sums."""
+    return proximity.tumbling(table(spark, d, "events"), "1 hour")
+
+
+@_query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end new from events window w as (partition by user_id order by ts)),
+ s as (select *, sum(new) over (partition by user_id order by ts) s from g) select user_id, min(ts) session_start, count(*) n from s group by user_id, s""")
+def session_windows(spark, d):
+    """Extension: sessions with a gap of 30 minutes."""
+    return proximity.sessions(table(spark, d, "events"), "30 minutes")
+
+
+# -- raster ------------------------------------------------------------------------------------------------------------------------------
+
+_GRID_E, _GRID_N = "least(greatest((lng - 9.385) * 1600 - 0.5, 0), 63)", "least(greatest((lat - 51.307) * 4000 - 0.5, 0), 63)"
+
+
+@_query(f"""with p as (select id, cast({_GRID_E} as double) e, cast({_GRID_N} as double) n from ({_CUSTOMERS})),
+ c as (select *, cast(floor(n) as bigint) r, cast(floor(e) as bigint) c, n - floor(n) fr, e - floor(e) fc from p),
+ z as (select id, fr, fc, (215 + (r * 37 + c * 53) % 347) z00, (215 + (r * 37 + least(c + 1, 63) * 53) % 347) z01, (215 + (least(r + 1, 63) * 37 + c * 53) % 347) z10, (215 + (least(r + 1, 63) * 37 + least(c + 1, 63) * 53) % 347) z11 from c)
+ select id, round((z00 * (1 - fc) + z01 * fc) * (1 - fr) + (z10 * (1 - fc) + z11 * fc) * fr, 6) z from z""")
+def dem_sample(spark, d):
+    """Bilinear samples of an elevation grid: four equi-joined neighbours and a weighted sum."""
+    grid = spark.range(64).select(F.col("id").alias("row")).crossJoin(spark.range(64).select(F.col("id").alias("col"))).selectExpr("row", "col", "cast(215 + (row * 37 + col * 53) % 347 as double) z")
+    at = B.customers(spark, d).selectExpr("id", f"cast({_GRID_E} as double) e", f"cast({_GRID_N} as double) n")
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    four = at.select("id", "e", "n", corner.alias("k"))
+    weight = lambda x, k: F.when(F.col(k) == 1, F.col(x) - F.floor(x)).otherwise(1 - F.col(x) + F.floor(x))
+    four = four.select("id", F.least(F.floor("n") + F.col("k.i"), F.lit(63)).alias("row"), F.least(F.floor("e") + F.col("k.j"), F.lit(63)).alias("col"), (weight("n", "k.i") * weight("e", "k.j")).alias("share"))
+    return four.join(grid, ["row", "col"]).groupBy("id").agg(F.round(F.sum(F.col("z") * F.col("share")), 6).alias("z"))
