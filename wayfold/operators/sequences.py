@@ -81,5 +81,5 @@ def resample(vertices: DataFrame, spacing: float) -> DataFrame:
     usable = spans.withColumn("n", n).withColumn("gap", gap).filter("length > 0").withColumn("_from", first.cast("int")).withColumn("_to", F.least(until, F.col("n")).cast("int")).filter("_from <= _to and to_m > along_m")
     points = usable.withColumn("k", F.explode(F.sequence("_from", "_to"))).withColumn("at_m", F.least(F.col("k") * F.col("gap"), F.col("length")))
     share = F.least(F.lit(1.0), (F.col("at_m") - F.col("along_m")) / (F.col("to_m") - F.col("along_m")))
-    mixed = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * share, 5)
+    mixed = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * share, 8)
     return points.select("line", "k", F.round("at_m", 3).alias("at_m"), mixed("lat", "lat2").alias("lat"), mixed("lng", "lng2").alias("lng"))

@@ -175,8 +175,8 @@ def resample_by_distance(spark, d):
  u as (select *, greatest(1, cast(ceil(length / 500) as int)) n from l where np is not null and length > 0 and to_m > along),
  k as (select *, length / n gap from u),
  e as (select *, unnest(range(cast(ceil(along / gap) as int), 1 + least(n, case when np = last then n else cast(ceil(to_m / gap) as int) - 1 end))) k from k)
- select line, cast(k as int) k, round(least(k * gap, length), 3) at_m, round(lat + (lat2 - lat) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 5) lat,
- round(lng + (lng2 - lng) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 5) lng from e""")
+ select line, cast(k as int) k, round(least(k * gap, length), 3) at_m, round(lat + (lat2 - lat) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 8) lat,
+ round(lng + (lng2 - lng) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 8) lng from e""")
 def equal_spacing_resample(spark, d):
     """Points about every 500 m along each polyline, interpolated."""
     return sequences.resample(B.polylines(spark, d), 500.0)

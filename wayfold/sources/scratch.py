@@ -1,15 +1,25 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine, set once, only where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's shared folder (spark.checkpoint.dir); a folder of this machine only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+    """``df`` written as Parquet and read again: a lost executor recomputes nothing older, and plans of loops don't grow."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
