@@ -11,9 +11,23 @@ def fold(doc: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc.cast("string"), F.lit(""))) % n
 
 
+def unit_hash(*columns: Column) -> Column:
+    """A number in [0, 1) that the columns decide."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
+
+
+def likely_share(most: int, n: int) -> float:
+    """The share of n rows, by hash, that holds the ``most`` least with near certainty and not many more."""
+    return min(1.0, (most + 8 * most**0.5 + 20) / max(n, 1))
+
+
 def sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the least hash of ``key``: the same at every run and partitioning."""
-    return rows.withColumn("_order", F.xxhash64(key)).orderBy("_order").limit(most).drop("_order")
+    """At most ``most`` rows, those with the least hash of ``key``: the same at every run and partitioning.
+
+    Rows that can't be among them are left out where they are read, so that few more than ``most`` meet in one task.
+    """
+    few = rows.withColumn("_order", unit_hash(key)).filter(F.col("_order") < likely_share(most, rows.count()))
+    return few.orderBy("_order").limit(most).drop("_order")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +85,24 @@ def train(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str
     """Learns from ``docs``, all of which may be learned from; rows without text or lang are left out.
 
     Document frequencies count all rows; centroids are made from at most ``per_language`` texts of each language, those
-    with the least hash of their id.
+    with the least hash.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = features.document_frequencies(rows, GRAM, DIMENSION_BITS, letters, text)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    names = sorted(x[0] for x in rows.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
+    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = sorted(counts)
+    drawn = rows.select(F.col(lang).alias("lang"), folds.unit_hash(F.col(doc), F.col(text)).alias("order"), F.col(text).alias("text"))
+    if names:
+        share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, folds.likely_share(per_language, n))))
+        drawn = drawn.filter(F.col("order") < F.element_at(share, F.col("lang")))
+    drawn = drawn.limit(2 * (per_language + 100) * max(len(names), 1)).toArrow().sort_by("order")
     centers, owner, radius = [np.zeros((0, len(idf)), np.float32)], [], []
     for i, name in enumerate(names):
-        some = folds.sample(rows.filter(F.col(lang) == name).select(doc, text), F.col(doc), per_language).toArrow()
-        x = np.vstack([vectors(c, idf) for c in K.chunks(some.column(text))])
+        some = drawn.filter(pc.equal(drawn.column("lang"), name)).slice(0, per_language)
+        x = np.vstack([vectors(c, idf) for c in K.chunks(some.column("text"))])
         own = _k_means(x, centroids)
         cosine = x @ own.T
         nearest = np.argmax(cosine, axis=1)

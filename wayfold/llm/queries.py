@@ -82,5 +82,35 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
 
 
+_DRAW = "(('0x' || substr(md5(concat({key})), 1, 13))::bigint::double + 0.5) / 4503599627370496e0"
+
+
+def _shard_sql(n: int) -> str:
+    draw = _DRAW.format(key="d.doc_id, '/', s.range")
+    return f"select d.doc_id, d.size, d.text_crc32, arg_min(s.range, (-ln({draw}), s.range)) shard from d, range({n}) s group by all"
+
+
+_CRC = """table256 as (select list(list_reduce([range, 1, 2, 3, 4, 5, 6, 7, 8]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by range) t from range(256)),
+ bytes as (select doc_id, octet_length(encode(coalesce(text, ''))) + 1 size, hex(encode(coalesce(text, ''))) h from documents),
+ d as (select doc_id, size, xor(list_reduce([4294967295]::bigint[] || list_transform(range(size - 1), lambda i: ('0x' || substr(h, cast(2 * i + 1 as bigint), 2))::bigint), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) text_crc32 from bytes, table256)"""
+
+_OP3 = f"""with {_CRC}, a as ({_shard_sql(SHARDS)}), g as ({_shard_sql(SHARDS + 1)}),
+ b as (select *, ('0x' || substr(md5(concat_ws('/', doc_id, text_crc32, size)), 1, 8))::bigint % 256 bin from a)
+ select b.doc_id, cast(b.size as bigint) size, b.text_crc32, 'key' law, cast(b.shard as int) shard, row_number() over (partition by b.shard order by bin, b.doc_id, b.text_crc32, b.size) - 1 slot, cast(g.shard as int) grown_shard
+ from b join g using (doc_id)"""
+
+_SHARE = " ".join(f"when '={k}' then {v}e0" for k, v in MIX.items())
+_KNOWN = ", ".join(f"'{k}'" for k in MIX)
+_OP8 = f"""with recursive d as (select *, case when source in ({_KNOWN}) then '=' || source else '*' end stratum, octet_length(encode(coalesce(text, ''))) + 1 size from documents),
+ h as (select stratum, sum(size)::double held from d group by 1),
+ r as (select stratum, sum(held) over () * 1e0 * (case stratum {_SHARE} else {1.0 - sum(MIX.values())!r}::double end) / held rate from h),
+ c(stratum, rate, k, p, total) as (select stratum, rate, 0, exp(-rate), exp(-rate) from r union all select stratum, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) from c where k < ceil(rate + 12 * sqrt(rate) + 24)),
+ u as (select *, {_DRAW.format(key="'mix/', doc_id")} u from d),
+ n as (select u.doc_id, u.text, u.lang, u.source, u.n_chars, cast((select count(*) from c where c.stratum = u.stratum and c.total <= u.u) as int) n_copies from u),
+ e as (select *, unnest(range(n_copies)) i from n)
+ select doc_id, text, lang, source, n_chars, n_copies, cast(i as int) "copy", ('0x' || substr(md5(concat('mix/', doc_id, '/', i)), 1, 15))::bigint order_key from e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """None where SQL has no form for the method: tests hold those against brute force or held-out labels."""
+    return {"op3_rendezvous_shards": _OP3, "op8_poisson_mix": _OP8}

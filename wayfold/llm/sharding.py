@@ -36,6 +36,11 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str =
     return df.withColumn(out, shard_of(F.col(key), weights))
 
 
+def _bin(order: Sequence[str], bins: int) -> Column:
+    digest = F.md5(F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % bins).cast("int")
+
+
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot", bins: int = 256) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each shard, without bringing a shard's rows together.
 
@@ -43,7 +48,7 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "sl
     give each bin its first slot; only within a bin are rows numbered one by one. ``order`` should tell rows apart:
     equal rows share a bin, and as they are equal either may come first.
     """
-    df = df.withColumn("_slot_bin", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
+    df = df.withColumn("_slot_bin", _bin(order, bins))
     counts = df.groupBy(shard, "_slot_bin").agg(F.count(F.lit(1)).alias("_slot_n"))
     below = W.partitionBy(shard).orderBy("_slot_bin").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col(shard).alias("_slot_shard"), F.col("_slot_bin").alias("_slot_of"), F.coalesce(F.sum("_slot_n").over(below), F.lit(0)).alias("_slot_before"))
