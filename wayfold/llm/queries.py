@@ -111,6 +111,32 @@ _OP8 = f"""with recursive d as (select *, case when source in ({_KNOWN}) then '=
  select doc_id, text, lang, source, n_chars, n_copies, cast(i as int) "copy", ('0x' || substr(md5(concat('mix/', doc_id, '/', i)), 1, 15))::bigint order_key from e"""
 
 
+def _escaped(x: str) -> str:
+    x = f"regexp_replace({x}, '&(amp;|lt;|lbrack;|nl;)', '&amp;\\1', 'g')"
+    x = f"regexp_replace({x}, '<(\\||/?s>)', '&lt;\\1', 'g')"
+    return f"regexp_replace({x}, '\\[(/?INST\\])', '&lbrack;\\1', 'g')"
+
+
+#: For conversations whose turn numbers lie in one block.
+_OP2 = f"""with recursive c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -1, range, case range when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2)),
+ t as materialized (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) pos, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 tokens,
+  length(replace({_escaped('role')}, chr(10), '&nl;')) + length({_escaped('text')}) + 24 chars from c),
+ y as materialized (select conv_id, tokens, chars from t where pos = 1 and role = 'system'),
+ b as materialized (select distinct t.conv_id, greatest(384 - coalesce(y.tokens, 0), 1) fresh from t left join y using (conv_id)),
+ r(conv_id, pos, span, used) as (select conv_id, pos, 0, tokens from t where pos = 1 union all
+  select t.conv_id, t.pos, case when r.used + t.tokens > b.fresh then r.span + 1 else r.span end, case when r.used + t.tokens > b.fresh then t.tokens else r.used + t.tokens end
+  from r join t on t.conv_id = r.conv_id and t.pos = r.pos + 1 join b on b.conv_id = r.conv_id),
+ w as (select conv_id, span, min(pos) f from r group by all having span > 0),
+ again as (select w.conv_id, coalesce(y.chars, 0) + coalesce(case when a.tokens <= 128 and not (w.f = 2 and y.chars is not null) then a.chars end, 0)
+  + coalesce(case when a.tokens + z.tokens <= 128 and not (w.f = 3 and y.chars is not null) then z.chars end, 0) chars
+  from w left join y using (conv_id) left join t a on a.conv_id = w.conv_id and a.pos = w.f - 1 left join t z on z.conv_id = w.conv_id and z.pos = w.f - 2),
+ x as (select conv_id, sum(chars) chars from again group by 1)
+ select t.conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) turns_sha256,
+  coalesce(length(string_agg(text, '' order by pos) filter (role = 'assistant')), 0) loss_chars, sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(t.chars) + coalesce(max(x.chars), 0) as bigint) formatted_chars from t left join x using (conv_id) group by t.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """None where SQL has no form for the method: tests hold those against brute force or held-out labels."""
-    return {"op3_rendezvous_shards": _OP3, "op8_poisson_mix": _OP8}
+    return {"op2_chat_windows": _OP2, "op3_rendezvous_shards": _OP3, "op8_poisson_mix": _OP8}
