@@ -99,3 +99,19 @@ def minimum_spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return taken if taken is not None else edges.select("src", "dst", "w", "id").limit(0)
         taken = chosen if taken is None else cut(taken.union(chosen))
         labels = components(nodes, taken)
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """(chain, n_edges, w): edges (id, src, dst, w) joined up through nodes with exactly two neighbours.
+
+    Such nodes only pass a path on. A chain is named by its least inner node; an edge between two other nodes is a chain by its id.
+    One edge is taken for each unordered pair; loops are left out.
+    """
+    single = cut(first_by_pair(edges.filter("src <> dst"), "id"))
+    inner = cut(degrees(single).filter("neighbours = 2").select("node"))
+    inside = single.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    labels = components(inner, inside)
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_chain"))
+    placed = single.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    name = F.coalesce(F.col("src_chain").cast("string"), F.col("dst_chain").cast("string"), F.col("id"))
+    return placed.groupBy(name.alias("chain")).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").alias("w"))

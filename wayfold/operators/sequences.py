@@ -83,3 +83,22 @@ def resample(vertices: DataFrame, spacing: float) -> DataFrame:
     share = F.least(F.lit(1.0), (F.col("at_m") - F.col("along_m")) / (F.col("to_m") - F.col("along_m")))
     mixed = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * share, 8)
     return points.select("line", "k", F.round("at_m", 3).alias("at_m"), mixed("lat", "lat2").alias("lat"), mixed("lng", "lng2").alias("lng"))
+
+
+def project(vertices: DataFrame, lat: float, lng: float) -> DataFrame:
+    """(line, pos, off_m, along_m): where each line passes a point nearest, on a local plane around the point.
+
+    pos is the first vertex of the nearest segment (the first of equals); segments of no length are left out, and so are lines
+    without any other.
+    """
+    x, y = (F.col("lng") - lng) * 111320.0 * F.cos(F.radians(F.lit(lat))), (F.col("lat") - lat) * 111320.0
+    following = lambda c: F.lead(c).over(_along())
+    at = vertices.withColumn("_x", x).withColumn("_y", y)
+    spans = at.select("line", "pos", "_x", "_y", (following("_x") - F.col("_x")).alias("_dx"), (following("_y") - F.col("_y")).alias("_dy"))
+    spans = spans.withColumn("_len", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")))
+    spans = spans.withColumn("_walked", F.coalesce(F.sum("_len").over(_along().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).filter("_len > 0")
+    t = F.least(F.greatest(-(F.col("_x") * F.col("_dx") + F.col("_y") * F.col("_dy")) / (F.col("_len") * F.col("_len")), F.lit(0.0)), F.lit(1.0))
+    spans = spans.withColumn("_t", t)
+    off = F.round(F.sqrt(F.pow(F.col("_x") + F.col("_t") * F.col("_dx"), 2) + F.pow(F.col("_y") + F.col("_t") * F.col("_dy"), 2)), 3)
+    best = spans.groupBy("line").agg(F.min(F.struct(off.alias("off_m"), "pos", F.round(F.col("_walked") + F.col("_len") * F.col("_t"), 3).alias("along_m"))).alias("best"))
+    return best.select("line", "best.pos", "best.off_m", "best.along_m")

@@ -123,6 +123,20 @@ def terrarium_roundtrip(spark, d):
     return rgb.withColumn("z", geo.from_terrarium(F.col("r"), F.col("g"), F.col("b")))
 
 
+_UTM = """with p as (select id, radians(lat) f, radians(lng - 9e0) l, 6378137e0 a, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) e2 from (%s)),
+ q as (select *, e2 / (1 - e2) ep from p), r as (select *, a / sqrt(1 - e2 * pow(sin(f), 2)) n, pow(tan(f), 2) t, ep * pow(cos(f), 2) c, cos(f) * l w,
+ a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * f - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * f) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * f) - (35 * pow(e2, 3) / 3072) * sin(6 * f)) m from q)
+ select id, round(500000 + 0.9996e0 * n * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(w, 5) / 120), 3) east,
+ round(0.9996e0 * (m + n * tan(f) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(w, 6) / 720)), 3) north from r""" % _CUSTOMERS
+
+
+@_query(_UTM)
+def utm_forward(spark, d):
+    """Easting and northing of customers in zone 32."""
+    east, north = geo.utm32(F.col("lat"), F.col("lng"))
+    return B.customers(spark, d).select("id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
 @_query("""with c as (select * from (values (0.004e0, 14), (0.002e0, 15), (0.001e0, 16)) v(cell, zoom)),
  p as (""" + _CUSTOMERS + """)
  select zoom, cast(floor(lat / cell) as bigint) cell_y, cast(floor(lng / cell) as bigint) cell_x, count(*) n, round(avg(lat), 6) lat, round(avg(lng), 6) lng,
@@ -195,6 +209,17 @@ def surface_mix(spark, d):
     return sums.groupBy("line").agg(F.max_by("surface", F.struct("m", -F.col("first"))).alias("primary_surface"), F.round(F.sum("m"), 3).alias("total_m"), F.round(F.max("m") / F.sum("m"), 6).alias("share"), ladder.alias("access"))
 
 
+@_query(f"""with v as (select line, pos, (lng - 9.405e0) * 111320e0 * cos(radians(51.315e0)) x, (lat - 51.315e0) * 111320e0 y from ({_LINES})),
+ d as (select *, lead(x) over w - x dx, lead(y) over w - y dy from v window w as (partition by line order by pos)),
+ l as (select *, sqrt(dx * dx + dy * dy) len from d), k as (select *, coalesce(sum(len) over (partition by line order by pos rows between unbounded preceding and 1 preceding), 0) walked from l),
+ t as (select *, least(greatest(-(x * dx + y * dy) / (len * len), 0e0), 1e0) t from k where len > 0),
+ o as (select line, pos, round(sqrt(pow(x + t * dx, 2) + pow(y + t * dy, 2)), 3) off_m, round(walked + len * t, 3) along_m from t),
+ r as (select *, row_number() over (partition by line order by off_m, pos) n from o) select line, pos, off_m, along_m from r where n = 1""")
+def best_projection(spark, d):
+    """Where each polyline passes a point nearest, and how far along that is."""
+    return sequences.project(B.polylines(spark, d), 51.315, 9.405)
+
+
 # -- aggregations ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -356,6 +381,28 @@ def constraint_report(spark, d):
     return out
 
 
+_RULES = {
+    "source_named": "event_type is not null and event_type <> ''",
+    "value_finite": "value is not null and abs(value) < 1e9",
+    "null_is_not_zero": "value is null or value <> 0",
+    "accuracy_range": "k between 0 and 200",
+    "exact_needs_number": "not (k % 17 = 0 and k > 50)",
+}
+
+
+@_query("with e as (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) k from events) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then event_id end) first_failure from e" for n, r in _RULES.items()))
+def provenance_report(spark, d):
+    """A row for each provenance rule: rows checked, rows that fail (unknown fails), and the first of them. One scan for all rules."""
+    events = table(spark, d, "events").withColumn("k", F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as int)"))
+    failing = F.filter(F.array(*(F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(n)) for n, r in _RULES.items())), lambda x: x.isNotNull())
+    names = spark.createDataFrame([(n,) for n in _RULES], "rule string")
+    found = events.select("event_id", F.explode(failing).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("failures"), F.min("event_id").alias("first_failure"))
+    checked = events.agg(F.count(F.lit(1)).alias("checked")).withColumn("_one", F.lit(1))
+    # the number of rows is one row, the rules are a fixed list
+    out = names.join(found, "rule", "left").withColumn("_one", F.lit(1)).join(F.broadcast(checked), "_one")
+    return out.select("rule", "checked", F.coalesce("failures", F.lit(0)).alias("failures"), "first_failure")
+
+
 _HASH = "concat(coalesce(cast(sum(('0x' || substr(h, 1, 8))::bigint) as varchar), '0'), '-', coalesce(cast(sum(('0x' || substr(h, 9, 8))::bigint) as varchar), '0'))"
 
 
@@ -465,6 +512,16 @@ def spanning_backbone(spark, d):
     return graph.minimum_spanning_forest(B.graph_nodes(spark, d), B.graph_edges(spark, d))
 
 
+@_query(f"""with recursive e as materialized (select id, src, dst, w from (select *, row_number() over (partition by least(src, dst), greatest(src, dst) order by id) n from ({_EDGES}) where src <> dst) where n = 1),
+ g as (select node from (select src node, dst other from e union all select dst, src from e) group by node having count(distinct other) = 2),
+ b as materialized (select src, dst from (select src, dst from e union all select dst, src from e) where src in (select node from g) and dst in (select node from g)),
+ r(node, seen) as (select node, node from g union select r.node, b.dst from r join b on b.src = r.seen), l as materialized (select node, min(seen) chain from r group by node)
+ select coalesce(cast(a.chain as varchar), cast(z.chain as varchar), e.id) chain, count(*) n_edges, cast(sum(w) as bigint) w from e left join l a on a.node = e.src left join l z on z.node = e.dst group by 1""")
+def chain_compress(spark, d):
+    """Edges joined up through nodes that only pass a path on."""
+    return graph.chains(B.graph_edges(spark, d))
+
+
 @_query(f"with e as ({_EDGES}), r as (select *, row_number() over (partition by least(src, dst), greatest(src, dst) order by id) n from e) select id, src, dst, w from r where n = 1")
 def unordered_pairs(spark, d):
     """One edge for each unordered pair, the first by id."""
