@@ -568,7 +568,7 @@ _GRID_E, _GRID_N = "least(greatest((lng - 9.385) * 1600 - 0.5, 0), 63)", "least(
  select id, round((z00 * (1 - fc) + z01 * fc) * (1 - fr) + (z10 * (1 - fc) + z11 * fc) * fr, 6) z from z""")
 def dem_sample(spark, d):
     """Bilinear samples of an elevation grid: four equi-joined neighbours and a weighted sum."""
-    grid = spark.range(64).select(F.col("id").alias("row")).crossJoin(spark.range(64).select(F.col("id").alias("col"))).selectExpr("row", "col", "cast(215 + (row * 37 + col * 53) % 347 as double) z")
+    grid = spark.range(64 * 64).selectExpr("id div 64 row", "id % 64 col").selectExpr("row", "col", "cast(215 + (row * 37 + col * 53) % 347 as double) z")
     at = B.customers(spark, d).selectExpr("id", f"cast({_GRID_E} as double) e", f"cast({_GRID_N} as double) n")
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
     four = at.select("id", "e", "n", corner.alias("k"))
