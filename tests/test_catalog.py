@@ -84,6 +84,34 @@ def test_spanning_backbone(spark):
     assert {r.id for r in catalog.queries()["spanning_backbone"](spark, SF).collect()} == want
 
 
+def test_graphs_hold_every_part(spark, tmp_path):
+    size = [i * 13 % 50 + 1 for i in range(450)]
+    spark.createDataFrame(list(enumerate(size)), "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    edges = [(f"a-{i}-{(i * 7 + 3) % 450}", i, (i * 7 + 3) % 450, x) for i, x in enumerate(size) if x % 5] + [(f"b-{i}-{(i + 1) % 450}", i, (i + 1) % 450, x) for i, x in enumerate(size) if x % 3 == 0]
+    edges = [(x * 10 + a % 7, i, a, b, x % 4 == 0) for i, a, b, x in edges]
+    near, parent, want = {}, list(range(450)), set()
+    for w, i, a, b, steps in sorted(edges):
+        near.setdefault(a, []).append((b, w, steps))
+        near.setdefault(b, []).append((a, w, steps))
+        ends = [a, b]
+        for k in (0, 1):
+            while parent[ends[k]] != ends[k]:
+                ends[k] = parent[ends[k]]
+        if ends[0] != ends[1]:
+            parent[ends[0]] = ends[1]
+            want.add(i)
+    assert {r.id for r in catalog.queries()["spanning_backbone"](spark, str(tmp_path)).collect()} == want
+    best, queue = {}, [((0, 0), 0)]
+    while queue:
+        cost, node = heapq.heappop(queue)
+        if node not in best:
+            best[node] = cost
+            for b, w, steps in near.get(node, ()):
+                heapq.heappush(queue, ((cost[0] + w * steps, cost[1] + w), b))
+    assert {r.node: (r.cost_0, r.cost_1) for r in catalog.queries()["step_avoiding_routes"](spark, str(tmp_path)).collect()} == best
+    assert max(best) >= 200
+
+
 def test_proximity_batch_and_stream_agree(spark, tmp_path):
     fixes = bindings.fixes(spark, SF)
     want = {tuple(r) for r in proximity.batch(fixes, bindings.places()).collect()}

@@ -48,6 +48,17 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b).selectExpr("concat(fam, '-', src, '-', dst) id", "src", "dst", "cast(p_size * 10 + src % 7 as bigint) w", "p_size % 4 = 0 steps")
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the same two families of edges over every part, with destinations modulo the number of parts."""
+    part = table(spark, sf_dir, "part")
+    # the number of parts is one row
+    sized = part.select("p_partkey", "p_size").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n"))))
+    a = sized.filter("p_size % 5 <> 0").selectExpr("p_partkey src", "(p_partkey * 7 + 3) % n dst", "'a' fam", "p_size")
+    b = sized.filter("p_size % 3 = 0").selectExpr("p_partkey src", "(p_partkey + 1) % n dst", "'b' fam", "p_size")
+    edges = a.union(b).selectExpr("concat(fam, '-', src, '-', dst) id", "src", "dst", "cast(p_size * 10 + src % 7 as bigint) w", "p_size % 4 = 0 steps")
+    return part.select(F.col("p_partkey").alias("node")), edges
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_id, ts, lat, lng, accuracy): a position fix for each event."""
     k = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"

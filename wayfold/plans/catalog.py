@@ -501,15 +501,15 @@ def shortest_paths(spark, d):
 
 @_query()
 def step_avoiding_routes(spark, d):
-    """Least paths by (distance on steps, distance), with hops and parent."""
-    edges = graph.mirrored(B.graph_edges(spark, d))
+    """Least paths by (distance on steps, distance), with hops and parent, over all parts."""
+    edges = graph.mirrored(B.whole_graph(spark, d)[1])
     return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")])
 
 
 @_query()
 def spanning_backbone(spark, d):
-    """The least spanning forest."""
-    return graph.minimum_spanning_forest(B.graph_nodes(spark, d), B.graph_edges(spark, d))
+    """The least spanning forest, over all parts."""
+    return graph.minimum_spanning_forest(*B.whole_graph(spark, d))
 
 
 @_query(f"""with recursive e as materialized (select id, src, dst, w from (select *, row_number() over (partition by least(src, dst), greatest(src, dst) order by id) n from ({_EDGES}) where src <> dst) where n = 1),
