@@ -297,6 +297,38 @@ def test_decontamination_tolerates_substitutions(spark, docs, odd):
     assert decontam.drop_contaminated(odd, empty(items)).columns == odd.columns
 
 
+@pytest.mark.parametrize("width", range(1, 17))
+def test_masks_are_lossless_at_every_width(width):
+    if width <= decontam.SHORT:
+        masks = [(m, 0) for m in decontam.short_masks(width)]
+    else:
+        masks = [([i for i, x in enumerate(mask) if x == "1"], at) for mask in decontam.MASKS for at in range(width - len(mask) + 1)]
+    for gone in itertools.combinations(range(width), width - math.ceil(width * decontam.FEWEST / decontam.WINDOW)):
+        assert any(all(at + i not in gone for i in mask) for mask, at in masks)
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    items, rows, want = [], [], set()
+    for n in range(1, 17):
+        words = [f"q{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = n - math.ceil(n * 13 / 16)
+        for gone in itertools.combinations(range(n), min(allowed + 1, 2)):
+            text = "before it " + " ".join("zz" if i in gone else w for i, w in enumerate(words)) + " and after"
+            rows.append((len(rows), text))
+            if len(gone) <= allowed:
+                want.add((len(rows) - 1, n))
+        rows.append((len(rows), " ".join(words).upper()))
+        want.add((len(rows) - 1, n))
+    items += [(100, "敏捷的棕色狐狸跳过懒狗"), (101, "いろはにほへと"), (102, "東京")]
+    for item, text in ((100, "从前敏捷的棕色狐狸跳过懒狗。"), (100, "看敏捷的棕色狐狼跳过懒狗abc"), (101, "それはいろはにほへとです"), (102, "私は東京にいる"), (None, "東の京"), (None, "敏捷狐狸")):
+        rows.append((len(rows), text))
+        want |= {(len(rows) - 1, item)} if item else set()
+    found = decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r.doc, r.item) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 # -- 10 -------------------------------------------------------------------------------------------------------------------------
 
 
