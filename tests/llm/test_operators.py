@@ -244,6 +244,66 @@ def test_kneser_ney_sums_to_one(docs):
         assert total == pytest.approx(1, abs=0.03), (context, len(classes))
 
 
+def _kneser_ney(texts):
+    """log P of byte-class trigrams from the definition, and their codes."""
+    grams = lambda t: [tuple(int(rules._CLASS[b]) for b in t[i : i + 3]) for i in range(len(t) - 2)]
+    three = collections.Counter(g for t in texts for g in grams(t.encode()))
+    two = collections.Counter(g[1:] for g in three)
+    one = collections.Counter(g[1:] for g in two)
+
+    def level(counts):
+        of = collections.Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0.5
+        cut = [max(0.1 * i, min(i - (i + 1) * y * of[i + 1] / of[i] if of[i] else 0.5 * i, 0.9 * i)) for i in (1, 2, 3)]
+        total, freed = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            freed[g[:-1]] += cut[min(n, 3) - 1]
+        return lambda g, lower: (counts[g] - cut[min(counts[g], 3) - 1]) / total[g[:-1]] + freed[g[:-1]] / total[g[:-1]] * lower
+
+    p3, p2, mass = level(three), level(two), sum(one.values()) + 128
+    known = {g: math.log(p3(g, p2(g[1:], (one[g[2:]] + 1) / mass))) for g in three}
+    for t in texts:
+        own, words = grams(t.encode()), len(WORD.findall(t))
+        yield sum(known[g] for g in own) / words if own and words else None
+
+
+def test_kept_against_plain_python(spark, docs):
+    rng = np.random.default_rng(11)
+    vocabulary = {"ru": ["слово", "мир", "дом", "вода", "небо", "город", "река", "поле"], "zh": ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 12))) for _ in range(400)], None: ["alpha", "beta", "gamma", "delta", "omega"]}
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").orderBy("doc_id").limit(80).collect()]
+    for lang, words in vocabulary.items():
+        for i in range(8 if lang == "zh" else 25):
+            # no 5-word window twice: a number that only this place has among every four words
+            text = [f"{i * 40 + j}" if j % 4 == 3 else words[rng.integers(len(words))] for j in range(36)]
+            rows.append((10_000 + len(rows), " ".join(text), lang))
+        rows.append((20_000 + len(rows), " ".join("".join(rng.choice(list("#%&$|@^~QXZ0123456789"), 40)) for _ in range(36)), lang))
+    stats = [_statistics(t) for _, t, _ in rows]
+    failed = [n < 10 or 100 * repeat > 20 * n for n, _, _, _, repeat in stats]
+    score = list(_kneser_ney([t or "" for _, t, _ in rows]))
+    rank = lambda x, p: sorted(x)[max(math.ceil(p * len(x)), 1) - 1]
+    close = set()
+
+    def verdicts(band):
+        for lang in {band(r[2]) for r in rows}:
+            mine = [i for i, r in enumerate(rows) if band(r[2]) == lang]
+            passed = [i for i in mine if not failed[i] and score[i] is not None]
+            low, middle, high = (rank([score[i] for i in passed], p) for p in (0.25, 0.5, 0.75))
+            noise = rank([abs(score[i] - middle) * math.sqrt(stats[i][0]) for i in passed], 0.5)
+            for i in mine:
+                room = rules.BAND * (high - low) + rules.ERRORS * noise / math.sqrt(max(stats[i][0], 1))
+                close.update([rows[i][0]] if score[i] is not None and abs(abs(score[i] - middle) - room) < 1e-3 else [])
+                yield rows[i][0], not failed[i] and (score[i] is None or abs(score[i] - middle) <= room)
+
+    want, pooled = dict(verdicts(lambda x: x)), dict(verdicts(lambda x: "*" if x in vocabulary else x))
+    got = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and len(close) < 5
+    assert {k: v for k, v in got.items() if k not in close} == {k: v for k, v in want.items() if k not in close}
+    # one band for all rarer languages rejects the smallest of them whole
+    zh = [k for k, _, lang in rows if lang == "zh" and k < 20_000]
+    assert not any(pooled[k] for k in zh) and all(got[k] for k in zh)
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------------------------
 
 
