@@ -1,6 +1,7 @@
 """Every catalogue query against its SQL in DuckDB on the smallest tables, and what SQL can't say against plain Python."""
 
 import heapq
+import inspect
 import json
 
 import duckdb
@@ -112,6 +113,10 @@ def test_graphs_hold_every_part(spark, tmp_path):
     assert max(best) >= 200
 
 
+def test_shortest_has_no_limit_of_rounds():
+    assert "rounds" not in inspect.signature(graph.shortest).parameters
+
+
 def test_proximity_batch_and_stream_agree(spark, tmp_path):
     fixes = bindings.fixes(spark, SF)
     want = {tuple(r) for r in proximity.batch(fixes, bindings.places()).collect()}

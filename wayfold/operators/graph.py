@@ -40,18 +40,19 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component")))
 
 
-def shortest(edges: DataFrame, source: int, cost: list[Column], *, rounds: int = 1000) -> DataFrame:
+def shortest(edges: DataFrame, source: int, cost: list[Column]) -> DataFrame:
     """(node, cost, hops, parent) of least paths from ``source`` over directed edges.
 
     ``cost`` lists non-negative edge costs, compared lexicographically and summed along the path; ties go to fewer hops, then to the
-    smaller parent. Each round relaxes the edges that leave nodes improved in the round before.
+    smaller parent. Each round relaxes the edges that leave nodes improved in the round before,
+    until a round improves none.
     """
     steps = cut(edges.select("src", "dst", F.struct(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cost))).alias("w")))
     spark = edges.sparkSession
     zero = F.struct(*(F.lit(0.0).alias(f"c{i}") for i in range(len(cost))))
     best = cut(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.struct(zero.alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent")).alias("at")))
     frontier = best
-    for _ in range(rounds):
+    while True:
         total = F.struct(*((F.col(f"at.cost.c{i}") + F.col(f"w.c{i}")).alias(f"c{i}") for i in range(len(cost))))
         reached = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min(F.struct(total.alias("cost"), (F.col("at.hops") + 1).alias("hops"), F.col("src").cast("long").alias("parent"))).alias("new"))
         joined = best.join(reached, F.col("node") == F.col("to"), "full")
@@ -59,8 +60,7 @@ def shortest(edges: DataFrame, source: int, cost: list[Column], *, rounds: int =
         merged = cut(joined.select(F.coalesce("node", "to").alias("node"), F.when(better, F.col("new")).otherwise(F.col("at")).alias("at"), F.coalesce(better, F.lit(False)).alias("improved")))
         best, frontier = merged.select("node", "at"), merged.filter("improved").select("node", "at")
         if frontier.limit(1).count() == 0:
-            break
-    return best.select("node", *(F.col(f"at.cost.c{i}").alias(f"cost_{i}") for i in range(len(cost))), F.col("at.hops").alias("hops"), F.col("at.parent").alias("parent"))
+            return best.select("node", *(F.col(f"at.cost.c{i}").alias(f"cost_{i}") for i in range(len(cost))), F.col("at.hops").alias("hops"), F.col("at.parent").alias("parent"))
 
 
 def route(tree: DataFrame, target: int) -> DataFrame:
