@@ -134,6 +134,41 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_windows(empty(df))).count() == 0
 
 
+def test_chat_windows_follow_the_sql_at_any_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, i * 100, ("user", "assistant")[i % 2], "w " * int(rng.integers(1, 9))) for i in range(70)]
+    rows += [(2, i, "system" if i == 0 else ("user", "assistant")[i % 2], "v " * int(rng.integers(1, 150))) for i in range(300)]
+    rows += [(3, i, "assistant", "u " * int(rng.integers(20, 400))) for i in range(63, 131)] + [(None, i, "user", "n " * 30) for i in range(200)]
+    rows += [(4, i, ("system", "user", "assistant")[min(i, 2)], "x " * n) for i, n in enumerate((3, 380, 50, 400, 60, 60, 300))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(w.conv_id, w.window): (w.n_turns, w.n_repeated, w.n_tokens) for w in chat.format_windows(df).collect()}
+    want = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2], len(r[3].split()) + 4) for r in rows if r[0] == conv]
+        system = turns[0][1] if turns[0][0] == "system" else 0
+        starts, used = [], 0
+        for i, (_, n) in enumerate(turns):
+            if i == 0 or used + n > max(384 - system, 1):
+                starts.append(i)
+                used = 0
+            used += n
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(turns)])):
+            history = []
+            for i in range(a - 1, max(a - 3, -1 if not system else 0), -1):
+                if sum(history) + turns[i][1] > 128:
+                    break
+                history.append(turns[i][1])
+            repeated = ([system] if system and k else []) + history
+            want[conv, k] = (len(repeated) + b - a, len(repeated), sum(repeated) + sum(n for _, n in turns[a:b]))
+    assert got == want
+    duckdb = pytest.importorskip("duckdb").connect()
+    conversations = df.filter("conv_id is not null").toPandas()
+    duckdb.register("conversations", conversations)
+    sql = {r[0]: r[1:] for r in duckdb.sql(f"select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from ({queries._OP2}) where conv_id > 0").fetchall()}
+    mine = chat.digests(chat.format_windows(df.filter("conv_id is not null"))).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in mine} == sql
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------------
 
 

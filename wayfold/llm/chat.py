@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Template tokens that a turn costs besides its words.
 TURN_COST = 4
-#: Turns are handled in blocks of so many turn numbers: what one row holds at a time.
+#: Token counts are gathered in blocks of so many turns.
 BLOCK = 64
 
 
@@ -40,17 +40,37 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + F.lit(TURN_COST)
 
 
-def _spans(turns: Column, fresh: Column) -> Column:
-    """Greedy turn-aligned spans from prefix sums: a span ends before the turn whose prefix sum would pass its budget."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("from"), F.lit(-1).alias("span"), F.array().cast("array<int>").alias("all"))
+def _spans(blocks: Column, fresh: Column) -> Column:
+    """The span of each turn, from blocks of token counts: a span ends before the turn that would pass its budget, wherever blocks end."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("span"), F.array().cast("array<array<int>>").alias("all"), none.alias("own"))
 
-    def step(acc, turn):
-        end = acc["sum"] + turn["tokens"]
-        opens = (acc["span"] < 0) | (end - acc["from"] > fresh)
+    def step(acc, tokens):
+        opens = (acc["span"] < 0) | (acc["used"] + tokens > fresh)
         span = F.when(opens, acc["span"] + 1).otherwise(acc["span"])
-        return F.struct(end.alias("sum"), F.when(opens, acc["sum"]).otherwise(acc["from"]).alias("from"), span.alias("span"), F.concat(acc["all"], F.array(span)).alias("all"))
+        used = F.when(opens, tokens.cast("long")).otherwise(acc["used"] + tokens)
+        return F.struct(used.alias("used"), span.alias("span"), acc["all"].alias("all"), F.concat(acc["own"], F.array(span)).alias("own"))
+
+    def close(acc):
+        return F.struct(acc["used"].alias("used"), acc["span"].alias("span"), F.concat(acc["all"], F.array(acc["own"])).alias("all"), none.alias("own"))
+
+    return F.flatten(F.aggregate(blocks, start, lambda acc, block: F.aggregate(block["tokens"], acc, step, close), lambda acc: acc["all"]))
+
+
+def _targets(spans: str, history_turns: int) -> Column:
+    """For each turn the windows it stands in, as (span, kind): kind 0 the system turn repeated, 1 history, 2 its own span."""
+    to = lambda span, kind: F.struct(span.cast("int").alias("span"), F.lit(kind).alias("kind"))
+
+    def of(span, i):
+        # a turn is history of each span that starts at most history_turns later
+        later = [F.when(F.get(spans, i + d) != F.get(spans, i + d - 1), to(F.get(spans, i + d), 1)) for d in range(1, history_turns + 1)]
+        own = F.array(to(span, 2))
+        history = F.filter(F.array(*later), lambda x: x.isNotNull()) if later else F.slice(own, 1, 0)
+        again = F.transform(F.sequence(F.lit(1), F.element_at(spans, -1)), lambda x: to(x, 0))
+        again = F.when(F.element_at(spans, -1) > 0, again).otherwise(F.slice(own, 1, 0))
+        return F.concat(own, F.when(F.col("has_system") & (i == 0), again).otherwise(history))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["all"])
+    return F.transform(spans, of)
 
 
 def _recent(turns: Column, most: int, budget: int) -> Column:
@@ -75,37 +95,30 @@ def format_windows(df: DataFrame, *, budget: int = 512, history_turns: int = 2,
     stays within ``budget`` tokens, unless the system turn and one turn alone are longer: a turn is never cut.
     The n_repeated leading turns (system and history) have been in an earlier window and bear no loss; loss_spans are
     (start, length) in code points of ``formatted`` and cover each assistant turn's text once over all windows.
-    Turns are gathered by blocks of turn numbers, never a whole conversation. Further columns are ignored; an empty
+    Texts are gathered by window, never a whole conversation; of that only token counts. Further columns are ignored; an empty
     table gives an empty one; repeated rows are turns of their own.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), token_count(text).alias("tokens"))
-    blocks = df.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
-    by = W.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
-    head = F.first(F.col("turns")[0]).over(by.rowsBetween(W.unboundedPreceding, 0))
-    tail = F.lag(F.slice(F.col("turns"), F.greatest(F.size("turns") - history_turns + 1, F.lit(1)), history_turns)).over(by)
-    blocks = blocks.select("*", F.row_number().over(by).alias("nth"), head.alias("head"), tail.alias("tail"))
-    system = F.when(F.col("head")["role"] == "system", F.col("head"))
-    blocks = blocks.withColumn("system", system)
-    fresh = F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system")["tokens"], F.lit(0)), F.lit(1))
-    blocks = blocks.withColumn("span_of", _spans(F.col("turns"), fresh))
-    blocks = blocks.withColumn("n_spans", F.array_max("span_of") + 1)
-    blocks = blocks.withColumn("first_window", F.coalesce(F.sum("n_spans").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-
-    spans = blocks.withColumn("span", F.explode(F.sequence(F.lit(0), F.col("n_spans") - 1)))
-    own = F.filter(F.col("turns"), lambda t, i: F.get("span_of", i) == F.col("span"))
-    earlier = F.filter(F.col("turns"), lambda t, i: F.get("span_of", i) < F.col("span"))
-    before = F.concat(F.coalesce(F.col("tail"), F.slice("turns", 1, 0)), earlier)
-    opening = (F.col("nth") == 1) & (F.col("span") == 0)
-    spans = spans.withColumn("own", own).withColumn("before", before)
-    # where what came before reaches back to the system turn, that isn't history too
-    one_block_back = (F.col("nth") == 2) & (F.col("tail")[0] == F.col("head"))
-    reaches = F.col("system").isNotNull() & (((F.col("nth") == 1) & (F.col("span") > 0)) | one_block_back)
-    spans = spans.withColumn("before", F.when(F.coalesce(reaches, F.lit(False)), F.slice("before", 2, F.greatest(F.size("before") - 1, F.lit(0)))).otherwise(F.col("before")))
+    by = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    turns = df.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("pos", F.row_number().over(by) - 1)
+    turns = turns.select("conv_id", "pos", "role", "text", token_count(F.col("text")).alias("tokens"))
+
+    first = F.max(F.when((F.col("pos") == 0) & (F.col("role") == "system"), F.col("tokens")))
+    counts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"])
+    blocks = turns.groupBy("conv_id", F.floor(F.col("pos") / BLOCK).alias("block")).agg(counts.alias("tokens"), first.alias("system"))
+    convs = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "tokens"))).alias("blocks"), F.max("system").alias("system"))
+    fresh = F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system"), F.lit(0)), F.lit(1))
+    convs = convs.select("conv_id", F.col("system").isNotNull().alias("has_system"), _spans(F.col("blocks"), fresh).alias("spans"))
+    placed = convs.select(F.col("conv_id").alias("_conv"), F.posexplode(_targets("spans", history_turns)).alias("_pos", "targets"))
+
+    turns = turns.join(placed, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("_pos")))
+    turns = turns.select("conv_id", "pos", "role", "text", "tokens", F.explode("targets").alias("to"))
+    turn = F.struct("pos", "role", "text", "tokens", F.col("to.kind").alias("kind"))
+    spans = turns.groupBy("conv_id", F.col("to.span").alias("window")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    of = lambda kind: F.filter("turns", lambda t: t["kind"] == kind)
+    spans = spans.select("conv_id", "window", of(0).alias("system"), of(1).alias("before"), of(2).alias("own"))
     history = _recent(F.col("before"), history_turns, history_tokens)
-    kept = F.when(~opening & F.col("system").isNotNull(), F.array("system")).otherwise(F.slice("turns", 1, 0))
-    spans = spans.withColumn("repeated", F.concat(kept, history))
+    spans = spans.withColumn("repeated", F.concat("system", history))
     spans = spans.withColumn("all", F.concat("repeated", "own")).withColumn("n_repeated", F.size("repeated"))
 
     pieces = F.transform("all", lambda t, i: F.struct(F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("lead"), escape(t["text"]).alias("body"), ((t["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("loss")))
@@ -118,7 +131,7 @@ def format_windows(df: DataFrame, *, budget: int = 512, history_turns: int = 2,
 
     return spans.select(
         "conv_id",
-        (F.col("first_window") + F.col("span")).alias("window"),
+        F.col("window").cast("long").alias("window"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.size("all").alias("n_turns"),
         "n_repeated",
