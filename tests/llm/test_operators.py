@@ -358,6 +358,25 @@ def test_mixing_follows_weights_and_seed(spark, odd):
     assert set(mixing.replicate(odd, "doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))) + 1, {"a": 0.5}).columns) >= set(odd.columns)
 
 
+def test_mixing_with_absent_and_scarce_sources(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "a").otherwise("other").alias("source"))
+    absent = mixing.replicate(df.filter("source = 'other'"), "doc_id", "source", F.lit(10), {"a": 0.3, "b": 0.2})
+    assert absent.count() == pytest.approx(19998, rel=0.03)
+    rates = {r.stratum: r.rate for r in mixing.source_rates(df, "source", F.lit(10), {"a": 0.3, "b": 0.2}).collect()}
+    assert rates == pytest.approx({"=a": 20000 * 0.375 / 2, "*": 20000 * 0.625 / 19998})
+    n = collections.Counter(r.source for r in mixing.replicate(df, "doc_id", "source", F.lit(10), {"a": 0.3, "b": 0.2}).select("source").collect())
+    assert n["a"] == pytest.approx(7500, abs=6 * math.sqrt(7500)) and n["other"] == pytest.approx(12500, rel=0.03)
+    for rate in (100.0, 600.0, 2500.0):
+        one = spark.createDataFrame([(rate,)], "rate double")
+        first, last = int(rate - 12 * math.ceil(math.sqrt(rate))), int(rate + 12 * math.ceil(math.sqrt(rate)))
+        got = one.select(mixing.large_poisson_cdf(F.col("rate"), F.lit(max(first, 0)), F.lit(last)).alias("c")).first().c
+        total, want = 0.0, []
+        for k in range(max(first, 0), last + 1):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            want.append(total)
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 # -- 9 --------------------------------------------------------------------------------------------------------------------------
 
 

@@ -25,13 +25,26 @@ def poisson_cdf(rate: Column, terms: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["all"])
 
 
-def source_rates(df: DataFrame, source: str, size: Column, weights: dict[str, float], scale: float = 1.0, most: float = 64.0) -> DataFrame:
+#: Up to this rate a distribution function starts at 0; above, where its terms are too small to tell from 0.
+DIRECT = 512.0
+#: So many standard deviations on both sides of a large rate hold all of its distribution that doubles can tell.
+SPAN = 12
+
+
+def large_poisson_cdf(rate: Column, first: Column, last: Column) -> Column:
+    """P(X <= first), ..., P(X <= last) of a Poisson distribution with a large mean, from the terms' ratios; their sum counts as 1."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("total"), F.array(F.lit(1.0)).alias("all"))
+    step = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), (acc["total"] + acc["p"] * rate / k).alias("total"), F.concat(acc["all"], F.array(acc["total"] + acc["p"] * rate / k)).alias("all"))
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda acc: F.transform(acc["all"], lambda x: x / acc["total"]))
+
+
+def source_rates(df: DataFrame, source: str, size: Column, weights: dict[str, float], scale: float = 1.0) -> DataFrame:
     """(stratum, rate): how often a document of each stratum should come on average; one row per named source and one for the rest.
 
     ``weights`` names sources and their shares of the output in units of ``size``; what is left of 1 goes to all
     other sources (null included) together, in their own proportions. The output is ``scale`` times the input's size.
-    Sizes are summed over all documents. A stratum without documents gets no row. A rate above ``most``
-    raises an error rather than being cut down.
+    Sizes are summed over all documents. A stratum without documents gets no row, and its share goes to the others
+    in proportion to theirs. Rates are as high as the shares ask.
     """
     rest = 1.0 - sum(weights.values())
     if min(weights.values(), default=0.0) < 0 or rest < 0:
@@ -40,10 +53,14 @@ def source_rates(df: DataFrame, source: str, size: Column, weights: dict[str, fl
     for name, weight in weights.items():
         share = F.when(F.col("stratum") == f"={name}", F.lit(float(weight))).otherwise(share)
     sums = df.groupBy(_stratum(source, weights).alias("stratum")).agg(F.sum(size).cast("double").alias("held"))
-    total = F.sum("held").over(W.partitionBy(F.lit(0)))  # over one row for each stratum
-    rate = F.when(F.col("held") > 0, F.col("total") * F.lit(scale) * share / F.col("held")).otherwise(F.lit(0.0))
-    checked = F.when(rate <= most, rate).otherwise(F.raise_error(F.lit(f"a source would repeat more than {most:g} times")).cast("double"))
-    return sums.withColumn("total", total).select("stratum", checked.alias("rate"))
+    whole = W.partitionBy(F.lit(0))  # over one row for each stratum
+    asked = sum(w > 0 for w in (*weights.values(), rest))
+    filled = (F.col("held") > 0) & (share > 0)
+    # with all strata there the shares stay as they are, to the last bit
+    there = F.when(F.count(F.when(filled, 1)).over(whole) == asked, F.lit(1.0)).otherwise(F.sum(F.when(filled, share)).over(whole))
+    sums = sums.withColumn("total", F.sum("held").over(whole)).withColumn("there", there)
+    rate = F.when(filled, F.col("total") * F.lit(scale) * (share / F.col("there")) / F.col("held")).otherwise(F.lit(0.0))
+    return sums.select("stratum", rate.alias("rate"))
 
 
 def _stratum(source: str, weights: dict[str, float]) -> Column:
@@ -63,7 +80,7 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
     rates = _rates(df.select(F.col(source), size.alias("_mix_size")), source, weights, scale)
     # one row per named source and one more
     rated = df.withColumn("_mix_stratum", _stratum(source, weights)).join(F.broadcast(rates), F.col("_mix_stratum") == F.col("_mix_of"), "left")
-    drawn = rated.withColumn("n_copies", poisson_inverse(unit_draw(F.col(key), seed), F.col("_mix_cdf"))).drop("_mix_stratum", "_mix_of", "_mix_cdf")
+    drawn = rated.withColumn("n_copies", F.col("_mix_first") + poisson_inverse(unit_draw(F.col(key), seed), F.col("_mix_cdf"))).drop("_mix_stratum", "_mix_of", "_mix_first", "_mix_cdf")
     copies = drawn.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     name = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/"), F.col("copy").cast("string"))
     copies = copies.withColumn("order_key", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
@@ -72,5 +89,11 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
 
 def _rates(sized: DataFrame, source: str, weights: dict, scale: float) -> DataFrame:
     rates = source_rates(sized, source, F.col("_mix_size"), weights, scale)
-    terms = F.ceil(F.col("rate") + 12 * F.sqrt(F.col("rate")) + 24).cast("int")
-    return rates.select(F.col("stratum").alias("_mix_of"), poisson_cdf(F.col("rate"), terms).alias("_mix_cdf"))
+    rate = F.col("rate")
+    terms = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    far = F.ceil(SPAN * F.sqrt(rate)).cast("int")
+    middle = F.floor(rate).cast("int")
+    large = rate > DIRECT
+    first = F.when(large, middle - far).otherwise(F.lit(0))
+    cdf = F.when(large, large_poisson_cdf(rate, middle - far, middle + far)).otherwise(poisson_cdf(rate, terms))
+    return rates.select(F.col("stratum").alias("_mix_of"), first.alias("_mix_first"), cdf.alias("_mix_cdf"))
