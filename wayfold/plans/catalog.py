@@ -392,7 +392,7 @@ _RULES = {
 
 @_query("with e as (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) k from events) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then event_id end) first_failure from e" for n, r in _RULES.items()))
 def provenance_report(spark, d):
-    """A row for each provenance rule: rows checked, rows that fail (unknown fails), and the first of them. One scan for all rules."""
+    """A row for each rule on events: rows checked, rows that fail (unknown fails), and the first of them. One scan for all rules."""
     events = table(spark, d, "events").withColumn("k", F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as int)"))
     failing = F.filter(F.array(*(F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(n)) for n, r in _RULES.items())), lambda x: x.isNotNull())
     names = spark.createDataFrame([(n,) for n in _RULES], "rule string")
@@ -477,7 +477,7 @@ def paged_result(spark, d):
  r(node, seen) as (select node, node from n union select r.node, b.dst from r join b on b.src = r.seen)
  select node, min(seen) component from r group by node""")
 def connected_components(spark, d):
-    """Each node's component, by its least node."""
+    """Each node's component, by its least node."""
     return graph.components(B.graph_nodes(spark, d), B.graph_edges(spark, d))
 
 
@@ -501,7 +501,7 @@ def shortest_paths(spark, d):
 
 @_query()
 def step_avoiding_routes(spark, d):
-    """Least paths by (distance on steps, distance), with hops and parent, over all parts."""
+    """One policy, no ascent, no typed failures: least paths by (distance on steps, distance), with hops and parent, over all parts."""
     edges = graph.mirrored(B.whole_graph(spark, d)[1])
     return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")])
 
@@ -518,7 +518,7 @@ def spanning_backbone(spark, d):
  r(node, seen) as (select node, node from g union select r.node, b.dst from r join b on b.src = r.seen), l as materialized (select node, min(seen) chain from r group by node)
  select coalesce(cast(a.chain as varchar), cast(z.chain as varchar), e.id) chain, count(*) n_edges, cast(sum(w) as bigint) w from e left join l a on a.node = e.src left join l z on z.node = e.dst group by 1""")
 def chain_compress(spark, d):
-    """Edges joined up through nodes that only pass a path on."""
+    """By degree alone: edges joined up through nodes that only pass a path on."""
     return graph.chains(B.graph_edges(spark, d))
 
 
@@ -567,7 +567,7 @@ _GRID_E, _GRID_N = "least(greatest((lng - 9.385) * 1600 - 0.5, 0), 63)", "least(
  z as (select id, fr, fc, (215 + (r * 37 + c * 53) % 347) z00, (215 + (r * 37 + least(c + 1, 63) * 53) % 347) z01, (215 + (least(r + 1, 63) * 37 + c * 53) % 347) z10, (215 + (least(r + 1, 63) * 37 + least(c + 1, 63) * 53) % 347) z11 from c)
  select id, round((z00 * (1 - fc) + z01 * fc) * (1 - fr) + (z10 * (1 - fc) + z11 * fc) * fr, 6) z from z""")
 def dem_sample(spark, d):
-    """Bilinear samples of an elevation grid: four equi-joined neighbours and a weighted sum."""
+    """Bilinear samples of an elevation grid: four equi-joined neighbours and a weighted sum."""
     grid = spark.range(64 * 64).selectExpr("id div 64 row", "id % 64 col").selectExpr("row", "col", "cast(215 + (row * 37 + col * 53) % 347 as double) z")
     at = B.customers(spark, d).selectExpr("id", f"cast({_GRID_E} as double) e", f"cast({_GRID_N} as double) n")
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
