@@ -1,18 +1,24 @@
-"""Graph operators on edge tables (src, dst, ...): frontiers and labels are DataFrames, each round is one join and one aggregate."""
+"""Graph operators on edge tables (src, dst, ...): states are DataFrames, a round is one join and one aggregate."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.sources.scratch import cut
 
+#: Rounds between two cuts of the lineage: each cut costs a write, each round more makes the plan longer.
+ROUNDS_PER_CUT = 3
+
 
 def mirrored(edges: DataFrame) -> DataFrame:
-    """Each edge in both directions; the reverse row swaps ascent and descent where they exist."""
+    """Each edge in both directions; the reverse row swaps ascent and descent and changes the sign of delta and grade, where they exist."""
     swap = {"src": "dst", "dst": "src"} | ({"ascent": "descent", "descent": "ascent"} if {"ascent", "descent"} <= set(edges.columns) else {})
-    return edges.unionByName(edges.select(*(F.col(swap.get(c, c)).alias(c) for c in edges.columns)))
+    turned = lambda c: -F.col(c) if c in ("delta", "grade") else F.col(swap.get(c, c))
+    return edges.unionByName(edges.select(*(turned(c).alias(c) for c in edges.columns)))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,43 +30,81 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = cut(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("near", "component")).alias("label"))
+        spread = labels.join(near, F.col("node") == F.col("src"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("label"))
         jump = spread.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = cut(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", F.least("label", F.coalesce("far", "label")).alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not changed:
+        new = cut(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", F.least("label", F.coalesce("far", "label")).alias("component"), F.col("component").alias("old")))
+        labels = new.select("node", "component")
+        if new.filter("component <> old").isEmpty():
             return labels
 
 
-def component_sizes(labels: DataFrame) -> DataFrame:
-    """(component, size, rank), largest first, ties by component."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    # ranks all components in one task: for graphs with a bounded number of components
-    return sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component")))
+def component_sizes(labels: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(component, component_id, size, n_edges): members of each component, the edges within it, and a name that its members decide.
+
+    The name digests the members' number, the least of them and the sum of their own digests, so no component's members are gathered.
+    """
+    digest = F.sum(F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 8), 16, 10).cast("long"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"), digest.alias("digest"))
+    name = F.concat(F.lit("pathcomponent-"), F.substring(F.sha1(F.concat_ws("/", "component", "size", "digest")), 1, 12))
+    sizes = sizes.select("component", name.alias("component_id"), "size")
+    if edges is None:
+        return sizes
+    inside = edges.join(labels, F.col("src") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    return sizes.join(inside, "component", "left").select("component", "component_id", "size", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def _to_fixpoint(state: DataFrame, keys: list[str], extend: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``state`` (keys, label) with the least labels that repeated extension reaches.
+
+    ``extend`` maps (keys, label) of rows changed in the round before to candidates of the same columns. Candidates and state
+    meet in one aggregate; where the least label is a candidate's, the row counts as changed. Ends when a round changes none.
+    """
+    now = cut(state.select(*keys, "label", F.lit(True).alias("changed")))
+    while True:
+        for _ in range(ROUNDS_PER_CUT):
+            candidates = extend(now.filter("changed").select(*keys, "label"))
+            both = now.select(*keys, F.struct("label", F.lit(0).alias("new")).alias("x")).unionByName(candidates.select(*keys, F.struct("label", F.lit(1).alias("new")).alias("x")))
+            now = both.groupBy(*keys).agg(F.min("x").alias("x")).select(*keys, "x.label", (F.col("x.new") == 1).alias("changed"))
+        now = cut(now)
+        if now.filter("changed").isEmpty():
+            return now.select(*keys, "label")
 
 
 def shortest(edges: DataFrame, source: int, cost: list[Column]) -> DataFrame:
     """(node, cost, hops, parent) of least paths from ``source`` over directed edges.
 
     ``cost`` lists non-negative edge costs, compared lexicographically and summed along the path; ties go to fewer hops, then to the
-    smaller parent. Each round relaxes the edges that leave nodes improved in the round before,
-    until a round improves none.
+    smaller parent. Each round relaxes the edges that leave nodes improved in the round before, until a round improves none.
     """
+    n = len(cost)
     steps = cut(edges.select("src", "dst", F.struct(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cost))).alias("w")))
-    spark = edges.sparkSession
-    zero = F.struct(*(F.lit(0.0).alias(f"c{i}") for i in range(len(cost))))
-    best = cut(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.struct(zero.alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent")).alias("at")))
-    frontier = best
-    while True:
-        total = F.struct(*((F.col(f"at.cost.c{i}") + F.col(f"w.c{i}")).alias(f"c{i}") for i in range(len(cost))))
-        reached = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min(F.struct(total.alias("cost"), (F.col("at.hops") + 1).alias("hops"), F.col("src").cast("long").alias("parent"))).alias("new"))
-        joined = best.join(reached, F.col("node") == F.col("to"), "full")
-        better = F.col("new").isNotNull() & (F.col("at").isNull() | (F.struct("new.cost", "new.hops") < F.struct("at.cost", "at.hops")) | ((F.col("new.cost") == F.col("at.cost")) & (F.col("new.hops") == F.col("at.hops")) & (F.col("new.parent") < F.col("at.parent"))))
-        merged = cut(joined.select(F.coalesce("node", "to").alias("node"), F.when(better, F.col("new")).otherwise(F.col("at")).alias("at"), F.coalesce(better, F.lit(False)).alias("improved")))
-        best, frontier = merged.select("node", "at"), merged.filter("improved").select("node", "at")
-        if frontier.limit(1).count() == 0:
-            return best.select("node", *(F.col(f"at.cost.c{i}").alias(f"cost_{i}") for i in range(len(cost))), F.col("at.hops").alias("hops"), F.col("at.parent").alias("parent"))
+    zero = F.struct(*(F.lit(0.0).alias(f"c{i}") for i in range(n)), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent"))
+    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), zero.alias("label"))
+
+    def extend(front: DataFrame) -> DataFrame:
+        label = F.struct(*((F.col(f"label.c{i}") + F.col(f"w.c{i}")).alias(f"c{i}") for i in range(n)), (F.col("label.hops") + 1).alias("hops"), F.col("src").cast("long").alias("parent"))
+        return front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").cast("long").alias("node"), label.alias("label"))
+
+    best = _to_fixpoint(start, ["node"], extend)
+    return best.select("node", *(F.col(f"label.c{i}").alias(f"cost_{i}") for i in range(n)), F.col("label.hops").alias("hops"), F.col("label.parent").alias("parent"))
+
+
+def least_routes(segments: DataFrame, origins: DataFrame, cost: list[Column]) -> DataFrame:
+    """(origin, node, cost, path): least routes from each of ``origins`` (origin) over directed segments (id, src, dst, ...).
+
+    cost is an array, compared element by element; ties go to the lexicographically smaller array of segment ids, path. Paths are carried
+    along, because the tie rule needs them: for networks whose routes have a bounded number of segments.
+    """
+    steps = cut(segments.select("id", "src", "dst", F.array(*(c.cast("double") for c in cost)).alias("w")))
+    none = F.array().cast("array<string>")
+    start = origins.select("origin", F.col("origin").alias("node"), F.struct(F.array(*[F.lit(0.0)] * len(cost)).alias("cost"), none.alias("path")).alias("label"))
+
+    def extend(front: DataFrame) -> DataFrame:
+        total = F.zip_with("label.cost", "w", lambda a, b: a + b)
+        label = F.struct(total.alias("cost"), F.concat("label.path", F.array("id")).alias("path"))
+        return front.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), label.alias("label"))
+
+    return _to_fixpoint(start, ["origin", "node"], extend).select("origin", "node", "label.cost", "label.path")
 
 
 def route(tree: DataFrame, target: int) -> DataFrame:
@@ -69,7 +113,7 @@ def route(tree: DataFrame, target: int) -> DataFrame:
     out = at.select("hops", "node")
     while True:
         at = cut(tree.join(at.select(F.col("parent").alias("want")), F.col("node") == F.col("want")).select("node", "parent", "hops"))
-        if at.limit(1).count() == 0:
+        if at.isEmpty():
             return out.withColumnRenamed("hops", "position")
         out = out.union(at.select("hops", "node"))
 
@@ -81,6 +125,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("junction", F.col("neighbours") >= 3)
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, outgoing, incoming): sorted lists of edge ids by end; a node with edges of one kind only has an empty list of the other."""
+    ends = edges.select(F.col("src").alias("node"), F.col("id").alias("out"), F.lit(None).cast("string").alias("in")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(None).cast("string").alias("out"), F.col("id").alias("in")))
+    return ends.groupBy("node").agg(F.array_sort(F.collect_list("out")).alias("outgoing"), F.array_sort(F.collect_list("in")).alias("incoming"))
+
+
 def first_by_pair(edges: DataFrame, order: str) -> DataFrame:
     """One edge for each unordered pair of ends: the first by ``order``."""
     by = W.partitionBy(F.least("src", "dst"), F.greatest("src", "dst")).orderBy(order)
@@ -90,25 +140,34 @@ def first_by_pair(edges: DataFrame, order: str) -> DataFrame:
 def minimum_spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (src, dst, w, id) of the least spanning forest, ties by id: every component takes its cheapest way out, until none is left."""
     labels = cut(nodes.select("node", F.col("node").alias("component")))
+    edges = cut(edges.select("src", "dst", "w", "id"))
     taken = None
     while True:
         placed = edges.join(labels.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b")
         ways = placed.select("src", "dst", "w", "id", "a").union(placed.select("src", "dst", "w", "id", F.col("b").alias("a")))
         chosen = cut(ways.groupBy("a").agg(F.min(F.struct("w", "id", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.w", "e.id").distinct())
-        if chosen.limit(1).count() == 0:
-            return taken if taken is not None else edges.select("src", "dst", "w", "id").limit(0)
+        if chosen.isEmpty():
+            return taken if taken is not None else edges.limit(0)
         taken = chosen if taken is None else cut(taken.union(chosen))
         labels = components(nodes, taken)
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """(chain, n_edges, w): edges (id, src, dst, w) joined up through nodes with exactly two neighbours.
+def nearest_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """Of unordered pairs (a, b, w) those that are among the ``k`` least of one of their ends, ties by pair."""
+    ends = pairs.select(F.col("a").alias("end"), "a", "b", "w").unionByName(pairs.select(F.col("b").alias("end"), "a", "b", "w"))
+    ranked = ends.withColumn("_n", F.row_number().over(W.partitionBy("end").orderBy("w", "a", "b"))).filter(F.col("_n") <= k)
+    return ranked.select("a", "b", "w").distinct()
+
+
+def chains(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(chain, n_edges, w): edges (id, src, dst, w) joined up through nodes with exactly two neighbours that aren't in ``keep`` (node).
 
     Such nodes only pass a path on. A chain is named by its least inner node; an edge between two other nodes is a chain by its id.
     One edge is taken for each unordered pair; loops are left out.
     """
     single = cut(first_by_pair(edges.filter("src <> dst"), "id"))
-    inner = cut(degrees(single).filter("neighbours = 2").select("node"))
+    inner = degrees(single).filter("neighbours = 2").select("node")
+    inner = cut(inner if keep is None else inner.join(keep.select("node"), "node", "left_anti"))
     inside = single.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
     labels = components(inner, inside)
     at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_chain"))

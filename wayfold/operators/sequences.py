@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo
+from wayfold.functions import geo, normalize
+from wayfold.sources.scratch import cut
 
 
 def _along(line: str = "line"):
@@ -64,7 +65,7 @@ def keep_every(vertices: DataFrame, metres: float) -> DataFrame:
 
 
 def resample(vertices: DataFrame, spacing: float) -> DataFrame:
-    """Equally spaced points along each line: (line, k, at_m, lat, lng), about ``spacing`` apart, ends included.
+    """Equally spaced points along each line: (line, k, at_m, lat, lng, gap_m), about ``spacing`` apart, ends included.
 
     A line of length L gives max(1, ceil(L / spacing)) intervals; a target between two vertices is interpolated. Lines with
     one vertex are left out.
@@ -82,7 +83,29 @@ def resample(vertices: DataFrame, spacing: float) -> DataFrame:
     points = usable.withColumn("k", F.explode(F.sequence("_from", "_to"))).withColumn("at_m", F.least(F.col("k") * F.col("gap"), F.col("length")))
     share = F.least(F.lit(1.0), (F.col("at_m") - F.col("along_m")) / (F.col("to_m") - F.col("along_m")))
     mixed = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * share, 8)
-    return points.select("line", "k", F.round("at_m", 3).alias("at_m"), mixed("lat", "lat2").alias("lat"), mixed("lng", "lng2").alias("lng"))
+    return points.select("line", "k", F.round("at_m", 3).alias("at_m"), mixed("lat", "lat2").alias("lat"), mixed("lng", "lng2").alias("lng"), F.col("gap").alias("gap_m"))
+
+
+def profile_summary(samples: DataFrame) -> DataFrame:
+    """(line, samples, start_m, end_m, low_m, high_m, ascent_m, descent_m, max_grade, min_grade) of elevations (line, k, z, gap_m) in order of k.
+
+    Grades are in percent over one gap, 0 for a line with one sample.
+    """
+    delta = F.col("z") - F.lag("z").over(W.partitionBy("line").orderBy("k"))
+    at = samples.withColumn("_d", delta)
+    total = lambda x: F.round(F.coalesce(F.sum(x), F.lit(0.0)), 2)
+    grade = F.col("_d") / F.col("gap_m") * 100
+    return at.groupBy("line").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.round(F.min_by("z", "k"), 2).alias("start_m"),
+        F.round(F.max_by("z", "k"), 2).alias("end_m"),
+        F.round(F.min("z"), 2).alias("low_m"),
+        F.round(F.max("z"), 2).alias("high_m"),
+        total(F.greatest("_d", F.lit(0.0))).alias("ascent_m"),
+        total(F.greatest(-F.col("_d"), F.lit(0.0))).alias("descent_m"),
+        F.round(F.coalesce(F.max(grade), F.lit(0.0)), 2).alias("max_grade"),
+        F.round(F.coalesce(F.min(grade), F.lit(0.0)), 2).alias("min_grade"),
+    )
 
 
 def project(vertices: DataFrame, lat: float, lng: float) -> DataFrame:
@@ -102,3 +125,78 @@ def project(vertices: DataFrame, lat: float, lng: float) -> DataFrame:
     off = F.round(F.sqrt(F.pow(F.col("_x") + F.col("_t") * F.col("_dx"), 2) + F.pow(F.col("_y") + F.col("_t") * F.col("_dy"), 2)), 3)
     best = spans.groupBy("line").agg(F.min(F.struct(off.alias("off_m"), "pos", F.round(F.col("_walked") + F.col("_len") * F.col("_t"), 3).alias("along_m"))).alias("best"))
     return best.select("line", "best.pos", "best.off_m", "best.along_m")
+
+
+def surface_summary(segments: DataFrame) -> DataFrame:
+    """(line, primary_surface, total_m, mix, access) of segments (line, pos, surface, steps, d, wheelchair, smoothness, sac).
+
+    The main surface is the longest known one, the first seen on a tie, and unknown only if nothing else is there. mix lists all with their
+    metres, by name; access is the accessibility ladder.
+    """
+    known = F.col("surface") != "unknown"
+    parts = segments.groupBy("line", "surface").agg(F.sum("d").alias("m"), F.min("pos").alias("first"))
+    main = F.coalesce(F.max_by(F.when(known, F.col("surface")), F.when(known, F.struct("m", -F.col("first")))), F.lit("unknown"))
+    mix = F.array_sort(F.collect_list(F.concat_ws(" ", "surface", F.round("m", 1).cast("string"))))
+    sums = parts.groupBy("line").agg(main.alias("primary_surface"), F.round(F.sum("m"), 3).alias("total_m"), F.array_join(mix, ", ").alias("mix"))
+    access = segments.groupBy("line").agg(normalize.route_access(*(F.col(c) for c in ("steps", "wheelchair", "surface", "smoothness", "sac"))).alias("access"))
+    return sums.join(access, "line")
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, quantiles: dict[str, float], *, bins: int = 4096) -> DataFrame:
+    """(by, n, low, high, mean, <names>): nearest-rank quantiles, the value at rank ceil(q n), exact for groups of any size.
+
+    A group's values fall into bins between its ends, whose counts are summed before the shuffle; only bins that hold a wanted rank are
+    then ranked one by one. Nulls don't count.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    ends = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"))
+    place = F.when(F.col("high") > F.col("low"), F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * bins)).otherwise(0).cast("int")
+    binned = rows.join(ends.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).select("_by", "_v", "n", place.alias("bin"))
+    counts = binned.groupBy("_by", "bin", "n").agg(F.count(F.lit(1)).alias("held"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("held").over(W.partitionBy("_by").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)).alias("rank")) for k, q in quantiles.items())))
+    hit = counts.withColumn("w", wanted).filter((F.col("w.rank") > F.col("before")) & (F.col("w.rank") <= F.col("before") + F.col("held")))
+    hit = hit.select(F.col("_by").alias("_of"), F.col("bin").alias("_bin"), "w.name", (F.col("w.rank") - F.col("before")).alias("rank"))
+    inside = binned.join(hit, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("bin") == F.col("_bin"))).select("_by", "name", "rank", "_v")
+    ranked = inside.withColumn("at", F.row_number().over(W.partitionBy("_by", "name").orderBy("_v"))).filter("at = rank")
+    found = ranked.groupBy(F.col("_by").alias("_of")).agg(*(F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in quantiles))
+    return ends.join(found, F.col("_by").eqNullSafe(F.col("_of"))).select(F.col("_by").alias(by), "n", "low", "high", "mean", *quantiles)
+
+
+def without_repeats(vertices: DataFrame, value: str) -> DataFrame:
+    """(line, <value>s): each line's values in order, equal ones in a row once."""
+    before = F.lag(value).over(_along())
+    kept = vertices.withColumn("_keep", ~F.col(value).eqNullSafe(before) | F.lag("pos").over(_along()).isNull()).filter("_keep")
+    return kept.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias(f"{value}s"))
+
+
+def sampled_climbs(vertices: DataFrame, metres: float) -> DataFrame:
+    """(line, n_samples, ascent_m, descent_m) over the vertices that keep_every() keeps."""
+    kept = vertices.select("line", F.col("pos").cast("bigint").alias("pos"), "z").join(keep_every(vertices, metres), ["line", "pos"])
+    delta = F.coalesce(F.col("z") - F.lag("z").over(_along()), F.lit(0.0))
+    at = kept.withColumn("_d", delta).groupBy("line")
+    return at.agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum(F.greatest("_d", F.lit(0.0))), 1).alias("ascent_m"), F.round(F.sum(F.greatest(-F.col("_d"), F.lit(0.0))), 1).alias("descent_m"))
+
+
+def numbered(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``rows`` with ``out``: 0, 1, 2, ... in a global order, without one task for all of them.
+
+    Rows are range-partitioned and sorted; each partition's count gives the next one its first number.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # the position within a partition stands in the low 33 bits, the partition in the bits above
+    parts = cut(parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row for each partition
+    return parts.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def facet_filter(rows: DataFrame, describing: Sequence[str], text: str, facets: dict[str, str]) -> DataFrame:
+    """Rows with the wanted value of every facet ('all' leaves one open) that hold a text anywhere in what describes them; no text, no condition."""
+    needle = text.strip().lower()
+    out = rows.filter(F.contains(F.lower(F.concat_ws(" ", *(F.nullif(F.col(c).cast("string"), F.lit("")) for c in describing))), F.lit(needle))) if needle else rows
+    for name, wanted in facets.items():
+        if wanted != "all":
+            out = out.filter(F.col(name) == wanted)
+    return out

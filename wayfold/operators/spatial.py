@@ -9,43 +9,78 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.sources.scratch import cut
 
+#: Half of the earth's circumference: no two points are farther apart.
+HALF_TURN_M = math.pi * geo.EARTH_RADIUS_M
 
-def within_radius(left: DataFrame, right: DataFrame, metres: float, *, north: float = 60.0) -> DataFrame:
+
+def _columns_of(band: Column, metres: float, height: float) -> Column:
+    """Into how many cells a band of latitude is cut: as many as leave each at least as wide as ``metres`` reach from or to this band."""
+    reach = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * height + height, F.lit(90.0))
+    share = F.lit(math.sin(min(metres / (2 * geo.EARTH_RADIUS_M), math.pi / 2))) / F.greatest(F.cos(F.radians(reach)), F.lit(1e-12))
+    width = F.degrees(2 * F.asin(F.least(share, F.lit(1.0))))
+    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
+
+
+def within_radius(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs of (id, lat, lng) points at most ``metres`` apart: (id, other, distance_m), distance rounded to millimetres.
 
-    An equi-join on grid cells as wide as the radius: the right side is copied into the nine cells around it, then the exact
-    distance decides. Only points of neighbouring cells meet. ``north`` is the highest latitude for which cells are wide enough.
+    An equi-join on grid cells: bands of latitude as high as the radius, each cut into cells as wide as the radius is at the
+    band's latitude, around the whole earth. The right side is copied into the nine cells around it (fewer near the poles),
+    then the exact distance decides. Only points of neighbouring cells meet; points without coordinates meet none.
     """
-    lat_cell = metres / geo.LOCAL_LAT_M
-    lng_cell = metres / (geo.LOCAL_LNG_M * math.cos(math.radians(north)))
-    cell = lambda df: df.withColumn("_y", F.floor(F.col("lat") / lat_cell)).withColumn("_x", F.floor(F.col("lng") / lng_cell))
-    around = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    near = cell(right).select(F.col("id").alias("other"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), "_y", "_x", around.alias("_d"))
-    near = near.select("other", "o_lat", "o_lng", (F.col("_y") + F.col("_d.y")).alias("_y"), (F.col("_x") + F.col("_d.x")).alias("_x"))
-    pairs = cell(left).join(near, ["_y", "_x"])
-    distance = F.round(geo.haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")), 3)
-    return pairs.select("id", "other", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
+    height = math.degrees(metres / geo.EARTH_RADIUS_M) * (1 + 1e-9)
+    band = F.floor(F.col("lat") / height)
+    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, metres, height))
 
+    def around(step: int) -> Column:
+        n = _columns_of(band + step, metres, height)
+        return F.array_distinct(F.array(*(F.struct((band + step).alias("y"), F.pmod(cell(band + step) + i, n).alias("x")) for i in (-1, 0, 1))))
 
-def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int) -> DataFrame:
-    """Each left point's ``k`` nearest right points within ``metres``, ties by id: (id, other, distance_m, rank)."""
-    by = W.partitionBy("id").orderBy("distance_m", "other")
-    ranked = within_radius(left, right, metres).withColumn("rank", F.row_number().over(by))
-    return ranked.filter(F.col("rank") <= k)
+    near = right.select(F.col("id").alias("other"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("_c"))
+    pairs = left.withColumn("_y", band).withColumn("_x", cell(band)).join(near.select("other", "o_lat", "o_lng", F.col("_c.y").alias("_y"), F.col("_c.x").alias("_x")), ["_y", "_x"])
+    distance = F.round(geo.haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")), 3)
+    return pairs.select("id", "other", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
 
 
-def nearest_of(points: DataFrame, places: list[tuple[int, float, float]], within: float | None = None) -> DataFrame:
-    """Adds place and distance_m of the nearest of a fixed list of places (lower id on a tie); null beyond ``within``.
+def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *, rings: int = 2) -> DataFrame:
+    """Each left point's ``k`` nearest right points within ``metres``, ties by id: (id, other, distance_m, rank). Left ids are unique.
 
-    The list is part of the plan, so there is no join: for places of unbounded number use proximity_topk().
+    Small circles first: a point that has ``k`` within a quarter of the radius needs no wider search, as whatever lies beyond is farther.
+    So where right points are dense, far fewer pairs are made than the whole radius holds. ``rings`` is how often the radius is quartered.
+    """
+    found = None
+    for i in range(rings, -1, -1):
+        reach = metres / 4**i
+        ranked = within_radius(left, right, reach)
+        by = W.partitionBy("id").orderBy("distance_m", "other")
+        ranked = ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        if i:
+            full = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).filter(F.col("_n") == k).drop("_n")
+            full = cut(full)
+            left = left.join(full.select("id").distinct(), "id", "left_anti")
+            ranked = full
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
+
+
+def nearest(points: DataFrame, places: DataFrame, within: float | None = None, *, start: float = 250.0) -> DataFrame:
+    """``points`` (id, ...) with place and distance_m of the nearest of ``places`` (id, lat, lng), lower id on a tie; null beyond ``within``.
+
+    Circles grow fourfold from ``start`` metres until every point has found a place, or reach ``within``. Ids are unique. Without places, or
+    without coordinates, both are null.
     """
-    if len(places) > 1000:
-        raise ValueError("too many places for a literal list")
-    options = [F.struct(F.round(geo.haversine(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng)), 3).alias("d"), F.lit(i).cast("long").alias("id")) for i, lat, lng in places]
-    out = points.withColumn("_near", F.array_min(F.array(*options)))
-    keep = F.lit(True) if within is None else F.col("_near.d") <= within
-    return out.withColumn("place", F.when(keep, F.col("_near.id"))).withColumn("distance_m", F.when(keep, F.col("_near.d"))).drop("_near")
+    most, reach = min(within if within is not None else HALF_TURN_M, HALF_TURN_M), start
+    left, found = points.select("id", "lat", "lng").filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()), None
+    while True:
+        near = within_radius(left, places, min(reach, most)).groupBy("id").agg(F.min(F.struct("distance_m", "other")).alias("near"))
+        near = cut(near.select("id", F.col("near.other").alias("place"), F.col("near.distance_m").alias("distance_m")))
+        found = near if found is None else found.unionByName(near)
+        left = left.join(near.select("id"), "id", "left_anti")
+        if reach >= most or left.isEmpty() or places.isEmpty():
+            return points.join(found, "id", "left")
+        reach *= 4
 
 
 def contained(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
@@ -54,12 +89,65 @@ def contained(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     return points.withColumn("inside", geo.in_ring(lat, lng, ring)).withColumn("boundary_m", F.round(geo.ring_distance(lat, lng, ring), 3))
 
 
-def grid_clusters(points: DataFrame, cell: float) -> DataFrame:
+def boundary_scope(a: tuple, b: tuple, ring: list[tuple[float, float]]) -> Column:
+    """How the segment a-b of (lat, lng) columns lies to a closed ring: inside, crossing, or null."""
+    a_in, b_in = geo.in_ring(*a, ring), geo.in_ring(*b, ring)
+    return F.when(a_in & b_in, "inside").when(a_in | b_in | geo.crosses_ring(a, b, ring), "crossing")
+
+
+def grid_clusters(points: DataFrame, cell: float, *, least: int = 22, most: int = 36) -> DataFrame:
     """Points by grid cell: (cell_y, cell_x, n, lat, lng, icon) with the members' mean place."""
     y, x = (F.floor(F.col(c) / F.lit(cell)).cast("long") for c in ("lat", "lng"))
     grouped = points.groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng"))
-    return grouped.withColumn("icon", F.least(F.lit(36), (22 + F.round(F.log2(F.col("n") + 1) * 2)).cast("int")))
+    return grouped.withColumn("icon", F.least(F.lit(most), (least + F.round(F.log2(F.col("n") + 1) * 2)).cast("int")))
 
 
-def midpoint(low: Column, high: Column) -> Column:
-    return (low + high) / 2
+def bounds(points: DataFrame, *by: str, pad: float = 0.0) -> DataFrame:
+    """(by, south, west, north, east): the box around points of each group, wider by a share ``pad`` of its sides; null coordinates don't count."""
+    box = points.groupBy(*by).agg(F.min("lat").alias("south"), F.min("lng").alias("west"), F.max("lat").alias("north"), F.max("lng").alias("east"))
+    dy, dx = (F.col("north") - F.col("south")) * pad, (F.col("east") - F.col("west")) * pad
+    return box.select(*by, (F.col("south") - dy).alias("south"), (F.col("west") - dx).alias("west"), (F.col("north") + dy).alias("north"), (F.col("east") + dx).alias("east"))
+
+
+def with_near(points: DataFrame, places: DataFrame, metres: float, *, out: str = "near") -> DataFrame:
+    """Adds ``out``: the places (id, lat, lng) within ``metres`` as a sorted array of (distance_m, place), empty where none is.
+
+    Places are gathered by grid cell, each in the nine cells that it can be near to, and points look their own cell up: one left join,
+    which streams can do too. For places of bounded density; points of any number, with any columns and repeated ids.
+    """
+    height = math.degrees(metres / geo.EARTH_RADIUS_M) * (1 + 1e-9)
+    band = F.floor(F.col("lat") / height)
+    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, metres, height))
+
+    def around(step: int) -> Column:
+        n = _columns_of(band + step, metres, height)
+        return F.array_distinct(F.array(*(F.struct((band + step).alias("y"), F.pmod(cell(band + step) + i, n).alias("x")) for i in (-1, 0, 1))))
+
+    dealt = places.select("id", "lat", "lng", F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("_c"))
+    held = dealt.groupBy(F.col("_c.y").alias("_near_y"), F.col("_c.x").alias("_near_x")).agg(F.collect_list(F.struct("id", "lat", "lng")).alias("_held"))
+    at = points.withColumn("_y", band).withColumn("_x", cell(band)).join(held, (F.col("_y") == F.col("_near_y")) & (F.col("_x") == F.col("_near_x")), "left")
+    measured = F.transform(F.coalesce("_held", F.array()), lambda p: F.struct(F.round(geo.haversine(F.col("lat"), F.col("lng"), p["lat"], p["lng"]), 3).alias("distance_m"), p["id"].alias("place")))
+    return at.withColumn(out, F.array_sort(F.filter(measured, lambda p: p["distance_m"] <= metres))).drop("_y", "_x", "_near_y", "_near_x", "_held")
+
+
+def along_line(lat: Column, lng: Column, line: list[tuple[float, float]]) -> Column:
+    """Where a fixed line of (lat, lng) passes a point nearest, on a local plane around the point: (off_m, index, along_m, length_m).
+
+    index is the segment's, the first of equally near ones; segments of no length are left out. Null for a line without any other.
+    """
+    east = F.cos(F.radians(lat)) * geo.LOCAL_LNG_M
+    xy = [((F.lit(b) - lng) * east, (F.lit(a) - lat) * geo.LOCAL_LNG_M) for a, b in line]
+    walked, spots = F.lit(0.0), []
+    for i, ((ax, ay), (bx, by)) in enumerate(zip(xy, xy[1:])):
+        if line[i] == line[i + 1]:
+            continue
+        dx, dy = bx - ax, by - ay
+        length = F.sqrt(dx * dx + dy * dy)
+        t = geo.clamp(-(ax * dx + ay * dy) / (length * length), 0.0, 1.0)
+        off = F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
+        spots.append(F.struct(off.alias("off_m"), F.lit(i).alias("index"), (walked + length * t).alias("along_m")))
+        walked = walked + length
+    if not spots:
+        return F.lit(None).cast("struct<off_m:double,index:int,along_m:double,length_m:double>")
+    best = F.array_min(F.array(*spots))
+    return F.struct(best["off_m"].alias("off_m"), best["index"].alias("index"), best["along_m"].alias("along_m"), walked.alias("length_m"))

@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, normalize
-from wayfold.operators import graph, search, sequences, spatial
+from wayfold.operators import contracts, graph, search, sequences, spatial
 from wayfold.plans import bindings as B
+from wayfold.plans import sqltext as Q
+from wayfold.plans.registry import oracle_sql, queries  # noqa: F401
+from wayfold.plans.registry import query as _query
 from wayfold.sources.layers import content_hash, table
 from wayfold.streaming import proximity
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-# -- SQL fragments ----------------------------------------------------------------------------------------------------------------
-
-_CUSTOMERS = "select c_custkey id, (51307000 + (c_custkey * 7919) % 16000) / 1e6 lat, (9385000 + (c_custkey * 10007) % 40000) / 1e6 lng from customer"
-_SUPPLIERS = "select s_suppkey id, (51307000 + (s_suppkey * 6007) % 16000) / 1e6 lat, (9385000 + (s_suppkey * 9973) % 40000) / 1e6 lng from supplier"
-_PLACES = "select cast(range as bigint) id, (51307000 + (range * 6007) % 16000) / 1e6 lat, (9385000 + (range * 9973) % 40000) / 1e6 lng from range(25)"
-_LINES = """select l_orderkey line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) pos,
- (51307000 + (l_partkey * 7919) % 16000) / 1e6 lat, (9385000 + (l_partkey * 10007) % 40000) / 1e6 lng, 200 + l_quantity * 5 z,
- case l_returnflag when 'A' then 'paved' when 'N' then 'gravel' when 'R' then 'dirt' end surface, l_linestatus = 'F' steps, l_quantity * 2 d from lineitem"""
-_EDGES = """select concat(fam, '-', src, '-', dst) id, src, dst, cast(p_size * 10 + src % 7 as bigint) w, p_size % 4 = 0 steps from (
- select p_partkey src, (p_partkey * 7 + 3) % 200 dst, 'a' fam, p_size from part where p_partkey < 200 and p_size % 5 <> 0
- union all select p_partkey, (p_partkey + 1) % 200, 'b', p_size from part where p_partkey < 200 and p_size % 3 = 0)"""
+_dist = Q.distance
+_CUSTOMERS, _SUPPLIERS, _PLACES = B.sql("customers")[1:-1], B.sql("suppliers")[1:-1], B.sql("places")[1:-1]
+_LINES, _EDGES = B.sql("polylines")[1:-1], B.EDGES[1:-1]
 _BOTH = f"select id, src, dst, w, steps from ({_EDGES}) union all select id, dst, src, w, steps from ({_EDGES})"
 
 
-def _dist(a: str, b: str) -> str:
-    return f"2 * 6371008.8 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)))"
-
-
 # -- joins and geometry --------------------------------------------------------------------------------------------------------------
 
 
@@ -69,7 +36,7 @@ def proximity_topk(spark, d):
  select id, arg_min(place, (distance_m, place)) place, min(distance_m) distance_m from p group by id""")
 def nearest_place(spark, d):
     """Each customer's nearest place."""
-    return spatial.nearest_of(B.customers(spark, d), B.places()).select("id", "place", "distance_m")
+    return spatial.nearest(B.customers(spark, d), B.places(spark, d)).select("id", "place", "distance_m")
 
 
 @_query(f"""with p as (select c.id, s.id place, round({_dist('c', 's')}, 3) distance_m from ({_CUSTOMERS}) c, ({_PLACES}) s),
@@ -77,22 +44,10 @@ def nearest_place(spark, d):
  select id, case when distance_m <= 150 then place end place, case when distance_m <= 150 then distance_m end distance_m from n""")
 def nearest_within_radius(spark, d):
     """The nearest place, if it is within 150 m."""
-    return spatial.nearest_of(B.customers(spark, d), B.places(), 150.0).select("id", "place", "distance_m")
-
-
-def _ring_sql() -> str:
-    cross, near = [], []
-    for (ay, ax), (by, bx) in zip(B.RING, B.RING[1:]):
-        cross.append(f"case when (({ay}e0 > lat) <> ({by}e0 > lat)) and lng < ({bx - ax!r}::double) * (lat - {ay}e0) / ({by - ay!r}::double) + {ax}e0 then 1 else 0 end")
-        e = "cos(radians(lat)) * 111320.0::double"
-        x1, y1, x2, y2 = f"(({ax}e0 - lng) * {e})", f"(({ay}e0 - lat) * 110540.0::double)", f"(({bx}e0 - lng) * {e})", f"(({by}e0 - lat) * 110540.0::double)"
-        dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"
-        t = f"least(greatest(-({x1} * {dx} + {y1} * {dy}) / ({dx} * {dx} + {dy} * {dy}), 0e0), 1e0)"
-        near.append(f"sqrt(pow({x1} + {t} * {dx}, 2) + pow({y1} + {t} * {dy}, 2))")
-    return f"select id, ({' + '.join(cross)}) % 2 = 1 inside, round(least({', '.join(near)}), 3) boundary_m from ({_CUSTOMERS})"
+    return spatial.nearest(B.customers(spark, d), B.places(spark, d), 150.0).select("id", "place", "distance_m")
 
 
-@_query(_ring_sql())
+@_query(f"select id, {Q.in_ring('lat', 'lng')} inside, round({Q.ring_distance('lat', 'lng')}, 3) boundary_m from ({_CUSTOMERS})")
 def containment_join(spark, d):
     """Which customers lie in a polygon, and how far its boundary is."""
     return spatial.contained(B.customers(spark, d), B.RING).select("id", "inside", "boundary_m")
@@ -123,14 +78,7 @@ def terrarium_roundtrip(spark, d):
     return rgb.withColumn("z", geo.from_terrarium(F.col("r"), F.col("g"), F.col("b")))
 
 
-_UTM = """with p as (select id, radians(lat) f, radians(lng - 9e0) l, 6378137e0 a, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) e2 from (%s)),
- q as (select *, e2 / (1 - e2) ep from p), r as (select *, a / sqrt(1 - e2 * pow(sin(f), 2)) n, pow(tan(f), 2) t, ep * pow(cos(f), 2) c, cos(f) * l w,
- a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * f - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * f) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * f) - (35 * pow(e2, 3) / 3072) * sin(6 * f)) m from q)
- select id, round(500000 + 0.9996e0 * n * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(w, 5) / 120), 3) east,
- round(0.9996e0 * (m + n * tan(f) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(w, 6) / 720)), 3) north from r""" % _CUSTOMERS
-
-
-@_query(_UTM)
+@_query(f"select id, round({Q.krueger('lat', 'lng')[0]}, 3) east, round({Q.krueger('lat', 'lng')[1]}, 3) north from ({_CUSTOMERS})")
 def utm_forward(spark, d):
     """Easting and northing of customers in zone 32."""
     east, north = geo.utm32(F.col("lat"), F.col("lng"))
@@ -193,20 +141,20 @@ def resample_by_distance(spark, d):
  round(lng + (lng2 - lng) * least(1e0, (least(k * gap, length) - along) / (to_m - along)), 8) lng from e""")
 def equal_spacing_resample(spark, d):
     """Points about every 500 m along each polyline, interpolated."""
-    return sequences.resample(B.polylines(spark, d), 500.0)
+    return sequences.resample(B.polylines(spark, d), 500.0).drop("gap_m")
 
 
-@_query(f"""with v as ({_LINES}), g as (select line, surface, sum(d) m, min(pos) first from v group by all),
- p as (select line, arg_max(surface, (m, -first)) primary_surface, round(sum(m), 3) total_m, round(max(m) / sum(m), 6) share from g group by line),
- a as (select line, case when bool_or(steps) then 'not_step_free' when bool_or(surface in ('dirt', 'grass')) then 'limited' when bool_and(surface in ('paved', 'gravel')) then 'potentially_step_free_mapped_path' else 'unknown' end access from v group by line)
- select line, primary_surface, total_m, share, access from p join a using (line)""")
+@_query(f"""with v as (select line, pos, coalesce(surface, 'unknown') surface, steps, d, case node % 45 when 0 then 'no' end wheelchair, case node % 50 when 0 then 'bad' when 1 then 'good' end smoothness, case node % 60 when 0 then 'hiking' when 1 then '' end sac from ({_LINES})),
+ g as (select line, surface, sum(d) m, min(pos) first from v group by all),
+ p as (select line, coalesce(arg_max(surface, (m, -first)) filter (surface <> 'unknown'), 'unknown') primary_surface, round(sum(m), 3) total_m, string_agg(concat(surface, ' ', cast(round(m, 1) as varchar)), ', ' order by surface) mix from g group by line),
+ a as (select line, case when bool_or(steps) then 'not_step_free' when bool_or(wheelchair = 'no') then 'not_wheelchair_accessible' when bool_or(surface in ('dirt', 'grass')) or bool_or(smoothness in ('bad', 'very_bad', 'horrible', 'very_horrible', 'impassable')) or bool_or(sac <> '') then 'limited'
+  when bool_and(surface in ('paved', 'gravel')) then 'potentially_step_free_mapped_path' else 'unknown' end access from v group by line)
+ select line, primary_surface, total_m, mix, access from p join a using (line)""")
 def surface_mix(spark, d):
-    """Each line's main surface (the first seen on a tie) and the accessibility ladder."""
-    v = B.polylines(spark, d)
-    sums = v.groupBy("line", "surface").agg(F.sum("d").alias("m"), F.min("pos").alias("first"), F.bool_or("steps").alias("steps"))
-    rough, firm = F.col("surface").isin("dirt", "grass"), F.col("surface").isin("paved", "gravel")
-    ladder = F.when(F.bool_or("steps"), "not_step_free").when(F.bool_or(rough), "limited").when(F.bool_and(firm), "potentially_step_free_mapped_path").otherwise("unknown")
-    return sums.groupBy("line").agg(F.max_by("surface", F.struct("m", -F.col("first"))).alias("primary_surface"), F.round(F.sum("m"), 3).alias("total_m"), F.round(F.max("m") / F.sum("m"), 6).alias("share"), ladder.alias("access"))
+    """Each line's surfaces, the main one (known before unknown, the first seen on a tie), and the accessibility ladder."""
+    evidence = ("case node % 45 when 0 then 'no' end wheelchair", "case node % 50 when 0 then 'bad' when 1 then 'good' end smoothness", "case node % 60 when 0 then 'hiking' when 1 then '' end sac")
+    v = B.polylines(spark, d).selectExpr("line", "pos", "coalesce(surface, 'unknown') surface", "steps", "d", *evidence)
+    return sequences.surface_summary(v)
 
 
 @_query(f"""with v as (select line, pos, (lng - 9.405e0) * 111320e0 * cos(radians(51.315e0)) x, (lat - 51.315e0) * 111320e0 y from ({_LINES})),
@@ -223,12 +171,12 @@ def best_projection(spark, d):
 # -- aggregations ------------------------------------------------------------------------------------------------------------------------
 
 
-@_query("""select o_custkey id, case when count(distinct o_orderstatus) > 1 then 'mixed' else min(o_orderstatus) end status, count_if(o_orderstatus = 'F') finished,
- string_agg(distinct o_orderpriority, ',' order by o_orderpriority) priorities from orders group by o_custkey""")
+@_query("""select o_custkey id, case when count(distinct nullif(s, '')) > 1 then 'mixed' else min(nullif(s, '')) end status, count_if(s = 'F') finished, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) priorities
+ from (select o_custkey, o_orderpriority, case when o_orderkey % 3 = 0 then '' else o_orderstatus end s from orders) group by o_custkey""")
 def single_or_mixed(spark, d):
     """One value or 'mixed', conditional counts, sorted distinct lists."""
-    one = F.when(F.count_distinct("o_orderstatus") > 1, "mixed").otherwise(F.min("o_orderstatus"))
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(one.alias("status"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.concat_ws(",", F.array_sort(F.collect_set("o_orderpriority"))).alias("priorities"))
+    orders = table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")))
+    return orders.groupBy(F.col("o_custkey").alias("id")).agg(normalize.one_or_mixed(F.col("s")).alias("status"), F.count_if(F.col("s") == "F").alias("finished"), F.concat_ws(",", F.array_sort(F.collect_set("o_orderpriority"))).alias("priorities"))
 
 
 @_query("select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
@@ -250,8 +198,7 @@ def family_counts(spark, d):
  select o_orderpriority, max(case when i = cast(ceil(0.5 * n) as bigint) then v end) p50, max(case when i = cast(ceil(0.95 * n) as bigint) then v end) p95, max(v) largest, min(v) least from r group by 1""")
 def nearest_rank_percentile(spark, d):
     """Nearest-rank percentiles, not interpolated: the value at rank ceil(q n)."""
-    exact = lambda q: F.expr(f"percentile_disc({q}) within group (order by o_totalprice)")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(exact(0.5).alias("p50"), exact(0.95).alias("p95"), F.max("o_totalprice").alias("largest"), F.min("o_totalprice").alias("least"))
+    return sequences.nearest_ranks(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", {"p50": 0.5, "p95": 0.95}).select("o_orderpriority", "p50", "p95", F.col("high").alias("largest"), F.col("low").alias("least"))
 
 
 @_query(f"with e as ({_EDGES}), x as (select src node, dst other from e union all select dst, src from e) select node, count(*) degree, count(distinct other) neighbours, count(distinct other) >= 3 junction from x group by node")
@@ -262,27 +209,11 @@ def junctions(spark, d):
 
 # -- filters and projections -------------------------------------------------------------------------------------------------------------
 
-_TAGS = """select p_partkey id, case p_size % 6 when 0 then 'footway' when 1 then 'path' when 2 then 'steps' when 3 then 'motorway' when 4 then 'track' end highway,
- case p_partkey % 5 when 0 then 'yes' when 1 then 'no' when 2 then 'designated' end foot, case p_partkey % 3 when 0 then 'private' when 1 then 'no' end access,
- case p_partkey % 7 when 0 then 'asphalt' when 1 then 'gravel' when 2 then 'mud' when 3 then 'grass' when 4 then 'sett' when 5 then 'marble' end surface,
- case p_partkey % 9 when 0 then 'up' when 1 then 'down' when 2 then '12%' when 3 then '-7%' when 4 then 'steep' end incline,
- case p_partkey % 4 when 0 then 'forward' when 1 then 'reverse' when 2 then 'both' end direction, case p_partkey % 8 when 0 then 'stile' when 1 then 'gate' end barrier,
- case when p_partkey % 11 = 0 then concat(' ', p_size, ',5 ') when p_partkey % 11 = 1 then 'n/a' else cast(p_retailprice as varchar) end width from part"""
+_TAGS = B.sql("tags")[1:-1]
 
 
 def _tags(spark, d) -> DataFrame:
-    e = lambda x: f"cast({x} as string)"
-    return table(spark, d, "part").selectExpr(
-        "p_partkey id",
-        "case p_size % 6 when 0 then 'footway' when 1 then 'path' when 2 then 'steps' when 3 then 'motorway' when 4 then 'track' end highway",
-        "case p_partkey % 5 when 0 then 'yes' when 1 then 'no' when 2 then 'designated' end foot",
-        "case p_partkey % 3 when 0 then 'private' when 1 then 'no' end access",
-        "case p_partkey % 7 when 0 then 'asphalt' when 1 then 'gravel' when 2 then 'mud' when 3 then 'grass' when 4 then 'sett' when 5 then 'marble' end surface",
-        "case p_partkey % 9 when 0 then 'up' when 1 then 'down' when 2 then '12%' when 3 then '-7%' when 4 then 'steep' end incline",
-        "case p_partkey % 4 when 0 then 'forward' when 1 then 'reverse' when 2 then 'both' end direction",
-        "case p_partkey % 8 when 0 then 'stile' when 1 then 'gate' end barrier",
-        f"case when p_partkey % 11 = 0 then concat(' ', p_size, ',5 ') when p_partkey % 11 = 1 then 'n/a' else {e('p_retailprice')} end width",
-    )
+    return B.shape(spark, d, "tags")
 
 
 @_query(f"""select id, case when highway is null or highway not in ('footway','path','steps','pedestrian','track','service','living_street','residential','unclassified','tertiary') then 'not_walkable'
@@ -292,14 +223,17 @@ def walkable_filter(spark, d):
     return _tags(spark, d).select("id", normalize.pedestrian_policy(F.col("highway"), F.col("foot"), F.col("access")).alias("reason"))
 
 
-@_query(f"""select id, case when highway = 'steps' then 'stone_steps' when surface in ('asphalt','sett') then 'paved' when surface = 'gravel' then 'gravel' when surface = 'mud' then 'dirt' when surface = 'grass' then 'grass' else 'unknown' end surface,
- case when id % 10 = 0 then 'unknown_unmapped_connector' when highway = 'steps' then 'known_steps' when foot = 'no' then 'known_wheelchair_no' when barrier = 'stile' then 'known_barrier_mobility_constraint' else 'unknown_not_field_verified' end access,
- case when direction = 'forward' then incline when direction = 'reverse' then case when incline = 'up' then 'down' when incline = 'down' then 'up' when incline = '12%' then '-12%' when incline = '-7%' then '7%' else incline end end incline,
- try_cast(replace(trim(width), ',', '.') as double) width from ({_TAGS})""")
+@_query(f"""with t as (select *, trim(regexp_replace(incline, '%$', '')) n from ({_TAGS}))
+ select id, case when highway = 'steps' then 'stone_steps' when surface in ('asphalt','sett') then 'paved' when surface = 'gravel' then 'gravel' when surface = 'mud' then 'dirt' when surface = 'grass' then 'grass' else 'unknown' end surface,
+ case when id % 10 = 0 then 'unknown_unmapped_connector' when highway = 'steps' then 'known_steps' when wheelchair = 'no' then 'known_wheelchair_no' when barrier in ('stile', 'turnstile') then 'known_barrier_mobility_constraint' else 'unknown_not_field_verified' end access,
+ case when coalesce(incline, '') = '' then null when direction = 'forward' then incline when direction = 'reverse' then
+  case when lower(incline) = 'up' then 'down' when lower(incline) = 'down' then 'up' when try_cast(n as double) is not null then concat(printf('%g', -try_cast(n as double)), case when right(incline, 1) = '%' then '%' else '' end) end end incline,
+ try_cast(replace(trim(width), ',', '.') as double) width from t""")
 def normalized_tags(spark, d):
-    """Surfaces, accessibility ladder, route-relative inclines, permissive numbers."""
+    """Surfaces, accessibility ladder with barriers along the segment, route-relative inclines in short numbers, permissive numbers."""
     c = F.col
-    return _tags(spark, d).select("id", normalize.surface_bucket(c("surface"), c("highway")).alias("surface"), normalize.segment_access(c("id") % 10 == 0, c("highway") == "steps", c("foot"), c("barrier")).alias("access"), normalize.reverse_incline(c("incline"), c("direction")).alias("incline"), normalize.number_or_null(c("width")).alias("width"))
+    barriers = F.array_compact(F.array(F.when(c("id") % 2 == 0, "gate"), c("barrier")))
+    return _tags(spark, d).select("id", normalize.surface_bucket(c("surface"), c("highway")).alias("surface"), normalize.segment_access(c("id") % 10 == 0, c("highway") == "steps", c("wheelchair"), barriers).alias("access"), normalize.reverse_incline(c("incline"), c("direction")).alias("incline"), normalize.number_or_null(c("width")).alias("width"))
 
 
 @_query("""select p_partkey id, case when regexp_matches(p_name, '^red') then 'reds' when regexp_matches(p_name, 'ring$') then 'rings' when regexp_matches(p_name, 'o') then 'round' else 'other' end sector from part""")
@@ -362,7 +296,7 @@ def set_audit(spark, d):
  select 'discount_in_range', count_if(not coalesce(l_discount between 0 and 0.1, false)) = 0, count_if(not coalesce(l_discount between 0 and 0.1, false)) from lineitem union all
  select 'customers_have_nation', count(*) = 0, count(*) from customer where c_nationkey not in (select n_nationkey from nation)""")
 def constraint_report(spark, d):
-    """A row for each check, with whether it passes and how many rows fail."""
+    """A row for each check of the order tables, with whether it passes and how many rows fail."""
     orders, items, customers = (table(spark, d, t) for t in ("orders", "lineitem", "customer"))
 
     def check(name, failing):
@@ -391,26 +325,29 @@ _RULES = {
 
 
 @_query("with e as (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) k from events) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then event_id end) first_failure from e" for n, r in _RULES.items()))
-def provenance_report(spark, d):
+def rule_report(spark, d):
     """A row for each rule on events: rows checked, rows that fail (unknown fails), and the first of them. One scan for all rules."""
     events = table(spark, d, "events").withColumn("k", F.expr("cast(regexp_extract(props, '([0-9]+)', 1) as int)"))
-    failing = F.filter(F.array(*(F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(n)) for n, r in _RULES.items())), lambda x: x.isNotNull())
-    names = spark.createDataFrame([(n,) for n in _RULES], "rule string")
-    found = events.select("event_id", F.explode(failing).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("failures"), F.min("event_id").alias("first_failure"))
-    checked = events.agg(F.count(F.lit(1)).alias("checked")).withColumn("_one", F.lit(1))
-    # the number of rows is one row, the rules are a fixed list
-    out = names.join(found, "rule", "left").withColumn("_one", F.lit(1)).join(F.broadcast(checked), "_one")
-    return out.select("rule", "checked", F.coalesce("failures", F.lit(0)).alias("failures"), "first_failure")
+    return contracts.report(events, {n: F.expr(r) for n, r in _RULES.items()}, "event_id")
+
+
+def _hash_sql(layer: str, columns: list[str]) -> str:
+    text = " || ".join(f"coalesce(concat(length(cast({c} as varchar)), ':', cast({c} as varchar)), '-')" for c in sorted(columns))
+    sums = ", ".join(f"coalesce(cast(sum(('0x' || substr(h, {a}, 8))::bigint) as varchar), '0')" for a in (1, 9, 17, 25))
+    return f"select '{layer}' layer, count(*) n_rows, sha256(concat_ws('-', count(*), {sums})) content_hash from (select sha256({text}) h from {layer})"
 
 
-_HASH = "concat(coalesce(cast(sum(('0x' || substr(h, 1, 8))::bigint) as varchar), '0'), '-', coalesce(cast(sum(('0x' || substr(h, 9, 8))::bigint) as varchar), '0'))"
+_HASHED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]}
 
 
-@_query(f"""select 'nation' layer, count(*) n_rows, {_HASH} content_hash from (select md5(concat_ws('|', n_name, n_nationkey, n_regionkey)) h from nation) union all
- select 'region', count(*), {_HASH} from (select md5(concat_ws('|', r_name, r_regionkey)) h from region)""")
+@_query(" union all ".join(_hash_sql(t, c) for t, c in _HASHED.items()))
 def layer_hash(spark, d):
-    """Content hashes of layers, whatever the order of rows and files."""
-    return content_hash(table(spark, d, "nation"), "nation").union(content_hash(table(spark, d, "region"), "region"))
+    """Content hashes of all layers' rows, whatever the order of rows and files."""
+    out = None
+    for name, columns in _HASHED.items():
+        one = content_hash(table(spark, d, name).select(*columns), name)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # -- ranking and search ------------------------------------------------------------------------------------------------------------------
@@ -473,16 +410,28 @@ def paged_result(spark, d):
 # -- graphs ------------------------------------------------------------------------------------------------------------------------------
 
 
-@_query(f"""with recursive b as materialized ({_BOTH}), n as (select p_partkey node from part where p_partkey < 200),
- r(node, seen) as (select node, node from n union select r.node, b.dst from r join b on b.src = r.seen)
- select node, min(seen) component from r group by node""")
+@_query(f"""with recursive b as materialized ({_BOTH}),
+ r(node, component) using key (node) as (select p_partkey, p_partkey from part union select b.dst, min(r.component) from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where r.component < k.component group by b.dst)
+ select node, component from r""")
 def connected_components(spark, d):
     """Each node's component, by its least node."""
     return graph.components(B.graph_nodes(spark, d), B.graph_edges(spark, d))
 
 
-@_query(f"""with recursive b as materialized ({_BOTH}), r(node, hops) as (select cast(0 as bigint), 0 union select b.dst, r.hops + 1 from r join b on b.src = r.node where r.hops < 60)
- select node, cast(min(hops) as int) hops from r group by node""")
+@_query(f"""with recursive b as materialized ({_BOTH}),
+ r(node, component) using key (node) as (select p_partkey, p_partkey from part union select b.dst, min(r.component) from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where r.component < k.component group by b.dst),
+ s as (select component, count(*) size, sum(('0x' || substr(md5(cast(node as varchar)), 1, 8))::bigint) digest from r group by 1),
+ e as (select r.component, count(*) n from ({_EDGES}) e join r on r.node = e.src group by 1)
+ select s.component, concat('pathcomponent-', substr(sha1(concat_ws('/', s.component, size, digest)), 1, 12)) component_id, size, coalesce(n, 0) n_edges from s left join e using (component) order by size desc, s.component""")
+def component_report(spark, d):
+    """Components with a name that their members decide, sizes and edges, largest first."""
+    nodes, edges = B.graph_nodes(spark, d), B.graph_edges(spark, d)
+    return graph.component_sizes(graph.components(nodes, edges), edges).orderBy(F.desc("size"), "component")
+
+
+@_query(f"""with recursive b as materialized ({_BOTH}),
+ r(node, hops) using key (node) as (select cast(0 as bigint), 0 union select b.dst, min(r.hops + 1) from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where k.hops is null or r.hops + 1 < k.hops group by b.dst)
+ select node, hops from r""")
 def reachability(spark, d):
     """Hops from node 0."""
     edges = graph.mirrored(B.graph_edges(spark, d))
@@ -499,17 +448,20 @@ def shortest_paths(spark, d):
     return graph.shortest(edges, 0, [F.col("w")]).select("node", F.col("cost_0").alias("cost"))
 
 
-@_query()
+@_query(f"""with recursive b as materialized (select src, dst, min({{'s': case when steps then w else 0 end::double, 'w': w::double}}) c from ({_BOTH}) group by 1, 2),
+ r(node, cost) using key (node) as (select cast(0 as bigint), {{'s': 0e0, 'w': 0e0}} union
+  select b.dst, min({{'s': r.cost.s + b.c.s, 'w': r.cost.w + b.c.w}}) from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where k.cost is null or {{'s': r.cost.s + b.c.s, 'w': r.cost.w + b.c.w}} < k.cost group by b.dst)
+ select node, cost.s cost_0, cost.w cost_1 from r""")
 def step_avoiding_routes(spark, d):
-    """One policy, no ascent, no typed failures: least paths by (distance on steps, distance), with hops and parent, over all parts."""
-    edges = graph.mirrored(B.whole_graph(spark, d)[1])
-    return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")])
+    """Least paths by (distance on steps, distance) over all parts; test_graphs follows the parents back."""
+    edges = graph.mirrored(B.graph_edges(spark, d))
+    return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")]).select("node", "cost_0", "cost_1")
 
 
 @_query()
 def spanning_backbone(spark, d):
     """The least spanning forest, over all parts."""
-    return graph.minimum_spanning_forest(*B.whole_graph(spark, d))
+    return graph.minimum_spanning_forest(B.graph_nodes(spark, d), B.graph_edges(spark, d))
 
 
 @_query(f"""with recursive e as materialized (select id, src, dst, w from (select *, row_number() over (partition by least(src, dst), greatest(src, dst) order by id) n from ({_EDGES}) where src <> dst) where n = 1),
@@ -528,13 +480,51 @@ def unordered_pairs(spark, d):
     return graph.first_by_pair(B.graph_edges(spark, d), "id").select("id", "src", "dst", "w")
 
 
+@_query(f"""with e as ({_EDGES}), x as (select src node, id o, null i from e union all select dst, null, id from e)
+ select node, coalesce(string_agg(o, ' ' order by o), '') outgoing, coalesce(string_agg(i, ' ' order by i), '') incoming from x group by node""")
+def adjacency_lists(spark, d):
+    """Each node's edges by end, sorted."""
+    return graph.adjacency(B.graph_edges(spark, d)).select("node", F.concat_ws(" ", "outgoing").alias("outgoing"), F.concat_ws(" ", "incoming").alias("incoming"))
+
+
 # -- states and windows ------------------------------------------------------------------------------------------------------------------
 
 
-@_query()
+_FSM = f"""with recursive f as (select *, row_number() over (partition by user_id order by ts, event_id) pos from ({B.sql('fixes')[1:-1]})),
+ d as (select f.user_id, f.pos, p.id place, round({_dist('f', 'p')}, 3) d from f, ({_PLACES}) p),
+ c as (select user_id, pos, list(place) filter (d - accuracy <= 45) reach, min({{'d': d, 'p': place}}) near, any_value(event_id) event_id, any_value(accuracy) acc from d join f using (user_id, pos) group by all),
+ k as materialized (select user_id, pos, event_id, acc <= 50 ok, coalesce(reach, []) reach, case when near.d + acc <= 30 then near.p end entered from c),
+ r(user_id, pos, event_id, status, place, left_place) as (select user_id, 0::bigint, null::bigint, null::varchar, null::bigint, null::bigint from (select distinct user_id from f) union all
+  select k.user_id, k.pos, k.event_id, case when not ok then 'uncertain' when coalesce(list_contains(reach, r.place), false) then 'retained' when entered is not null then 'entered' else 'outside' end,
+   case when not ok or coalesce(list_contains(reach, r.place), false) then r.place else entered end, case when ok and not coalesce(list_contains(reach, r.place), false) then r.place end
+  from r join k on k.user_id = r.user_id and k.pos = r.pos + 1)"""
+
+
+@_query(_FSM + " select user_id, event_id, status, place, left_place from r where pos > 0")
 def proximity_events(spark, d):
-    """The proximity state machine over all fixes."""
-    return proximity.batch(B.fixes(spark, d), B.places())
+    """The proximity state machine over all fixes."""
+    return proximity.batch(B.fixes(spark, d), B.places(spark, d))
+
+
+@_query(_FSM + """, x as (select user_id, event_id, 'exit' event, left_place place, 0 seq from r where left_place is not null union all
+ select user_id, event_id, 'enter', place, case when left_place is not null then 1 else 0 end from r where status = 'entered') select user_id, event_id, seq, event, place from x""")
+def arrivals(spark, d):
+    """Exits and entries, the exit first."""
+    return proximity.arrivals(proximity.batch(B.fixes(spark, d), B.places(spark, d)))
+
+
+_SPOT, _LENGTH = Q.along_line("lat", "lng", B.RING)
+
+
+@_query(f"""with f as (select *, accuracy <= 50 ok, {_SPOT} s, {_LENGTH} len, {_dist('f', 'e')} away from ({B.sql('fixes')[1:-1]}) f, (select {B.RING[-1][0]}e0 lat, {B.RING[-1][1]}e0 lng) e),
+ g as (select *, ok and s.off + accuracy <= 30 i, ok and s.off - accuracy > 45 o from f),
+ h as (select *, coalesce(last_value(case when i then true when o then false end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), false) active from g)
+ select user_id, event_id, case when not ok then 'uncertain' when active then case when i then 'on-route' else 'retained' end when o then 'outside' else 'uncertain' end state,
+ round(last_value(case when ok and active then s.along end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 3) progress_m,
+ case when ok and active then round(greatest(len - s.along, 0e0), 3) end remaining_m, case when ok then round(s.off, 3) end off_m, case when ok and active then round(away, 3) end end_m from h""".replace("lat, lng) e)", "lat, lng) e)").replace("select *, accuracy <= 50 ok", "select f.*, accuracy <= 50 ok").replace("radians(lat)", "radians(f.lat)").replace("e0 - lat)", "e0 - f.lat)").replace("e0 - lng)", "e0 - f.lng)"))
+def route_progress(spark, d):
+    """Progress along a fixed route, by the same hysteresis as for places."""
+    return proximity.route_progress(B.fixes(spark, d), B.RING)
 
 
 @_query("with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) select user_id, event_id, cast(n as int) n from r where n <= 12")
@@ -557,21 +547,4 @@ def session_windows(spark, d):
     return proximity.sessions(table(spark, d, "events"), "30 minutes")
 
 
-# -- raster ------------------------------------------------------------------------------------------------------------------------------
-
-_GRID_E, _GRID_N = "least(greatest((lng - 9.385) * 1600 - 0.5, 0), 63)", "least(greatest((lat - 51.307) * 4000 - 0.5, 0), 63)"
-
-
-@_query(f"""with p as (select id, cast({_GRID_E} as double) e, cast({_GRID_N} as double) n from ({_CUSTOMERS})),
- c as (select *, cast(floor(n) as bigint) r, cast(floor(e) as bigint) c, n - floor(n) fr, e - floor(e) fc from p),
- z as (select id, fr, fc, (215 + (r * 37 + c * 53) % 347) z00, (215 + (r * 37 + least(c + 1, 63) * 53) % 347) z01, (215 + (least(r + 1, 63) * 37 + c * 53) % 347) z10, (215 + (least(r + 1, 63) * 37 + least(c + 1, 63) * 53) % 347) z11 from c)
- select id, round((z00 * (1 - fc) + z01 * fc) * (1 - fr) + (z10 * (1 - fc) + z11 * fc) * fr, 6) z from z""")
-def dem_sample(spark, d):
-    """Bilinear samples of an elevation grid: four equi-joined neighbours and a weighted sum."""
-    grid = spark.range(64 * 64).selectExpr("id div 64 row", "id % 64 col").selectExpr("row", "col", "cast(215 + (row * 37 + col * 53) % 347 as double) z")
-    at = B.customers(spark, d).selectExpr("id", f"cast({_GRID_E} as double) e", f"cast({_GRID_N} as double) n")
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    four = at.select("id", "e", "n", corner.alias("k"))
-    weight = lambda x, k: F.when(F.col(k) == 1, F.col(x) - F.floor(x)).otherwise(1 - F.col(x) + F.floor(x))
-    four = four.select("id", F.least(F.floor("n") + F.col("k.i"), F.lit(63)).alias("row"), F.least(F.floor("e") + F.col("k.j"), F.lit(63)).alias("col"), (weight("n", "k.i") * weight("e", "k.j")).alias("share"))
-    return four.join(grid, ["row", "col"]).groupBy("id").agg(F.round(F.sum(F.col("z") * F.col("share")), 6).alias("z"))
+from wayfold.plans import contract_queries, discovery_queries, network_queries, record_queries, terrain_queries  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,33 @@ def write_layers(layers: dict[str, DataFrame], folder: str) -> DataFrame:
 
 
 def content_hash(df: DataFrame, name: str) -> DataFrame:
-    """(layer, n_rows, content_hash): sums of the rows' digests, so the order and the files don't matter."""
-    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns))))
-    part = lambda a: F.sum(F.conv(F.substring(digest, a, 8), 16, 10).cast("long"))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *(F.coalesce(part(a), F.lit(0)).cast("string") for a in (1, 9))).alias("content_hash")).select(F.lit(name).alias("layer"), "n_rows", "content_hash")
+    """(layer, n_rows, content_hash): a SHA-256 over sums of the rows' own, so the order and the files don't matter.
+
+    A row's digest covers its values by column name, each with its length before it; null differs from every text.
+    """
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = F.sha2(F.concat(*(part(c) for c in sorted(df.columns))), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", a, 8), 16, 10).cast("long")), F.lit(0)).cast("string") for a in (1, 9, 17, 25)]
+    total = df.select(digest.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), *(x.alias(f"s{i}") for i, x in enumerate(sums)))
+    return total.select(F.lit(name).alias("layer"), "n_rows", F.sha2(F.concat_ws("-", F.col("n_rows").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("content_hash"))
+
+
+def publication(spark: SparkSession, folder: str, layers: dict[str, bool]) -> DataFrame:
+    """(layer, required, status, n_rows, columns) of a set of layers, which are required or not; a required layer that isn't there fails.
+
+    A layer that isn't there and needn't be is unavailable. Whether it is comes from Spark's own reader, so any store will do.
+    """
+    rows = None
+    for name, required in layers.items():
+        try:
+            df = table(spark, folder, name)
+        except AnalysisException:
+            if required:
+                raise
+            df = None
+        if df is None:
+            one = spark.createDataFrame([(name, required, "unavailable", None, None)], "layer string, required boolean, status string, n_rows long, columns string")
+        else:
+            one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("layer"), F.lit(required).alias("required"), F.lit("ready").alias("status"), "n_rows", F.lit(" ".join(df.columns)).alias("columns"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

@@ -1,70 +1,131 @@
-"""The proximity state machine with hysteresis, one transition for batch and stream."""
+"""The proximity state machine with hysteresis over position fixes, and windows over events.
+
+What a fix needs to know of the places, those within reach, is a column before any state comes in. The state itself is one place a user.
+In batch, a user's fixes are cut wherever a fix settles the state whatever it was before; only between such cuts is anything folded.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayfold.operators import spatial
+
 #: Metres to enter and to leave, and the largest usable accuracy.
 ENTER_M, EXIT_M, MAX_ACCURACY_M = 30.0, 45.0, 50.0
 SCHEMA = "user_id long, event_id long, status string, place long, left_place long"
 
 
-def _metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
-    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
-    return 2 * 6371008.8 * math.asin(math.sqrt(a))
+def exit_radius(enter_m: Column) -> Column:
+    """The distance at which a place of a given radius is left: 15 metres or half the radius beyond it, whichever is more."""
+    return F.greatest(enter_m + 15, enter_m * 1.5)
+
+
+def usable(accuracy: Column) -> Column:
+    """Whether a fix says where it was: an accuracy that is known, finite, not negative and not too large."""
+    return F.coalesce(~F.isnan(accuracy) & accuracy.between(0.0, MAX_ACCURACY_M), F.lit(False))
+
+
+def reachable(fixes: DataFrame, places: DataFrame) -> DataFrame:
+    """``fixes`` with usable, within (places that the fix can't rule out having stayed at) and entered (the nearest place, if the fix is certainly inside)."""
+    at = spatial.with_near(fixes, places, EXIT_M + MAX_ACCURACY_M, out="_near").withColumn("usable", usable(F.col("accuracy")))
+    within = F.transform(F.filter("_near", lambda p: p["distance_m"] - F.col("accuracy") <= EXIT_M), lambda p: p["place"])
+    first = F.get("_near", F.lit(0))
+    entered = F.when(first["distance_m"] + F.col("accuracy") <= ENTER_M, first["place"])
+    return at.withColumn("within", F.when(F.col("usable"), within)).withColumn("entered", F.when(F.col("usable"), entered)).drop("_near")
 
 
-def transition(active: int | None, lat: float, lng: float, accuracy: float | None, places: list[tuple[int, float, float]]) -> tuple[int | None, str, int | None]:
+def transition(active: int | None, is_usable: bool, within: list[int], entered: int | None) -> tuple[int | None, str, int | None]:
     """(active place, status, place left) after a fix.
 
     A fix without usable accuracy is uncertain and changes nothing. An active place is retained while the fix may be within EXIT_M of
     it; else it is left. Then the nearest place is entered if the fix is certainly within ENTER_M.
     """
-    if accuracy is None or not math.isfinite(accuracy) or accuracy < 0 or accuracy > MAX_ACCURACY_M:
+    if not is_usable:
         return active, "uncertain", None
-    away = {i: _metres(lat, lng, a, b) for i, a, b in places}
-    left = None
-    if active is not None:
-        if max(0.0, away[active] - accuracy) <= EXIT_M:
-            return active, "retained", None
-        left = active
-    near = min(away, key=lambda i: (away[i], i), default=None)
-    if near is not None and away[near] + accuracy <= ENTER_M:
-        return near, "entered", left
-    return None, "outside", left
+    if active is not None and active in within:
+        return active, "retained", None
+    return entered, "outside" if entered is None else "entered", active
 
 
-def _replay(fixes: pd.DataFrame, active: int | None, places) -> tuple[pd.DataFrame, int | None]:
-    rows = []
-    for f in fixes.sort_values(["ts", "event_id"]).itertuples():
-        active, status, left = transition(active, f.lat, f.lng, None if pd.isna(f.accuracy) else f.accuracy, places)
-        rows.append((f.user_id, f.event_id, status, active, left))
-    out = pd.DataFrame(rows, columns=["user_id", "event_id", "status", "place", "left_place"])
-    return out.astype({"place": "Int64", "left_place": "Int64"}), active
+def batch(fixes: DataFrame, places: DataFrame) -> DataFrame:
+    """Statuses of all fixes (user_id, event_id, ts, lat, lng, accuracy), each user's in order of time, ties by event_id.
 
+    A usable fix near no place, or certainly inside the only one that it may have stayed at, settles the state after it. So the fixes up to and with
+    such a one are folded together, beginning with what the settled fix before them left: an array of a stay's
+    uncertain fixes, never a user's history.
+    """
+    at = reachable(fixes, places)
+    single = (F.size("within") == 1) & F.col("entered").isNotNull()
+    at = at.select("user_id", "event_id", "ts", "usable", "within", "entered", (F.col("usable") & ((F.size("within") == 0) | single)).alias("settled"))
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    run = F.coalesce(F.sum(F.col("settled").cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.when(F.lag("settled").over(by), F.lag("entered").over(by))
+    at = at.withColumn("run", run).withColumn("before", before)
+    fix = F.struct("ts", "event_id", "usable", "within", "entered", "before")
+    runs = at.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
+    state = "struct<active:bigint,out:array<struct<event_id:bigint,status:string,place:bigint,left_place:bigint>>>"
+    start = F.struct(F.get("fixes", F.lit(0))["before"].alias("active"), F.array().alias("out")).cast(state)
+
+    def step(acc: Column, f: Column) -> Column:
+        active = acc["active"]
+        retained = F.coalesce(F.array_contains(f["within"], active), F.lit(False))
+        status = F.when(~f["usable"], "uncertain").when(retained, "retained").when(f["entered"].isNotNull(), "entered").otherwise("outside")
+        after = F.when(~f["usable"] | retained, active).otherwise(f["entered"])
+        left = F.when(f["usable"] & ~retained, active)
+        row = F.struct(f["event_id"].alias("event_id"), status.alias("status"), after.alias("place"), left.alias("left_place"))
+        return F.struct(after.alias("active"), F.concat(acc["out"], F.array(row)).alias("out")).cast(state)
+
+    return runs.select("user_id", F.explode(F.aggregate("fixes", start, step, lambda acc: acc["out"])).alias("x")).select("user_id", "x.*")
+
+
+def arrivals(statuses: DataFrame) -> DataFrame:
+    """(user_id, event_id, seq, event, place): what batch() or stream() rows announce; where a fix leaves one place and enters another, the exit comes first."""
+    left = F.when(F.col("left_place").isNotNull(), F.struct(F.lit("exit").alias("event"), F.col("left_place").alias("place")))
+    came = F.when(F.col("status") == "entered", F.struct(F.lit("enter").alias("event"), F.col("place").alias("place")))
+    return statuses.select("user_id", "event_id", F.posexplode(F.array_compact(F.array(left, came))).alias("seq", "x")).select("user_id", "event_id", "seq", "x.event", "x.place")
+
+
+def stream(fixes: DataFrame, places: DataFrame) -> DataFrame:
+    """batch() on a stream of fixes against a static table of places: a user's active place is the only state. Fixes of a micro-batch are taken in order of time."""
 
-def batch(fixes: DataFrame, places: list[tuple[int, float, float]]) -> DataFrame:
-    """Statuses of all fixes (user_id, event_id, ts, lat, lng, accuracy), each user's in order of time."""
-    return fixes.groupBy("user_id").applyInPandas(lambda part: _replay(part, None, places)[0], SCHEMA)
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        active, rows = state.get[0] if state.exists else None, []
+        for f in pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"]).itertuples():
+            within = [] if f.within is None else [int(x) for x in f.within]
+            active, status, left = transition(active, f.usable, within, None if pd.isna(f.entered) else int(f.entered))
+            rows.append((f.user_id, f.event_id, status, active, left))
+        state.update((active,))
+        out = pd.DataFrame(rows, columns=["user_id", "event_id", "status", "place", "left_place"])
+        yield out.astype({"place": "Int64", "left_place": "Int64"})
 
+    return reachable(fixes, places).groupBy("user_id").applyInPandasWithState(step, SCHEMA, "active long", "append", GroupStateTimeout.NoTimeout)
 
-def stream(fixes: DataFrame, places: list[tuple[int, float, float]]) -> DataFrame:
-    """The same on a stream: a user's active place is the only state. Fixes of a micro-batch are taken in order of time."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else None
-        whole = pd.concat(list(parts), ignore_index=True)
-        out, active = _replay(whole, active, places)
-        state.update((active,))
-        yield out
+def route_progress(fixes: DataFrame, line: list[tuple[float, float]]) -> DataFrame:
+    """(user_id, event_id, state, progress_m, remaining_m, off_m, end_m): how far each user has come along a fixed line of (lat, lng).
 
-    return fixes.groupBy("user_id").applyInPandasWithState(step, SCHEMA, "active long", "append", GroupStateTimeout.NoTimeout)
+    The same fixes and distances as for places. A fix certainly near the line puts a user on it, one certainly far from it off it; any other leaves
+    it at that, so the last fix that was certain says which it is: a window, no fold. On the line the state is on-route or retained, off
+    it outside or uncertain. An unusable fix is uncertain and changes nothing. progress_m is the last one reached.
+    """
+    lat, lng = F.col("lat"), F.col("lng")
+    at = fixes.withColumn("_ok", usable(F.col("accuracy")) & lat.isNotNull() & lng.isNotNull()).withColumn("_at", spatial.along_line(lat, lng, line))
+    at = at.withColumn("_in", F.col("_at.off_m") + F.col("accuracy") <= ENTER_M).withColumn("_out", F.col("_at.off_m") - F.col("accuracy") > EXIT_M)
+    by = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    known = F.when(F.col("_ok") & F.col("_in"), True).when(F.col("_ok") & F.col("_out"), False)
+    at = at.withColumn("_active", F.coalesce(F.last(known, ignorenulls=True).over(by), F.lit(False)))
+    moving = F.col("_ok") & F.col("_active")
+    progress = F.last(F.when(moving, F.col("_at.along_m")), ignorenulls=True).over(by)
+    state = F.when(~F.col("_ok"), "uncertain").when(F.col("_active"), F.when(F.col("_in"), "on-route").otherwise("retained")).otherwise(F.when(F.col("_out"), "outside").otherwise("uncertain"))
+    end = F.round(spatial.geo.haversine(lat, lng, F.lit(line[-1][0]), F.lit(line[-1][1])), 3)
+    remaining = F.round(F.greatest(F.col("_at.length_m") - F.col("_at.along_m"), F.lit(0.0)), 3)
+    return at.select("user_id", "event_id", state.alias("state"), F.round(progress, 3).alias("progress_m"), F.when(moving, remaining).alias("remaining_m"), F.when(F.col("_ok"), F.round("_at.off_m", 3)).alias("off_m"), F.when(moving, end).alias("end_m"))
 
 
 def tumbling(events: DataFrame, width: str, *, late: str | None = None) -> DataFrame:
