@@ -4,26 +4,55 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of tables to be removed, one list for each open temporary() block.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (local runs, tests) a folder of this machine, set once."""
+    """The cluster's ``spark.checkpoint.dir``; on a cluster it must be set, in local runs (tests) a folder of this machine is set once."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so a lost executor never recomputes what came before."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were materialized within, but for those to keep.
+
+    Only for tables that nothing lazy reads any more: what goes out of the block must itself have been written with ``keep``.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        paths = _open.pop()
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            folder = hadoop(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, so a lost executor never recomputes what came before.
+
+    Every task writes its own file, so tasks stay as small as the scan's splits or the shuffle's partitions make them. In a temporary() block
+    the table goes at the block's end; with ``keep`` it stays until the end of the block around that, if there is one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    # files by the cluster's cores or the shuffles' size, not by the input's splits: small tables don't become thousands of files
-    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    df.coalesce(files).write.option("compression", "zstd").parquet(path)
+    scopes = _open[:-1] if keep else _open
+    if scopes:
+        scopes[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
