@@ -72,7 +72,7 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
     """Each row of ``df`` as often as a Poisson variable with its source's rate says, in an order that forgets sources.
 
     Adds n_copies, copy (0 to n_copies - 1) and order_key (a hash of seed, key and copy, by which the output is
-    range-partitioned and sorted). Key and seed alone decide a row's draw, so a lost task is redone with the same
+    dealt to partitions and sorted within them). Key and seed alone decide a row's draw, so a lost task is redone with the same
     result; rows that share a key share a draw. A row whose draw is 0 doesn't appear. Columns of ``df`` with the
     three added names are replaced. An empty table gives an empty one.
     """
@@ -84,7 +84,7 @@ def replicate(df: DataFrame, key: str, source: str, size: Column, weights: dict[
     copies = drawn.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     name = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/"), F.col("copy").cast("string"))
     copies = copies.withColumn("order_key", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
-    return copies.repartitionByRange("order_key").sortWithinPartitions("order_key", key) if shuffle else copies
+    return copies.repartition("order_key").sortWithinPartitions("order_key", key) if shuffle else copies
 
 
 def _rates(sized: DataFrame, source: str, weights: dict, scale: float) -> DataFrame:
