@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
 from wayfold.llm.components import components
-from wayfold.llm.filters import bit_of, bitmap, holds
-from wayfold.llm.storage import materialize
+from wayfold.llm.filters import among
+from wayfold.llm.storage import materialize, temporary
 
 #: Buckets of the token frequency sketch: its size doesn't depend on the corpus.
 SKETCH_BITS = 18
-#: Bits of the filter that tells which texts' sets are needed again.
-NEEDED_BITS = 26
 #: Members whose token union is one column of the matrix.
 GROUP = 32
+#: Tokens in buckets of the sketch with more than so many times the mean count may stand in very many prefixes.
+FREQUENT = 64
 
 
 def shingle_sets(c: K.Chunk, k: int) -> Iterator[np.ndarray]:
@@ -75,52 +75,49 @@ def _ceil(n: Column | np.ndarray, num: int, den: int):
 
 
 def _signed(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc, n, sig_a, sig_b, prefix): set size, 128 bits of hash of the set, and its probing prefix, rarest tokens first."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, k))
+    """(doc, n, sig_a, sig_b, prefix, frequent): set size, 128 bits of hash of the set, its probing prefix, rarest tokens first, and where in it frequent tokens begin."""
+    counted = _sketch(docs, text, k)
+    often = FREQUENT * (int(counted.mean()) + 1)
+    sketch = docs.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 n, sig, prefixes = np.zeros(c.rows, np.int64), np.zeros((2, c.rows), np.uint64), []
+                frequent = np.zeros(c.rows, np.int32)
                 for i, s in enumerate(shingle_sets(c, k)):
                     n[i] = len(s)
                     if len(s):
                         sig[0, i], sig[1, i] = np.sum(K.mix(s + np.uint64(0x51ED2701))), np.sum(K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                         keep = len(s) - _ceil(len(s), num, den) + 1
-                        prefixes.append(s[np.argsort(counts[(s & low).astype(np.int64)], kind="stable")[:keep]])
+                        count = counts[(s & low).astype(np.int64)]
+                        order = np.argsort(count, kind="stable")[:keep]
+                        prefixes.append(s[order])
+                        frequent[i] = np.searchsorted(count[order], often, "right")
                 lengths = np.where(n > 0, n - _ceil(n, num, den) + 1, 0)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), K.list_array(flat.view(np.int64), K.starts(lengths), pa.int64())], ["doc", "n", "sig_a", "sig_b", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), K.list_array(flat.view(np.int64), K.starts(lengths), pa.int64()), pa.array(frequent)], ["doc", "n", "sig_a", "sig_b", "prefix", "frequent"])
 
-    return docs.select(doc, text).mapInArrow(run, "doc bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>")
+    return docs.select(doc, text).mapInArrow(run, f"doc {docs.schema[doc].dataType.simpleString()}, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, frequent int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """(node, tokens): the whole sets of the documents whose id is among ``ids``, and of a few more that share a bit with one."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.xxhash64("node"), NEEDED_BITS))
+    """(node, tokens): the whole sets of the documents whose id is among ``ids``, and of a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         for batch in batches:
-            rows = np.flatnonzero(holds(known, batch.column(2).to_numpy()))
-            some = batch.take(pa.array(rows))
-            for c in K.chunks(some.column(1)):
+            for c in K.chunks(batch.column(1)):
                 sets = list(shingle_sets(c, k))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(c.first, c.rows), K.list_array(flat.view(np.int64), K.starts(np.array([len(s) for s in sets], np.int64)), pa.int64())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), K.list_array(flat.view(np.int64), K.starts(np.array([len(s) for s in sets], np.int64)), pa.int64())], ["node", "tokens"])
 
-    hashed = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("node"), text, bit_of(F.xxhash64(F.col(doc).cast("long")), NEEDED_BITS).alias("bit"))
-    return hashed.mapInArrow(run, "node bigint, tokens array<bigint>")
+    some = among(docs.select(F.col(doc).alias("node"), F.col(text).alias("text")), ids, "node")
+    return some.mapInArrow(run, f"node {docs.schema[doc].dataType.simpleString()}, tokens array<bigint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose sets are similar enough, by the exact intersection of the whole sets."""
-    pairs = materialize(pairs, "pairs")
-    sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), doc, text, k), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
@@ -133,7 +130,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, nu
                 keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a bigint, b bigint")
+    kind = docs.schema[doc].dataType.simpleString()
+    with temporary(docs.sparkSession):
+        pairs = materialize(pairs, "pairs")
+        sets = materialize(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), doc, text, k), "sets")
+        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        return materialize(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, f"a {kind}, b {kind}"), "links", keep=True)
 
 
 def _indexed(n: Column, num: int, den: int) -> Column:
@@ -162,13 +165,19 @@ def _entries(classes: DataFrame, num: int, den: int) -> DataFrame:
     The leader is a class that has the token in its indexing prefix, if there is one, and of those the one with the
     fewest rarer tokens: among copies with small changes that is the copy changed least, which most others are near to.
     """
-    rows = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    rows = classes.select("node", "n", "frequent", F.posexplode("prefix").alias("at", "token"))
     # size and place in one number: these rows are the largest shuffle
-    rows = rows.select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("where"))
+    where = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("where")
+    rows = rows.select("token", "node", where, (F.col("at") >= F.col("frequent")).alias("often"))
     n, at = F.shiftright("where", 32), F.col("where").bitwiseAND(F.lit((1 << 32) - 1))
+    best = F.min(F.struct((at >= _indexed(n, num, den)).alias("late"), at.alias("at"), "where", "node"))
     under = W.partitionBy("token")
-    leader = F.min(F.struct((at >= _indexed(n, num, den)).alias("late"), at.alias("at"), "where", "node")).over(under)
-    met = rows.select("*", leader.alias("leader"), F.count(F.lit(1)).over(under).alias("meet")).filter("meet > 1")
+    plain = rows.filter(~F.col("often")).drop("often")
+    met = plain.select("*", best.over(under).alias("leader"), F.count(F.lit(1)).over(under).alias("meet")).filter("meet > 1")
+    # under a frequent token may stand a third of all rows: leaders by an aggregate that adds up before the shuffle, then a join that can be split
+    hot = materialize(rows.filter("often").drop("often"), "frequent")
+    led_by = materialize(hot.groupBy("token").agg(best.alias("leader"), F.count(F.lit(1)).alias("meet")).filter("meet > 1"), "leaders")
+    met = met.unionByName(hot.join(led_by, "token"))
     led = F.col("leader.where")
     return met.select("token", "node", n.alias("n"), at.alias("at"), F.col("leader.node").alias("leader"), F.shiftright(led, 32).alias("leader_n"), led.bitwiseAND(F.lit((1 << 32) - 1)).alias("leader_at"))
 
@@ -192,13 +201,15 @@ def _plausible(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> Data
 def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that may link classes of different groups, by the token-group matrix.
 
-    A column of the matrix is a part of a group: GROUP members next to each other in size. A cell counts the query's
+    A column of the matrix is a part of a group: about GROUP members of nearly one size. A cell counts the query's
     prefix tokens in the column's token union, and so bounds what the query shares with any member. Columns that can
     reach the threshold are opened: the query meets their members.
     """
-    member = placed.select("node", "n", "component").distinct()
-    order = W.partitionBy("component").orderBy("n", "node")
-    member = materialize(member.withColumn("column", F.floor((F.row_number().over(order) - 1) / GROUP)), "members")
+    # sizes within a tenth, dealt by hash: no group's members have to be ordered in one task
+    member = materialize(placed.select("node", "n", "component", F.floor(F.log(1.1, F.col("n"))).alias("band")).distinct(), "members")
+    parts = member.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    column = F.col("band") * (1 << 40) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    member = materialize(member.join(materialize(parts, "parts"), ["component", "band"]).select("node", "n", "component", column.alias("column")), "columns")
     placed = placed.join(member.select("node", "column"), "node")
     matrix = placed.groupBy("token", "component", "column").agg(F.min("n").alias("m_min"), F.max("n").alias("m_max"), F.min(F.when(F.col("at") < _indexed(F.col("n"), num, den), F.col("at"))).alias("m_at"))
     query = placed.select("token", "node", "n", "at", F.col("component").alias("own"))
@@ -214,34 +225,42 @@ def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
     return _plausible(pairs.distinct(), placed, num, den)
 
 
-def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """A row for each row of ``docs``: (doc_id, n_shingles, component_id).
-
-    Words are runs without ASCII white space, A-Z lower-cased. Documents link when den * |intersection| >= num *
-    |union| of their sets of k-word shingles (a text with fewer words is one shingle). component_id is the
-    least id that links reach, the own id included. Null or empty texts have n_shingles 0 and stay alone.
-    Equal texts always share a component, also under one repeated id. A null id never names a component
-    and stays alone unless its set is a named document's too. An empty table gives an empty one; further columns are ignored.
-    """
-    signed = materialize(_signed(docs, doc, text, k, num, den), "signed")
-    named = signed.filter((F.col("n") > 0) & F.col("doc").isNotNull())
-    classes = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def _named_components(named: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """(sig_a, sig_b, component): each class of equal sets and the least id that links reach from it."""
+    classes = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("frequent").alias("frequent"))
     entries = materialize(_entries(classes, num, den), "entries")
 
     led = (F.col("leader_at") < _indexed(F.col("leader_n"), num, den)) & (F.col("node") != F.col("leader"))
     stars = entries.filter(led & _reach(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at"), num, den) & _fit(F.col("n"), F.col("leader_n"), num, den))
     stars = stars.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_verified(_plausible(stars, entries, num, den), docs, doc, text, k, num, den), "links")
+    first = _verified(_plausible(stars, entries, num, den), docs, doc, text, k, num, den)
     groups = materialize(components(first), "groups")
 
     # what is left: a class and a group under the same token that aren't connected yet
     placed = entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
     placed = materialize(placed.join(open_tokens, "token"), "placed")
-    second = materialize(_verified(_across(placed, num, den), docs, doc, text, k, num, den), "links")
+    second = _verified(_across(placed, num, den), docs, doc, text, k, num, den)
     whole = components(first.union(second))
 
-    ids = named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node")).join(whole, "node", "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
+    return named.groupBy("sig_a", "sig_b").agg(F.min("doc").alias("node")).join(whole, "node", "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
+
+
+def linked(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """A row for each row of ``docs``: (doc_id, n_shingles, component_id).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Documents link when den * |intersection| >= num *
+    |union| of their sets of k-word shingles (a text with fewer words is one shingle). component_id is the
+    least id that links reach, the own id included. Null or empty texts have n_shingles 0 and stay alone.
+    Equal texts always share a component, also under one repeated id. A null id never names a component
+    and stays alone unless its set is a named document's too. Ids may be of any type that orders. An empty table gives an empty one;
+    further columns are ignored.
+    """
+    signed = materialize(_signed(docs, doc, text, k, num, den), "signed")
+    named = signed.filter((F.col("n") > 0) & F.col("doc").isNotNull())
+    with temporary(docs.sparkSession):
+        # a table of its own, so that the join below is one of plain scans: the rows of a large class of copies can be split
+        ids = materialize(_named_components(named, docs, doc, text, k, num, den), "ids", keep=True)
     rows = signed.select("doc", "n", "sig_a", "sig_b").join(ids, ["sig_a", "sig_b"], "left")
     return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
@@ -250,8 +269,13 @@ def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **opti
     """One row of each group of linked rows, with all columns: the one with the smallest id.
 
     Rows that share an id count as one group too; of those any one stays. Texts without words and rows with a null id stay.
+    The ids to leave out are written first, so that their size is known: where they are few they are broadcast and no text is shuffled.
     """
-    groups = linked(docs, doc=doc, text=text, **options)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(doc) == F.col("_first"), "left_semi").dropDuplicates([doc])
-    return kept.unionByName(docs.filter(F.col(doc).isNull()))
+    groups = linked(docs, doc=doc, text=text, **options).filter(F.col("doc_id").isNotNull())
+    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    out = materialize(ids.filter((F.col("n") > 1) | ~F.col("first")).select(F.col("doc_id").alias("_out"), (F.col("first") & (F.col("n") > 1)).alias("_again")), "left_out")
+    kept = docs.join(out, F.col(doc) == F.col("_out"), "left_anti")
+    again = out.filter("_again").select("_out")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, F.col(doc) == F.col("_out"), "left_semi").dropDuplicates([doc]))
