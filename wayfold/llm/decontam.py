@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
-from wayfold.llm.filters import bitmap, holds
-from wayfold.llm.storage import materialize
+from wayfold.llm.filters import bitmap, bits_for, holds
+from wayfold.llm.identity import text_key
+from wayfold.llm.storage import materialize, temporary
 
 MASKS = ("11101011", "11001000111")
 #: An overlap: so many aligned tokens, of which so many agree. A shorter item must lie in the text whole, with the same share.
 WINDOW, FEWEST = 16, 13
 #: Items of so many tokens at most have masks of their own.
 SHORT = 12
-#: The filter before the join has 2**FILTER_BITS bits whatever the benchmark's size.
+#: The filter before the join has 2**FILTER_BITS bits at most, and a thousand for each seed up to that, as every text has very many seeds to
+#: look up. A benchmark so large that it fills up lets more hits into the join.
 FILTER_BITS = 26
 _REACH = WINDOW + max(map(len, MASKS))
 
@@ -157,9 +159,11 @@ def index_items(benchmark: DataFrame, item: str = "item_id", text: str = "text")
     return keyed.mapInArrow(run, f"item {kind}, key bigint, tokens array<int>, seeds array<struct<hash:bigint,at:int>>").dropDuplicates(["key"])
 
 
-def seed_filter(items: DataFrame) -> np.ndarray:
-    """A bitmap of the seeds' hashes: at most 2**(FILTER_BITS - 6) rows come to the driver, however large the benchmark."""
-    return bitmap(items.select(F.explode("seeds.hash").alias("hash")), F.col("hash"), FILTER_BITS)
+def seed_filter(items: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the seeds' hashes, and its bits: sized by the seeds' number, at most 2**(FILTER_BITS - 6) rows come to the driver."""
+    seeds = items.select(F.explode("seeds.hash").alias("hash"))
+    bits = min(FILTER_BITS, bits_for(64 * seeds.count()))
+    return bitmap(seeds, F.col("hash"), bits), bits
 
 
 def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,10 +171,11 @@ def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
 
     Neighbouring hits share a region, which reaches far enough on both sides for any overlap they may belong to.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(items))
+    bitmap_of, bits = seed_filter(items)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, low = bits.value, np.uint64((1 << FILTER_BITS) - 1)
+        known, low = shared.value, np.uint64((1 << bits) - 1)
         for batch in batches:
             for c in K.chunks(batch.column(2)):
                 h, row, begins = _tokens(c)
@@ -198,15 +203,16 @@ def scan(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "te
                 )
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc), F.xxhash64(doc, text).alias("uid"), F.col(text)).mapInArrow(run, f"doc {kind}, uid bigint, start int, tokens array<int>, hits array<struct<hash:bigint,at:int>>")
+    return docs.select(F.col(doc), text_key(doc, text).alias("uid"), F.col(text)).mapInArrow(run, f"doc {kind}, uid binary, start int, tokens array<int>, hits array<struct<hash:bigint,at:int>>")
 
 
 def short_hits(docs: DataFrame, items: DataFrame, widths: Sequence[int], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Where texts may hold whole items of ``widths`` tokens: (doc, uid, hash, tokens, starts), one row for each seed and run of tokens of a text."""
-    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(items))
+    bitmap_of, bits = seed_filter(items)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, low = bits.value, np.uint64((1 << FILTER_BITS) - 1)
+        known, low = shared.value, np.uint64((1 << bits) - 1)
         for batch in batches:
             for c in K.chunks(batch.column(2)):
                 h, row, begins = _tokens(c)
@@ -230,7 +236,7 @@ def short_hits(docs: DataFrame, items: DataFrame, widths: Sequence[int], doc: st
                         )
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc), F.xxhash64(doc, text).alias("uid"), F.col(text)).mapInArrow(run, f"doc {kind}, uid bigint, hash bigint, tokens array<int>, starts array<int>")
+    return docs.select(F.col(doc), text_key(doc, text).alias("uid"), F.col(text)).mapInArrow(run, f"doc {kind}, uid binary, hash bigint, tokens array<int>, starts array<int>")
 
 
 def _short_overlaps(docs: DataFrame, items: DataFrame, widths: Sequence[int], doc: str, text: str) -> DataFrame:
@@ -265,11 +271,11 @@ def _verified(found: DataFrame, kind: str, item_kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["doc", "uid", "item", "token_start", "n_tokens", "n_equal"]).filter(pa.array(keep))
 
     found = found.select("doc", "uid", "item", "diagonal", "start", "tokens", "item_tokens")
-    return found.mapInArrow(run, f"doc {kind}, uid bigint, item {item_kind}, token_start int, n_tokens int, n_equal int")
+    return found.mapInArrow(run, f"doc {kind}, uid binary, item {item_kind}, token_start int, n_tokens int, n_equal int")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Verified overlaps: (doc, uid, item, token_start, n_tokens, n_equal); uid is xxhash64 of id and text, for repeated and null ids.
+    """Verified overlaps: (doc, uid, item, token_start, n_tokens, n_equal); uid is a digest of id and text, for repeated and null ids.
 
     Tokens are runs of letters and digits, lower-cased; in scripts without spaces each character is one. A text overlaps an item if ``WINDOW`` aligned tokens (all of the
     item's, if it has fewer) agree in the share FEWEST / WINDOW. token_start is where the item's aligned part begins
@@ -295,9 +301,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text
 def mark(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """A row for each row of ``docs``: (its id, contaminated, n_items, n_overlaps, best_equal)."""
     doc, text = names.get("doc", "doc_id"), names.get("text", "text")
-    by_doc = overlaps(docs, benchmark, **names).groupBy("doc", "uid").agg(F.countDistinct("item").alias("n_items"), F.count(F.lit(1)).alias("n_overlaps"), F.max("n_equal").alias("best_equal"))
-    keyed = docs.select(F.col(doc).alias("_doc"), F.xxhash64(doc, text).alias("_uid"))
-    joined = keyed.join(by_doc, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_uid") == F.col("uid")), "left")
+    with temporary(docs.sparkSession):
+        by_doc = overlaps(docs, benchmark, **names).groupBy("uid").agg(F.countDistinct("item").alias("n_items"), F.count(F.lit(1)).alias("n_overlaps"), F.max("n_equal").alias("best_equal"))
+        by_doc = materialize(by_doc, "marked", keep=True)
+    keyed = docs.select(F.col(doc).alias("_doc"), text_key(doc, text).alias("uid"))
+    joined = keyed.join(by_doc, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return joined.select(F.col("_doc").alias(doc), F.col("n_overlaps").isNotNull().alias("contaminated"), zero("n_items"), zero("n_overlaps"), zero("best_equal"))
 
@@ -305,5 +313,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns; null and empty texts stay."""
     doc, text = names.get("doc", "doc_id"), names.get("text", "text")
-    bad = overlaps(docs, benchmark, **names).select("doc", "uid").distinct()
-    return docs.join(bad, docs[doc].eqNullSafe(bad["doc"]) & (F.xxhash64(docs[doc], docs[text]) == bad["uid"]), "left_anti")
+    # written first, so that its size is known: few contaminated texts are broadcast and the others aren't shuffled
+    with temporary(docs.sparkSession):
+        bad = materialize(overlaps(docs, benchmark, **names).select(F.col("uid").alias("_uid")).distinct(), "contaminated", keep=True)
+    return docs.join(bad, text_key(doc, text) == F.col("_uid"), "left_anti")
