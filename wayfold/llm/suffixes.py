@@ -20,17 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
-from wayfold.llm.filters import bit_of, bitmap, holds
-from wayfold.llm.storage import materialize
+from wayfold.llm.filters import among
+from wayfold.llm.identity import text_key
+from wayfold.llm.storage import materialize, temporary
 
 #: Bytes of a string that counts as repeated, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 200, 40
 #: Bytes that multikey sorting compares before blind tries take over.
 SHALLOW = 32
-#: Bits of the filter that tells which texts are needed again.
-TOUCHED_BITS = 26
 #: Anchors with more distinct contexts than this are settled by a shuffle of their strings' hashes instead of one task's sort.
-LARGE = 20_000
+LARGE = 1_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,7 +83,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                         ["rid", "lo", "hi", "at", "gram", "context"],
                     )
 
-    return docs.select("rid", "text").mapInArrow(run, "rid bigint, lo int, hi int, at int, gram bigint, context bigint")
+    return docs.select("rid", "text").mapInArrow(run, "rid binary, lo int, hi int, at int, gram bigint, context bigint")
 
 
 # -- deep-shallow sorting ------------------------------------------------------------------------------------------------------
@@ -204,7 +203,7 @@ def _sort_borders(rows: DataFrame) -> DataFrame:
         if held:
             yield from spans(pa.Table.from_batches(held))
 
-    return rows.select("gram", "once", "rid", "lo", "at", "ctx").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid bigint, lo int, hi int")
+    return rows.select("gram", "once", "rid", "lo", "at", "ctx").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid binary, lo int, hi int")
 
 
 def _count_borders(rows: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def _count_borders(rows: DataFrame) -> DataFrame:
                 within = part.column("at").to_numpy()[owner] - shift
                 yield pa.RecordBatch.from_arrays([part.column("rid").take(rows_of), pa.array((part.column("lo").to_numpy()[owner] + within).astype(np.int32)), part.column("once").take(rows_of), part.column("gram").take(rows_of), pa.array(h.view(np.int64))], ["rid", "lo", "once", "gram", "string"])
 
-    strings = rows.mapInArrow(run, "rid bigint, lo int, once boolean, gram bigint, string bigint")
+    strings = rows.mapInArrow(run, "rid binary, lo int, once boolean, gram bigint, string bigint")
     often = strings.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "string")
     return strings.filter("once").join(often, ["gram", "string"], "left_semi").select("rid", "lo", (F.col("lo") + LENGTH).cast("int").alias("hi"))
 
@@ -230,43 +229,38 @@ def _count_borders(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc).alias("doc"), F.xxhash64(doc, text).alias("rid"), F.col(text).alias("text"))
+    """(doc, rid, text): rid is a 128-bit digest of id and text."""
+    return docs.select(F.col(doc).alias("doc"), text_key(doc, text).alias("rid"), F.col(text).alias("text"))
 
 
 def _touched(keyed: DataFrame, rids: DataFrame) -> DataFrame:
-    """(rid, text) of texts whose rid is among ``rids``, and of a few more that share a bit with one."""
-    bits = keyed.sparkSession.sparkContext.broadcast(bitmap(rids, F.col("rid"), TOUCHED_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.take(pa.array(np.flatnonzero(holds(bits.value, batch.column(2).to_numpy()))))
-            if some.num_rows:
-                yield some.select([0, 1])
-
-    return keyed.filter(F.col("text").isNotNull()).select("rid", "text", bit_of(F.col("rid"), TOUCHED_BITS).alias("bit")).mapInArrow(run, "rid bigint, text string")
+    """(rid, text) of texts whose rid is among ``rids``, and of a few more."""
+    return among(keyed.filter(F.col("text").isNotNull()).select("rid", "text"), rids.select("rid"), "rid")
 
 
 def repeated_spans(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, lo, hi): byte spans of texts that consist of repeated strings; they may overlap. rid is xxhash64 of id and text.
+    """(rid, lo, hi): byte spans of texts that consist of repeated strings; they may overlap. rid is a digest of id and text.
 
     Null and short texts have none. Rows that agree in id and text share a rid and repeat one another.
     """
     keyed = _keyed(docs, doc, text)
-    anchors = materialize(_anchors(keyed), "anchors")
-    contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
-    by = W.partitionBy("gram")
-    contexts = contexts.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count(F.lit(1)).over(by)).withColumn("fewest", F.min("n").over(by))
-    seen = contexts.filter("total > 1").select("gram", "context", "n", "kinds", (F.col("fewest") == 1).alias("borders"))
-    found = materialize(anchors.join(seen, ["gram", "context"]), "found")
+    with temporary(docs.sparkSession):
+        anchors = materialize(_anchors(keyed), "anchors")
+        contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
+        by = W.partitionBy("gram")
+        contexts = contexts.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count(F.lit(1)).over(by)).withColumn("fewest", F.min("n").over(by))
+        seen = contexts.filter("total > 1").select("gram", "context", "n", "kinds", (F.col("fewest") == 1).alias("borders"))
+        found = materialize(anchors.join(seen, ["gram", "context"]), "found", keep=True)
     inside = found.filter("n > 1").select("rid", "lo", "hi")
 
     one = F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
     borders = found.filter("borders").groupBy("gram", "context").agg(one, F.max("n").alias("n"), F.max("kinds").alias("kinds"))
     borders = borders.select("one.rid", F.struct("gram", "kinds", (F.col("n") == 1).alias("once"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at")).alias("cut"))
-    cuts = materialize(borders.groupBy("rid").agg(F.collect_list("cut").alias("cuts")), "cuts")  # a text's own anchors
-    texts = _touched(keyed, cuts).dropDuplicates(["rid"]).join(cuts, "rid")
-    cut = texts.select("rid", F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("cut"))
-    pieces = materialize(cut.select("rid", "cut.*", F.substring(F.col("bytes"), F.col("cut.lo") + 1, F.col("cut.hi") - F.col("cut.lo")).alias("ctx")), "pieces")
+    with temporary(docs.sparkSession):
+        cuts = materialize(borders.groupBy("rid").agg(F.collect_list("cut").alias("cuts")), "cuts")  # a text's own anchors
+        texts = _touched(keyed, cuts).dropDuplicates(["rid"]).join(cuts, "rid")
+        cut = texts.select("rid", F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("cut"))
+        pieces = materialize(cut.select("rid", "cut.*", F.substring(F.col("bytes"), F.col("cut.lo") + 1, F.col("cut.hi") - F.col("cut.lo")).alias("ctx")), "pieces", keep=True)
     rows = ["gram", "once", "rid", "lo", "at", "ctx"]
     few, many = pieces.filter(F.col("kinds") <= LARGE).select(*rows), pieces.filter(F.col("kinds") > LARGE).select(*rows)
     return inside.union(_sort_borders(few)).union(_count_borders(many))
@@ -292,11 +286,13 @@ def _cut_out(texts: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["rid", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return texts.mapInArrow(run, "rid bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    return texts.mapInArrow(run, "rid binary, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
-def _changed(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    by_text = materialize(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+def _changed(keyed: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    with temporary(docs.sparkSession):
+        spans = repeated_spans(docs, doc=doc, text=text)
+        by_text = materialize(spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans", keep=True)
     texts = _touched(keyed, by_text).dropDuplicates(["rid"]).join(by_text, "rid")
     return _cut_out(texts.select("rid", F.encode("text", "utf-8").alias("text"), "spans"))
 
@@ -304,7 +300,7 @@ def _changed(keyed: DataFrame, spans: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kept): for each row of ``docs`` the bytes left when every byte of a repeated string is gone; binary, as a cut may split a character."""
     keyed = _keyed(docs, doc, text)
-    changed = _changed(keyed, repeated_spans(docs, doc=doc, text=text)).select("rid", "kept")
+    changed = _changed(keyed, docs, doc, text).select("rid", "kept")
     whole = keyed.join(changed, "rid", "left")
     return whole.select(F.col("doc").alias(doc), F.coalesce("kept", F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("kept"))
 
@@ -316,7 +312,7 @@ def digests(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Data
     included. Strings never cross texts. Null counts as empty. Further columns are ignored.
     """
     keyed = _keyed(docs, doc, text)
-    changed = _changed(keyed, repeated_spans(docs, doc=doc, text=text)).drop("kept")
+    changed = _changed(keyed, docs, doc, text).drop("kept")
     full = F.coalesce("text", F.lit(""))
     plain = keyed.select("doc", "rid", F.octet_length(full).cast("long").alias("n_bytes"), F.sha2(full, 256).alias("sha"))
     rows = plain.join(changed, "rid", "left")
