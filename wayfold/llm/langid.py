@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.llm import features, folds
@@ -23,8 +24,10 @@ from wayfold.llm import kernels as K
 GRAM, DIMENSION_BITS = 3, 13
 #: Sampled texts and centroids of each language.
 SAMPLE, CENTROIDS = 600, 4
-#: More languages than this are an error: the model holds centroids for each.
-MOST_LANGUAGES = 256
+#: Languages that are learned: the model holds centroids for each, so its size needs a bound. Of more, those with the most texts.
+MOST_LANGUAGES = 1024
+#: Texts of the sample beyond so many bytes for each language aren't brought to the driver.
+SAMPLE_BYTES = 1 << 25
 #: A text farther from its centroid than this share of the sampled texts, times SLACK, is rejected.
 REJECT_QUANTILE, SLACK = 0.995, 1.25
 
@@ -85,20 +88,23 @@ def train(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str
     """Learns from ``docs``, all of which may be learned from; rows without text or lang are left out.
 
     Document frequencies count all rows; centroids are made from at most ``per_language`` texts of each language, those
-    with the least hash.
+    with the least hash of id and text. More than MOST_LANGUAGES languages aren't told apart: the rarest are not learned.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = features.document_frequencies(rows, GRAM, DIMENSION_BITS, letters, text)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
     names = sorted(counts)
     drawn = rows.select(F.col(lang).alias("lang"), folds.unit_hash(F.col(doc), F.col(text)).alias("order"), F.col(text).alias("text"))
     if names:
         share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, folds.likely_share(per_language, n))))
-        drawn = drawn.filter(F.col("order") < F.element_at(share, F.col("lang")))
-    drawn = drawn.limit(2 * (per_language + 100) * max(len(names), 1)).toArrow().sort_by("order")
+        drawn = drawn.filter(F.col("order") < F.try_element_at(share, F.col("lang")))
+    # a few more than per_language rows a language are left; which of them stay doesn't depend on partitions
+    by = W.partitionBy("lang").orderBy("order", F.xxhash64("text"))
+    held = F.sum(F.octet_length("text")).over(by.rowsBetween(W.unboundedPreceding, 0))
+    nth = F.row_number().over(by)
+    drawn = drawn.withColumn("nth", nth).withColumn("held", held).filter((F.col("nth") <= per_language) & ((F.col("held") <= SAMPLE_BYTES) | (F.col("nth") == 1)))
+    drawn = drawn.select("lang", "order", "text").toArrow().sort_by("order")
     centers, owner, radius = [np.zeros((0, len(idf)), np.float32)], [], []
     for i, name in enumerate(names):
         some = drawn.filter(pc.equal(drawn.column("lang"), name)).slice(0, per_language)
