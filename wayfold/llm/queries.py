@@ -34,8 +34,7 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    rows = sharding.assign_shards(rows, "doc_id", [1.0] * SHARDS)
-    rows = sharding.assign_shards(rows, "doc_id", [1.0] * (SHARDS + 1), out="grown_shard")
+    rows = sharding.assign_shards(rows, "doc_id", [1.0] * SHARDS, grown=1.0)
     slots = sharding.number_slots(rows, "shard", ["doc_id", "text_crc32", "size"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
@@ -117,7 +116,6 @@ def _escaped(x: str) -> str:
     return f"regexp_replace({x}, '\\[(/?INST\\])', '&lbrack;\\1', 'g')"
 
 
-#: For conversations whose turn numbers lie in one block.
 _OP2 = f"""with recursive c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
   union all select -1, range, case range when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2)),
  t as materialized (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) pos, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 tokens,

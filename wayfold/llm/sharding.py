@@ -24,16 +24,33 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    text = F.coalesce(key.cast("string"), F.lit(""))
-    return F.array_min(F.array(*(F.struct((-F.ln(_draw(text, i)) / F.lit(float(w))).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights)))).getField("shard")
+    return _best(F.coalesce(key.cast("string"), F.lit("")), weights).getField("shard")
 
 
-def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
+def _cost(key: Column, shard: int, weight: float) -> Column:
+    return -F.ln(_draw(key, shard)) / F.lit(float(weight))
+
+
+def _best(key: Column, weights: Sequence[float]) -> Column:
+    """(cost, shard) of the best draw."""
+    return F.array_min(F.array(*(F.struct(_cost(key, i, w).alias("cost"), F.lit(i).alias("shard")) for i, w in enumerate(weights))))
+
+
+def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard", *, grown: float | None = None, grown_out: str = "grown_shard") -> DataFrame:
     """Adds (or replaces) the column ``out`` with each row's shard; no shuffle, all other columns stay.
 
-    Repeated keys share a shard; an empty table stays empty.
+    With ``grown``, the weight of one more shard, also ``grown_out`` with the shard that the row would have with it: the old one or
+    the new, which only one more draw decides. Repeated keys share a shard; an empty table stays empty.
     """
-    return df.withColumn(out, shard_of(F.col(key), weights))
+    if grown is None:
+        return df.withColumn(out, shard_of(F.col(key), weights))
+    if not weights or min(*weights, grown) <= 0:
+        raise ValueError("weights must be positive")
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    best, new = _best(text, weights), _cost(text, len(weights), grown)
+    with_best = df.withColumn("_best", best)
+    with_best = with_best.withColumn(out, F.col("_best.shard"))
+    return with_best.withColumn(grown_out, F.when(new < F.col("_best.cost"), len(weights)).otherwise(F.col(out))).drop("_best")
 
 
 def _bin(order: Sequence[str], bins: int) -> Column:
