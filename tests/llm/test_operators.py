@@ -326,7 +326,7 @@ def test_kept_against_plain_python(spark, docs):
             low, middle, high = (rank([score[i] for i in passed], p) for p in (0.25, 0.5, 0.75))
             noise = rank([abs(score[i] - middle) * math.sqrt(stats[i][0]) for i in passed], 0.5)
             for i in mine:
-                room = rules.BAND * (high - low) + rules.ERRORS * noise / math.sqrt(max(stats[i][0], 1))
+                room = math.sqrt((rules.BAND * (high - low)) ** 2 + (rules.ERRORS * noise) ** 2 / max(stats[i][0], 1))
                 close.update([rows[i][0]] if score[i] is not None and abs(abs(score[i] - middle) - room) < 1e-3 else [])
                 yield rows[i][0], not failed[i] and (score[i] is None or abs(score[i] - middle) <= room)
 
