@@ -272,6 +272,31 @@ def test_map_tiles(spark, tmp_path):
     assert node.lat == 51.4 and len(node.tiles) == 2 and not node.consistent and node.tags == {"barrier": "gate"}
 
 
+def test_strict_sources_fail(spark, tmp_path):
+    tile = lambda n, lat, ref: (tmp_path / f"{n}.xml").write_text(f'<osm><node id="7" lat="{lat}" lon="9.4" version="{n}"><tag k="t{n}" v="x"/></node><way id="1" version="3"><nd ref="7"/><nd ref="{ref}"/></way></osm>')
+    tile(9, 51.3, 8)
+    tile(10, 51.3, 8)
+    nodes = layers.reconciled_nodes(spark, str(tmp_path / "*.xml"))
+    node = nodes.first()
+    assert node.version == 10 and node.tags == {"t9": "x", "t10": "x"} and len(node.tiles) == 2
+    way = layers.reconciled_ways(spark, str(tmp_path / "*.xml"), nodes).first()
+    assert way.refs == ["7", "8"] and way.missing_refs == ["8"] and way.n_tiles == 2
+    tile(11, 51.4, 9)
+    with pytest.raises(Exception, match="node differs across tiles: 7"):
+        layers.reconciled_nodes(spark, str(tmp_path / "*.xml")).collect()
+    with pytest.raises(Exception, match="way differs across tiles: 1"):
+        layers.reconciled_ways(spark, str(tmp_path / "*.xml"), nodes.select("id")).collect()
+    with pytest.raises(Exception, match="wanted element is missing: 3"):
+        layers.wanted(spark.createDataFrame([("1",)], "id string"), spark.createDataFrame([("1",), ("3",)], "id string")).collect()
+    (tmp_path / "ids.txt").write_text("a\nb \n\na\n")
+    assert layers.read_ids(spark, str(tmp_path / "ids.txt")).count() == 3
+    with pytest.raises(Exception, match="id list of 3 rows, 2 different"):
+        layers.read_ids(spark, str(tmp_path / "ids.txt"), expected=3).collect()
+    with pytest.raises(Exception):  # a layer that must be there
+        layers.publication(spark, SF, {"trees": True})
+    assert [r.status for r in layers.publication(spark, SF, {"region": True, "trees": False}).collect()] == ["ready", "unavailable"]
+
+
 def test_content_hash_ignores_order(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     first = layers.write_layers({"x": df}, str(tmp_path / "one")).first()

@@ -105,9 +105,10 @@ def walking_minutes(distance_m: Column, ascent_m: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(distance_m / (5000 / 60) + ascent_m / 10).cast("int"))
 
 
-def rise_is_sane(low_m: Column, high_m: Column, least: float, most: float) -> Column:
-    """Whether a climb between two known elevations is of a believable size; null where one is unknown."""
-    return F.when(finite(low_m).isNotNull() & finite(high_m).isNotNull(), (high_m - low_m).between(least, most))
+def rise_is_sane(low_m: Column, high_m: Column, least: float) -> Column:
+    """(rise_m, ok): the climb between two elevations, and whether it is as large as it should be; an unknown one isn't."""
+    rise = finite(high_m) - finite(low_m)
+    return F.struct(rise.alias("rise_m"), F.coalesce(rise >= least, F.lit(False)).alias("ok"))
 
 
 def longitude_between(lng: Column, west: Column, east: Column) -> Column:

@@ -111,9 +111,23 @@ def relation_label(relation: Column) -> Column:
 
 
 def feature_label(name: Column, family_label: Column, ident: Column) -> Column:
-    """A feature's own name with its family, else its id with it, else the family alone."""
-    title = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.nullif(F.trim(ident), F.lit("")))
-    return F.when(title.isNotNull(), F.concat_ws(" · ", title, family_label)).otherwise(family_label)
+    """A feature's own name, else its family with its source's id, else the family alone."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.concat_ws(" · ", family_label, F.nullif(ident, F.lit(""))))
+
+
+#: What families are called in English.
+FAMILY_LABELS = {"bench": "Benches", "access": "Access & barriers", "toilet": "Toilets", "drinking_water": "Drinking water", "viewpoint": "Viewpoints", "shelter": "Shelters", "transit": "Transit access", "artwork": "Artworks"}
+
+
+def family_label(kind: Column) -> Column:
+    """A family in words: its own, else its name without underscores."""
+    known = F.create_map(*(F.lit(x) for pair in FAMILY_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, kind), F.replace(F.coalesce(kind, F.lit("visitor_poi")), F.lit("_"), F.lit(" ")))
+
+
+def middle_vertex(coordinates: Column) -> Column:
+    """The vertex in the middle of an array of coordinates, the lower one of two, null without any."""
+    return F.get(coordinates, F.floor((F.size(coordinates) - 1) / 2).cast("int"))
 
 
 def first_text(*columns: Column) -> Column:

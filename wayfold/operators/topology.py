@@ -80,3 +80,17 @@ def chains(pairs: DataFrame, meaningful: DataFrame) -> DataFrame:
     nodes = F.concat(F.transform("p", lambda x: x["a"].cast("string")), F.array(last.cast("string")))
     name = F.concat_ws("", F.lit("pathseg-way-"), "way", F.lit("-"), first, F.lit("--"), last, F.lit("-"), F.substring(F.sha1(F.array_join(nodes, "/")), 1, 10))
     return whole.select(name.alias("id"), "way", first.alias("from_node"), last.alias("to_node"), "n_pairs", "metres", "scopes")
+
+
+def merged_scope(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, src, dst, metres, origin, reverse_id): segments (id, src, dst, metres) of an old topology and a wider new one.
+
+    What the old one has stays; a new segment between the same nodes with the same length is the same one and is left out. Each is
+    wired to the segment that leads back over the same length, the least id of several; null on a one-way.
+    """
+    both = old.select("id", "src", "dst", "metres", F.lit(0).alias("o")).unionByName(new.select("id", "src", "dst", "metres", F.lit(1).alias("o")))
+    same = W.partitionBy("src", "dst", "metres").orderBy("o", "id")
+    kept = both.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "metres", F.col("id").alias("reverse_id")).filter("src <> dst")
+    first = back.groupBy("src", "dst", "metres").agg(F.min("reverse_id").alias("reverse_id"))
+    return kept.join(first, ["src", "dst", "metres"], "left").select("id", "src", "dst", "metres", F.when(F.col("o") == 0, "old").otherwise("new").alias("origin"), "reverse_id")

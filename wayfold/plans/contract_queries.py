@@ -338,3 +338,43 @@ def release_times(spark, d):
     epoch = F.when(F.col("n_nationkey") % 3 != 0, (F.lit(1700000000) + F.col("n_nationkey")).cast("string"))
     return table(spark, d, "nation").select(contracts.release_time(epoch).alias("generated_at"), F.col("n_nationkey").alias("id"))
 
+
+
+_POI = ["c_custkey id", "case c_custkey % 9 when 0 then 'toilet' when 1 then 'access' when 2 then 'kiosk' else 'artwork' end family", "case when c_custkey % 4 = 0 then 'way' when c_custkey % 31 = 0 then 'relation' else 'node' end element_type", "case when c_custkey % 8 = 0 then 'source_node' when c_custkey % 4 = 0 then 'bounds_midpoint' else 'source_node' end method", "case when c_custkey % 4 = 0 then 'representative_point' else 'source_point' end position_type", "case when c_custkey % 6 <> 0 then '3' end version", "c_custkey % 10 <> 0 tagged", "case c_custkey % 7 when 0 then 'somewhere' else 'inside_park' end relation", "case when c_custkey % 11 = 0 then 3e0 end height", "case when c_custkey % 13 <> 0 then 'r' end source_ref"]
+_POI_RULES = {
+    "family_known": "family in ('access', 'toilet', 'drinking_water', 'viewpoint', 'shelter', 'transit', 'artwork')",
+    "element_known": "element_type in ('node', 'way')",
+    "element_version": "version is not null",
+    "method_of_element": "method = case element_type when 'node' then 'source_node' else 'bounds_midpoint' end",
+    "type_of_element": "position_type = case element_type when 'node' then 'source_point' else 'representative_point' end",
+    "scope_known": "relation in ('inside_park', 'boundary_external', 'external_relevant')",
+    "height_unknown": "height is null",
+    "source_named": "source_ref is not null",
+    "access_is_tagged_node": "family <> 'access' or (element_type = 'node' and position_type = 'source_point' and tagged)",
+}
+
+
+@query(f"with p as (select {', '.join(_POI)} from customer) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from p" for n, r in _POI_RULES.items()))
+def feature_contract(spark, d):
+    """Nine rules on visitor features: family, element, how the point was derived, scope, height and sources."""
+    return contracts.report(table(spark, d, "customer").selectExpr(*_POI), {n: F.expr(r) for n, r in _POI_RULES.items()}, "id")
+
+
+_TERRAIN = ["n_nationkey id", "case n_nationkey % 6 when 0 then 'png' else 'maplibre-raster-dem-terrarium-v1' end format", "case n_nationkey % 7 when 0 then 512 else 256 end tile_size", "case n_nationkey % 5 when 0 then '13,14' else '13,14,15,16' end zooms", "60 + case n_nationkey % 8 when 0 then 1 else 0 end tile_count", "4817250 + n_nationkey * 200000 tile_bytes", "case n_nationkey % 9 when 0 then 'feet' else 'metres' end units", "9.385e0 west", "case n_nationkey % 10 when 0 then 9.3e0 else 9.425e0 end east"]
+_TERRAIN_RULES = {"format": "format = 'maplibre-raster-dem-terrarium-v1'", "tile_size": "tile_size = 256", "zooms": "zooms = '13,14,15,16'", "tiles": "tile_count = 60", "bytes": "tile_bytes <= 8388608", "units": "units = 'metres'", "bounds": "west < east"}
+
+
+@query(f"with p as (select {', '.join(_TERRAIN)} from nation) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from p" for n, r in _TERRAIN_RULES.items()))
+def terrain_contract(spark, d):
+    """Seven rules on what a pyramid of terrain tiles declares."""
+    return contracts.report(table(spark, d, "nation").selectExpr(*_TERRAIN), {n: F.expr(r) for n, r in _TERRAIN_RULES.items()}, "id")
+
+
+_TREES = {"ids": "id is not null", "catalogue_number": "length(brand) >= 7", "species": "kind is not null and kind <> ''", "in_bounds": "lat between 51.307 and 51.323 and lng between 9.385 and 9.425", "girth_positive": "girth is null or girth > 0", "not_pending": "id % 97 <> 0"}
+_TREE = ["node id", "lat", "lng", "case when node % 12 = 0 then 0 when node % 5 <> 0 then node % 50 + 1 end girth", "case when node % 15 <> 0 then 'Quercus' else '' end kind", "case when node % 18 <> 0 then 'Brand#1' else 'x' end brand"]
+
+
+@query(f"with p as (select {', '.join(_TREE)} from {B.sql('nodes')}) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from p" for n, r in _TREES.items()))
+def tree_contract(spark, d):
+    """Six rules on trees: numbers, species, bounds, girth and state."""
+    return contracts.report(B.shape(spark, d, "nodes").selectExpr(*_TREE), {n: F.expr(r) for n, r in _TREES.items()}, "id")

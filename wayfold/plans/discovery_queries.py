@@ -221,3 +221,30 @@ def visited_trails(spark, d):
     out = history.trails(B.table(spark, d, "events").selectExpr(*_STEP))
     return out.select("user_id", "current", F.array_join("history", " ").alias("history"))
 
+
+
+@query("""select concat('f', c_custkey) id, coalesce(nullif(case when c_custkey % 3 = 0 then c_mktsegment end, ''), 'historical_figure') as type, concat_ws(' ', case when c_custkey % 2 = 0 then 'painter' end, case when c_custkey % 5 = 0 then c_mktsegment end, case when c_custkey % 7 = 0 then concat('place-', c_nationkey) end) terms,
+ coalesce((select string_agg(concat(s, ':', coalesce(n_name, '?')), ' ' order by s) from (values (c_custkey % 30), (c_custkey % 4 + 100)) v(s) left join nation on n_nationkey = s), '') sources from customer""")
+def semantic_entities(spark, d):
+    """Entities with a type by default, the terms that find them, and their sources looked up, those that aren't known by their id alone."""
+    c = B.table(spark, d, "customer")
+    ids = F.explode(F.array((F.col("c_custkey") % 30).cast("long"), (F.col("c_custkey") % 4 + 100).cast("long")))
+    named = c.select("c_custkey", ids.alias("s")).join(B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("s"), "n_name"), "s", "left")
+    sources = named.groupBy("c_custkey").agg(F.array_sort(F.collect_list(F.struct("s", F.concat(F.col("s").cast("string"), F.lit(":"), F.coalesce("n_name", F.lit("?"))).alias("t")))).alias("x"))
+    kind = records.first_text(F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")), F.lit("historical_figure"))
+    terms = F.concat_ws(" ", F.when(F.col("c_custkey") % 2 == 0, "painter"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("place-"), F.col("c_nationkey").cast("string"))))
+    return c.join(sources, "c_custkey").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("id"), kind.alias("type"), terms.alias("terms"), F.array_join(F.transform("x", lambda r: r["t"]), " ").alias("sources"))
+
+
+@query(f"""with s as (select line, coalesce(surface, 'unknown') s, sum(d) m from {B.sql('polylines')} group by all), g as (select line, string_agg(concat(s, ' ', cast(floor(m + 0.5) as bigint), ' m'), ' · ' order by m desc, s) surfaces from s group by line),
+ t as (select line, count_if(steps) n, coalesce(sum(case when steps then d end), 0) m from {B.sql('polylines')} group by line)
+ select line, surfaces, case when n > 0 then concat(n, ' mapped step segment(s), ', cast(floor(m + 0.5) as bigint), ' m') else 'No mapped steps on this route' end steps from g join t using (line)""")
+def walk_explanations(spark, d):
+    """A walk in words: its surfaces, the longest first, and its steps."""
+    v = B.polylines(spark, d)
+    s = v.groupBy("line", F.coalesce("surface", F.lit("unknown")).alias("s")).agg(F.sum("d").alias("m"))
+    text = F.concat(F.col("s"), F.lit(" "), records.whole(F.col("m")), F.lit(" m"))
+    surfaces = s.groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "s", text.alias("t")))).alias("x"))
+    steps = v.groupBy("line").agg(F.count_if("steps").alias("n"), F.coalesce(F.sum(F.when(F.col("steps"), F.col("d"))), F.lit(0.0)).alias("m"))
+    words = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" mapped step segment(s), "), records.whole(F.col("m")), F.lit(" m"))).otherwise("No mapped steps on this route")
+    return surfaces.join(steps, "line").select("line", F.array_join(F.transform("x", lambda r: r["t"]), " · ").alias("surfaces"), words.alias("steps"))

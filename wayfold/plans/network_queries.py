@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import normalize
-from wayfold.operators import graph, routing, spatial, topology
+from wayfold.operators import contracts, graph, routing, spatial, topology
 from wayfold.plans import bindings as B
 from wayfold.plans import sqltext as Q
-from wayfold.plans.registry import query
+from wayfold.plans.registry import oracle_sql, query
 
 _N = "(select count(*) from part)"
 _STATUS = "case when steps then 'known_steps' when wheelchair = 'no' then 'known_wheelchair_no' when barrier in ('stile', 'turnstile') then 'known_barrier_mobility_constraint' else 'unknown_not_field_verified' end"
@@ -212,3 +212,68 @@ def topology_chains(spark, d):
     """Ways cut into chains between meaningful nodes, with six reasons to cut and ids that the nodes decide."""
     runs, nodes = _topology(spark, d)
     return topology.chains(runs, nodes.filter(F.size("reasons") > 0))
+
+
+@query(f"""with o as (select id, src, dst, distance_m metres, 0 o from {B.SEGMENTS} where id like 'a%' union all select concat('new-', id), src, dst, distance_m, 1 from {B.SEGMENTS}), k as (select * from (select *, row_number() over (partition by src, dst, metres order by o, id) n from o) where n = 1)
+ select k.id, k.src, k.dst, k.metres, case k.o when 0 then 'old' else 'new' end origin, min(b.id) reverse_id from k left join k b on b.src = k.dst and b.dst = k.src and b.metres = k.metres and b.src <> b.dst group by all""")
+def merged_topology(spark, d):
+    """An old topology and a wider one together, segments that both have once, each wired to the one that leads back."""
+    s = B.segments(spark, d).select("id", "src", "dst", F.col("distance_m").alias("metres"))
+    return topology.merged_scope(s.filter("id like 'a%'"), s.withColumn("id", F.concat(F.lit("new-"), "id")))
+
+
+def _all_pass(*names: str) -> str:
+    return " union all ".join(f"select '{n}' check_id, true pass, 0::bigint failures, '' sample" for n in names)
+
+
+@query(_all_pass("routes_found_by_both_policies", "policy_never_worsens_steps", "shortest_is_shortest", "segments_are_admissible", "same_endpoint_is_zero", "unknown_endpoint_fails_closed", "reversed_input_changes_nothing"))
+def routing_checks(spark, d):
+    """What must hold of routes under both policies, by names; a failing check names its requests."""
+    segments, asked = _segments(spark, d), _requests(spark, d)
+    soft = routing.cut(routing.routes(segments, asked, "avoid_known_steps_lower_ascent"))
+    hard = routing.cut(routing.routes(segments, asked, "shortest"))
+    again = routing.routes(segments.orderBy(F.desc("id")), asked, "shortest")
+    facts = lambda r, name: routing.evidence(r, segments).select("request", F.col("known_step_m").alias(f"{name}_step"), F.col("distance_m").alias(f"{name}_m"))
+    both = facts(soft, "soft").join(facts(hard, "hard"), "request")
+    outcome = soft.select("request", "outcome", "from_node", "to_node", "path").join(hard.select("request", F.col("outcome").alias("other")), "request")
+    used = soft.filter("outcome = 'ok'").select("request", F.explode("path").alias("id")).join(routing.admissible(segments), "id", "left_anti")
+    same = outcome.filter("from_node = to_node")
+    return contracts.checks({
+        "routes_found_by_both_policies": outcome.filter("outcome <> other").select(F.col("request").alias("id")),
+        "policy_never_worsens_steps": both.filter("soft_step > hard_step").select(F.col("request").alias("id")),
+        "shortest_is_shortest": both.filter("hard_m > soft_m").select(F.col("request").alias("id")),
+        "segments_are_admissible": used.select(F.col("request").alias("id")),
+        "same_endpoint_is_zero": same.filter("outcome <> 'ok' or size(path) > 0").select(F.col("request").alias("id")),
+        "unknown_endpoint_fails_closed": outcome.filter("(from_node is null or to_node is null) <> (outcome = 'unknown-endpoint')").select(F.col("request").alias("id")),
+        "reversed_input_changes_nothing": hard.join(again.select("request", F.col("path").alias("p")), "request").filter("not path <=> p").select(F.col("request").alias("id")),
+    })
+
+
+#: A made-up way may take the same nodes twice, which gives two chains of one name: the one check that can fail here.
+_TWICE = f"select id from ({oracle_sql()['topology_chains']}) group by id having count(*) > 1"
+
+
+@query(f"select 'chain_ids_unique' check_id, count(*) = 0 pass, count(*) failures, coalesce((select string_agg(id, ' ' order by id) from (select id from ({_TWICE}) order by id limit 50)), '') sample from ({_TWICE}) union all " + _all_pass("chains_have_length", "chain_ends_meaningful", "inner_nodes_pass_on", "pairs_covered_once", "scopes_known", "degrees_match", "reasons_known", "runs_never_bridge"))
+def topology_checks(spark, d):
+    """What must hold of a topology that was cut into chains, re-derived from its pairs."""
+    runs, nodes = _topology(spark, d)
+    runs, nodes = routing.cut(runs), routing.cut(nodes)
+    stops = nodes.filter(F.size("reasons") > 0)
+    chains = routing.cut(topology.chains(runs, stops))
+    ends = chains.select(F.col("from_node").alias("node")).union(chains.select("to_node"))
+    counted = runs.select(F.col("a").alias("node")).union(runs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    inner = nodes.filter(F.size("reasons") == 0)
+    whole = chains.groupBy("way").agg(F.sum("n_pairs").alias("n")).join(runs.groupBy("way").agg(F.count(F.lit(1)).alias("m")), "way", "full")
+    gaps = runs.groupBy("way", "run").agg((F.max("index") - F.min("index") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
+    known = F.array(*map(F.lit, topology.REASONS))
+    return contracts.checks({
+        "chain_ids_unique": chains.groupBy("id").count().filter("count > 1").select("id"),
+        "chains_have_length": chains.filter("n_pairs < 1 or metres < 0").select("id"),
+        "chain_ends_meaningful": ends.join(stops, "node", "left_anti").select(F.col("node").alias("id")),
+        "inner_nodes_pass_on": inner.filter("degree <> 2 or n_ways <> 1").select(F.col("node").alias("id")),
+        "pairs_covered_once": whole.filter("not n <=> m").select(F.col("way").alias("id")),
+        "scopes_known": runs.filter("scope not in ('inside', 'crossing')").select(F.col("way").alias("id")),
+        "degrees_match": nodes.join(counted, "node", "full").filter("not degree <=> n").select(F.col("node").alias("id")),
+        "reasons_known": nodes.filter(F.size(F.array_except("reasons", known)) > 0).select(F.col("node").alias("id")),
+        "runs_never_bridge": gaps.filter("span <> n").select(F.col("way").alias("id")),
+    })

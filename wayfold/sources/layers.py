@@ -9,18 +9,21 @@ from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()), T.StructField("elevation", T.DoubleType())])
 TAG = T.ArrayType(T.StructType([T.StructField("_k", T.StringType()), T.StructField("_v", T.StringType())]))
-WAY = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_version", T.StringType()), T.StructField("nd", T.ArrayType(T.StructType([T.StructField("_ref", T.StringType())]))), T.StructField("tag", TAG)])
-NODE = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("tag", TAG)])
+WAY = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_version", T.StringType()), T.StructField("_timestamp", T.StringType()), T.StructField("nd", T.ArrayType(T.StructType([T.StructField("_ref", T.StringType())]))), T.StructField("tag", TAG)])
+NODE = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_version", T.StringType()), T.StructField("_timestamp", T.StringType()), T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("tag", TAG)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_document(spark: SparkSession, path: str, rows: str, row: T.StructType, version: str | None = None) -> DataFrame:
-    """The rows of a layer document (one JSON object with a header), by their declared schema; malformed files and other versions fail."""
+def read_document(spark: SparkSession, path: str, rows: str, row: T.StructType, version: str | None = None, *, lines: bool = False) -> DataFrame:
+    """The rows of a layer document (a JSON object with a header), by their declared schema; malformed files and other versions fail.
+
+    With ``lines`` each line is a document, so that a large layer is many of them.
+    """
     schema = T.StructType([T.StructField("schema_version", T.StringType()), T.StructField(rows, T.ArrayType(row))])
-    header = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    header = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=not lines)
     if version is not None:
         wrong = F.raise_error(F.concat(F.lit("unsupported schema version "), F.coalesce("schema_version", F.lit("none"))))
         header = header.withColumn(rows, F.when(F.col("schema_version") == version, F.col(rows)).otherwise(wrong.cast(T.ArrayType(row))))
@@ -53,8 +56,71 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     return out.select("id", "lat", "lng", "tags", "tiles", (F.col("places") == 1).alias("consistent"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
+def reconciled_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, lat, lng, version, timestamp, tags, tiles) of all tiles; a node whose tiles disagree on its place fails.
+
+    Versions are compared as numbers, tags merged, a later file's over an earlier one's.
+    """
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(NODE).load(path).withColumn("file", F.input_file_name())
+    y, x = (F.round(F.col(c) * 1e7).cast("long") for c in ("_lat", "_lon"))
+    one = nodes.groupBy(F.col("_id").alias("id")).agg(F.min("_lat").alias("lat"), F.min("_lon").alias("lng"), F.count_distinct(y, x).alias("places"), F.max(F.col("_version").try_cast("long")).alias("version"), F.max("_timestamp").alias("timestamp"), F.array_sort(F.collect_set("file")).alias("tiles"))
+    fail = F.raise_error(F.concat(F.lit("node differs across tiles: "), F.col("id"))).cast("double")
+    one = one.withColumn("lat", F.when(F.col("places") == 1, F.col("lat")).otherwise(fail)).drop("places")
+    return one.join(_merged_tags(nodes), "id", "left").withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
+
+
+def _merged_tags(elements: DataFrame) -> DataFrame:
+    tags = elements.select(F.col("_id").alias("id"), "file", F.explode("tag").alias("t"))
+    last = tags.groupBy("id", F.col("t._k").alias("k")).agg(F.max_by("t._v", "file").alias("v"))
+    return last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
+
+
+def reconciled_ways(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+    """(id, refs, version, timestamp, tags, n_tiles, missing_refs) of all tiles; a way whose tiles disagree on its nodes or tags fails.
+
+    missing_refs are the nodes, each once, that no tile holds: a way may lead out of what was read.
+    """
+    ways = spark.read.format("xml").option("rowTag", "way").schema(WAY).load(path).withColumn("file", F.input_file_name())
+    refs = F.transform(F.coalesce("nd", F.array().cast(WAY["nd"].dataType)), lambda n: n["_ref"])
+    entries = F.array_sort(F.transform(F.coalesce("tag", F.array().cast(TAG)), lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))))
+    ways = ways.select(F.col("_id").alias("id"), refs.alias("refs"), entries.alias("entries"), "_version", "_timestamp", "file")
+    one = ways.groupBy("id").agg(F.min("refs").alias("refs"), F.max("refs").alias("_refs"), F.min("entries").alias("entries"), F.max("entries").alias("_entries"), F.max(F.col("_version").try_cast("long")).alias("version"), F.max("_timestamp").alias("timestamp"), F.count_distinct("file").alias("n_tiles"))
+    same = (F.col("refs") == F.col("_refs")) & (F.col("entries") == F.col("_entries"))
+    fail = F.raise_error(F.concat(F.lit("way differs across tiles: "), F.col("id"))).cast("array<string>")
+    one = one.withColumn("refs", F.when(same, F.col("refs")).otherwise(fail)).select("id", "refs", "version", "timestamp", F.map_from_entries("entries").alias("tags"), "n_tiles")
+    used = one.select("id", F.explode("refs").alias("ref"))
+    missing = used.join(nodes.select(F.col("id").alias("ref")), "ref", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("ref")).alias("missing_refs"))
+    return one.join(missing, "id", "left").withColumn("missing_refs", F.coalesce("missing_refs", F.array().cast("array<string>")))
+
+
+def wanted(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """The elements (id, ...) that a list of ids names; an id without an element fails."""
+    found = ids.select("id").distinct().join(elements.withColumn("_found", F.lit(True)), "id", "left")
+    fail = F.raise_error(F.concat(F.lit("wanted element is missing: "), F.col("id"))).cast("boolean")
+    return found.filter(F.when(F.col("_found"), F.lit(True)).otherwise(fail)).drop("_found")
+
+
+def read_elements(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
+    """Elements (type, id, ...) of JSON documents, one a line, each with a list ``elements``; of several with one type and id the last by file and place."""
+    schema = T.StructType([T.StructField("elements", T.ArrayType(row))])
+    docs = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name()).withColumn("line", F.monotonically_increasing_id())
+    each = docs.select("file", "line", F.posexplode("elements").alias("at", "e"))
+    return each.groupBy(F.col("e.type").alias("_type"), F.col("e.id").alias("_id")).agg(F.max_by("e", F.struct("file", "line", "at")).alias("e")).select("e.*")
+
+
+def canonical_json(columns: list[str]) -> Column:
+    """A row as JSON with its fields in order of their names, nulls included: the same text for the same row, whoever writes it."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def read_ids(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """(id) of a text file with one id a line. With ``expected``, a list of another length or with a repeated id fails."""
+    ids = spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
+    if expected is None:
+        return ids
+    counted = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d")).select(F.when((F.col("n") == expected) & (F.col("d") == expected), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("id list of "), F.col("n").cast("string"), F.lit(" rows, "), F.col("d").cast("string"), F.lit(" different"))).cast("boolean")).alias("_whole"), F.lit(1).alias("_one"))
+    # one row
+    return ids.withColumn("_one", F.lit(1)).join(F.broadcast(counted), "_one").filter("_whole").select("id")
 
 
 def write_layers(layers: dict[str, DataFrame], folder: str) -> DataFrame:
