@@ -29,7 +29,7 @@ LENGTH, GRAM = 200, 40
 #: Bytes that multikey sorting compares before blind tries take over.
 SHALLOW = 32
 #: Anchors with more distinct contexts than this are settled by a shuffle of their strings' hashes instead of one task's sort.
-LARGE = 1_000
+LARGE = 20_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
