@@ -40,8 +40,40 @@ def empty(df):
     return df.limit(0)
 
 
-def test_every_query_runs_alone(spark):
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+def test_one_query_for_each_operator():
+    assert sorted(n.split("_")[0] for n in queries.queries()) == sorted(f"op{i}" for i in range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    duck = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark", "conversations"):
+        duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = duck.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [tuple(r[c] for c in want.columns) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want.fetchall(), key=str)
+
+
+def _auc(score, label):
+    """The chance that a row of label 1 has a higher score than one of label 0, ties half."""
+    score, label = np.asarray(score), np.asarray(label)
+    ones, zeros = score[label == 1][:, None], score[label == 0][None, :]
+    return float((ones > zeros).mean() + (ones == zeros).mean() / 2)
+
+
+def test_folds_are_crc32_of_the_id(spark):
+    got = [r.f for r in spark.createDataFrame([(0,), (12,), (-7,), (None,)], "doc_id long").select(folds.fold(F.col("doc_id"), 4).alias("f")).collect()]
+    assert got == [zlib.crc32(x) % 4 for x in (b"0", b"12", b"-7", b"")]
+
+
+def test_labelled_sample_depends_on_rows_alone(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} " * (1 + i % 5)) for i in range(120)] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(100)] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    pick = lambda n, **o: [tuple(r) for r in folds.labelled_sample(docs.repartition(n), labels.repartition(n), "toxic", 20, **o).collect()]
+    assert pick(1) == pick(7) and len(pick(1)) <= 20
+    assert sum(len(t) for t, _ in pick(3, most_bytes=100)) <= 100 and len(pick(3, most_bytes=1)) == 1
 
 
 # -- 1, 4, 6: classifiers, by held-out accuracy -----------------------------------------------------------------------------------
@@ -50,7 +82,9 @@ def test_every_query_runs_alone(spark):
 def test_toxicity_held_out_and_odd(spark, docs, odd):
     sf = "/root/testdata/sf0.1"
     got = queries.op1_string_kernel_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
-    assert ((got.predicted == got.toxic)[got.held_out]).mean() > 0.95
+    held = got[got.held_out]
+    # by class, as toxic texts are few; some labels have no trace in their texts
+    assert held.predicted[held.toxic == 1].mean() > 0.9 and held.predicted[held.toxic == 0].mean() < 0.02 and _auc(held.score, held.toxic) > 0.95
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     for model in (toxicity.train(odd, labels), toxicity.train(odd, empty(labels))):
         scores = [r.score for r in toxicity.score(odd, model).collect()]
@@ -96,15 +130,63 @@ def test_language_held_out_and_odd(spark, docs, odd):
 
 
 def test_quality_held_out_and_odd(spark, odd):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.op6_neighbour_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
-    assert ((got.predicted == got.quality)[got.held_out]).mean() > 0.9
+    held = got[got.held_out]
+    assert held.predicted[held.quality == 1].mean() > 0.97 and held.predicted[held.quality == 0].mean() < 0.2 and _auc(held.score, held.quality) > 0.98
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None)], "doc_id long, quality int")
     for model in (quality.train(odd, labels), quality.train(odd, empty(labels))):
         scores = [r.score for r in quality.score(odd, model).collect()]
         assert len(scores) == 10 and all(0 <= s <= 1 for s in scores)
 
 
+def _trigram_vector(text, model_idf, gram=3, bits=13):
+    """TF-IDF of hashed byte trigrams, one by one, scaled to length one."""
+    data = text.encode()
+    counts = collections.Counter((int.from_bytes(data[i : i + gram], "big") + 1) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - bits for i in range(len(data) - gram + 1))
+    v = {f: (1 + math.log(n)) * float(model_idf[f]) for f, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return {f: x / norm for f, x in v.items()}
+
+
+def test_language_cosines_by_definition(spark, docs):
+    model = langid.train(docs)
+    plain = lambda t: re.sub("[^a-z\u0080-\uffff]+", " ", t.lower()).lstrip(" ")
+    rows = [r for r in docs.filter("length(text) between 40 and 4000").orderBy("doc_id").limit(25).collect()]
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        v = _trigram_vector(plain(r.text), model.idf)
+        cosine = [sum(x * float(c[f]) for f, x in v.items()) for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert got[r.doc_id].cosine == pytest.approx(cosine[best], abs=2e-4)
+        ranked = sorted((max(c for c, o in zip(cosine, model.owner) if o == i) for i in range(len(model.languages))), reverse=True)
+        if ranked[0] - ranked[1] > 1e-3:
+            assert got[r.doc_id].lang_pred == model.languages[model.owner[best]]
+            assert got[r.doc_id].score == pytest.approx(0.5 + 0.5 * (ranked[0] - ranked[1]) / ranked[0], abs=1e-3)
+        if abs(cosine[best] - model.radius[best]) > 1e-3:
+            assert got[r.doc_id].rejected == (cosine[best] < model.radius[best])
+    far = spark.createDataFrame([(1, "qxzq wvkj zzxq jjqw " * 20, "en")], "doc_id long, text string, lang string")
+    assert langid.predict(far, model).first().rejected
+    norms = np.linalg.norm(model.centroids, axis=1)
+    assert np.allclose(norms, 1, atol=1e-4) and all(collections.Counter(model.owner)[i] <= langid.CENTROIDS for i in range(len(model.languages)))
+
+
+def test_neighbours_vote_by_definition(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.filter("length(text) > 30").orderBy("doc_id").limit(30).collect():
+        chunk = next(K.chunks(pa.array([r.text])))
+        row, feature, value = quality._weighted(chunk)
+        x = sum(float(v) * model.basis[f].astype(float) for f, v in zip(feature, value))
+        x = x / max(np.linalg.norm(x), 1e-12)
+        near = sorted(((float(x @ v), float(y)) for v, y in zip(model.vectors.astype(float), model.labels)), reverse=True)
+        if near[quality.NEIGHBOURS - 1][0] - near[quality.NEIGHBOURS][0] < 1e-5:
+            continue  # a tie at the edge
+        weight = [max(c, 1e-3) ** quality.POWER for c, _ in near[: quality.NEIGHBOURS]]
+        assert got[r.doc_id] == pytest.approx(sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight), abs=2e-3)
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -479,19 +561,81 @@ def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch):
 # -- pipeline -------------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, docs, odd):
+def test_pipeline_stages(spark, docs):
+    """Each stage against a plain version of its rule, on what the one before kept."""
     before = docs
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, SF)
+        after = stage(spark, before, SF).cache()
         assert after.columns == [*docs.columns, *(["shard"] if name == "sharding" else [])]
-        n = after.count()
+        rows, ids = before.collect(), sorted(r.doc_id for r in after.collect())
         if name == "quality_rules":
-            kept = {r.doc_id for r in rules.judge(before).filter("kept").collect()}
-            assert {r.doc_id for r in after.select("doc_id").collect()} == kept
+            assert ids == sorted(r.doc_id for r in rules.judge(before).filter("kept").collect())
+            stats = {r.doc_id: _statistics(r.text) for r in rows}
+            assert all(stats[i][0] >= 10 and 100 * stats[i][4] <= 20 * stats[i][0] for i in ids)
         if name == "ngram_jaccard":
-            rows = before.collect()
             root = _components([r.doc_id for r in rows], list(_sets(r.text for r in rows)))
-            assert {r.doc_id for r in after.select("doc_id").collect()} == set(root.values())
-        assert n > 0
-        before = after.cache()
-    assert folds.fold(F.lit(12), 4) is not None and zlib.crc32(b"12") >= 0
+            assert ids == sorted(set(root.values()))
+        if name == "benchmark_decontamination":
+            items = [re.findall(r"[0-9a-z\u0080-\U0010ffff]+", r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert ids == sorted(r.doc_id for r in rows if not any(_overlaps(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (r.text or "").lower()), i) for i in items))
+        if name == "source_mixing":
+            size = lambda r: len((r.text or "").encode()) + 1
+            total = sum(map(size, rows))
+            held = collections.Counter()
+            for r in rows:
+                held[r.source if r.source in queries.MIX else "*"] += size(r)
+            share = queries.MIX | {"*": 1 - sum(queries.MIX.values())}
+            there = sum(share[k] for k in held)
+            want = collections.Counter()
+            for r in rows:
+                k = r.source if r.source in queries.MIX else "*"
+                rate = total * share[k] / there / held[k]
+                u = (int(hashlib.md5(f"mix/{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                n, p = 0, math.exp(-rate)
+                c = p
+                while c <= u:
+                    n, p = n + 1, p * rate / (n + 1)
+                    c += p
+                want[r.doc_id] += n
+            assert collections.Counter(ids) == +want
+        if name == "sharding":
+            draw = lambda i, k: -math.log((int(hashlib.md5(f"{i}/{k}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+            assert all(r.shard == min(range(16), key=lambda k: draw(r.doc_id, k)) for r in after.collect()) and len(ids) == len(rows)
+        assert ids
+        before = after
+
+
+def _overlaps(tokens, item):
+    """Whether 16 aligned tokens, or all of a shorter item, agree in 13 of 16."""
+    width = min(16, len(item))
+    for diagonal in range(-len(item), len(tokens)):
+        lo, hi = max(0, diagonal), min(len(tokens), diagonal + len(item))
+        equal = [tokens[i] == item[i - diagonal] for i in range(lo, hi)]
+        if len(equal) >= width and sum(equal) * 16 >= 13 * width and max(sum(equal[k : k + width]) for k in range(len(equal) - width + 1)) * 16 >= 13 * width:
+            return True
+    return False
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names pass every stage without harm, and so do no rows at all."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        assert set(out.columns) >= set(odd.columns)
+        n = collections.Counter(r.doc_id for r in out.collect())
+        if name == "quality_rules":
+            assert set(n) <= {1, 2, None} and stage(spark, odd, SF).filter("text is null").count() == 0
+        if name == "benchmark_decontamination":
+            assert n == collections.Counter(r.doc_id for r in odd.collect())
+        if name == "ngram_jaccard":
+            assert n == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 2}
+        if name == "sharding":
+            assert sum(n.values()) == 10
+        assert stage(spark, empty(odd), SF).count() == 0
+    out = suffixes.remove_repeats(odd).collect()
+    assert len(out) == 10 and all(r.kept == b"" for r in out if r.doc_id in (3, 4))
+
+
+def test_jaccard_takes_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([("b", text), ("a", text + " x"), ("c", "other words here"), (None, text)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.linked(rows).collect()} == {"a": "a", "b": "a", "c": "c", None: "a"}

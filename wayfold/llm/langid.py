@@ -37,7 +37,7 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def letters(c: K.Chunk) -> K.Chunk:
-    """A chunk's letters in lower case (ASCII and Latin-1); each run of anything else becomes one space."""
+    """A chunk's letters in lower case (ASCII and Latin-1); each run of anything else becomes one space, at a row's beginning none."""
     data = K.LOWER[c.data]
     if len(data) > 1:
         latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -46,6 +46,8 @@ def letters(c: K.Chunk) -> K.Chunk:
     data[plain] = 32
     keep = ~plain
     keep[1:] |= ~plain[:-1]
+    first = c.offsets[:-1][c.offsets[:-1] < len(data)]
+    keep[first] = ~plain[first]  # what the row before ends in doesn't matter
     kept = np.concatenate([[0], np.cumsum(keep)])
     return K.Chunk(c.first, data[keep], kept[c.offsets])
 
