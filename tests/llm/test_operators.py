@@ -540,6 +540,23 @@ def _removed(texts, length=200):
         yield len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
+def test_deep_shallow_sort_by_definition():
+    rng = np.random.default_rng(2)
+    group = np.sort(rng.integers(0, 9, 500))
+    key = rng.integers(0, 12, 500).astype(np.uint64) + np.uint64(1 << 63)
+    order, number = suffixes._quicksort(group, key)
+    pairs = list(zip(group[order], key[order]))
+    assert pairs == sorted(zip(group, key)) and sorted(order) == list(range(500))
+    assert [a == b for a, b in zip(number, number[1:])] == [a == b for a, b in zip(pairs, pairs[1:])]
+    for size in (0, 1, 3, 400):
+        data = rng.integers(97, 99, 3000).astype(np.uint8)
+        data[1000:1600] = data[:600]
+        start, bucket = rng.integers(0, 2600, size), rng.integers(0, 3, size)
+        own = [(b, data[a : a + 200].tobytes()) for a, b in zip(start, bucket)]
+        often = collections.Counter(own)
+        assert suffixes.repeated_suffixes(data, start, bucket).tolist() == [often[x] > 1 for x in own]
+
+
 def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch):
     rng = np.random.default_rng(9)
     shared = "".join(rng.choice(list("abcdefgh \n"), 900))

@@ -5,7 +5,7 @@ each (the least hash among its ``GRAM``-byte grams), so that equal strings have
 record stands for all neighbouring strings with the same anchor: about one for every 80 bytes. Spark groups
 the records by anchor. Where a record's whole context (all strings that share the anchor) is repeated, so is each of its strings.
 Only the contexts at a repetition's borders are left; their suffixes are sorted deep-shallow: by
-multikey sorting on eight bytes at a time down to ``SHALLOW`` bytes, and what still agrees by blind tries.
+multikey quicksort on eight bytes at a time down to ``SHALLOW`` bytes, and what still agrees by blind tries.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from wayfold.llm.storage import materialize, temporary
 
 #: Bytes of a string that counts as repeated, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 200, 40
-#: Bytes that multikey sorting compares before blind tries take over.
+#: Bytes that multikey quicksort compares before blind tries take over.
 SHALLOW = 32
 #: Anchors with more distinct contexts than this are settled by a shuffle of their strings' hashes instead of one task's sort.
 LARGE = 20_000
@@ -98,6 +98,31 @@ def _refine(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.cumsum(new) - 1
 
 
+def _quicksort(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_refine() for groups in order, by multikey quicksort: in every group at once, a key from its middle parts smaller, equal and larger ones.
+
+    Equal ones are done at this depth; the others are parted again until every key has been a pivot.
+    """
+    run = np.zeros(len(group), np.int64)  # where the run of equal keys that each belongs to begins
+    member = np.arange(len(group))
+    base = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1] if len(group) else member
+    while len(member):
+        edge = np.r_[True, base[1:] != base[:-1]]
+        first, part = np.flatnonzero(edge), np.cumsum(edge) - 1
+        size = np.diff(np.r_[first, len(member)])
+        own = key[member]
+        pivot = own[first + size // 2][part]
+        smaller, equal = own < pivot, own == pivot
+        below, level = np.bincount(part, smaller).astype(np.int64)[part], np.bincount(part, equal).astype(np.int64)[part]
+        base = base + np.where(smaller, 0, np.where(equal, below, below + level))
+        run[member[equal]] = base[equal]
+        member, base = member[~equal], base[~equal]
+        order = np.argsort(base, kind="stable")
+        member, base = member[order], base[order]
+    order = np.argsort(run, kind="stable")
+    return order, np.cumsum(np.r_[False, run[order][1:] != run[order][:-1]]) if len(run) else run
+
+
 def _in_company(group: np.ndarray) -> np.ndarray:
     """Which members of sorted groups aren't alone."""
     same = group[1:] == group[:-1]
@@ -110,7 +135,7 @@ def _in_company(group: np.ndarray) -> np.ndarray:
 def repeated_suffixes(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
     """Which suffixes data[start:] share their first ``length`` bytes with another suffix of their bucket.
 
-    Multikey sorting takes eight bytes for a character and drops suffixes that stand alone. At depth ``shallow`` the
+    Multikey quicksort takes eight bytes for a character and drops suffixes that stand alone. At depth ``shallow`` the
     remaining groups become blind tries: along the path of one leaf, each other suffix is compared with it once and
     joins the child that its first different byte names; the children are tries again.
     """
@@ -122,7 +147,7 @@ def repeated_suffixes(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, l
     keep = _in_company(group)
     who, group = order[keep], group[keep]
     for depth in range(0, shallow, 8):
-        order, group = _refine(group, word[start[who] + depth])
+        order, group = _quicksort(group, word[start[who] + depth])
         keep = _in_company(group)
         who, group = who[order][keep], group[keep]
     steps = np.arange(0, length, 8)
