@@ -86,21 +86,21 @@ def resample(vertices: DataFrame, spacing: float) -> DataFrame:
     return points.select("line", "k", F.round("at_m", 3).alias("at_m"), mixed("lat", "lat2").alias("lat"), mixed("lng", "lng2").alias("lng"), F.col("gap").alias("gap_m"))
 
 
-def profile_summary(samples: DataFrame) -> DataFrame:
+def profile_summary(samples: DataFrame, digits: int = 2) -> DataFrame:
     """(line, samples, start_m, end_m, low_m, high_m, ascent_m, descent_m, max_grade, min_grade) of elevations (line, k, z, gap_m) in order of k.
 
-    Grades are in percent over one gap, 0 for a line with one sample.
+    Metres are rounded to ``digits``; grades are in percent over one gap, 0 for a line with one sample.
     """
     delta = F.col("z") - F.lag("z").over(W.partitionBy("line").orderBy("k"))
     at = samples.withColumn("_d", delta)
-    total = lambda x: F.round(F.coalesce(F.sum(x), F.lit(0.0)), 2)
+    total = lambda x: F.round(F.coalesce(F.sum(x), F.lit(0.0)), digits)
     grade = F.col("_d") / F.col("gap_m") * 100
     return at.groupBy("line").agg(
         F.count(F.lit(1)).alias("samples"),
-        F.round(F.min_by("z", "k"), 2).alias("start_m"),
-        F.round(F.max_by("z", "k"), 2).alias("end_m"),
-        F.round(F.min("z"), 2).alias("low_m"),
-        F.round(F.max("z"), 2).alias("high_m"),
+        F.round(F.min_by("z", "k"), digits).alias("start_m"),
+        F.round(F.max_by("z", "k"), digits).alias("end_m"),
+        F.round(F.min("z"), digits).alias("low_m"),
+        F.round(F.max("z"), digits).alias("high_m"),
         total(F.greatest("_d", F.lit(0.0))).alias("ascent_m"),
         total(F.greatest(-F.col("_d"), F.lit(0.0))).alias("descent_m"),
         F.round(F.coalesce(F.max(grade), F.lit(0.0)), 2).alias("max_grade"),

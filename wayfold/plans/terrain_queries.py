@@ -144,7 +144,7 @@ _PROFILE_Z = _bilinear_sql(f"(select line, k, {_X} x, {_Y.format(rows=_ROWS)} y
 
 
 @query(f"""with z as materialized (select line, k, round(z, 6) z from ({_PROFILE_Z})), g as (select line, any_value(gap) gap from {_PROFILE} group by 1), s as (select z.*, z - lag(z) over (partition by line order by k) d, gap from z join g using (line))
- select line, count(*) samples, round(arg_min(z, k), 2) start_m, round(arg_max(z, k), 2) end_m, round(min(z), 2) low_m, round(max(z), 2) high_m, round(coalesce(sum(greatest(d, 0) order by k), 0), 2) ascent_m, round(coalesce(sum(greatest(-d, 0) order by k), 0), 2) descent_m,
+ select line, count(*) samples, arg_min(z, k) start_m, arg_max(z, k) end_m, min(z) low_m, max(z) high_m, round(coalesce(sum(greatest(d, 0) order by k), 0), 6) ascent_m, round(coalesce(sum(greatest(-d, 0) order by k), 0), 6) descent_m,
  round(coalesce(max(d / gap * 100), 0), 2) max_grade, round(coalesce(min(d / gap * 100), 0), 2) min_grade from s group by line""")
 def route_profiles(spark, d):
     """Elevations along each line at equal spacing, with climbs, ends and steepest grades."""
@@ -153,7 +153,7 @@ def route_profiles(spark, d):
     rows = _rows(spark, d)
     z = raster.bilinear(at.selectExpr("line", "k", f"{_X} x", f"{_Y.format(rows=rows)} y"), B.shape(spark, d, "raster"), _COLUMNS, rows, key=["line", "k"], clamp=True)
     spacing = at.groupBy("line").agg(F.max("gap_m").alias("gap_m"))
-    return sequences.profile_summary(z.select("line", "k", F.round("z", 6).alias("z")).join(spacing, "line"))
+    return sequences.profile_summary(z.select("line", "k", F.round("z", 6).alias("z")).join(spacing, "line"), digits=6)
 
 
 _META = ["n_nationkey id", "case n_nationkey % 7 when 0 then 'PNG' else 'TIFF' end format", "case n_nationkey % 5 when 0 then 16 else 32 end bits", "case n_nationkey % 11 when 0 then 2e0 else 1e0 end cell", "case n_nationkey % 6 when 0 then null else -9999e0 end nodata", "case n_nationkey % 8 when 0 then 4326 else 25832 end crs", "526677e0 + n_nationkey west", "5685981e0 north", "3098 width", "2096 + n_nationkey height"]
