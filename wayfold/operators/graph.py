@@ -138,18 +138,42 @@ def first_by_pair(edges: DataFrame, order: str) -> DataFrame:
 
 
 def minimum_spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, w, id) of the least spanning forest, ties by id: every component takes its cheapest way out, until none is left."""
+    """Edges (src, dst, w, id) of the least spanning forest, ties by id.
+
+    Every component takes its cheapest way out, until none is left. The ways chosen in a round point from component to component, and two that
+    point at each other are one edge, of which the smaller component becomes a root; pointers jump to their pointers until all reach one.
+    """
     labels = cut(nodes.select("node", F.col("node").alias("component")))
     edges = cut(edges.select("src", "dst", "w", "id"))
     taken = None
     while True:
         placed = edges.join(labels.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b")
-        ways = placed.select("src", "dst", "w", "id", "a").union(placed.select("src", "dst", "w", "id", F.col("b").alias("a")))
-        chosen = cut(ways.groupBy("a").agg(F.min(F.struct("w", "id", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.w", "e.id").distinct())
+        # what lies within a component is never needed again
+        edges = cut(placed.select("src", "dst", "w", "id", "a", "b"))
+        ways = edges.unionByName(edges.select("src", "dst", "w", "id", F.col("b").alias("a"), F.col("a").alias("b")))
+        chosen = cut(ways.groupBy("a").agg(F.min(F.struct("w", "id", "src", "dst", "b")).alias("e")).select("a", "e.*"))
+        edges = edges.select("src", "dst", "w", "id")
         if chosen.isEmpty():
             return taken if taken is not None else edges.limit(0)
-        taken = chosen if taken is None else cut(taken.union(chosen))
-        labels = components(nodes, taken)
+        new = chosen.select("src", "dst", "w", "id").distinct()
+        taken = cut(new if taken is None else taken.unionByName(new))
+        facing = chosen.select(F.col("a").alias("b"), F.col("id").alias("back"))
+        root = (F.col("back") == F.col("id")) & (F.col("a") < F.col("b"))
+        pointers = chosen.join(facing, "b").select("a", F.when(root, F.col("a")).otherwise(F.col("b")).alias("to"))
+        labels = cut(labels.join(_jumped(pointers), F.col("component") == F.col("a"), "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """(a, to) with every pointer moved to the root that it leads to; a root points at itself."""
+    pointers = cut(pointers)
+    while True:
+        now = pointers
+        for _ in range(2):  # each doubles the plan
+            now = now.join(now.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", F.col("far").alias("to"))
+        now = cut(now.join(pointers.withColumnRenamed("to", "before"), "a"))
+        pointers = now.select("a", "to")
+        if now.filter("to <> before").isEmpty():
+            return pointers
 
 
 def nearest_pairs(pairs: DataFrame, k: int) -> DataFrame:

@@ -458,7 +458,10 @@ def step_avoiding_routes(spark, d):
     return graph.shortest(edges, 0, [F.when(F.col("steps"), F.col("w")).otherwise(0), F.col("w")]).select("node", "cost_0", "cost_1")
 
 
-@_query()
+@_query(f"""with recursive q as materialized (select src + 1 a, dst + 1 b, row_number() over (order by w, id) nth from ({_EDGES}) where src <> dst),
+ t(nth, labels, taken) as (select 0::bigint, (select list(p_partkey order by p_partkey) from part), []::bigint[] union all
+  select q.nth, case when labels[q.a] = labels[q.b] then labels else list_transform(labels, lambda x: case when x = labels[q.b] then labels[q.a] else x end) end, case when labels[q.a] = labels[q.b] then taken else list_append(taken, q.nth) end from t join q on q.nth = t.nth + 1),
+ e as (select id, src, dst, w, row_number() over (order by w, id) nth from ({_EDGES}) where src <> dst) select src, dst, w, id from e where nth in (select unnest(taken) from t where nth = (select max(nth) from q))""")
 def spanning_backbone(spark, d):
     """The least spanning forest, over all parts."""
     return graph.minimum_spanning_forest(B.graph_nodes(spark, d), B.graph_edges(spark, d))
