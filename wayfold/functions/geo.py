@@ -16,10 +16,14 @@ MERCATOR_EDGE = 85.05112878
 UTM_A, UTM_F, UTM_K0, UTM_LON0, UTM_FALSE_EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 9.0, 500000.0
 
 
+def haversine_square(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """The square of the sine of half the angle between two points: it grows with their distance, and needs no root."""
+    return F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
+
+
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(a))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(haversine_square(lat1, lng1, lat2, lng2)))
 
 
 def surface_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -32,7 +36,7 @@ def surface_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) ->
 
 def haversine_atan2(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres by the form that stays exact for antipodes."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
+    a = haversine_square(lat1, lng1, lat2, lng2)
     return 2 * EARTH_RADIUS_M * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
 
 

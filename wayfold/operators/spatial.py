@@ -13,6 +13,8 @@ from wayfold.sources.scratch import cut
 
 #: Half of the earth's circumference: no two points are farther apart.
 HALF_TURN_M = math.pi * geo.EARTH_RADIUS_M
+#: Distances are rounded to millimetres before they are compared, so that cells have to be a little wider than the radius.
+ROUNDED_M = 0.001
 
 
 def _columns_of(band: Column, metres: float, height: float) -> Column:
@@ -30,21 +32,26 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float) -> DataFrame
     band's latitude, around the whole earth. The right side is copied into the nine cells around it (fewer near the poles),
     then the exact distance decides. Only points of neighbouring cells meet; points without coordinates meet none.
     """
-    height = math.degrees(metres / geo.EARTH_RADIUS_M) * (1 + 1e-9)
+    reach = metres + ROUNDED_M
+    height = math.degrees(reach / geo.EARTH_RADIUS_M)
     band = F.floor(F.col("lat") / height)
-    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, metres, height))
+    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, reach, height))
 
     def around(step: int) -> Column:
-        n = _columns_of(band + step, metres, height)
+        n = _columns_of(band + step, reach, height)
         return F.array_distinct(F.array(*(F.struct((band + step).alias("y"), F.pmod(cell(band + step) + i, n).alias("x")) for i in (-1, 0, 1))))
 
     near = right.select(F.col("id").alias("other"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("_c"))
     pairs = left.withColumn("_y", band).withColumn("_x", cell(band)).join(near.select("other", "o_lat", "o_lng", F.col("_c.y").alias("_y"), F.col("_c.x").alias("_x")), ["_y", "_x"])
+    # most pairs of neighbouring cells are too far: that shows before roots and rounding
+    square = geo.haversine_square(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng"))
+    most = math.sin(min(reach / (2 * geo.EARTH_RADIUS_M), math.pi / 2)) ** 2 * (1 + 1e-9)
+    near = pairs.filter((F.abs(F.col("lat") - F.col("o_lat")) <= height) & (square <= most)) if most < 1 else pairs
     distance = F.round(geo.haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")), 3)
-    return pairs.select("id", "other", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
+    return near.select("id", "other", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
 
 
-def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *, rings: int = 2) -> DataFrame:
+def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *, rings: int = 1) -> DataFrame:
     """Each left point's ``k`` nearest right points within ``metres``, ties by id: (id, other, distance_m, rank). Left ids are unique.
 
     Small circles first: a point that has ``k`` within a quarter of the radius needs no wider search, as whatever lies beyond is farther.
@@ -52,8 +59,7 @@ def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *,
     """
     found = None
     for i in range(rings, -1, -1):
-        reach = metres / 4**i
-        ranked = within_radius(left, right, reach)
+        ranked = within_radius(left, right, metres / 4**i)
         by = W.partitionBy("id").orderBy("distance_m", "other")
         ranked = ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
         if i:
@@ -115,12 +121,13 @@ def with_near(points: DataFrame, places: DataFrame, metres: float, *, out: str =
     Places are gathered by grid cell, each in the nine cells that it can be near to, and points look their own cell up: one left join,
     which streams can do too. For places of bounded density; points of any number, with any columns and repeated ids.
     """
-    height = math.degrees(metres / geo.EARTH_RADIUS_M) * (1 + 1e-9)
+    reach = metres + ROUNDED_M
+    height = math.degrees(reach / geo.EARTH_RADIUS_M)
     band = F.floor(F.col("lat") / height)
-    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, metres, height))
+    cell = lambda b: F.floor((geo.longitude(F.col("lng")) + 180) / 360 * _columns_of(b, reach, height))
 
     def around(step: int) -> Column:
-        n = _columns_of(band + step, metres, height)
+        n = _columns_of(band + step, reach, height)
         return F.array_distinct(F.array(*(F.struct((band + step).alias("y"), F.pmod(cell(band + step) + i, n).alias("x")) for i in (-1, 0, 1))))
 
     dealt = places.select("id", "lat", "lng", F.explode(F.concat(*(around(i) for i in (-1, 0, 1)))).alias("_c"))
