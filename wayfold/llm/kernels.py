@@ -96,13 +96,13 @@ class Words(NamedTuple):
     per_doc: np.ndarray  #: words of each row
 
 
-def words(c: Chunk) -> Words:
-    """Maximal runs of bytes that aren't white space, in order."""
+def words(c: Chunk, between: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes that aren't ``between`` (a flag for each byte value; white space if not given), in order."""
     n = len(c.data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(c.rows, np.int64))
-    inside = ~SPACE[c.data]
+    inside = ~between[c.data]
     first = np.zeros(n + 1, bool)
     first[c.offsets] = True  # a row's first byte starts a word even where the row before ends in one
     begins = inside.copy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, quality, rules, sharding, suffixes, toxicity
+from wayfold.llm import chat, decontam, folds, importance, jaccard, langid, mixing, neighbours, quality, repair, rules, sharding, suffixes, toxicity
 
 SHARDS = 16
 #: Shares of the mix in UTF-8 bytes; all other sources keep their proportions in the rest.
@@ -77,8 +77,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(turns, repair.damage(turns))
+
+
+def op13_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_string_kernel_toxicity, op2_chat_windows, op3_rendezvous_shards, op4_centroid_language, op5_token_group_join, op6_neighbour_quality, op7_perplexity_rules, op8_poisson_mix, op9_spaced_seed_decontam, op10_suffix_dedup, op11_importance_resampling, op12_conversation_repair, op13_collision_neighbours)}
 
 
 _DRAW = "(('0x' || substr(md5(concat({key})), 1, 13))::bigint::double + 0.5) / 4503599627370496e0"
@@ -89,7 +102,9 @@ def _shard_sql(n: int) -> str:
     return f"select d.doc_id, d.size, d.text_crc32, arg_min(s.range, (-ln({draw}), s.range)) shard from d, range({n}) s group by all"
 
 
-_CRC = """table256 as (select list(list_reduce([range, 1, 2, 3, 4, 5, 6, 7, 8]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by range) t from range(256)),
+_TABLE256 = """table256 as (select list(list_reduce([range, 1, 2, 3, 4, 5, 6, 7, 8]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by range) t from range(256))"""
+
+_CRC = f"""{_TABLE256},
  bytes as (select doc_id, octet_length(encode(coalesce(text, ''))) + 1 size, hex(encode(coalesce(text, ''))) h from documents),
  d as (select doc_id, size, xor(list_reduce([4294967295]::bigint[] || list_transform(range(size - 1), lambda i: ('0x' || substr(h, cast(2 * i + 1 as bigint), 2))::bigint), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) text_crc32 from bytes, table256)"""
 
@@ -163,6 +178,43 @@ _OP9 = f"""with i as materialized (select item_id, t, len(t) n, least(len(t), 16
  select doc_id, count(item_id) > 0 contaminated, count(item_id) n_items from d left join o using (doc_id) group by doc_id"""
 
 
+def _crc_of(h: str) -> str:
+    """crc32 of the bytes that the hexadecimal string ``h`` holds, with ``t`` of table256."""
+    byte = f"('0x' || substr({h}, cast(2 * i + 1 as bigint), 2))::bigint"
+    return f"xor(list_reduce([4294967295]::bigint[] || list_transform(range(length({h}) // 2), lambda i: {byte}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP11 = f"""with {_TABLE256}, d as materialized (select doc_id, {_FEATURES} w from documents), b as (select {_FEATURES} w from benchmark),
+ df as materialized (select doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g from d), bf as materialized (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g from b),
+ h as (select g, hex(encode(g)) h from (select g from df union select g from bf)), k as materialized (select g, {_crc_of('h')} % 10000 bucket from h, table256),
+ s as (select bucket, count(*) n from df join k using (g) group by 1), t as (select bucket, count(*) n from bf join k using (g) group by 1),
+ x as (select range bucket, coalesce(s.n, 0)::double s, coalesce(t.n, 0)::double t, (select count(*) from df)::double ss, (select count(*) from bf)::double tt from range(10000) r left join s on s.bucket = range left join t on t.bucket = range),
+ gain as materialized (select bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) gain from x),
+ w as materialized (select doc_id, count(*) n_features, cast(floor(sum(gain) / count(*)) as bigint) weight from df join k using (g) join gain using (bucket) group by doc_id),
+ z as (select d.doc_id, len(d.w) n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint u from d left join w using (doc_id)),
+ y as (select *, cast(weight + floor(-1000 * ln(-ln((u + 0.5e0) / 4294967296e0))) as bigint) score from z), o as (select *, row_number() over (order by score desc, doc_id) r from y where n_words >= 20)
+ select y.doc_id, y.n_features, y.weight, y.score, case when o.r <= (select 25 * count(*) // 100 from o) then o.r end "rank" from y left join o using (doc_id)"""
+
+#: States: 0 nothing yet, 1 after the system turn, 2 after a user's, 3 after an assistant's. Each edit of a turn may follow up to two insertions.
+_OP12 = f"""with recursive {_TABLE256}, c as (select conv_id, turn, coalesce(role, ' ') "role", coalesce(text, ' ') text, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) h from conversations),
+ k as materialized (select conv_id, turn, "role", text, {_crc_of('h')} % 20 kind from c, table256),
+ d as (select conv_id, turn, case kind when 4 then 'user' else "role" end "role", case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) from k),
+ f as (select conv_id, turn, "role", text, left("role", 1) i, row_number() over (partition by conv_id order by turn nulls first, "role", text) pos, lag(left("role", 1)) over (partition by conv_id order by turn nulls first, "role", text) before from d),
+ n as (select *, row_number() over (partition by conv_id, "role", text order by pos) nth from f),
+ g as materialized (select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when nth > 1 then 'duplicate' when right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) not in ('.', '!', '?') then 'truncated' else '' end fault from n),
+ ins(x, y, added, says) as (values (0, 0, '', []::varchar[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (3, 3, 'II', ['user:', 'assistant:'])),
+ edit(x, y, letter, initial, price) as (values (0, 0, 'D', null, 4), (1, 1, 'D', null, 4), (2, 2, 'D', null, 4), (3, 3, 'D', null, 4), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (0, 2, 'R', null, 3), (1, 2, 'R', null, 3), (3, 2, 'R', null, 3), (2, 3, 'R', null, 3)),
+ w(conv_id, pos, state, cost, audit, said) as (select distinct conv_id, 0::bigint, 0, 0, '', []::varchar[] from g union all
+  select g.conv_id, g.pos, edit.y, w.cost + 3 * len(added) + price + case when fault = 'truncated' and letter <> 'D' then 3 else 0 end cost, audit || added || letter, said || says || case letter when 'D' then [] when 'K' then ["role" || ':' || text] else [case edit.y when 2 then 'user:' else 'assistant:' end || text] end
+  from w join g on g.conv_id is not distinct from w.conv_id and g.pos = w.pos + 1 join ins on ins.x = w.state join edit on edit.x = ins.y and (initial is null or initial = i) and (letter = 'D' or fault not in ('blank', 'duplicate'))
+  qualify row_number() over (partition by g.conv_id, edit.y order by w.cost + 3 * len(added) + price + case when fault = 'truncated' and letter <> 'D' then 3 else 0 end, audit || added || letter) = 1),
+ a as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated, count(*) filter (before || i not in ('su', 'ua', 'au')) illegal, max(pos) n from g group by 1),
+ e as (select w.conv_id, arg_min({{'cost': cost + 3 * len(added), 'audit': audit || added, 'said': said || says}}, (cost + 3 * len(added), audit || added)) best from w join a on a.conv_id is not distinct from w.conv_id and a.n = w.pos join ins on ins.x = state where y in (0, 3) group by 1)
+ select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, cast(coalesce(best.cost, 0) as bigint) "cost", coalesce(best.audit, '') audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) repaired_sha256
+ from (select distinct conv_id from conversations) o left join a on a.conv_id is not distinct from o.conv_id left join e on e.conv_id is not distinct from o.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """None where SQL has no form for the method: tests hold those against brute force or held-out labels."""
-    return {"op2_chat_windows": _OP2, "op5_token_group_join": _OP5, "op3_rendezvous_shards": _OP3, "op8_poisson_mix": _OP8, "op9_spaced_seed_decontam": _OP9, "op10_suffix_dedup": _OP10}
+    return {"op2_chat_windows": _OP2, "op5_token_group_join": _OP5, "op3_rendezvous_shards": _OP3, "op8_poisson_mix": _OP8, "op9_spaced_seed_decontam": _OP9, "op10_suffix_dedup": _OP10, "op11_importance_resampling": _OP11, "op12_conversation_repair": _OP12}
