@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import chat, decontam, folds, jaccard, langid, mixing, quality, queries, rules, sharding, suffixes, toxicity
+from wayfold.llm import chat, decontam, folds, importance, jaccard, langid, mixing, neighbours, quality, queries, repair, rules, sharding, suffixes, toxicity
 from wayfold.llm import kernels as K
 from wayfold.llm.components import components
 
@@ -41,7 +41,7 @@ def empty(df):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(n.split("_")[0] for n in queries.queries()) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.queries()) == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -656,3 +656,201 @@ def test_jaccard_takes_ids_of_any_type(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([("b", text), ("a", text + " x"), ("c", "other words here"), (None, text)], "doc_id string, text string")
     assert {r.doc_id: r.component_id for r in jaccard.linked(rows).collect()} == {"a": "a", "b": "a", "c": "c", None: "a"}
+
+
+# -- 11: importance resampling -------------------------------------------------------------------------------------------------------
+
+
+def _resampled(rows, target, share=25, seed=7):
+    """The contract in plain Python: (doc_id, n_features, weight, score, rank)."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+
+    def buckets(text):
+        w = word.findall((text or "").translate(low))
+        return len(w), [zlib.crc32(g.encode()) % 10000 for g in w + [f"{a} {b}" for a, b in itertools.pairwise(w)]]
+
+    def counts(texts):
+        return collections.Counter(b for x in texts for b in buckets(x)[1])
+
+    s, t = counts(x for _, x in rows), counts(target)
+    total_s, total_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (total_s + 10000) / ((s[b] + 1) * (total_t + 10000)))) for b in range(10000)]
+    out = []
+    for doc, text in rows:
+        n, b = buckets(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[x] for x in b) // len(b) if b else 0
+        out.append([doc, len(b), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n >= 20])
+    fit = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for i, r in enumerate(fit[: share * len(fit) // 100]):
+        r[4] = i + 1
+    return sorted((tuple(r[:5]) for r in out), key=str)
+
+
+def test_resampling_against_plain_python(spark, docs):
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = importance.resample(docs.repartition(5), spark.createDataFrame([(t,) for t in target], "text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _resampled(rows, target)
+
+
+@pytest.mark.parametrize("share", [0, 25, 100])
+def test_resampling_on_odd_rows(spark, odd, share):
+    target = spark.createDataFrame([("one two three",), (None,), ("",)], "text string")
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(9, "alpha BETA gamma " * 9), (10, "alpha beta gamma " * 9), (10, "alpha beta gamma " * 9)]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumn("weight", F.lit("x")).withColumn("part", F.lit(1))
+    got = importance.resample(more, target, share=share).collect()
+    assert sorted((tuple(r) for r in got), key=str) == _resampled(rows, ["one two three", None, ""], share)
+    assert importance.resample(empty(more), target).collect() == []
+    assert len(importance.resample(more, empty(target)).collect()) == len(rows)
+    by_name = importance.resample(more.withColumn("doc_id", F.col("doc_id").cast("string")), target, share=share).collect()
+    assert sorted(r.score for r in by_name) == sorted(r.score for r in got)
+
+
+def test_one_dictionary_serves_every_length(spark):
+    text = pa.array(["The cat, the CAT sat", None, "", "x", "ünï cat sat the cat"])
+    for longest in (1, 2, 3):
+        (c,) = K.chunks(text)
+        f = importance.features(c, 1 << 20, longest)
+        want = []
+        for row, words in enumerate([["the", "cat", "the", "cat", "sat"], [], [], ["x"], ["ünï", "cat", "sat", "the", "cat"]]):
+            want += [(row, zlib.crc32(" ".join(words[i : i + n]).encode()) % (1 << 20)) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+        assert sorted(zip(f.row.tolist(), f.bucket.tolist(), strict=True)) == sorted(want)
+        assert f.n_words.tolist() == [5, 0, 0, 1, 5]
+
+
+# -- 12: conversation repair ---------------------------------------------------------------------------------------------------------
+
+
+def _best_edits(initials, faults):
+    """The cheapest edits by trying every role sequence that is allowed: (cost, audit)."""
+    best = None
+    n = len(initials)
+    for head, pairs in [("", k) for k in range(n + 2)] + [("s", k) for k in range(1, n + 2)]:
+        goal = head + "ua" * pairs
+        ways = {(0, 0): (0, "")}  # turns used and letters made: the best so far
+        for i in range(n + 1):
+            for j in range(len(goal) + 1):
+                if (i, j) not in ways:
+                    continue
+                cost, audit = ways[i, j]
+                nexts = []
+                if j < len(goal) and goal[j] in "ua":
+                    nexts.append((i, j + 1, 3, "I"))
+                if i < n:
+                    nexts.append((i + 1, j, 4, "D"))
+                    if j < len(goal) and faults[i] not in ("blank", "duplicate"):
+                        extra = 3 * (faults[i] == "truncated")
+                        if initials[i] == goal[j]:
+                            nexts.append((i + 1, j + 1, extra, "K"))
+                        if goal[j] in "ua":
+                            nexts.append((i + 1, j + 1, 3 + extra, "R"))
+                for a, b, price, letter in nexts:
+                    way = (cost + price, audit + letter)
+                    if (a, b) not in ways or way < ways[a, b]:
+                        ways[a, b] = way
+        if (n, len(goal)) in ways and (best is None or ways[n, len(goal)] < best):
+            best = ways[n, len(goal)]
+    return best
+
+
+def test_repair_against_every_role_sequence(spark):
+    random = np.random.default_rng(3)
+    texts = ["Fine.", "Fine.", "Good?", "cut off", " \n", "", "So!  ", "x"]
+    rows = [(c, t, str(random.choice(["system", "user", "assistant", "tool", "user", "assistant"])), str(random.choice(texts))) for c in range(60) for t in range(int(random.integers(0, 8)))]
+    got = {r.conv_id: r for r in repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for conv, r in got.items():
+        turns = sorted(x[1:] for x in rows if x[0] == conv)
+        faults, seen = [], set()
+        for _, role, text in turns:
+            solid = text.strip(" \n")
+            faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "none")
+            seen.add((role, text))
+        assert (r.cost, r.audit) == _best_edits([role[0] for _, role, _ in turns], faults), turns
+        roles = [x.split(":")[0][0] for x in r.repaired]
+        assert re.fullmatch("(s?(ua)+)?", "".join(roles)) and len(roles) == len(r.audit) - r.audit.count("D")
+        assert (r.blank, r.duplicate, r.truncated) == tuple(faults.count(k) for k in ("blank", "duplicate", "truncated"))
+
+
+def test_repair_by_hand_and_odd(spark):
+    schema = "conv_id long, turn long, role string, text string, fault int, cost string"
+    rows = [
+        (1, 0, "user", "Hi."), (1, 1, "assistant", "Ho."),
+        (2, 5, "assistant", "Ho."), (2, None, "user", "Hi."), (2, 9, None, None),
+        (None, 1, "user", "a."), (None, 1, "user", "a."), (None, 3, "Assistant", "b"),
+        (3, 0, "system", "S."), (4, None, None, None), (5, 0, "user", "w " * 5000 + "."),
+    ]
+    df = spark.createDataFrame([(*r, i, "q") for i, r in enumerate(rows)], schema)
+    got = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired) for r in repair.repair(df).collect()}
+    assert got[1] == (0, 0, 0, 0, 0, 0, "KK", ["user:Hi.", "assistant:Ho."])
+    assert got[2] == (3, 1, 0, 0, 1, 4, "KKD", ["user:Hi.", "assistant:Ho."])
+    assert got[None][:7] == (1, 0, 1, 1, 2, 10, "KDR") and got[None][7] == ["user:a.", "assistant:b"]
+    assert got[3] == (0, 0, 0, 0, 0, 4, "D", []) and got[4] == (0, 1, 0, 0, 0, 4, "D", [])
+    assert got[5][5:7] == (3, "KI")
+    assert repair.repair(empty(df)).collect() == [] and repair.report(empty(df), empty(df)).collect() == []
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "", nothing) for r in repair.report(df, empty(df)).collect())
+    assert repair.report(df, empty(df)).count() == 6
+
+
+# -- 13: nearest neighbours ----------------------------------------------------------------------------------------------------------
+
+
+def _brute(rows, k):
+    """(query_id, rank) -> (vec_id, score) of all rows whose id is divisible by 20."""
+    out = {}
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), n) for j, (n, x) in enumerate(rows) if j != i and len(x) == len(v))[:k]
+            out |= {(q, r + 1): (n, -s) for r, (s, n) in enumerate(best)}
+    return out
+
+
+def test_neighbours_recall_against_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
+    want = _brute(rows, 20)
+    got = neighbours.nearest(df.repartition(3), F.col("vec_id") % 20 == 0, block=128, group=8).collect()
+    assert len(got) == len(want) == len({(r.query_id, r["rank"]) for r in got})
+    found, hoped = collections.defaultdict(set), collections.defaultdict(set)
+    exact = dict(rows)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(sum(a * b for a, b in zip(exact[r.query_id], exact[r.vec_id], strict=True)), abs=1e-12) and r.vec_id != r.query_id
+    for (q, _), (n, _) in want.items():
+        hoped[q].add(n)
+    assert sum(len(found[q] & hoped[q]) for q in hoped) >= 0.95 * len(want)
+
+
+def test_neighbours_of_skewed_norms_ties_and_copies(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, (random.standard_normal(8) * 10.0 ** float(random.uniform(-2, 2))).tolist()) for i in range(300)]
+    rows += [(300 + i, [1.0] * 8) for i in range(150)] + [(1000 + i, [0.5, -0.5]) for i in range(41)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, block=64, group=4).collect()
+    want = _brute(rows, 5)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got if r.query_id >= 300} == {k: v[0] for k, v in want.items() if k[0] >= 300}
+    hit = sum(want[r.query_id, r["rank"]][0] == r.vec_id for r in got)
+    assert len(got) == len(want) and hit >= 0.9 * len(want)
+
+
+def test_neighbours_on_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, None), (40, []), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (None, [1.0, 1.0]), (140, [3.0]), (7, [-0.0, 1.0]), (9, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "vec_id long, embedding array<float>, block int, key string")
+    ask = F.col("vec_id") % 20 == 0
+    got = sorted(tuple(r) for r in neighbours.nearest(df, ask).collect())
+    assert got == sorted([(0, 1, 0, 5.0), (0, 2, 7, 2.0), (0, 3, 9, 2.0)] * 2)
+    assert neighbours.nearest(empty(df), ask).collect() == []
+    assert neighbours.nearest(df, F.col("vec_id") == 5).collect() == []
+
+
+def test_collisions_need_not_be_complete():
+    """A vector at the windows' radius is verified with a chance of 0.9, and windows that hold everything miss nothing."""
+    random = np.random.default_rng(9)
+    near = sum(np.sum(np.abs(random.standard_normal(neighbours.PROJECTIONS)) <= neighbours.HALF_WIDTH) >= neighbours.threshold() for _ in range(2000)) / 2000
+    assert near >= 0.88
+    vectors = random.standard_normal((50, 6))
+    for found, product in neighbours.search(neighbours.build(vectors), vectors[:3], 100):
+        assert sorted(found.tolist()) == list(range(50)) and len(product) == 50
