@@ -4,7 +4,7 @@ A block of vectors is put on the unit sphere with one more coordinate, so that t
 ``PROJECTIONS`` random directions gives the block a sorted array. Around a query's own place in every array a window opens; virtual rehashing widens all windows
 together, radius by radius, and only what a window gains is counted. A vector that has collided in enough arrays is verified by its exact
 inner product. The search of a block ends when the windows suit the radius of the k-th best found: what is nearer would have collided
-often enough with a probability of 0.95. If they come to hold everything, the search is exact.
+often enough with a probability of 0.9 or more. If they come to hold everything, the search is exact.
 
 Equal vectors are one entry of the index with their smallest ids, and equal queries are searched once. Blocks hold vectors of similar
 norms; queries meet blocks in groups, so that neither side of a task grows with the input.
@@ -12,6 +12,7 @@ norms; queries meet blocks in groups, so that neither side of a task grows with
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from wayfold.llm.storage import materialize
 
 #: Sorted arrays, and half a window's width at radius 1.
-PROJECTIONS, HALF_WIDTH = 64, 0.7
-#: How many standard deviations below a near vector's expected collisions the threshold lies: it misses one in twenty.
-MARGIN = 1.645
+PROJECTIONS, HALF_WIDTH = 32, 0.7
+#: How many standard deviations below a near vector's expected collisions the threshold lies: at the windows' own radius it misses one in ten, nearer fewer.
+MARGIN = 1.28
 #: Radii of virtual rehashing, closer together where the distances of most vectors of many components lie; at last everything.
 RADII = np.concatenate([2.0 ** np.arange(-2, -0.5, 0.5), 2.0 ** np.arange(-0.5, 0.6, 0.125), [2.0, np.inf]])
 #: Distinct vectors of a block and queries of a group: the two sides of a task.
@@ -75,6 +76,7 @@ def search(index: Index, queries: np.ndarray, k: int, need: int | None = None) -
     radii = HALF_WIDTH * RADII
     size = np.linalg.norm(queries, axis=1)
     centre = (queries / size[:, None]) @ index.directions[:-1]
+    first = 0  # windows open a little below the radius at which the query before ended
     for base in range(0, len(queries), 256):
         c = centre[base : base + 256]
         low, high = np.empty((len(radii), len(c), m), np.int64), np.empty((len(radii), len(c), m), np.int64)
@@ -85,13 +87,10 @@ def search(index: Index, queries: np.ndarray, k: int, need: int | None = None) -
             query, norm = queries[base + j], size[base + j]
             seen, verified = np.zeros(n, np.int64), np.zeros(n, bool)
             found, product = np.zeros(0, np.int64), np.zeros(0)
-            a = b = None
-            for r, radius in enumerate(RADII):
+            a = b = low[first, j]
+            for r, radius in enumerate(RADII[first:], first):
                 lo, hi = low[r, j], high[r, j]
-                if a is None:
-                    gained = [index.order[i, lo[i] : hi[i]] for i in range(m)]
-                else:
-                    gained = [index.order[i, x:y] for i in range(m) for x, y in ((lo[i], a[i]), (b[i], hi[i])) if x < y]
+                gained = [index.order[i, x:y] for i in range(m) for x, y in ((lo[i], a[i]), (b[i], hi[i])) if x < y]
                 a, b = lo, hi
                 if gained:
                     seen += np.bincount(np.concatenate(gained), minlength=n)
@@ -104,15 +103,34 @@ def search(index: Index, queries: np.ndarray, k: int, need: int | None = None) -
                     kth = np.partition(product, len(product) - min(k, n))[len(product) - min(k, n)]
                     if radius * radius >= 2 - 2 * kth / (norm * index.scale):
                         # what ties with the k-th but for the last bits stays, so that only the exact sums decide
-                        near = product >= kth - 1e-9 * norm * index.scale
-                        found = found[near]
+                        found = found[product >= kth - 1e-9 * norm * index.scale]
+                        first = max(0, r - 2)
                         break
             yield found, products(index.vectors[found], query)
 
 
-def _search_block(k: int, projections: int, key: pa.Field):
-    names = ["query", "vec_id", "score"]
-    schema = pa.schema([pa.field("query", key.type), pa.field("vec_id", pa.int64()), pa.field("score", pa.float64())])
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose vector can be searched, with a digest of the vector and the band of its norm; negative zeros become zeros."""
+    for batch in batches:
+        lists = batch.column("vector")
+        offsets, filled = lists.offsets.to_numpy().astype(np.int64), lists.is_valid().to_numpy(zero_copy_only=False)
+        values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # null becomes NaN
+        sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+        bad, solid = sums(~np.isfinite(values)), sums(values != 0)
+        keep = np.flatnonzero(filled & (bad[offsets[1:]] == bad[offsets[:-1]]) & (solid[offsets[1:]] > solid[offsets[:-1]]))
+        if not len(keep):
+            continue
+        parts = [values[offsets[i] : offsets[i + 1]] for i in keep]
+        norm = np.array([np.linalg.norm(x / np.abs(x).max()) * np.abs(x).max() for x in parts])
+        clean = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+        keys = pa.array([hashlib.md5(x.tobytes()).digest() for x in parts], pa.binary())
+        take = pa.array(keep)
+        band = pa.array(np.floor(np.log2(norm) / math.log2(BAND) + 1e-6).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), clean, batch.column("asks").take(take), keys, band], ["id", "vector", "asks", "key", "band"])
+
+
+def _search_block(k: int, projections: int):
+    schema = pa.schema([pa.field("query", pa.binary()), pa.field("vec_id", pa.int64()), pa.field("score", pa.float64())])
 
     def matrix(table: pa.Table, name: str) -> np.ndarray:
         lists = table.column(name).combine_chunks()
@@ -136,7 +154,6 @@ def _search_block(k: int, projections: int, key: pa.Field):
         keys = right.column("key").combine_chunks().take(pa.array(np.concatenate(query)))
         return pa.Table.from_arrays([keys, pa.array(np.concatenate(vec_id)), pa.array(np.concatenate(score))], schema=schema)
 
-    assert schema.names == names
     return run
 
 
@@ -148,18 +165,13 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
     a row repeat its answer. Fewer than k candidates are all returned; an empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("id is not null and vector is not null")
-    rows = rows.filter(finite).filter(F.exists("vector", lambda x: x != 0)).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # no negative zeros
-    rows = materialize(rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "vector"), F.xxhash64(F.lit(2), "vector"))), "vectors", keep=True)
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = materialize(rows.filter("id is not null").mapInArrow(_usable, "id bigint, vector array<double>, asks boolean, key binary, band int"), "vectors", keep=True)
 
     # one more than k, as a query's own row is among them; the limit also holds before the shuffle, so that a much repeated vector doesn't meet in one task
-    few = rows.select("key", "id", "vector").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))).filter(F.col("n") <= k + 1)
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    index = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.any_value("vector").alias("vector"))
-    band = F.floor(F.log2(F.sqrt(square)) / math.log2(BAND)).cast("int")
-    index = materialize(index.select("key", "ids", F.element_at("ids", 1).alias("first"), "vector", F.size("vector").alias("length"), band.alias("band")), "index", keep=True)
+    few = rows.select("key", "id", "vector", "band").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id"))).filter(F.col("n") <= k + 1)
+    index = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.any_value("vector").alias("vector"), F.any_value("band").alias("band"))
+    index = materialize(index.select("key", "ids", F.element_at("ids", 1).alias("first"), "vector", F.size("vector").alias("length"), "band"), "index", keep=True)
     asked = rows.filter("asks").groupBy("key").agg(F.any_value("vector").alias("vector")).withColumn("length", F.size("vector"))
 
     # a row for each length and band of norms, of which there are few whatever the input
@@ -177,11 +189,10 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id"
     entries = index.join(plan, ["length", "band"]).withColumn("block", F.col("base") + spread(F.col("blocks"), 3))
     entries = entries.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "first", "ids", "vector")
     askers = asked.join(spans, "length").withColumn("group", spread(F.lit(groups), 4)).select(F.explode(F.sequence("lo", "hi")).alias("block"), "group", "key", "vector")
-    key = pa.field("key", pa.struct([pa.field("col1", pa.int64()), pa.field("col2", pa.int64())]))
     # few bytes mean much work here, so the number of tasks goes by pairs of block and group
     tasks = min(2 * at * groups, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     entries, askers = (x.repartition(max(tasks, 1), "block", "group") for x in (entries, askers))
-    best = entries.groupBy("block", "group").cogroup(askers.groupBy("block", "group")).applyInArrow(_search_block(k + 1, projections, key), "query struct<col1: bigint, col2: bigint>, vec_id bigint, score double")
+    best = entries.groupBy("block", "group").cogroup(askers.groupBy("block", "group")).applyInArrow(_search_block(k + 1, projections), "query binary, vec_id bigint, score double")
     ranked = best.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     answers = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("answers"))
 
