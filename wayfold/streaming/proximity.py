@@ -18,6 +18,8 @@ from wayfold.operators import spatial
 
 #: Metres to enter and to leave, and the largest usable accuracy.
 ENTER_M, EXIT_M, MAX_ACCURACY_M = 30.0, 45.0, 50.0
+#: Fixes that are folded in one row.
+PIECE = 512
 SCHEMA = "user_id long, event_id long, status string, place long, left_place long"
 
 
@@ -57,8 +59,8 @@ def batch(fixes: DataFrame, places: DataFrame) -> DataFrame:
     """Statuses of all fixes (user_id, event_id, ts, lat, lng, accuracy), each user's in order of time, ties by event_id.
 
     A usable fix near no place, or certainly inside the only one that it may have stayed at, settles the state after it. So the fixes up to and with
-    such a one are folded together, beginning with what the settled fix before them left: an array of a stay's
-    uncertain fixes, never a user's history.
+    such a one are folded together, beginning with what the settled fix before them left, in pieces of PIECE fixes: never a user's history,
+    even if none of its fixes settles anything.
     """
     at = reachable(fixes, places)
     single = (F.size("within") == 1) & F.col("entered").isNotNull()
@@ -67,21 +69,58 @@ def batch(fixes: DataFrame, places: DataFrame) -> DataFrame:
     run = F.coalesce(F.sum(F.col("settled").cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = F.when(F.lag("settled").over(by), F.lag("entered").over(by))
     at = at.withColumn("run", run).withColumn("before", before)
+    # whatever a run's length, its fixes are folded in pieces of a fixed number
+    at = at.withColumn("piece", F.floor((F.row_number().over(W.partitionBy("user_id", "run").orderBy("ts", "event_id")) - 1) / PIECE))
     fix = F.struct("ts", "event_id", "usable", "within", "entered", "before")
-    runs = at.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
+    pieces = at.groupBy("user_id", "run", "piece").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
+    starts = _starts(pieces)
+
     state = "struct<active:bigint,out:array<struct<event_id:bigint,status:string,place:bigint,left_place:bigint>>>"
-    start = F.struct(F.get("fixes", F.lit(0))["before"].alias("active"), F.array().alias("out")).cast(state)
+    start = F.struct(F.col("start").alias("active"), F.array().alias("out")).cast(state)
 
     def step(acc: Column, f: Column) -> Column:
-        active = acc["active"]
-        retained = F.coalesce(F.array_contains(f["within"], active), F.lit(False))
+        active, retained = acc["active"], _retained(acc["active"], f)
         status = F.when(~f["usable"], "uncertain").when(retained, "retained").when(f["entered"].isNotNull(), "entered").otherwise("outside")
-        after = F.when(~f["usable"] | retained, active).otherwise(f["entered"])
+        after = _after(active, f)
         left = F.when(f["usable"] & ~retained, active)
         row = F.struct(f["event_id"].alias("event_id"), status.alias("status"), after.alias("place"), left.alias("left_place"))
         return F.struct(after.alias("active"), F.concat(acc["out"], F.array(row)).alias("out")).cast(state)
 
-    return runs.select("user_id", F.explode(F.aggregate("fixes", start, step, lambda acc: acc["out"])).alias("x")).select("user_id", "x.*")
+    told = pieces.join(starts, ["user_id", "run", "piece"])
+    return told.select("user_id", F.explode(F.aggregate("fixes", start, step, lambda acc: acc["out"])).alias("x")).select("user_id", "x.*")
+
+
+def _retained(active: Column, f: Column) -> Column:
+    return F.coalesce(F.array_contains(f["within"], active), F.lit(False))
+
+
+def _after(active: Column, f: Column) -> Column:
+    """The active place after a fix: a fix keeps a place that is still near, and forgets any other for the one it enters."""
+    return F.when(~f["usable"] | _retained(active, f), active).otherwise(f["entered"])
+
+
+def _starts(pieces: DataFrame) -> DataFrame:
+    """(user_id, run, piece, start): the active place that each piece of a run begins with.
+
+    A piece is a map from place to place: its first usable fix keeps only the places near it, so what the piece makes of each of these and of
+    any other is all there is to know. A run's maps, a few numbers for every PIECE fixes, are applied one after another.
+    """
+    first = F.get(F.filter("fixes", lambda f: f["usable"]), F.lit(0))["within"]
+    end = lambda place: F.aggregate("fixes", place, _after)
+    near = F.coalesce(first, F.array().cast("array<bigint>"))
+    maps = pieces.select("user_id", "run", "piece", F.get("fixes", F.lit(0))["before"].alias("before"), near.alias("near"), F.exists("fixes", lambda f: f["usable"]).alias("moves"), "fixes")
+    maps = maps.withColumn("ends", F.transform("near", end)).withColumn("other", end(F.lit(None).cast("bigint")))
+    chain = maps.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("piece", "before", "near", "moves", "ends", "other"))).alias("chain"))
+    state = "struct<active:bigint,out:array<struct<piece:bigint,start:bigint>>>"
+    begin = F.struct(F.get("chain", F.lit(0))["before"].alias("active"), F.array().alias("out")).cast(state)
+
+    def step(acc: Column, m: Column) -> Column:
+        active = acc["active"]
+        at = F.array_position(m["near"], active)
+        after = F.when(~m["moves"], active).when(F.coalesce(at, F.lit(0)) > 0, F.get(m["ends"], (at - 1).cast("int"))).otherwise(m["other"])
+        return F.struct(after.alias("active"), F.concat(acc["out"], F.array(F.struct(m["piece"].alias("piece"), active.alias("start")))).alias("out")).cast(state)
+
+    return chain.select("user_id", "run", F.explode(F.aggregate("chain", begin, step, lambda acc: acc["out"])).alias("x")).select("user_id", "run", "x.piece", "x.start")
 
 
 def arrivals(statuses: DataFrame) -> DataFrame:
