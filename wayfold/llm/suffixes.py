@@ -3,20 +3,24 @@
 Every string of ``LENGTH`` bytes that starts at two places is to be found. The strings' own bytes choose an anchor inside
 each (the least hash among its ``GRAM``-byte grams), so that equal strings have equal anchors at equal places and one
 record stands for all neighbouring strings with the same anchor: about one for every 80 bytes. Spark groups
-the records by anchor. Where a record's whole context (all strings that share the anchor) is repeated, so is each of its strings.
-Only the contexts at a repetition's borders are left; their suffixes are sorted deep-shallow: by
-multikey quicksort on eight bytes at a time down to ``SHALLOW`` bytes, and what still agrees by blind tries.
+the records by anchor and by context (the bytes of all strings that share the anchor). Suffixes are sorted deep-shallow: by
+multikey quicksort on eight bytes at a time down to ``SHALLOW`` bytes, and what still agrees by blind tries. Of a context that seems to be there
+several times two places are sorted, by the strings that it begins and ends with: if the bytes agree, all of it is repeated. At a repetition's
+borders, where an anchor has other contexts besides one that stands alone, all strings of its contexts are sorted.
+
+An anchor with more contexts than one task should sort is split by more bytes, as the sort itself would: its strings by ranges of their distance to the
+anchor, and those of one range by the bytes that they all share. Equal strings stay together; the ranges shrink until the groups are small.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.llm import kernels as K
@@ -28,8 +32,11 @@ from wayfold.llm.storage import materialize, temporary
 LENGTH, GRAM = 200, 40
 #: Bytes that multikey quicksort compares before blind tries take over.
 SHALLOW = 32
-#: Anchors with more distinct contexts than this are settled by a shuffle of their strings' hashes instead of one task's sort.
-LARGE = 20_000
+#: Contexts that one task sorts together. Of an anchor with more, ranges of so many distances to the anchor are sorted apart, each by the bytes that its strings
+#: share; a range of one distance shares all bytes.
+GROUP, RANGES = 2048, (41, 11, 3, 1)
+#: Bits that tell positions apart when grams compete: the same however long a text, so that equal strings have equal anchors.
+PLACE_BITS = 34
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,7 +58,7 @@ def anchors_of(c: K.Chunk) -> dict[str, np.ndarray] | None:
     prefix = K.prefix_hash(c.data)
     at = np.arange(n - GRAM + 1)
     gram = K.range_hash(prefix, at, at + GRAM)
-    low = np.uint64((1 << int(n).bit_length()) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_min((gram & ~low) | at.astype(np.uint64), LENGTH - GRAM + 1)  # the leftmost of equal grams
     sizes = np.diff(c.offsets)
     room = np.zeros(n + 1, np.int32)  # 1 where a string fits into its row
@@ -186,68 +193,102 @@ def _runs(flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def _strings(ctx: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of some contexts: the bytes, each string's start, its context, and its start's distance to the anchor."""
+def _strings(ctx: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of some contexts, all or only the first and last: the bytes, each string's start, its context, and where in it the string starts."""
     ctx = ctx.cast(pa.large_binary())
     off = np.frombuffer(ctx.buffers()[1], np.int64, len(ctx) + 1, ctx.offset * 8)
     data = np.frombuffer(ctx.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    n = np.diff(off) - LENGTH + 1
+    last = np.diff(off) - LENGTH
+    step = np.where(ends, np.maximum(last, 1), 1)
+    n = last // step + 1
     owner = np.repeat(np.arange(len(ctx)), n)
-    within = np.arange(n.sum()) - np.repeat(K.starts(n)[:-1], n)
-    return data, off[owner] + within, owner, at[owner] - within
+    within = (np.arange(n.sum()) - np.repeat(K.starts(n)[:-1], n)) * step[owner]
+    return data, off[owner] + within, owner, within
+
 
+#: A context to be sorted: strings of one bucket meet; ``emits``: its repeated strings are asked for; ``ends``: by its first and last string; ``off``: where its
+#: bytes begin in the whole context, ``at``: where the anchor lies in them.
+_ROW = "bucket bigint, gram bigint, context bigint, emits boolean, ends boolean, off int, at int, ctx binary"
+_COLUMNS = [f.split()[0] for f in _ROW.split(", ")]
 
-def _sort_borders(rows: DataFrame) -> DataFrame:
-    """Spans of repeated strings in contexts that stand once, from rows (gram, once, rid, lo, at, ctx) with a gram's rows together."""
 
-    def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _sorted_spans(rows: DataFrame) -> DataFrame:
+    """(gram, context, lo, hi): spans of repeated strings, relative to their context, of the rows that emit."""
+
+    def spans(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks()
         column = lambda name: batch.column(name).combine_chunks() if isinstance(batch.column(name), pa.ChunkedArray) else batch.column(name)
-        data, start, owner, shift = _strings(column("ctx"), column("at").to_numpy())
-        gram = column("gram").to_numpy()
-        number = np.cumsum(np.r_[True, gram[1:] != gram[:-1]])
-        flag = repeated_suffixes(data, start, number[owner] * (2 * LENGTH) + shift)
-        flag &= column("once").to_numpy(zero_copy_only=False).astype(bool)[owner]
+        flags = lambda name: column(name).to_numpy(zero_copy_only=False).astype(bool)
+        data, start, owner, within = _strings(column("ctx"), column("at").to_numpy(), flags("ends"))
+        bucket = column("bucket").to_numpy()
+        number = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]])
+        shift = column("at").to_numpy()[owner] - within
+        flag = repeated_suffixes(data, start, number[owner] * (2 * LENGTH) + shift) & flags("emits")[owner]
         begin, end = _runs(flag, owner)
-        lo = column("lo").to_numpy()
-        first = K.starts(np.bincount(owner, minlength=len(gram)))[:-1]
-        o = owner[begin]
-        yield pa.RecordBatch.from_arrays([column("rid").take(pa.array(o)), pa.array((lo[o] + begin - first[o]).astype(np.int32)), pa.array((lo[o] + end - first[o] + LENGTH).astype(np.int32))], ["rid", "lo", "hi"])
+        o, off = owner[begin], column("off").to_numpy()
+        rows_of = pa.array(o)
+        return pa.RecordBatch.from_arrays([column("gram").take(rows_of), column("context").take(rows_of), pa.array((off[o] + within[begin]).astype(np.int32)), pa.array((off[o] + within[end] + LENGTH).astype(np.int32))], ["gram", "context", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on in the next batch
-            if cut:
-                yield from spans(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+            bucket = batch.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            if cut or held[0].column("bucket")[0].as_py() != bucket[-1]:
+                table = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+                yield spans(table)
         if held:
-            yield from spans(pa.Table.from_batches(held))
+            yield spans(pa.Table.from_batches(held))
 
-    return rows.select("gram", "once", "rid", "lo", "at", "ctx").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid binary, lo int, hi int")
+    return rows.select(*_COLUMNS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram bigint, context bigint, b int, e int")
 
 
-def _count_borders(rows: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: strings become hashes that Spark counts, adding up before the shuffle."""
+def _by_range(rows: DataFrame, width: int) -> DataFrame:
+    """Rows for each range of ``width`` distances to the anchor, cut to the strings at these, in buckets of the bytes that the range's strings share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                data, start, owner, shift = _strings(part.column("ctx"), part.column("at").to_numpy())
-                prefix = K.prefix_hash(data)
-                h = K.range_hash(prefix, start, start + LENGTH)
-                rows_of = pa.array(owner)
-                within = part.column("at").to_numpy()[owner] - shift
-                yield pa.RecordBatch.from_arrays([part.column("rid").take(rows_of), pa.array((part.column("lo").to_numpy()[owner] + within).astype(np.int32)), part.column("once").take(rows_of), part.column("gram").take(rows_of), pa.array(h.view(np.int64))], ["rid", "lo", "once", "gram", "string"])
+            out = []
+            for r in batch.to_pylist():
+                at, ctx = r["at"], r["ctx"]
+                for k in range((at - len(ctx) + LENGTH) // width, at // width + 1):
+                    near, far = k * width, k * width + width - 1  # the range's least and greatest distance
+                    begin, end = max(at - far, 0), min(at - near + LENGTH, len(ctx))
+                    shared = ctx[at - near : at - far + LENGTH]
+                    digest = hashlib.blake2b(shared, digest_size=8, key=struct.pack("<qq", r["bucket"], k)).digest()
+                    out.append(r | {"bucket": struct.unpack("<q", digest)[0], "off": r["off"] + begin, "at": at - begin, "ctx": ctx[begin:end]})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+    return rows.select(*_COLUMNS).mapInArrow(run, _ROW)
 
-    strings = rows.mapInArrow(run, "rid binary, lo int, once boolean, gram bigint, string bigint")
-    often = strings.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "string")
-    return strings.filter("once").join(often, ["gram", "string"], "left_semi").select("rid", "lo", (F.col("lo") + LENGTH).cast("int").alias("hi"))
+
+def _in_small_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` in buckets of at most GROUP rows, but for a few more: larger ones are split by more and more of the bytes that equal strings share.
+
+    When all are shared, the bucket is dealt out with one of its rows in each part. Rows without company go.
+    """
+    ready = None
+    for width in RANGES:
+        rows = materialize(_by_range(rows, width), f"range{width}")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = rows.join(sizes, "bucket")
+        small = sized.filter(F.col("n") <= GROUP).drop("n")
+        ready = small if ready is None else ready.unionByName(small)
+        rows = sized.filter(F.col("n") > GROUP)
+        if rows.isEmpty():
+            return ready
+        if width > 1:
+            rows = rows.drop("n")
+    parts = F.ceil(F.col("n") / GROUP)
+    one = rows.groupBy("bucket").agg(F.min_by(F.struct(*(c for c in _COLUMNS if c != "bucket")), "context").alias("one"), F.max(parts).alias("parts"))
+    part = lambda i: F.xxhash64("bucket", i)
+    dealt = rows.withColumn("bucket", part(F.pmod(F.xxhash64("context", "gram"), parts))).drop("n")
+    again = one.select("bucket", "one.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")).withColumn("bucket", part(F.col("i"))).withColumn("emits", F.lit(False))
+    return ready.unionByName(dealt.select(*_COLUMNS)).unionByName(again.select(*_COLUMNS))
 
 
 # -- the operator --------------------------------------------------------------------------------------------------------------
@@ -272,23 +313,27 @@ def repeated_spans(docs: DataFrame, *, doc: str = "doc_id", text: str = "text")
     with temporary(docs.sparkSession):
         anchors = materialize(_anchors(keyed), "anchors")
         contexts = anchors.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
-        by = W.partitionBy("gram")
-        contexts = contexts.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count(F.lit(1)).over(by)).withColumn("fewest", F.min("n").over(by))
-        seen = contexts.filter("total > 1").select("gram", "context", "n", "kinds", (F.col("fewest") == 1).alias("borders"))
+        grams = contexts.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).filter("total > 1")
+        seen = contexts.join(grams, "gram").select("gram", "context", "n", "kinds", ((F.col("fewest") == 1) & (F.col("kinds") > 1)).alias("borders"))
         found = materialize(anchors.join(seen, ["gram", "context"]), "found", keep=True)
-    inside = found.filter("n > 1").select("rid", "lo", "hi")
 
-    one = F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
-    borders = found.filter("borders").groupBy("gram", "context").agg(one, F.max("n").alias("n"), F.max("kinds").alias("kinds"))
-    borders = borders.select("one.rid", F.struct("gram", "kinds", (F.col("n") == 1).alias("once"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.at").alias("at")).alias("cut"))
+    place = F.struct("rid", "lo", "hi", "at")
+    cut = found.groupBy("gram", "context").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.max("n").alias("n"), F.max("kinds").alias("kinds"), F.bool_or("borders").alias("borders"))
+    often = F.col("n") > 1
+    row = lambda p, emits, ends, when: F.when(when, F.struct(F.col(f"{p}.rid").alias("rid"), F.struct("gram", "context", "kinds", emits.alias("emits"), F.lit(ends).alias("ends"), F.col(f"{p}.lo").alias("lo"), F.col(f"{p}.hi").alias("hi"), F.col(f"{p}.at").alias("at")).alias("cut")))
+    cut = cut.select(F.explode(F.array_compact(F.array(row("one", ~often, False, F.col("borders")), row("one", F.lit(True), True, often), row("other", F.lit(False), True, often)))).alias("x")).select("x.*")
     with temporary(docs.sparkSession):
-        cuts = materialize(borders.groupBy("rid").agg(F.collect_list("cut").alias("cuts")), "cuts")  # a text's own anchors
+        cuts = materialize(cut.groupBy("rid").agg(F.collect_list("cut").alias("cuts")), "cuts")  # a text's own anchors
         texts = _touched(keyed, cuts).dropDuplicates(["rid"]).join(cuts, "rid")
-        cut = texts.select("rid", F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("cut"))
-        pieces = materialize(cut.select("rid", "cut.*", F.substring(F.col("bytes"), F.col("cut.lo") + 1, F.col("cut.hi") - F.col("cut.lo")).alias("ctx")), "pieces", keep=True)
-    rows = ["gram", "once", "rid", "lo", "at", "ctx"]
-    few, many = pieces.filter(F.col("kinds") <= LARGE).select(*rows), pieces.filter(F.col("kinds") > LARGE).select(*rows)
-    return inside.union(_sort_borders(few)).union(_count_borders(many))
+        cut = texts.select(F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("cut"))
+        pieces = materialize(cut.select("cut.*", F.substring(F.col("bytes"), F.col("cut.lo") + 1, F.col("cut.hi") - F.col("cut.lo")).alias("ctx")), "pieces", keep=True)
+    bucket = F.when(F.col("ends"), F.xxhash64("gram", "context")).otherwise(F.col("gram"))
+    rows = pieces.withColumn("bucket", bucket).withColumn("off", F.lit(0))
+    many = ~F.col("ends") & (F.col("kinds") > GROUP)
+    few, many = rows.filter(~many).select(*_COLUMNS), rows.filter(many).select(*_COLUMNS)
+    sorted_rows = few if many.isEmpty() else few.unionByName(_in_small_buckets(many))
+    told = found.join(_sorted_spans(sorted_rows), ["gram", "context"])
+    return told.select("rid", (F.col("lo") + F.col("b")).alias("lo"), (F.col("lo") + F.col("e")).alias("hi"))
 
 
 def _cut_out(texts: DataFrame) -> DataFrame:
