@@ -299,10 +299,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
-    """A row for each row of ``docs``: (its id, contaminated, n_items, n_overlaps, best_equal)."""
+    """A row for each row of ``docs``: (its id, contaminated, n_items, n_overlaps, best_equal). Items count by id: several texts of one id are one, and so are all without an id."""
     doc, text = names.get("doc", "doc_id"), names.get("text", "text")
     with temporary(docs.sparkSession):
-        by_doc = overlaps(docs, benchmark, **names).groupBy("uid").agg(F.countDistinct("item").alias("n_items"), F.count(F.lit(1)).alias("n_overlaps"), F.max("n_equal").alias("best_equal"))
+        by_doc = overlaps(docs, benchmark, **names).groupBy("uid").agg(F.countDistinct(F.struct("item")).alias("n_items"), F.count(F.lit(1)).alias("n_overlaps"), F.max("n_equal").alias("best_equal"))
         by_doc = materialize(by_doc, "marked", keep=True)
     keyed = docs.select(F.col(doc).alias("_doc"), text_key(doc, text).alias("uid"))
     joined = keyed.join(by_doc, "uid", "left")

@@ -169,13 +169,13 @@ _OP10 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(c
 
 #: Lower case where the operator folds it, and its tokens; the given benchmark has items of 16 tokens or more, none in a script without spaces.
 _TOKENS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ'), '[0-9a-z\\x{80}-\\x{10ffff}]+')"
-_OP9 = f"""with i as materialized (select item_id, t, len(t) n, least(len(t), 16) width from (select item_id, {_TOKENS} t from benchmark) where len(t) > 0), d as materialized (select doc_id, {_TOKENS} t from documents),
- ip as (select item_id, unnest(t) w, generate_subscripts(t, 1) p from i), dp as (select doc_id, unnest(t) w, generate_subscripts(t, 1) p from d where len(t) > 0),
- e as materialized (select doc_id, item_id, dp.p - ip.p diagonal, ip.p from dp join ip using (w)), c as (select e.*, width, n from e join (select doc_id, item_id, diagonal from e group by all having count(*) >= 4) using (doc_id, item_id, diagonal) join i using (item_id)),
- v as (select doc_id, item_id, diagonal, width, n, p, count(*) over (partition by doc_id, item_id, diagonal order by p range between current row and 15 following) equal from c),
- s as (select v.doc_id, v.item_id, case when n < 16 then (select count(*) from c where c.doc_id = v.doc_id and c.item_id = v.item_id and c.diagonal = v.diagonal) else equal end equal, width, n, diagonal, len(d.t) doc_n, p from v join d using (doc_id)),
- o as (select distinct doc_id, item_id from s where equal * 16 >= width * 13 and (n < 16 and diagonal >= 0 and diagonal + n <= doc_n or n >= 16 and diagonal + least(p + 15, n) <= doc_n and diagonal + least(p, n - 15) >= 1))
- select doc_id, count(item_id) > 0 contaminated, count(item_id) n_items from d left join o using (doc_id) group by doc_id"""
+_OP9 = f"""with i as materialized (select row_number() over () k, item_id, t, len(t) n, least(len(t), 16) width from (select item_id, {_TOKENS} t from benchmark) where len(t) > 0), d as materialized (select doc_id, {_TOKENS} t from documents),
+ ip as (select k, unnest(t) w, generate_subscripts(t, 1) p from i), dp as (select doc_id, unnest(t) w, generate_subscripts(t, 1) p from d where len(t) > 0),
+ e as materialized (select doc_id, k, dp.p - ip.p diagonal, ip.p from dp join ip using (w)), c as (select e.*, width, n from e join (select doc_id, k, diagonal from e group by all having count(*) >= 4) using (doc_id, k, diagonal) join i using (k)),
+ v as (select doc_id, k, diagonal, width, n, p, count(*) over (partition by doc_id, k, diagonal order by p range between current row and 15 following) equal from c),
+ s as (select v.doc_id, v.k, case when n < 16 then (select count(*) from c where c.doc_id = v.doc_id and c.k = v.k and c.diagonal = v.diagonal) else equal end equal, width, n, diagonal, len(d.t) doc_n, p from v join d using (doc_id)),
+ o as (select distinct doc_id, coalesce('=' || item_id, '') item from s join i using (k) where equal * 16 >= s.width * 13 and (s.n < 16 and diagonal >= 0 and diagonal + s.n <= doc_n or s.n >= 16 and diagonal + least(p + 15, s.n) <= doc_n and diagonal + least(p, s.n - 15) >= 1))
+ select doc_id, count(item) > 0 contaminated, count(item) n_items from d left join o using (doc_id) group by doc_id"""
 
 
 def _crc_of(h: str) -> str:
