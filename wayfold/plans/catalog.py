@@ -550,4 +550,4 @@ def session_windows(spark, d):
     return proximity.sessions(table(spark, d, "events"), "30 minutes")
 
 
-from wayfold.plans import contract_queries, discovery_queries, network_queries, raster_file_queries, record_queries, report_queries, source_queries, state_queries, terrain_queries  # noqa: E402, F401
+from wayfold.plans import contract_queries, discovery_queries, feature_queries, network_queries, raster_file_queries, record_queries, report_queries, source_queries, state_queries, terrain_queries  # noqa: E402, F401

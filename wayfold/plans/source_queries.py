@@ -12,7 +12,7 @@ from wayfold.functions import geo, records
 from wayfold.operators import contracts
 from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
-from wayfold.sources import layers
+from wayfold.sources import layers, lookups, wiki
 from wayfold.sources.layers import table
 from wayfold.sources.scratch import shared_dir
 
@@ -191,3 +191,42 @@ def edge_lookups(spark, d):
     e = B.graph_edges(spark, d).filter(~F.startswith("id", F.lit("c"))).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min("id").alias("edge"), F.count(F.lit(1)).alias("candidates"))
     return v.join(e, ["a", "b"]).select("line", "a", "b", "edge", "candidates")
 
+
+
+class Heights:
+    """A service that knows a height for every place; it travels to the tasks with the plan."""
+
+    def __call__(self, places):
+        return [200.0 + (round(lat * 1e7) + 3 * round(lng * 1e7)) % 4000 / 10 for lat, lng in places]
+
+
+_HEIGHT = "200e0 + (cast(round(lat * 1e7) as bigint) + 3 * cast(round(lng * 1e7) as bigint)) % 4000 / 10e0"
+_KNOWN = {"trees": "id % 3 = 0", "benches": "id % 5 = 0", "paths": "id % 7 = 0"}
+
+
+@query(f"""with p as (select id, {_HEIGHT} as "value", lat, lng, case {" ".join(f"when {c} then {i}" for i, c in enumerate(_KNOWN.values()))} end know from {B.sql('customers')}), k as (select lat, lng, min(know) know from p group by all)
+ select id, p."value", case when k.know is null then 'fetched' else 'reused' end "source", case k.know {" ".join(f"when {i} then '{n}'" for i, n in enumerate(_KNOWN))} end layer from p join k using (lat, lng)""")
+def selected_heights(spark, d):
+    """Heights of a selection of places: those that three earlier layers know are taken from them, others asked for in batches, with a journal."""
+    places = B.customers(spark, d).select("id", "lat", "lng")
+    known = {name: places.filter(c).selectExpr("lat", "lng", f"{_HEIGHT} value") for name, c in _KNOWN.items()}
+    rows = lookups.lookup(places, Heights(), _folder(spark, "journal"), known=known)
+    return rows.select("id", "value", "source", F.when(F.col("source") == "reused", F.col("origin")).alias("layer"))
+
+
+#: Forty parts a page: a header, then a row of a number, a link and a size for each part, the size of every sixth over two columns.
+_WIKI_ROW = "concat('|-\\n| ', p_partkey, case when p_partkey % 2 = 0 then ' || ' else '\\n| ' end, '[[Part/', p_partkey, '|''''''', p_name, ''''''']]', case when p_partkey % 6 = 0 then ' || colspan=\"2\" | ' else ' || ' end, p_size, case when p_partkey % 6 = 0 then '' else ' || {{unit|cm|x=1}}' end)"
+
+
+@query("""with p as (select p_partkey // 40 page, row_number() over (partition by p_partkey // 40 order by p_partkey) r, * from part),
+ c as (select page, r, 0 c, p_partkey::varchar said, null target, false spanned from p union all select page, r, 1, p_name, 'Part/' || p_partkey, false from p union all select page, r, 2, p_size::varchar, null, false from p
+  union all select page, r, 3, case when p_partkey % 6 = 0 then p_size::varchar else 'cm' end, null, p_partkey % 6 = 0 from p union all select distinct page, 0, i, h, null, false from p, (values (0, 'Number'), (1, 'Name'), (2, 'Size'), (3, 'Unit')) h(i, h))
+ select 'page ' || page page, r::int "row", c::int col, r = 0 header, said, target, spanned from c""")
+def wiki_cells(spark, d):
+    """Tables in wiki markup, cell by cell, with links, emphasis, templates and spans read."""
+    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("page"), "p_partkey", F.expr(_WIKI_ROW).alias("line"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))).alias("lines"))
+    head = 'Some text.\n{| class="wikitable"\n|+ Parts\n! Number !! Name\n! style="x" | Size !! Unit\n'
+    text = F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n|}\nMore text."))
+    cells = wiki.cells(pages.select(F.concat(F.lit("page "), F.col("page").cast("string")).alias("page"), text.alias("text")))
+    return cells.select("page", "row", "col", "header", F.col("text").alias("said"), "target", "spanned")

@@ -13,7 +13,7 @@ from wayfold.plans.registry import query
 from wayfold.sources import versions
 from wayfold.sources.layers import table
 from wayfold.sources.scratch import shared_dir
-from wayfold.streaming import bounded
+from wayfold.streaming import bounded, positions
 
 _REQUEST = ["user_id owner", "event_id request_id", "ts", "concat(event_type, '-', cast(floor(value) as bigint) % 7) key", "event_id % 10 <> 0 ok"]
 _HELD = 4
@@ -77,3 +77,27 @@ def view_decisions(spark, d):
 def view_changes(spark, d):
     """The frames of each user in which an entity begins to look different."""
     return policy.changes(table(spark, d, "events").selectExpr(*_VIEW), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "signature", "before")
+
+
+_PUSHED = ["user_id", "event_id", "cast(ts as timestamp) ts", "event_id % 7 delay", "51.3e0 + value / 1e5 lat", "9.4e0 + value / 1e5 lng", "cast(event_id % 40 as double) accuracy"]
+
+
+def _log(spark, d) -> str:
+    rows = table(spark, d, "events").selectExpr(*_PUSHED)
+    rows = rows.select("user_id", "event_id", F.unix_micros("ts").alias("ts"), (F.unix_micros("ts") + F.col("delay") * 1_000_000).alias("arrived"), "lat", "lng", "accuracy")
+    folder = f"{shared_dir(spark)}/scratch/positions-{uuid.uuid4().hex}"
+    rows.repartitionByRange(4, "arrived").write.json(folder)
+    return folder
+
+
+@query("select user_id, event_id, epoch_us(ts) ts_us, epoch_us(ts) + event_id % 7 * 1000000 arrived_us, 51.3e0 + value / 1e5 lat, cast(event_id % 40 as double) accuracy from events where event_id % 7 <= 4")
+def pushed_fixes(spark, d):
+    """Fixes from a log of segments, without those that were over four seconds old when they arrived."""
+    return positions.read(spark, _log(spark, d)).select("user_id", "event_id", F.unix_micros("ts").alias("ts_us"), F.unix_micros("arrived").alias("arrived_us"), "lat", "accuracy")
+
+
+@query("""with f as (select user_id, event_id, epoch_us(ts) + event_id % 7 * 1000000 arrived from events where event_id % 7 <= 4), n as (select *, lead(arrived) over (partition by user_id order by arrived, event_id) following from f)
+ select user_id, event_id after_event, arrived + 12000000 at_us from n where following > arrived + 12000000""")
+def device_silences(spark, d):
+    """Where no fix came from a device for twelve seconds."""
+    return positions.silences(positions.read(spark, _log(spark, d))).select("user_id", "after_event", F.unix_micros("at").alias("at_us"))
