@@ -489,6 +489,9 @@ def test_decontamination_tolerates_substitutions(spark, docs, odd):
     items = spark.createDataFrame([(1, None), (1, ""), (None, "one two three four five six seven eight nine ten")], "item_id long, text string")
     out = collections.Counter((r.doc_id, r.contaminated) for r in decontam.mark(odd, items).collect())
     assert out[(1, True)] == 2 and out[(None, True)] == 1 and out[(3, False)] == 1 and sum(out.values()) == 10
+    ten = "one two three four five six seven eight nine ten"
+    ids = spark.createDataFrame([(None, ten), (4, ten), (4, ten + " eleven"), (None, "two three four five six"), (5, "no such words in any text")], "item_id long, text string")
+    assert {(r.contaminated, r.n_items) for r in decontam.mark(odd, ids).filter("doc_id <= 2").collect()} == {(True, 2)}
     assert decontam.drop_contaminated(odd, items).count() == 6 and decontam.mark(empty(odd), items).count() == 0
     assert decontam.drop_contaminated(odd, empty(items)).columns == odd.columns
 
@@ -565,8 +568,10 @@ def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch):
     df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     rows = df.collect()
     want = {r.doc_id: w for r, w in zip(rows, _removed([r.text for r in rows]))}
-    for large in (suffixes.LARGE, 4):  # the second sends most anchors to the shuffle of hashes
-        monkeypatch.setattr(suffixes, "LARGE", large)
+    # buckets split once or never, by ranges until they are small, and down to single distances and beyond
+    for group, ranges in ((suffixes.GROUP, suffixes.RANGES), (6, suffixes.RANGES), (1, (50, 1))):
+        monkeypatch.setattr(suffixes, "GROUP", group)
+        monkeypatch.setattr(suffixes, "RANGES", ranges)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(df).collect()}
         assert got == want
     rows = odd.select("doc_id", "text").collect()

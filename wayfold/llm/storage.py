@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of tables to be removed, one list for each open temporary() block.
-_open: list[list[str]] = []
+#: Paths of tables to be removed, one list for each open temporary() block of this thread or task of the driver.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +33,12 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
     Only for tables that nothing lazy reads any more: what goes out of the block must itself have been written with ``keep``.
     """
-    _open.append([])
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        paths = _open.pop()
+        _open.reset(token)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         for path in paths:
             folder = hadoop(path)
@@ -51,7 +53,7 @@ def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    scopes = _open[:-1] if keep else _open
+    scopes = _open.get()[:-1] if keep else _open.get()
     if scopes:
         scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
