@@ -108,5 +108,5 @@ def speech_tag(language: Column) -> Column:
 def narration(title: Column, sections: dict[str, Column]) -> Column:
     """What is read out: title and sections in order, empty ones left out, joined as sentences. A title alone is no narration: null."""
     text = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    said = [text(sections[s]) for s in SECTIONS if s in sections]
+    said = [text(sections[s]) for s in SECTIONS if s in sections] or [F.lit(None).cast("string")]
     return F.when(F.coalesce(*said).isNotNull(), F.concat_ws(". ", text(title), *said))

@@ -38,7 +38,8 @@ def write_collections(features: DataFrame, folder: str, by: list[str], key: str,
 def read_collections(spark: SparkSession, folder: str) -> DataFrame:
     """(path, n_features, properties, kind, coordinates as JSON text) of all features of a folder's documents; a document that is no collection fails."""
     docs = files.read_files(spark, folder).select("path", F.from_json(F.decode("content", "utf-8"), _DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
-    fail = F.raise_error(F.concat(F.lit("no feature collection: "), F.col("path"))).cast("boolean")
-    docs = docs.filter(F.when(F.coalesce(F.col("d.type") == "FeatureCollection", F.lit(False)), F.lit(True)).otherwise(fail))
-    each = docs.select("path", F.size("d.features").alias("n_features"), F.explode("d.features").alias("f"))
+    fail = F.raise_error(F.concat(F.lit("no feature collection: "), F.col("path")))
+    # in what is exploded, so that no filter that the plan puts before it drops the document first
+    found = F.when((F.col("d.type") == "FeatureCollection") & F.col("d.features").isNotNull(), F.col("d.features")).otherwise(fail)
+    each = docs.select("path", F.size("d.features").alias("n_features"), F.explode(found).alias("f"))
     return each.select("path", "n_features", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))

@@ -87,10 +87,10 @@ def load(spark: SparkSession, folder: str, layers: list[Layer], phase: str, sche
     for x in (x for x in layers if x.phase == phase):
         head = f"layer string, schema_version int, rows array<struct<{schema[x.name]}>>"
         docs = whole.filter(F.col("layer") == x.name).select("path", F.from_json(F.decode("content", "utf-8"), head).alias("d"))
-        fail = F.raise_error(F.concat(F.lit("not a document of its layer and version: "), F.col("path"))).cast("boolean")
-        fine = (F.col("d.layer") == x.name) & (F.col("d.schema_version") == x.schema_version)
-        docs = docs.filter(F.when(F.coalesce(fine, F.lit(False)), F.lit(True)).otherwise(fail))
-        out[x.name] = docs.select(F.explode("d.rows").alias("r")).select("r.*")
+        fail = F.raise_error(F.concat(F.lit("not a document of its layer and version: "), F.col("path")))
+        fine = (F.col("d.layer") == x.name) & (F.col("d.schema_version") == x.schema_version) & F.col("d.rows").isNotNull()
+        # in what is exploded, so that no filter that the plan puts before it drops the document first
+        out[x.name] = docs.select(F.explode(F.when(F.coalesce(fine, F.lit(False)), F.col("d.rows")).otherwise(fail)).alias("r")).select("r.*")
     return out
 
 
