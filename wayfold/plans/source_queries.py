@@ -53,7 +53,7 @@ def source_elements(spark, d):
 _NODE = ["c_custkey id", "case c_custkey % 5 when 0 then 'bench' when 1 then 'toilets' end amenity", "1 + c_custkey % 12 version"]
 
 
-def _tiles(spark, d) -> str:
+def _tiles(spark, d, *, own_tags: bool = False) -> str:
     """Nodes and ways as XML in four tiles; every seventh element stands in two of them, once with an older version and fewer tags."""
     c = B.customers(spark, d).join(table(spark, d, "customer").selectExpr(*_NODE), "id")
     n = table(spark, d, "customer").count()
@@ -66,18 +66,19 @@ def _tiles(spark, d) -> str:
     nodes = c.select(*place, node.alias("value"))
     refs = B.polylines(spark, d).groupBy(F.col("line").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("node") % (n + n // 10)).alias("ref")))).alias("r"))
     nd = F.array_join(F.transform("r", lambda x: F.concat(F.lit('<nd ref="'), x["ref"].cast("string"), F.lit('"/>'))), "")
-    way = F.concat(F.lit('<way id="'), F.col("id").cast("string"), F.lit('" version="'), (1 + F.col("id") % 3).cast("string"), F.lit('">'), nd, tag("highway", F.when(F.col("id") % 3 == 0, "steps").otherwise("path")), F.lit("</way>"))
+    way = F.concat(F.lit('<way id="'), F.col("id").cast("string"), F.lit('" version="'), (1 + F.col("id") % 3).cast("string"), F.lit('">'), nd, tag("highway", F.when(F.col("id") % 3 == 0, "steps").otherwise("path")), F.when(F.lit(own_tags) & (F.col("again") == 1), tag("note", F.lit("again"))).otherwise(""), F.lit("</way>"))
     ways = refs.withColumn("again", twice).select(*place, way.alias("value"))
+    bounds = F.format_string('<bounds minlat="%.1f" minlon="%.1f" maxlat="%.1f" maxlon="%.1f"/>', F.col("tile") / 10 + 51, F.col("part") / 10 + 9, F.col("tile") / 10 + 51.1, F.col("part") / 10 + 9.1)
     path = _folder(spark, "tiles")
     # a file is one document of a bounded number of elements
-    docs = nodes.unionByName(ways).groupBy("tile", "part").agg(F.concat(F.lit("<osm>"), F.array_join(F.collect_list("value"), ""), F.lit("</osm>")).alias("value"))
+    docs = nodes.unionByName(ways).groupBy("tile", "part").agg(F.concat(F.lit("<osm>"), bounds, F.array_join(F.collect_list("value"), ""), F.lit("</osm>")).alias("value"))
     docs.write.partitionBy("tile", "part").text(path)
     return path
 
 
 @query(f"select cast(id as varchar) id, lat, lng, cast(version as bigint) as version, concat_ws(' ', 'amenity=' || amenity, 'tile=own') tags, case when id % 7 = 0 then 2 else 1 end tiles from {B.sql('customers')} p join (select {', '.join(_NODE)} from customer) c using (id)")
 def tile_nodes(spark, d):
-    """Nodes of several XML tiles as one: places must agree, versions compare as numbers, tags are merged."""
+    """Nodes of several XML tiles as one: places must agree, versions compare as numbers, tags are merged."""
     n = layers.reconciled_nodes(spark, _tiles(spark, d))
     tags = F.concat_ws(" ", F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return n.select("id", "lat", "lng", "version", tags.alias("tags"), F.size("tiles").alias("tiles"))
@@ -92,6 +93,41 @@ def tile_ways(spark, d):
     return w.select("id", F.size("refs").cast("long").alias("n_refs"), F.array_join("refs", " ").alias("refs"), F.col("tags")["highway"].alias("highway"), "n_tiles", F.size("missing_refs").cast("long").alias("missing"))
 
 
+#: A tile's number and part, by its folder.
+_TILE_NAME = "tile=([0-9]+)/part=([0-9]+)"
+_TILE_SET = f"(select distinct (id + again) % 4 tile, id // 4000 part from (select c_custkey id from customer union select line from {B.sql('polylines')}), (values (0), (1)) a(again) where again = 0 or id % 7 = 0)"
+
+
+@query(f"select tile || '/' || part as \"name\", (tile / 10e0 + 51)::decimal(9, 1)::double south, (part / 10e0 + 9)::decimal(9, 1)::double west, (tile / 10e0 + 51.1e0)::decimal(9, 1)::double north, (part / 10e0 + 9.1e0)::decimal(9, 1)::double east, true hashed from {_TILE_SET}")
+def tile_set(spark, d):
+    """Exactly the expected tiles, each with its bounds as they were, and its hash."""
+    name = F.concat_ws("/", *(F.regexp_extract("file", _TILE_NAME, i) for i in (1, 2)))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).union(B.polylines(spark, d).select("line")).distinct()
+    tiles = ids.select("id", F.explode(F.array_compact(F.array(F.lit(0), F.when(F.col("id") % 7 == 0, 1)))).alias("again")).select(((F.col("id") + F.col("again")) % 4).alias("t"), F.floor(F.col("id") / 4000).alias("p")).distinct()
+    edge = lambda c, base: F.round(F.col(c) / 10 + base, 1)
+    expected = tiles.select(F.concat_ws("/", "t", "p").alias("name"), edge("t", 51).alias("south"), edge("p", 9).alias("west"), edge("t", 51.1).alias("north"), edge("p", 9.1).alias("east"))
+    rows = layers.exact_tiles(spark, f"{_tiles(spark, d)}/*/*/*", expected, name)
+    return rows.select("name", "south", "west", "north", "east", (F.length("sha256") == 64).alias("hashed"))
+
+
+@query(f"select cast(line as varchar) id, case when line % 7 = 0 then 'again' end note, case when line % 3 = 0 then 'steps' else 'path' end highway, count(*) n_refs from {B.sql('polylines')} group by line")
+def merged_tile_ways(spark, d):
+    """Ways of several tiles whose tags differ, merged; only their nodes must agree."""
+    path = _tiles(spark, d, own_tags=True)
+    ways = layers.reconciled_ways(spark, path, layers.reconciled_nodes(spark, path), merge_tags=True)
+    return ways.select("id", F.col("tags")["note"].alias("note"), F.col("tags")["highway"].alias("highway"), F.size("refs").cast("long").alias("n_refs"))
+
+
+@query(f"""with n as materialized (select id, cast(round(lat * 1e7) as bigint) lat7, cast(round(lng * 1e7) as bigint) lng7 from {B.sql('customers')}), r as (select line, node % (select count(*) + count(*) // 10 from customer) a, lead(node % (select count(*) + count(*) // 10 from customer)) over (partition by line order by pos) b from {B.sql('polylines')}),
+ p as (select line, a.lat7, a.lng7, b.lat7 to_lat7, b.lng7 to_lng7 from r join n a on a.id = r.a join n b on b.id = r.b)
+ select lat7, lng7, to_lat7, to_lng7, count(*) n, count(distinct way) ways, count_if(direction = 'forward') forwards from (select *, line way, 'forward' direction from p union all select line, to_lat7, to_lng7, lat7, lng7, line, 'reverse' from p) group by all""")
+def tile_adjacency(spark, d):
+    """Which ways lead from where to where, in both directions, from the tiles' nodes and ways."""
+    path = _tiles(spark, d)
+    pairs = layers.adjacency(layers.reconciled_nodes(spark, path), layers.read_ways(spark, path))
+    return pairs.groupBy("lat7", "lng7", "to_lat7", "to_lng7").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("way").alias("ways"), F.count_if(F.col("direction") == "forward").alias("forwards"))
+
+
 @query(f"select cast(id as varchar) id, 200e0 + id % 40 elevation_m, 'bench' amenity from (select {', '.join(_NODE)} from customer) where amenity = 'bench' and id % 11 <> 0")
 def wanted_benches(spark, d):
     """The benches among the tiles' nodes that an id list names, every one of which must be there, with their elevations."""

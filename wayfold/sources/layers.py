@@ -75,19 +75,59 @@ def _merged_tags(elements: DataFrame) -> DataFrame:
     return last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
 
 
-def reconciled_ways(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+BOUNDS = T.StructType([T.StructField(f"_{c}", T.DoubleType()) for c in ("minlat", "minlon", "maxlat", "maxlon")])
+
+
+def exact_tiles(spark: SparkSession, path: str, expected: DataFrame, name: Column) -> DataFrame:
+    """(name, south, west, north, east, bytes, sha256) of the tile files of a folder, which must be those of ``expected`` (name, south, west, north, east), no more and no fewer.
+
+    ``name`` tells a tile by the column file. A file that is missing, isn't expected, declares no bounds, more than one or others fails by its name.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = files.select(name.alias("name"), "bytes", "sha256")
+    found = spark.read.format("xml").option("rowTag", "bounds").schema(BOUNDS).load(path).withColumn("file", F.input_file_name())
+    found = found.select(name.alias("name"), F.struct(*(F.col(f"_{a}").alias(b) for a, b in (("minlat", "south"), ("minlon", "west"), ("maxlat", "north"), ("maxlon", "east")))).alias("is"))
+    found = found.groupBy("name").agg(F.max("is").alias("is"), F.count(F.lit(1)).alias("declared"))
+    want = expected.select("name", F.struct(*(F.col(c).cast("double").alias(c) for c in ("south", "west", "north", "east"))).alias("was"))
+    both = files.groupBy("name").agg(F.max("bytes").alias("bytes"), F.max("sha256").alias("sha256"), F.count(F.lit(1)).alias("copies")).join(want, "name", "full").join(found, "name", "left")
+    fault = F.when(F.col("copies").isNull(), "tile is missing: ").when(F.col("was").isNull(), "tile isn't expected: ").when(F.col("copies") > 1, "tile is there twice: ")
+    fault = fault.when(F.coalesce("declared", F.lit(0)) != 1, "tile lacks its bounds: ").when(~F.col("is").eqNullSafe(F.col("was")), "tile's bounds drifted: ")
+    row = F.when(fault.isNull(), F.struct("is.*", "bytes", "sha256")).otherwise(F.raise_error(F.concat(fault, F.col("name"))))
+    return both.select("name", row.alias("row")).select("name", "row.*")
+
+
+def adjacency(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(lat7, lng7, to_lat7, to_lng7, way, direction, from_node, to_node, tags): every pair of neighbours on a way (id, refs, tags) both ways, by where its nodes lie.
+
+    A pair of which a node (id, lat, lng) isn't known is left out; a node that follows itself is a pair.
+    """
+    at = nodes.select("id", F.struct(F.round(F.col("lat") * 1e7).cast("long").alias("lat7"), F.round(F.col("lng") * 1e7).cast("long").alias("lng7")).alias("at"))
+    n = F.size("refs")
+    pairs = ways.filter(n > 1).select(F.col("id").alias("way"), "tags", F.explode(F.zip_with(F.slice("refs", 1, n - 1), F.slice("refs", 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("way", "tags", "p.*")
+    pairs = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    way = lambda d, x, y: F.struct(F.col(f"at_{x}").alias("from"), F.col(f"at_{y}").alias("to"), F.lit(d).alias("direction"), F.col(x).alias("from_node"), F.col(y).alias("to_node"))
+    both = pairs.select("way", "tags", F.explode(F.array(way("forward", "a", "b"), way("reverse", "b", "a"))).alias("e"))
+    return both.select("e.from.*", F.col("e.to.lat7").alias("to_lat7"), F.col("e.to.lng7").alias("to_lng7"), "way", "e.direction", "e.from_node", "e.to_node", "tags")
+
+
+def reconciled_ways(spark: SparkSession, path: str, nodes: DataFrame, *, merge_tags: bool = False) -> DataFrame:
     """(id, refs, version, timestamp, tags, n_tiles, missing_refs) of all tiles; a way whose tiles disagree on its nodes or tags fails.
 
-    missing_refs are the nodes, each once, that no tile holds: a way may lead out of what was read.
+    With ``merge_tags`` tags may differ and are merged, a later file's over an earlier one's. missing_refs are the nodes, each once, that no tile holds: a way
+    may lead out of what was read.
     """
     ways = spark.read.format("xml").option("rowTag", "way").schema(WAY).load(path).withColumn("file", F.input_file_name())
     refs = F.transform(F.coalesce("nd", F.array().cast(WAY["nd"].dataType)), lambda n: n["_ref"])
     entries = F.array_sort(F.transform(F.coalesce("tag", F.array().cast(TAG)), lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))))
     ways = ways.select(F.col("_id").alias("id"), refs.alias("refs"), entries.alias("entries"), "_version", "_timestamp", "file")
     one = ways.groupBy("id").agg(F.min("refs").alias("refs"), F.max("refs").alias("_refs"), F.min("entries").alias("entries"), F.max("entries").alias("_entries"), F.max(F.col("_version").try_cast("long")).alias("version"), F.max("_timestamp").alias("timestamp"), F.count_distinct("file").alias("n_tiles"))
-    same = (F.col("refs") == F.col("_refs")) & (F.col("entries") == F.col("_entries"))
+    same = (F.col("refs") == F.col("_refs")) & (F.lit(merge_tags) | (F.col("entries") == F.col("_entries")))
     fail = F.raise_error(F.concat(F.lit("way differs across tiles: "), F.col("id"))).cast("array<string>")
     one = one.withColumn("refs", F.when(same, F.col("refs")).otherwise(fail)).select("id", "refs", "version", "timestamp", F.map_from_entries("entries").alias("tags"), "n_tiles")
+    if merge_tags:
+        each = ways.select("id", "file", F.explode("entries").alias("e")).groupBy("id", "e.k").agg(F.max_by("e.v", "file").alias("v"))
+        merged = each.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
+        one = one.drop("tags").join(merged, "id", "left").withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
     used = one.select("id", F.explode("refs").alias("ref"))
     missing = used.join(nodes.select(F.col("id").alias("ref")), "ref", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("ref")).alias("missing_refs"))
     return one.join(missing, "id", "left").withColumn("missing_refs", F.coalesce("missing_refs", F.array().cast("array<string>")))
