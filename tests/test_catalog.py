@@ -20,7 +20,7 @@ from wayfold.functions import geo, normalize, records
 from wayfold.operators import contracts, graph, raster, routing, sequences, spatial
 from wayfold.plans import bindings, catalog
 from wayfold.sources import layers
-from wayfold.streaming import proximity
+from wayfold.streaming import history, proximity
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents"
@@ -308,3 +308,55 @@ def test_sessions_by_hand(spark):
     events = spark.createDataFrame(pd.DataFrame({"user_id": [1, 1, 1], "ts": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:29", "2024-01-01 01:00"]), "event_type": "x", "value": 1.0}))
     assert sorted(r.n for r in proximity.sessions(events, "30 minutes").collect()) == [1, 2]
     assert sum(r.n for r in proximity.tumbling(events, "1 hour").collect()) == 3
+
+
+def test_tile_sets_must_be_exact(spark, tmp_path):
+    tile = lambda n, bounds: (tmp_path / f"{n}.xml").write_text(f'<osm>{bounds}<node id="1" lat="1" lon="2"/></osm>')
+    box = lambda south: f'<bounds minlat="{south}" minlon="2" maxlat="3" maxlon="4"/>'
+    expected = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0), ("b", 1.5, 2.0, 3.0, 4.0)], "name string, south double, west double, north double, east double")
+    tiles = lambda want=expected: {r.name: (r.south, r.east) for r in layers.exact_tiles(spark, str(tmp_path), want, F.regexp_extract("file", "([a-z]).xml", 1)).collect()}
+    tile("a", box(1))
+    tile("b", box(1.5))
+    assert tiles() == {"a": (1.0, 4.0), "b": (1.5, 4.0)}
+    with pytest.raises(Exception, match="tile isn't expected: b"):
+        tiles(expected.filter("name = 'a'"))
+    with pytest.raises(Exception, match="tile is missing: c"):
+        tiles(expected.union(spark.createDataFrame([("c", 1.0, 2.0, 3.0, 4.0)], expected.schema)))
+    tile("b", box(1.6))
+    with pytest.raises(Exception, match="bounds drifted: b"):
+        tiles()
+    tile("b", "")
+    with pytest.raises(Exception, match="lacks its bounds: b"):
+        tiles()
+
+
+def test_adjacency_and_merged_tags(spark, tmp_path):
+    way = lambda n, tags: (tmp_path / f"{n}.xml").write_text(f'<osm><node id="1" lat="1" lon="2"/><node id="2" lat="1" lon="3"/><way id="5"><nd ref="1"/><nd ref="2"/><nd ref="9"/>{tags}</way></osm>')
+    way(1, '<tag k="a" v="1"/><tag k="b" v="1"/>')
+    way(2, '<tag k="b" v="2"/>')
+    path = str(tmp_path / "*.xml")
+    nodes = layers.reconciled_nodes(spark, path)
+    assert layers.reconciled_ways(spark, path, nodes, merge_tags=True).first().tags == {"a": "1", "b": "2"}
+    with pytest.raises(Exception, match="way differs across tiles: 5"):
+        layers.reconciled_ways(spark, path, nodes).collect()
+    pairs = {(r.from_node, r.to_node, r.direction, r.lng7, r.to_lng7, r.tags["b"]) for r in layers.adjacency(nodes, layers.read_ways(spark, path)).collect()}
+    assert pairs == {("1", "2", "forward", 20000000, 30000000, "1"), ("2", "1", "reverse", 30000000, 20000000, "1")}
+
+
+def test_trails_of_long_histories(spark):
+    rows = [(u, i, op, f"p{i % 5}") for u in range(3) for i, op in enumerate(["visit"] * 40 + ["back"] * u * 7 + ["reset"] * (u == 1) + ["visit"] * 3)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, op string, target string").withColumn("ts", F.timestamp_seconds("event_id")).repartition(4)
+    want = {}
+    for u, i, op, target in rows:
+        want[u] = history.moved(*want.get(u, (None, [])), op, target, 12)
+    got = {r.user_id: (r.current, r.history) for r in history.trails(df).collect()}
+    assert got == want and len(got[0][1]) == 12 and len(got[1][1]) == 2
+    assert history.trails(df.limit(0)).collect() == []
+
+
+def test_ordered_digests(spark):
+    digest = lambda df, **o: tuple(contracts.ordered_digest(df, "id", "t", **o).first())
+    df = spark.range(500).withColumn("t", F.concat(F.lit("x"), "id"))
+    assert digest(df, run=7) == digest(df.orderBy(F.desc("id")).repartition(9), run=7) and digest(df)[1] == 500
+    assert digest(df)[0] != digest(df.filter("id <> 250"))[0] != digest(df.withColumn("t", F.when(F.col("id") == 250, "y").otherwise(F.col("t"))))[0]
+    assert digest(df.limit(0)) == digest(df.limit(0), run=3) and digest(df.limit(0))[1] == 0

@@ -85,3 +85,16 @@ def release_time(epoch: Column) -> Column:
     fail = F.raise_error(F.concat(F.lit("invalid epoch: "), epoch)).cast("bigint")
     seconds = F.when(epoch.rlike("^[0-9]+$"), epoch.try_cast("bigint")).when(F.coalesce(epoch, F.lit("")) != "", fail)
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
+
+
+def ordered_digest(rows: DataFrame, key: str, text: str, *, run: int = 1000, levels: int = 3) -> DataFrame:
+    """(sha256, n): a digest over ``text`` in order of ``key``, a whole number that tells rows apart.
+
+    Texts of ``run`` consecutive keys are digested together, then the digests of as many runs, and so on: no row of the plan holds more than a run, and the
+    last one of the whole only what is left after ``levels``. Null texts count as empty. It depends on rows and keys alone.
+    """
+    level = rows.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"), F.lit(1).cast("long").alias("n"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "\n"), 256)
+    for _ in range(levels):
+        level = level.groupBy(F.floor(F.col("k") / run).alias("part")).agg(joined().alias("t"), F.sum("n").alias("n")).select(F.col("part").alias("k"), "t", "n")
+    return level.agg(joined().alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

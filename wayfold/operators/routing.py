@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import normalize
-from wayfold.operators import graph
+from wayfold.operators import contracts, graph
 from wayfold.sources.scratch import cut
 
 #: Fixed value: what a metre of unknown ascent weighs in the ascent score, never in a route's facts.
@@ -160,3 +160,22 @@ def first_by_ordinal(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row for each key, the first by ordinal."""
     by = W.partitionBy(key).orderBy(ordinal)
     return rows.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+
+
+def route_checks(soft: DataFrame, hard: DataFrame, one: DataFrame, again: DataFrame, soft_facts: DataFrame, hard_facts: DataFrame, allowed: DataFrame) -> DataFrame:
+    """contracts.checks() of routes() that avoid steps and of the shortest, with their facts (request, step_m, distance_m): both find the same requests, neither is
+    worse in what it is about, segments are admissible, and ``one`` and ``again``, two runs of the same search, agree."""
+    facts = lambda r, name: r.select("request", F.col("step_m").alias(f"{name}_step"), F.col("distance_m").alias(f"{name}_m"))
+    both = facts(soft_facts, "soft").join(facts(hard_facts, "hard"), "request")
+    outcome = soft.select("request", "outcome", "from_node", "to_node", "path").join(hard.select("request", F.col("outcome").alias("other")), "request")
+    used = soft.filter("outcome = 'ok'").select("request", F.explode("path").alias("id")).join(allowed.select("id"), "id", "left_anti")
+    ids = lambda rows: rows.select(F.col("request").alias("id"))
+    return contracts.checks({
+        "routes_found_by_both_policies": ids(outcome.filter("outcome <> other")),
+        "policy_never_worsens_steps": ids(both.filter("soft_step > hard_step")),
+        "shortest_is_shortest": ids(both.filter("hard_m > soft_m")),
+        "segments_are_admissible": ids(used),
+        "same_endpoint_is_zero": ids(outcome.filter("from_node = to_node and (outcome <> 'ok' or size(path) > 0)")),
+        "unknown_endpoint_fails_closed": ids(outcome.filter("(from_node is null or to_node is null) <> (outcome = 'unknown-endpoint')")),
+        "reversed_input_changes_nothing": ids(one.join(again.select("request", F.col("path").alias("p")), "request").filter("not path <=> p")),
+    })

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, normalize
-from wayfold.operators import spatial
+from wayfold.operators import contracts, spatial
 
 #: Node tags that a path must not be joined across.
 RELEVANT_TAGS = ("access", "barrier", "crossing", "entrance", "foot", "highway", "wheelchair")
@@ -94,3 +94,26 @@ def merged_scope(old: DataFrame, new: DataFrame) -> DataFrame:
     back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "metres", F.col("id").alias("reverse_id")).filter("src <> dst")
     first = back.groupBy("src", "dst", "metres").agg(F.min("reverse_id").alias("reverse_id"))
     return kept.join(first, ["src", "dst", "metres"], "left").select("id", "src", "dst", "metres", F.when(F.col("o") == 0, "old").otherwise("new").alias("origin"), "reverse_id")
+
+
+def chain_checks(runs: DataFrame, nodes: DataFrame, made: DataFrame) -> DataFrame:
+    """contracts.checks() of chains() ``made`` from runs and nodes, re-derived from these: names, lengths and ends of chains, inner nodes, degrees, reasons, and that
+    every pair is in one chain and no run bridges a gap."""
+    stops = nodes.filter(F.size("reasons") > 0)
+    ends = made.select(F.col("from_node").alias("node")).union(made.select("to_node"))
+    counted = runs.select(F.col("a").alias("node")).union(runs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    whole = made.groupBy("way").agg(F.sum("n_pairs").alias("n")).join(runs.groupBy("way").agg(F.count(F.lit(1)).alias("m")), "way", "full")
+    gaps = runs.groupBy("way", "run").agg((F.max("index") - F.min("index") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
+    known = F.array(*map(F.lit, REASONS))
+    ids = lambda rows, c: rows.select(F.col(c).alias("id"))
+    return contracts.checks({
+        "chain_ids_unique": made.groupBy("id").count().filter("count > 1").select("id"),
+        "chains_have_length": made.filter("n_pairs < 1 or metres < 0").select("id"),
+        "chain_ends_meaningful": ids(ends.join(stops, "node", "left_anti"), "node"),
+        "inner_nodes_pass_on": ids(nodes.filter(F.size("reasons") == 0).filter("degree <> 2 or n_ways <> 1"), "node"),
+        "pairs_covered_once": ids(whole.filter("not n <=> m"), "way"),
+        "scopes_known": ids(runs.filter("scope not in ('inside', 'crossing')"), "way"),
+        "degrees_match": ids(nodes.join(counted, "node", "full").filter("not degree <=> n"), "node"),
+        "reasons_known": ids(nodes.filter(F.size(F.array_except("reasons", known)) > 0), "node"),
+        "runs_never_bridge": ids(gaps.filter("span <> n"), "way"),
+    })

@@ -324,12 +324,13 @@ def artifact_gate(spark, d):
     return contracts.gate(expected, actual, "layer")
 
 
-@query("select sha256(string_agg(concat(s_suppkey, '|', s_nationkey, '|', s_name), chr(10) order by s_suppkey)) selection_sha256, count(*) n from supplier")
+@query("""with a as (select o_orderkey k, concat_ws('|', o_orderkey, o_custkey, o_orderpriority) t from orders), b as (select k // 1000 k, sha256(string_agg(t, chr(10) order by k)) t from a group by 1), c as (select k // 1000 k, sha256(string_agg(t, chr(10) order by k)) t from b group by 1),
+ e as (select k // 1000 k, sha256(string_agg(t, chr(10) order by k)) t from c group by 1) select sha256(string_agg(t, chr(10) order by k)) selection_sha256, (select count(*) from orders) n from e""")
 def selection_hash(spark, d):
-    """A digest over a selection's rows in order, to which what is derived from them is bound. For selections of bounded size."""
-    rows = table(spark, d, "supplier").select("s_suppkey", F.concat_ws("|", "s_suppkey", "s_nationkey", "s_name").alias("t"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "t"))), lambda x: x["t"])
-    return rows.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("selection_sha256"), F.count(F.lit(1)).alias("n"))
+    """A digest over a selection's rows in order, to which what is derived from them is bound."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderpriority").alias("t"))
+    # one row
+    return contracts.ordered_digest(rows, "k", "t").withColumnRenamed("sha256", "selection_sha256")
 
 
 @query("select strftime(make_timestamp((1700000000 + n_nationkey)::bigint * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') generated_at, n_nationkey id from nation where n_nationkey % 3 <> 0 union all select null, n_nationkey from nation where n_nationkey % 3 = 0")

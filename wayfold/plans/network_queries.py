@@ -9,7 +9,7 @@ from wayfold.functions import normalize
 from wayfold.operators import contracts, graph, routing, spatial, topology
 from wayfold.plans import bindings as B
 from wayfold.plans import sqltext as Q
-from wayfold.plans.registry import oracle_sql, query
+from wayfold.plans.registry import query
 
 _N = "(select count(*) from part)"
 _STATUS = "case when steps then 'known_steps' when wheelchair = 'no' then 'known_wheelchair_no' when barrier in ('stile', 'turnstile') then 'known_barrier_mobility_constraint' else 'unknown_not_field_verified' end"
@@ -222,58 +222,69 @@ def merged_topology(spark, d):
     return topology.merged_scope(s.filter("id like 'a%'"), s.withColumn("id", F.concat(F.lit("new-"), "id")))
 
 
-def _all_pass(*names: str) -> str:
-    return " union all ".join(f"select '{n}' check_id, true pass, 0::bigint failures, '' sample" for n in names)
+def _check_sql(checks: dict[str, str]) -> str:
+    """A row for each check from the SQL of its offending ids, as contracts.checks() makes them."""
+    one = lambda name, ids: f"select '{name}' check_id, count(*) = 0 pass, count(*) failures, coalesce((select string_agg(id, ' ' order by id) from (select cast(id as varchar) id from ({ids}) order by 1 limit {contracts.SAMPLE})), '') sample from ({ids})"
+    return " union all ".join(one(*x) for x in checks.items())
 
 
-@query(_all_pass("routes_found_by_both_policies", "policy_never_worsens_steps", "shortest_is_shortest", "segments_are_admissible", "same_endpoint_is_zero", "unknown_endpoint_fails_closed", "reversed_input_changes_nothing"))
+#: What the checks must find in routes of which every fifth was damaged in one way or another.
+_BAD_ROUTES = {
+    "routes_found_by_both_policies": "select request id from f where request % 5 = 0 or request % 5 = 4 and (from_node is null or to_node is null)",
+    "policy_never_worsens_steps": "select request id from f where request % 5 = 1 and outcome = 'ok'",
+    "shortest_is_shortest": "select request id from f where request % 5 = 2 and outcome = 'ok'",
+    "segments_are_admissible": "select request id from f where request % 5 = 3 and outcome = 'ok'",
+    "same_endpoint_is_zero": "select request id from f where request % 5 = 3 and outcome = 'ok' and from_node = to_node",
+    "unknown_endpoint_fails_closed": "select request id from f where request % 5 = 4 and (from_node is null or to_node is null)",
+    "reversed_input_changes_nothing": "select request id from f where request % 5 = 4",
+}
+
+
+@query(_ROUTES + " " + _check_sql(_BAD_ROUTES))
 def routing_checks(spark, d):
-    """What must hold of routes under both policies, by names; a failing check names its requests."""
+    """What must hold of routes under both policies, on routes some of which were damaged; a failing check names its requests."""
     segments, asked = _segments(spark, d), _requests(spark, d)
     soft = routing.cut(routing.routes(segments, asked, "avoid_known_steps_lower_ascent"))
     hard = routing.cut(routing.routes(segments, asked, "shortest"))
-    again = routing.routes(segments.orderBy(F.desc("id")), asked, "shortest")
-    facts = lambda r, name: routing.evidence(r, segments).select("request", F.col("known_step_m").alias(f"{name}_step"), F.col("distance_m").alias(f"{name}_m"))
-    both = facts(soft, "soft").join(facts(hard, "hard"), "request")
-    outcome = soft.select("request", "outcome", "from_node", "to_node", "path").join(hard.select("request", F.col("outcome").alias("other")), "request")
-    used = soft.filter("outcome = 'ok'").select("request", F.explode("path").alias("id")).join(routing.admissible(segments), "id", "left_anti")
-    same = outcome.filter("from_node = to_node")
-    return contracts.checks({
-        "routes_found_by_both_policies": outcome.filter("outcome <> other").select(F.col("request").alias("id")),
-        "policy_never_worsens_steps": both.filter("soft_step > hard_step").select(F.col("request").alias("id")),
-        "shortest_is_shortest": both.filter("hard_m > soft_m").select(F.col("request").alias("id")),
-        "segments_are_admissible": used.select(F.col("request").alias("id")),
-        "same_endpoint_is_zero": same.filter("outcome <> 'ok' or size(path) > 0").select(F.col("request").alias("id")),
-        "unknown_endpoint_fails_closed": outcome.filter("(from_node is null or to_node is null) <> (outcome = 'unknown-endpoint')").select(F.col("request").alias("id")),
-        "reversed_input_changes_nothing": hard.join(again.select("request", F.col("path").alias("p")), "request").filter("not path <=> p").select(F.col("request").alias("id")),
-    })
-
-
-#: A made-up way may take the same nodes twice, which gives two chains of one name: the one check that can fail here.
-_TWICE = f"select id from ({oracle_sql()['topology_chains']}) group by id having count(*) > 1"
-
-
-@query(f"select 'chain_ids_unique' check_id, count(*) = 0 pass, count(*) failures, coalesce((select string_agg(id, ' ' order by id) from (select id from ({_TWICE}) order by id limit 50)), '') sample from ({_TWICE}) union all " + _all_pass("chains_have_length", "chain_ends_meaningful", "inner_nodes_pass_on", "pairs_covered_once", "scopes_known", "degrees_match", "reasons_known", "runs_never_bridge"))
+    facts = [routing.evidence(r, segments).select("request", F.col("known_step_m").alias("step_m"), "distance_m") for r in (soft, hard)]
+    hit = lambda k: F.col("request") % 5 == k
+    longer = lambda c: F.concat(F.coalesce(c, F.array().cast("array<string>")), F.array(F.lit("zz")))
+    again = hard.withColumn("path", F.when(hit(4), longer(F.col("path"))).otherwise(F.col("path")))
+    steps = facts[0].withColumn("step_m", F.when(hit(1), F.col("step_m") + 1e9).otherwise(F.col("step_m")))
+    far = facts[1].withColumn("distance_m", F.when(hit(2), F.col("distance_m") + 1e9).otherwise(F.col("distance_m")))
+    worse = hard.withColumn("outcome", F.when(hit(0), "lost").otherwise(F.col("outcome")))
+    soft = soft.withColumn("path", F.when(hit(3) & (F.col("outcome") == "ok"), longer(F.col("path"))).otherwise(F.col("path")))
+    soft = soft.withColumn("outcome", F.when(hit(4) & (F.col("from_node").isNull() | F.col("to_node").isNull()), "ok").otherwise(F.col("outcome")))
+    return routing.route_checks(soft, worse, hard, again, steps, far, routing.admissible(segments))
+
+
+#: What the checks must find in a topology of which every tenth way or node was damaged. A made-up way may take the same nodes twice, which gives two chains of one name.
+_CHAINS = f"""ch as (select ed.*, sum(case when a in (select node from me where reasons <> '') then 1 else 0 end) over (partition by way, run order by "index") chain from ed),
+ ag as materialized (select way, run, chain, list(a order by "index") n, arg_max(b, "index") last, count(*) n_pairs from ch group by all),
+ na as materialized (select concat('pathseg-way-', way, '-', n[1], '--', last, '-', substr(sha1(array_to_string(list_append(n, last), '/')), 1, 10)) id, way, n[1] a, last b from ag)"""
+_BAD_TOPOLOGY = {
+    "chain_ids_unique": "select id from na group by id having count(*) > 1",
+    "chains_have_length": "select id from na where way % 10 = 1",
+    "chain_ends_meaningful": "select a id from na where a % 10 = 7 union all select b from na where b % 10 = 7",
+    "inner_nodes_pass_on": "select node id from me where node % 10 = 4 and reasons = '' or node % 10 = 7 and (degree <> 2 or n_ways <> 1)",
+    "pairs_covered_once": "select distinct way id from na where way % 10 = 2",
+    "scopes_known": "select way id from ed where way % 10 = 3",
+    "degrees_match": "select node id from me where node % 10 = 4",
+    "reasons_known": "select node id from me where node % 10 = 5",
+    "runs_never_bridge": "select way id from ed where way % 10 = 6 group by way, run having count(*) > 1",
+}
+
+
+@query(_TOPOLOGY + ", " + _CHAINS + " " + _check_sql(_BAD_TOPOLOGY))
 def topology_checks(spark, d):
-    """What must hold of a topology that was cut into chains, re-derived from its pairs."""
+    """What must hold of a topology that was cut into chains, re-derived from its pairs, on one some of which was damaged."""
     runs, nodes = _topology(spark, d)
     runs, nodes = routing.cut(runs), routing.cut(nodes)
-    stops = nodes.filter(F.size("reasons") > 0)
-    chains = routing.cut(topology.chains(runs, stops))
-    ends = chains.select(F.col("from_node").alias("node")).union(chains.select("to_node"))
-    counted = runs.select(F.col("a").alias("node")).union(runs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    inner = nodes.filter(F.size("reasons") == 0)
-    whole = chains.groupBy("way").agg(F.sum("n_pairs").alias("n")).join(runs.groupBy("way").agg(F.count(F.lit(1)).alias("m")), "way", "full")
-    gaps = runs.groupBy("way", "run").agg((F.max("index") - F.min("index") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
-    known = F.array(*map(F.lit, topology.REASONS))
-    return contracts.checks({
-        "chain_ids_unique": chains.groupBy("id").count().filter("count > 1").select("id"),
-        "chains_have_length": chains.filter("n_pairs < 1 or metres < 0").select("id"),
-        "chain_ends_meaningful": ends.join(stops, "node", "left_anti").select(F.col("node").alias("id")),
-        "inner_nodes_pass_on": inner.filter("degree <> 2 or n_ways <> 1").select(F.col("node").alias("id")),
-        "pairs_covered_once": whole.filter("not n <=> m").select(F.col("way").alias("id")),
-        "scopes_known": runs.filter("scope not in ('inside', 'crossing')").select(F.col("way").alias("id")),
-        "degrees_match": nodes.join(counted, "node", "full").filter("not degree <=> n").select(F.col("node").alias("id")),
-        "reasons_known": nodes.filter(F.size(F.array_except("reasons", known)) > 0).select(F.col("node").alias("id")),
-        "runs_never_bridge": gaps.filter("span <> n").select(F.col("way").alias("id")),
-    })
+    chains = routing.cut(topology.chains(runs, nodes.filter(F.size("reasons") > 0)))
+    way, node = (lambda k: F.col("way") % 10 == k), (lambda k: F.col("node") % 10 == k)
+    change = lambda df, c, when, to: df.withColumn(c, F.when(when, to).otherwise(F.col(c)))
+    chains = change(change(chains, "metres", way(1), F.lit(-1.0)), "n_pairs", way(2), F.col("n_pairs") + 1)
+    runs = change(change(runs, "scope", way(3), F.lit("elsewhere")), "index", way(6), F.col("index") * 2)
+    nodes = change(change(nodes, "degree", node(4), F.col("degree") + 1), "reasons", node(5), F.array_append("reasons", F.lit("because")))
+    nodes = change(nodes, "reasons", node(7), F.array().cast("array<string>"))
+    return topology.chain_checks(runs, nodes, chains)
