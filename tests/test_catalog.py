@@ -350,7 +350,7 @@ def test_trails_of_long_histories(spark):
     for u, i, op, target in rows:
         want[u] = history.moved(*want.get(u, (None, [])), op, target, 12)
     got = {r.user_id: (r.current, r.history) for r in history.trails(df).collect()}
-    assert got == want and len(got[0][1]) == 12 and len(got[1][1]) == 2
+    assert got == want and len(got[0][1]) == 12 and len(got[1][1]) == 3
     assert history.trails(df.limit(0)).collect() == []
 
 

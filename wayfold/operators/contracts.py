@@ -65,12 +65,17 @@ def row_differences(one: DataFrame, other: DataFrame, key: str, fields: list[str
     return j.select(key, fault.alias("fault")).filter("fault is not null")
 
 
-def readiness(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(layer, declared, available, precache, state) for each wanted layer of a manifest (id, available, precache); ready only if all are all three."""
-    j = wanted.join(manifest.withColumn("_there", F.lit(True)), F.col("layer") == F.col("id"), "left")
+def readiness(wanted: DataFrame, manifest: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, layer, declared, available, precache, state) for each wanted layer (by, layer) of a manifest (by, id, available, precache); ready only if all of one ``by`` are all three."""
+    by = by or []
+    mine = manifest.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("id").alias("_id"), F.col("available").alias("_available"), F.col("precache").alias("_precache"), F.lit(True).alias("_there"))
+    on = F.col("layer") == F.col("_id")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_{c}"))
     no = F.lit(False)
-    j = j.select("layer", F.coalesce("_there", no).alias("declared"), (F.coalesce("_there", no) & F.coalesce("available", F.lit(True))).alias("available"), F.coalesce("precache", no).alias("precache"))
-    whole = W.partitionBy(F.lit(0))  # over one row for each wanted layer
+    there = F.coalesce("_there", no)
+    j = wanted.join(mine, on, "left").select(*by, "layer", there.alias("declared"), (there & F.coalesce("_available", F.lit(True))).alias("available"), F.coalesce("_precache", no).alias("precache"))
+    whole = W.partitionBy(*(by or [F.lit(0)]))  # a row for each wanted layer
     ready = F.bool_and(F.col("declared") & F.col("available") & F.col("precache")).over(whole)
     return j.withColumn("state", F.when(ready, "ready-after-warm").otherwise("partial"))
 

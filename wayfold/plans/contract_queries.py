@@ -95,15 +95,15 @@ def entity_contract(spark, d):
 
 
 _METRICS = ("distance_m", "ascent_m", "walking_min")
-_DEFINED = ["n_nationkey profile", "case when n_nationkey % 4 <> 0 then case n_nationkey % 3 when 0 then 'derived' when 1 then 'measured' else 'derived_summary' end end kind", "case when n_nationkey % 5 <> 0 then 'sum of segments' end algorithm", "case n_nationkey % 6 when 0 then '' when 1 then 'a, ' else 'a,b' end fields", "case when n_nationkey % 7 <> 0 then 'flat' else ' ' end assumptions"]
+_DEFINED = ["c_custkey profile", "case when c_custkey % 4 <> 0 then case c_custkey % 3 when 0 then 'derived' when 1 then 'measured' else 'derived_summary' end end kind", "case when c_custkey % 5 <> 0 then 'sum of segments' end algorithm", "case c_custkey % 6 when 0 then '' when 1 then 'a, ' else 'a,b' end fields", "case when c_custkey % 7 <> 0 then 'flat' else ' ' end assumptions"]
 
 
-@query(f"""with n as (select {', '.join(_DEFINED)} from nation), m as (select n.*, metric, not (metric = 'ascent_m' and profile % 8 = 0) defined from n, (values {', '.join(f"('{m}')" for m in _METRICS)}) v(metric))
+@query(f"""with n as (select {', '.join(_DEFINED)} from customer), m as (select n.*, metric, not (metric = 'ascent_m' and profile % 8 = 0) defined from n, (values {', '.join(f"('{m}')" for m in _METRICS)}) v(metric))
  select profile, metric, 'definition' rule from m where not defined union all select profile, metric, 'kind' from m where not defined or not coalesce(kind in ('derived', 'derived_summary', 'source_qualified_derived'), false)
  union all select profile, metric, 'algorithm' from m where not defined or not {_T('algorithm')} union all select profile, metric, 'source_fields' from m where not defined or fields = '' or fields = 'a, ' union all select profile, metric, 'assumptions' from m where not defined or not {_T('assumptions')}""")
 def metric_contract(spark, d):
     """For each profile the required metrics that it doesn't define well, and how."""
-    n = table(spark, d, "nation").selectExpr(*_DEFINED)
+    n = table(spark, d, "customer").selectExpr(*_DEFINED)
     fields = F.when(F.col("fields") == "", F.array().cast("array<string>")).otherwise(F.split("fields", ","))
     definition = F.struct("kind", "algorithm", fields.alias("source_fields"), "assumptions")
     held = F.map_from_entries(F.array(*(F.struct(F.when((F.lit(m) == "ascent_m") & (F.col("profile") % 8 == 0), f"no {m}").otherwise(m).alias("k"), definition.alias("v")) for m in _METRICS)))
@@ -284,38 +284,40 @@ def graph_checks(spark, d):
     })
 
 
-_LAYER = ["n_nationkey id", "case when n_nationkey % 9 = 0 then '/abs.json' when n_nationkey % 8 = 0 then 'a/../b.json' when n_nationkey % 7 = 0 then '' else concat('layer-', n_nationkey, '.json') end filename", "case n_nationkey % 5 when 0 then 'initial' when 1 then 'hydrate' when 2 then 'deferred' else 'later' end load_phase", "n_nationkey % 6 = 0 boot_required", "case n_nationkey % 4 when 0 then 'walking-network' when 1 then 'zip' else 'copy' end producer", "case when n_nationkey % 3 <> 0 then 'schema_version' end field"]
+_LAYER = ["c_custkey id", "case when c_custkey % 9 = 0 then '/abs.json' when c_custkey % 8 = 0 then 'a/../b.json' when c_custkey % 7 = 0 then '' else concat('layer-', c_custkey, '.json') end filename", "case c_custkey % 5 when 0 then 'initial' when 1 then 'hydrate' when 2 then 'deferred' else 'later' end load_phase", "c_custkey % 6 = 0 boot_required", "case c_custkey % 4 when 0 then 'walking-network' when 1 then 'zip' else 'copy' end producer", "case when c_custkey % 3 <> 0 then 'schema_version' end field"]
 _CONTRACT = {"safe_filename": "filename <> '' and not startswith(filename, '/') and not contains(filename, '..')", "known_phase": "load_phase in ('initial', 'hydrate', 'deferred')", "known_producer": "producer in ('copy', 'walking-network')", "boot_is_initial": "not boot_required or load_phase = 'initial'", "schema_declared": "field is not null"}
 
 
-@query(f"with p as (select {', '.join(_LAYER)} from nation) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r.replace('startswith', 'starts_with')}, false)) failures, min(case when not coalesce({r.replace('startswith', 'starts_with')}, false) then id end) first_failure from p" for n, r in _CONTRACT.items()))
+@query(f"with p as (select {', '.join(_LAYER)} from customer) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r.replace('startswith', 'starts_with')}, false)) failures, min(case when not coalesce({r.replace('startswith', 'starts_with')}, false) then id end) first_failure from p" for n, r in _CONTRACT.items()))
 def runtime_contract(spark, d):
     """What a manifest's layers must declare, safe paths among it."""
-    return contracts.report(table(spark, d, "nation").selectExpr(*_LAYER), {n: F.expr(r) for n, r in _CONTRACT.items()}, "id")
+    return contracts.report(table(spark, d, "customer").selectExpr(*_LAYER), {n: F.expr(r) for n, r in _CONTRACT.items()}, "id")
 
 
-_READY = f"""(select layer, l.id is not null declared, l.id is not null and coalesce(available, true) available, coalesce(precache, false) precache from (values ('nodes'), ('trees'), ('benches'), ('semantic')) w(layer) left join (select case n_nationkey when 0 then 'nodes' when 1 then 'trees' when 2 then 'semantic' end id, n_nationkey <> 2 available, n_nationkey < 2 precache from nation where n_nationkey < 3) l on l.id = w.layer)"""
+_HELD = ["c_custkey device", "layer", "c_custkey % 3 <> 0 or layer <> 'trees' available", "c_custkey % 4 <> 0 or layer = 'nodes' precache"]
+_WANTED = ("nodes", "trees", "benches", "semantic")
+_READY = f"""(select w.device, w.layer, m.device is not null declared, coalesce(m.available, false) available, coalesce(m.precache, false) precache from (select c_custkey device, layer from customer, (values {", ".join(f"('{x}')" for x in _WANTED)}) v(layer)) w
+ left join (select {", ".join(_HELD)} from customer, (values ('nodes'), ('trees'), ('benches'), ('semantic')) v(layer) where c_custkey % 5 <> 0 or layer <> 'benches') m using (device, layer))"""
 
 
-@query(f"select layer, declared, available, precache, (select case when bool_and(declared and available and precache) then 'ready-after-warm' else 'partial' end from {_READY}) state from {_READY}")
+@query(f"select device, layer, declared, available, precache, case when bool_and(declared and available and precache) over (partition by device) then 'ready-after-warm' else 'partial' end state from {_READY}")
 def offline_readiness(spark, d):
-    """Which wanted layers a manifest declares, has and keeps at hand, and whether that is all of them."""
-    wanted = spark.createDataFrame([(x,) for x in ("nodes", "trees", "benches", "semantic")], "layer string")
-    # three layers' manifest rows
-    n = table(spark, d, "nation").filter("n_nationkey < 3")
-    manifest = n.select(F.element_at(F.array(F.lit("nodes"), F.lit("trees"), F.lit("semantic")), F.col("n_nationkey").cast("int") + 1).alias("id"), (F.col("n_nationkey") != 2).alias("available"), (F.col("n_nationkey") < 2).alias("precache"))
-    return contracts.readiness(wanted, manifest)
+    """Which wanted layers each device's manifest declares, has and keeps at hand, and whether that is all of them."""
+    layers = F.explode(F.array(*map(F.lit, _WANTED))).alias("layer")
+    every = table(spark, d, "customer").select("c_custkey", layers)
+    manifest = every.filter("c_custkey % 5 <> 0 or layer <> 'benches'").selectExpr(*_HELD).withColumnRenamed("layer", "id")
+    return contracts.readiness(every.select(F.col("c_custkey").alias("device"), "layer"), manifest, by=["device"])
 
 
 @query("""select layer, n_rows, required, case when n_rows is null then 'unavailable' else 'ready' end status from (select 'customer' layer, (select count(*) from customer) n_rows, true required union all select 'orders', (select count(*) from orders), true union all select 'trees', null, false)""")
 def layer_status(spark, d):
-    """A set of layers, those that aren't there and needn't be marked unavailable, the others counted."""
+    """A set of layers, those that aren't there and needn't be marked unavailable, the others counted."""
     return publication(spark, d, {"customer": True, "orders": True, "trees": False}).select("layer", "n_rows", "required", "status")
 
 
 @query("select layer, expected, actual, expected is null or actual is null or expected <> actual differs from (select 'customer' layer, (select count(*) from customer) expected, (select count(*) from customer) actual union all select 'supplier', (select count(*) from supplier) + 1, (select count(*) from supplier) union all select 'orders', null, (select count(*) from orders) union all select 'ghost', 5, null)")
 def artifact_gate(spark, d):
-    """Declared against actual row counts of published layers, what is missing on either side included."""
+    """Declared against actual row counts of published layers, what is missing on either side included."""
     actual = None
     for name in ("customer", "supplier", "orders"):
         one = table(spark, d, name).agg(F.count(F.lit(1)).alias("actual")).select(F.lit(name).alias("layer"), "actual")
@@ -333,11 +335,11 @@ def selection_hash(spark, d):
     return contracts.ordered_digest(rows, "k", "t").withColumnRenamed("sha256", "selection_sha256")
 
 
-@query("select strftime(make_timestamp((1700000000 + n_nationkey)::bigint * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') generated_at, n_nationkey id from nation where n_nationkey % 3 <> 0 union all select null, n_nationkey from nation where n_nationkey % 3 = 0")
+@query("select strftime(make_timestamp((1700000000 + c_custkey)::bigint * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') generated_at, c_custkey id from customer where c_custkey % 3 <> 0 union all select null, c_custkey from customer where c_custkey % 3 = 0")
 def release_times(spark, d):
     """Deterministic time stamps from an epoch that is given as text, null without one."""
-    epoch = F.when(F.col("n_nationkey") % 3 != 0, (F.lit(1700000000) + F.col("n_nationkey")).cast("string"))
-    return table(spark, d, "nation").select(contracts.release_time(epoch).alias("generated_at"), F.col("n_nationkey").alias("id"))
+    epoch = F.when(F.col("c_custkey") % 3 != 0, (F.lit(1700000000) + F.col("c_custkey")).cast("string"))
+    return table(spark, d, "customer").select(contracts.release_time(epoch).alias("generated_at"), F.col("c_custkey").alias("id"))
 
 
 
@@ -361,14 +363,14 @@ def feature_contract(spark, d):
     return contracts.report(table(spark, d, "customer").selectExpr(*_POI), {n: F.expr(r) for n, r in _POI_RULES.items()}, "id")
 
 
-_TERRAIN = ["n_nationkey id", "case n_nationkey % 6 when 0 then 'png' else 'maplibre-raster-dem-terrarium-v1' end format", "case n_nationkey % 7 when 0 then 512 else 256 end tile_size", "case n_nationkey % 5 when 0 then '13,14' else '13,14,15,16' end zooms", "60 + case n_nationkey % 8 when 0 then 1 else 0 end tile_count", "4817250 + n_nationkey * 200000 tile_bytes", "case n_nationkey % 9 when 0 then 'feet' else 'metres' end units", "9.385e0 west", "case n_nationkey % 10 when 0 then 9.3e0 else 9.425e0 end east"]
+_TERRAIN = ["c_custkey id", "case c_custkey % 6 when 0 then 'png' else 'maplibre-raster-dem-terrarium-v1' end format", "case c_custkey % 7 when 0 then 512 else 256 end tile_size", "case c_custkey % 5 when 0 then '13,14' else '13,14,15,16' end zooms", "60 + case c_custkey % 8 when 0 then 1 else 0 end tile_count", "4817250 + c_custkey * 200000 tile_bytes", "case c_custkey % 9 when 0 then 'feet' else 'metres' end units", "9.385e0 west", "case c_custkey % 10 when 0 then 9.3e0 else 9.425e0 end east"]
 _TERRAIN_RULES = {"format": "format = 'maplibre-raster-dem-terrarium-v1'", "tile_size": "tile_size = 256", "zooms": "zooms = '13,14,15,16'", "tiles": "tile_count = 60", "bytes": "tile_bytes <= 8388608", "units": "units = 'metres'", "bounds": "west < east"}
 
 
-@query(f"with p as (select {', '.join(_TERRAIN)} from nation) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from p" for n, r in _TERRAIN_RULES.items()))
+@query(f"with p as (select {', '.join(_TERRAIN)} from customer) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from p" for n, r in _TERRAIN_RULES.items()))
 def terrain_contract(spark, d):
     """Seven rules on what a pyramid of terrain tiles declares."""
-    return contracts.report(table(spark, d, "nation").selectExpr(*_TERRAIN), {n: F.expr(r) for n, r in _TERRAIN_RULES.items()}, "id")
+    return contracts.report(table(spark, d, "customer").selectExpr(*_TERRAIN), {n: F.expr(r) for n, r in _TERRAIN_RULES.items()}, "id")
 
 
 _TREES = {"ids": "id is not null", "catalogue_number": "length(brand) >= 7", "species": "kind is not null and kind <> ''", "in_bounds": "lat between 51.307 and 51.323 and lng between 9.385 and 9.425", "girth_positive": "girth is null or girth > 0", "not_pending": "id % 97 <> 0"}

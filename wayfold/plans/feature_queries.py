@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import features as X
 from wayfold.functions import geo
+from wayfold.operators import contracts, sequences
 from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
 from wayfold.sources import collections, files, publishing
@@ -168,3 +169,48 @@ def stale_inputs(spark, d):
     later = table(spark, d, "part").withColumn("p_size", F.expr("p_size - p_size % 2"))
     publishing.publish(spark, {_LAYERS[0]: table(spark, d, "nation"), _LAYERS[2]: later}, folder, _PER)
     return publishing.stale(before, publishing.input_set(files.manifest(spark, folder)))
+
+
+@query("select 'build' \"origin\", 'nation' layer, n_nationkey id, n_name || '*' \"name\" from nation union all select 'canonical', 'supplier', s_suppkey, s_name from supplier")
+def resolved_layers(spark, d):
+    """Layers from a build's own folder where it has them, else from the canonical one, by their declared version."""
+    build, canonical = _folder(spark, "build"), _folder(spark, "canonical")
+    nation, supplier = _LAYERS[0], _LAYERS[1]
+    publishing.publish(spark, {nation: table(spark, d, "nation").withColumn("n_name", F.concat("n_name", F.lit("*")))}, build, _PER)
+    publishing.publish(spark, {nation: table(spark, d, "nation"), supplier: table(spark, d, "supplier")}, canonical, _PER)
+    schema = {"nation": "n_nationkey: bigint, n_name: string, n_regionkey: bigint", "supplier": "s_suppkey: bigint, s_name: string, s_nationkey: bigint"}
+    found = publishing.resolved(spark, [build, canonical], [nation, supplier, _LAYERS[3]], schema | {"tree": "id: bigint"})
+    row = lambda name, key, text: found[name][1].select(F.lit("build" if found[name][0] == build else "canonical").alias("origin"), F.lit(name).alias("layer"), F.col(key).alias("id"), F.col(text).alias("name"))
+    return row("nation", "n_nationkey", "n_name").unionByName(row("supplier", "s_suppkey", "s_name"))
+
+
+_NAMED = ["c_custkey id", "c_name name", "case c_custkey % 4 when 0 then 'toilet' when 1 then 'bench' when 2 then 'kiosk' end family"]
+_FAMILIES = ("toilet", "bench", "kiosk", "shelter")
+
+
+@query(f"""with p as (select {', '.join(_NAMED)} from customer where c_custkey % 4 <> 3), h as (select *, 200e0 + id % 40 elevation_m from p)
+ select 'poi' kind, 'visitor-poi-node-' || id "key", family "value", elevation_m, 'unknown_no_measurement_source' height_status from h
+ union all select 'family', f, cast(count(id) as varchar), null, null from (values {", ".join(f"('{f}')" for f in _FAMILIES)}) v(f) left join h on family = f group by f union all select 'total', 'pois', cast(count(*) as varchar), null, null from h""")
+def poi_layer(spark, d):
+    """A layer of points of interest with their elevations, every one of which must be known, its families counted, absent ones as 0, and their total."""
+    points = table(spark, d, "customer").filter("c_custkey % 4 <> 3").selectExpr(*_NAMED)
+    elevations = table(spark, d, "customer").selectExpr("c_custkey id", "200e0 + c_custkey % 40 elevation_m")
+    pois = contracts.lookup(points, elevations, ["id"], "no elevation", "id")
+    none = F.lit(None)
+    rows = pois.select(F.lit("poi").alias("kind"), F.concat(F.lit("visitor-poi-node-"), "id").alias("key"), F.col("family").alias("value"), "elevation_m", F.lit("unknown_no_measurement_source").alias("height_status"))
+    families = spark.createDataFrame([(f,) for f in _FAMILIES], "key string").join(pois.groupBy(F.col("family").alias("key")).count(), "key", "left")
+    families = families.select(F.lit("family").alias("kind"), "key", F.coalesce("count", F.lit(0)).cast("string").alias("value"), none.cast("double").alias("elevation_m"), none.cast("string").alias("height_status"))
+    total = pois.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("total").alias("kind"), F.lit("pois").alias("key"), "value", none.cast("double").alias("elevation_m"), none.cast("string").alias("height_status"))
+    return rows.unionByName(families).unionByName(total)
+
+
+_SAMPLE = ["case user_id % 3 when 0 then 'desktop' when 1 then 'mobile' else 'tablet' end mode", "event_type step", "value ms"]
+
+
+@query(f"""with s as (select {', '.join(_SAMPLE)} from events), r as (select mode, step, ms, row_number() over (partition by mode, step order by ms) i, count(*) over (partition by mode, step) n from s)
+ select mode, step, max(n) samples, min(ms) least, max(ms) most, round(avg(ms), 6) mean, max(case when i = ceil(0.5e0 * n) then ms end) p50, max(case when i = ceil(0.95e0 * n) then ms end) p95 from r group by all""")
+def timing_summary(spark, d):
+    """What each step of a run took in each mode: number, extremes, mean, and the median and 95th percentile by nearest rank."""
+    rows = table(spark, d, "events").selectExpr(*_SAMPLE).select(F.struct("mode", "step").alias("of"), "ms")
+    ranks = sequences.nearest_ranks(rows, "of", "ms", {"p50": 0.5, "p95": 0.95})
+    return ranks.select("of.*", F.col("n").alias("samples"), F.col("low").alias("least"), F.col("high").alias("most"), F.round("mean", 6).alias("mean"), "p50", "p95")

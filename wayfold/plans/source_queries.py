@@ -25,7 +25,7 @@ def _folder(spark, name: str) -> str:
 
 @query(f"select cast(round(lat * 1e7) as bigint) lat7, cast(round(lng * 1e7) as bigint) lng7, {_Z} elevation from {B.sql('customers')}")
 def layer_documents(spark, d):
-    """Points as JSON documents with a version in their header, read back by their schema, keyed by coordinates."""
+    """Points as JSON documents with a version in their header, read back by their schema, keyed by coordinates."""
     points = B.customers(spark, d).selectExpr("id", "lat", "lng", f"{_Z} elevation")
     # a document for every thousand points
     docs = points.groupBy(F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("lat", "lng", "elevation")).alias("points"))
@@ -162,7 +162,7 @@ def _hash(layer: str) -> str:
 
 @query(" union all ".join(_hash(x) for x in _PUBLISHED))
 def published_layers(spark, d):
-    """Layers written and described by a manifest of what was read back: rows and content hash."""
+    """Layers written and described by a manifest of what was read back: rows and content hash."""
     return layers.write_layers({n: table(spark, d, n).select(*c) for n, c in _PUBLISHED.items()}, _folder(spark, "published"))
 
 

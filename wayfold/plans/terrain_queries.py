@@ -48,7 +48,7 @@ def dem_sample(spark, d):
 
 @query(f"select count(*) n, min(z) filter (z <> -9999) low, max(z) filter (z <> -9999) high, count_if(z = -9999) n_nodata, bool_and(isfinite(z)) all_finite from {_GRID}")
 def raster_statistics(spark, d):
-    """What a grid must show before it is published."""
+    """What a grid must show before it is published."""
     return raster.statistics(B.shape(spark, d, "raster"))
 
 
@@ -125,7 +125,7 @@ _PIXEL_Z = _bilinear_sql(f'(select zoom, x tx, y ty, "row" pr, "column" pc, px x
 @query(f"""with z as materialized (select *, cast(round_even((round(z, 3) + 32768) * 256, 0) as bigint) q from ({_PIXEL_Z}))
  select zoom, tx x, ty y, count(*) n_pixels, sha256(unhex(string_agg(printf('%06X', q), '' order by pr, pc))) sha256 from z group by all""")
 def tile_resample(spark, d):
-    """Tiles of 8 x 8 pixels at zoom 14, each pixel's centre sampled from the grid and encoded, by digest."""
+    """Tiles of 8 x 8 pixels at zoom 14, each pixel's centre sampled from the grid and encoded, by digest."""
     ranges = raster.tile_ranges(_boxes(spark, d).drop("nation"), [14])
     pixels = raster.tile_pixels(ranges, 8).distinct()
     rows = _rows(spark, d)
@@ -156,19 +156,19 @@ def route_profiles(spark, d):
     return sequences.profile_summary(z.select("line", "k", F.round("z", 6).alias("z")).join(spacing, "line"), digits=6)
 
 
-_META = ["n_nationkey id", "case n_nationkey % 7 when 0 then 'PNG' else 'TIFF' end format", "case n_nationkey % 5 when 0 then 16 else 32 end bits", "case n_nationkey % 11 when 0 then 2e0 else 1e0 end cell", "case n_nationkey % 6 when 0 then null else -9999e0 end nodata", "case n_nationkey % 8 when 0 then 4326 else 25832 end crs", "526677e0 + n_nationkey west", "5685981e0 north", "3098 width", "2096 + n_nationkey height"]
+_META = ["p_partkey id", "case p_partkey % 7 when 0 then 'PNG' else 'TIFF' end format", "case p_partkey % 5 when 0 then 16 else 32 end bits", "case p_partkey % 11 when 0 then 2e0 else 1e0 end cell", "case p_partkey % 6 when 0 then null else -9999e0 end nodata", "case p_partkey % 8 when 0 then 4326 else 25832 end crs", "526677e0 + p_partkey west", "5685981e0 north", "3098 width", "2096 + p_partkey % 700 height"]
 _SEMANTICS = {"float_tiff": "format = 'TIFF'", "bits_32": "bits = 32", "metre_cells": "cell = 1", "nodata_value": "nodata = -9999", "zone_32": "crs = 25832", "area_within_cap": "width * height <= 8000000"}
 
 
-@query(f"with m as (select {', '.join(_META)} from nation) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from m" for n, r in _SEMANTICS.items()))
+@query(f"with m as (select {', '.join(_META)} from part) " + " union all ".join(f"select '{n}' rule, count(*) checked, count_if(not coalesce({r}, false)) failures, min(case when not coalesce({r}, false) then id end) first_failure from m" for n, r in _SEMANTICS.items()))
 def raster_semantics(spark, d):
     """What a raster must declare before it is read, as a report."""
-    meta = B.table(spark, d, "nation").selectExpr(*_META)
+    meta = B.table(spark, d, "part").selectExpr(*_META)
     return contracts.report(meta, {n: F.expr(r) for n, r in _SEMANTICS.items()}, "id")
 
 
-@query(f"select id, west, north - height * cell south, west + width * cell east, north from (select {', '.join(_META)} from nation)")
+@query(f"select id, west, north - height * cell south, west + width * cell east, north from (select {', '.join(_META)} from part)")
 def raster_bounds(spark, d):
     """Bounds from the north-west corner, size and cell."""
-    meta = B.table(spark, d, "nation").selectExpr(*_META)
+    meta = B.table(spark, d, "part").selectExpr(*_META)
     return meta.select("id", raster.bounds_from_tiepoint(*(F.col(c) for c in ("west", "north", "width", "height", "cell"))).alias("b")).select("id", "b.*")

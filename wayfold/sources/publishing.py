@@ -94,6 +94,29 @@ def load(spark: SparkSession, folder: str, layers: list[Layer], phase: str, sche
     return out
 
 
+def resolved(spark: SparkSession, folders: list[str], layers: list[Layer], schema: dict[str, str]) -> dict[str, tuple[str, DataFrame]]:
+    """(folder, rows) of each layer, from the first of the folders that publishes it: a build's own before the canonical ones.
+
+    A layer that no folder has fails if it is required and is left out otherwise. What is read is checked as load() checks it: a folder that has a layer in another version fails
+    instead of passing it on to the next.
+    """
+    there = {}
+    for folder in folders:
+        try:
+            listed = files.manifest(spark, folder)
+        except FileNotFoundError:
+            continue
+        there[folder] = {r.layer for r in listed.select(F.substring_index("path", "/", 1).alias("layer")).distinct().collect()}
+    out = {}
+    for x in layers:
+        folder = next((f for f in folders if x.name in there.get(f, ())), None)
+        if folder is not None:
+            out[x.name] = (folder, load(spark, folder, [x], x.phase, schema)[x.name])
+        elif x.required:
+            raise FileNotFoundError(f"a required layer is in none of the folders: {x.name}")
+    return out
+
+
 def input_set(manifest: DataFrame) -> DataFrame:
     """(layer, files, sha256) of what a composition is made from: for each layer one digest over its files' sums, whatever their order."""
     sums = [F.sum(F.conv(F.substring("sha256", a, 8), 16, 10).cast("long")).cast("string") for a in (1, 9, 17, 25, 33, 41, 49, 57)]
