@@ -27,13 +27,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to their label's label, so that long chains take few rounds.
     """
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = cut(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
+    labels = kept = cut(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     while True:
         near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("src"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("label"))
         jump = spread.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = cut(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", F.least("label", F.coalesce("far", "label")).alias("component"), F.col("component").alias("old")))
-        labels = new.select("node", "component")
+        new = cut(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", F.least("label", F.coalesce("far", "label")).alias("component"), F.col("component").alias("old")), instead_of=kept)
+        labels, kept = new.select("node", "component"), new
         if new.filter("component <> old").isEmpty():
             return labels
 
@@ -59,13 +59,13 @@ def _to_fixpoint(state: DataFrame, keys: list[str], extend: Callable[[DataFrame]
     ``extend`` maps (keys, label) of rows changed in the round before to candidates of the same columns. Candidates and state
     meet in one aggregate; where the least label is a candidate's, the row counts as changed. Ends when a round changes none.
     """
-    now = cut(state.select(*keys, "label", F.lit(True).alias("changed")))
+    now = kept = cut(state.select(*keys, "label", F.lit(True).alias("changed")))
     while True:
         for _ in range(ROUNDS_PER_CUT):
             candidates = extend(now.filter("changed").select(*keys, "label"))
             both = now.select(*keys, F.struct("label", F.lit(0).alias("new")).alias("x")).unionByName(candidates.select(*keys, F.struct("label", F.lit(1).alias("new")).alias("x")))
             now = both.groupBy(*keys).agg(F.min("x").alias("x")).select(*keys, "x.label", (F.col("x.new") == 1).alias("changed"))
-        now = cut(now)
+        now = kept = cut(now, instead_of=kept)
         if now.filter("changed").isEmpty():
             return now.select(*keys, "label")
 
@@ -108,14 +108,18 @@ def least_routes(segments: DataFrame, origins: DataFrame, cost: list[Column]) ->
 
 
 def route(tree: DataFrame, target: int) -> DataFrame:
-    """(position, node) of the path to ``target`` in a shortest() tree, from the target back: parents followed one step a round."""
-    at = tree.filter(F.col("node") == target).select("node", "parent", "hops")
-    out = at.select("hops", "node")
+    """(position, node) of the path to ``target`` in a shortest() tree, position counted from the source.
+
+    Pointers to parents are doubled: a round finds as many further nodes as are known, so a path of n steps takes log n rounds.
+    """
+    up = cut(tree.filter("parent is not null").select("node", F.col("parent").alias("up")))
+    found = cut(tree.filter(F.col("node") == target).select("node"))
     while True:
-        at = cut(tree.join(at.select(F.col("parent").alias("want")), F.col("node") == F.col("want")).select("node", "parent", "hops"))
-        if at.isEmpty():
-            return out.withColumnRenamed("hops", "position")
-        out = out.union(at.select("hops", "node"))
+        more = cut(found.join(up, "node").select(F.col("up").alias("node")))
+        if more.isEmpty():
+            return tree.join(found, "node").select(F.col("hops").alias("position"), "node")
+        found = cut(found.unionByName(more), instead_of=found)
+        up = cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), instead_of=up)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -19,9 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again: a lost executor recomputes nothing older, and plans of loops don't grow."""
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written as Parquet and read again: a lost executor recomputes nothing older, and plans of loops don't grow.
+
+    A table that cut() gave earlier and that nothing but ``df`` reads any more is removed with ``instead_of``: a loop then leaves one table, not one a round.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if old := getattr(instead_of, "_scratch_path", None):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
