@@ -217,3 +217,16 @@ def test_positions_stream_like_their_batch_across_restarts(spark, tmp_path):
     assert sorted((r.after_event, r.at.replace(tzinfo=datetime.UTC).timestamp()) for r in told) == gaps and gaps
     with pytest.raises(Exception, match="needs a folder for progress"):
         positions.read_stream(spark, str(log), segments_per_batch=2).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination(60)
+
+
+@pytest.mark.parametrize(("error", "attempts"), [(lookups.StatusError(503), 3), (lookups.StatusError(404), 1), (TimeoutError(), 3), (ConnectionResetError(), 3), (KeyError(), 1)])
+def test_only_passing_failures_are_tried_again(error, attempts):
+    tried = []
+
+    def service(places):
+        tried.append(places)
+        raise error
+
+    with pytest.raises(RuntimeError, match=f"after {attempts} attempts"):
+        lookups.asked(service, [(1.0, 2.0)], 3, 0.0, lookups.passing)
+    assert len(tried) == attempts

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.functions import geo
+
 #: How large each mode and each highlight is drawn.
 MODE_SCALE = {"full": 1.0, "cue": 0.72, "hidden": 1.0}
 HIGHLIGHT_SCALE = {"none": 1.0, "selected": 1.08, "focused": 1.14, "selected-focused": 1.2}
@@ -63,3 +65,27 @@ def changes(views: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     told = decide(views).withColumn("signature", signature())
     told = told.withColumn("before", F.lag("signature").over(W.partitionBy(*by).orderBy(*order)))
     return told.filter(~F.col("signature").eqNullSafe(F.col("before")))
+
+
+def host_views(entities: DataFrame) -> DataFrame:
+    """``entities`` (lat, lng) with distance_m from a camera (center_lat, center_lng) and in_view within bounds (west, south, east, north).
+
+    What isn't known hides nothing: without a camera or a place the distance is null, without bounds or a place the entity is in view. Bounds may cross the antimeridian; a
+    span of 360 degrees or more holds every longitude.
+    """
+    place = geo.finite(F.col("lat")).isNotNull() & geo.finite(F.col("lng")).isNotNull()
+    sides = [geo.finite(F.col(c)) for c in ("west", "south", "east", "north")]
+    west, south, east, north = sides
+    bounds = west.isNotNull() & south.isNotNull() & east.isNotNull() & north.isNotNull() & (south <= north)
+    inside = F.col("lat").between(south, north) & ((F.abs(east - west) >= 360) | F.coalesce(geo.longitude_between(F.col("lng"), west, east), F.lit(True)))
+    center = geo.finite(F.col("center_lat")).isNotNull() & geo.finite(F.col("center_lng")).isNotNull()
+    distance = F.when(place & center, geo.surface_distance(F.col("center_lat"), F.col("center_lng"), F.col("lat"), F.col("lng")))
+    return entities.withColumn("distance_m", distance).withColumn("in_view", F.when(place & F.coalesce(bounds, F.lit(False)), inside).otherwise(True))
+
+
+def renderer(preference: Column, reduced_power: Column, webgl2: Column, terrain: Column) -> Column:
+    """(renderer, fallback): terrain only where it is asked for and the device can draw it, else the plain map and why."""
+    no = F.lit(False)
+    why = F.when(F.coalesce(reduced_power, no), "reduced-power").when(~F.coalesce(webgl2, no), "webgl2-unavailable").when(~F.coalesce(terrain, no), "terrain-renderer-unavailable")
+    fallback = F.when(F.coalesce(preference == "terrain", no), why)
+    return F.struct(F.when(F.coalesce(preference == "terrain", no) & fallback.isNull(), "terrain").otherwise("leaflet").alias("renderer"), fallback.alias("fallback"))

@@ -7,13 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.functions import features as X
 from wayfold.functions import geo
 from wayfold.operators import contracts, sequences
 from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
-from wayfold.sources import collections, files, publishing
+from wayfold.sources import collections, files, layers, publishing
 from wayfold.sources.layers import table
 from wayfold.sources.scratch import shared_dir
 
@@ -214,3 +215,43 @@ def timing_summary(spark, d):
     rows = table(spark, d, "events").selectExpr(*_SAMPLE).select(F.struct("mode", "step").alias("of"), "ms")
     ranks = sequences.nearest_ranks(rows, "of", "ms", {"p50": 0.5, "p95": 0.95})
     return ranks.select("of.*", F.col("n").alias("samples"), F.col("low").alias("least"), F.col("high").alias("most"), F.round("mean", 6).alias("mean"), "p50", "p95")
+
+
+@query("select n_nationkey id, n_name \"name\", n_regionkey region from nation union all select s_suppkey + 1000, s_name, s_nationkey from supplier")
+def pretty_documents(spark, d):
+    """A layer as indented JSON documents with a header, one for every 300 rows, written as files and read back as whole documents."""
+    rows = table(spark, d, "nation").selectExpr("n_nationkey id", "n_name name", "n_regionkey region").unionByName(table(spark, d, "supplier").selectExpr("s_suppkey + 1000 id", "s_name name", "s_nationkey region"))
+    docs = rows.groupBy(F.floor(F.col("id") / _PER).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", "name", "region"))).alias("rows"))
+    text = F.to_json(F.struct(F.lit("1").alias("schema_version"), "rows"), {"pretty": "true"})
+    folder = _folder(spark, "pretty")
+    files.write_files(docs.select(F.concat(F.col("part").cast("string"), F.lit(".json")).alias("path"), F.encode(F.concat(text, F.lit("\n")), "utf-8").alias("content")), folder)
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("region", T.LongType())])
+    return layers.read_document(spark, folder, "rows", row, "1")
+
+
+_MODULE = r"(?s)export const heights = Object[.]freeze[(](.*?)[)];"
+
+
+@query(f"select line, pos, round(d, 3) distance_m, case when node % 9 <> 0 then 200e0 + node % 40 end height_m from {B.sql('polylines')}")
+def module_maps(spark, d):
+    """Nested maps as script modules, a file for every hundred lines, and read back from their text."""
+    v = B.polylines(spark, d).selectExpr("line", "pos", "round(d, 3) d", "case when node % 9 <> 0 then 200e0 + node % 40 end z")
+    lines = v.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("pos", "d", "z"))).alias("p"))
+    value = F.struct(F.col("p.d").alias("distances"), F.col("p.z").alias("heights"), F.col("p.pos").alias("places"))
+    modules = lines.groupBy(F.floor(F.col("line") / 100).alias("part")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("line").cast("string").alias("k"), value.alias("v"))))).alias("m"))
+    text = F.concat(F.lit("// Made by a query. Do not edit by hand.\nexport const heights = Object.freeze("), F.to_json("m", {"ignoreNullFields": "false"}), F.lit(");\n"))
+    folder = _folder(spark, "modules")
+    files.write_files(modules.select(F.concat(F.col("part").cast("string"), F.lit(".mjs")).alias("path"), F.encode(text, "utf-8").alias("content")), folder)
+    body = F.regexp_extract(F.decode("content", "utf-8"), _MODULE, 1)
+    back = files.read_files(spark, folder).select(F.explode(F.from_json(body, "map<string, struct<distances: array<double>, heights: array<double>, places: array<bigint>>>", {"mode": "FAILFAST"})).alias("line", "v"))
+    each = back.select(F.col("line").cast("long").alias("line"), F.explode(F.arrays_zip("v.places", "v.distances", "v.heights")).alias("x"))
+    return each.select("line", F.col("x.places").alias("pos"), F.col("x.distances").alias("distance_m"), F.col("x.heights").alias("height_m"))
+
+
+@query(f"select 10 * sum(length(points) + n)::bigint checksum, 10 * count(*) profiles from (select points, (select count(*) from {B.sql('raster')} g where g.row = q.\"row\" and g.z <> -9999) n from (select \"row\", array_to_string(list_transform(range(1, len(d) + 1), lambda i: printf('%.1f', round((d[i] - d[1]) / greatest(1, d[-1] - d[1]) * 240, 1)) || ',' || printf('%.1f', round(51 - (e[i] - list_min(e)) / greatest(1, list_max(e) - list_min(e)) * 46, 1))), ' ') points from {_PROFILE}) q)")
+def profile_batch(spark, d):
+    """Every profile made into a line, ten times over, with a checksum that shows that none was left out."""
+    rows = B.shape(spark, d, "raster").filter("z <> -9999").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "z"))).alias("p"))
+    points = X.profile_points(F.transform("p", lambda x: x["col"] * F.lit(12.5)), F.col("p.z"))
+    each = rows.select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("again"), points.alias("points"), F.size("p").alias("n"))
+    return each.agg(F.sum(F.length("points") + F.col("n")).alias("checksum"), F.count(F.lit(1)).alias("profiles"))

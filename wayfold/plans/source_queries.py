@@ -230,9 +230,15 @@ def edge_lookups(spark, d):
 
 
 class Heights:
-    """A service that knows a height for every place; it travels to the tasks with the plan."""
+    """A service that knows a height for every place, but is busy when it is first asked; it travels to the tasks with the plan."""
+
+    def __init__(self):
+        self.heard = set()
 
     def __call__(self, places):
+        if places[0] not in self.heard:
+            self.heard.add(places[0])
+            raise lookups.StatusError(503)
         return [200.0 + (round(lat * 1e7) + 3 * round(lng * 1e7)) % 4000 / 10 for lat, lng in places]
 
 
@@ -243,10 +249,11 @@ _KNOWN = {"trees": "id % 3 = 0", "benches": "id % 5 = 0", "paths": "id % 7 = 0"}
 @query(f"""with p as (select id, {_HEIGHT} as "value", lat, lng, case {" ".join(f"when {c} then {i}" for i, c in enumerate(_KNOWN.values()))} end know from {B.sql('customers')}), k as (select lat, lng, min(know) know from p group by all)
  select id, p."value", case when k.know is null then 'fetched' else 'reused' end "source", case k.know {" ".join(f"when {i} then '{n}'" for i, n in enumerate(_KNOWN))} end layer from p join k using (lat, lng)""")
 def selected_heights(spark, d):
-    """Heights of a selection of places: those that three earlier layers know are taken from them, others asked for in batches, with a journal."""
+    """Heights of a selection of places: those that three earlier layers know are taken from them, others asked for in batches, with a journal, again where
+    the service was busy."""
     places = B.customers(spark, d).select("id", "lat", "lng")
     known = {name: places.filter(c).selectExpr("lat", "lng", f"{_HEIGHT} value") for name, c in _KNOWN.items()}
-    rows = lookups.lookup(places, Heights(), _folder(spark, "journal"), known=known)
+    rows = lookups.lookup(places, Heights(), _folder(spark, "journal"), known=known, delay=0.01, again=lookups.passing)
     return rows.select("id", "value", "source", F.when(F.col("source") == "reused", F.col("origin")).alias("layer"))
 
 
@@ -266,3 +273,11 @@ def wiki_cells(spark, d):
     text = F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n|}\nMore text."))
     cells = wiki.cells(pages.select(F.concat(F.lit("page "), F.col("page").cast("string")).alias("page"), text.alias("text")))
     return cells.select("page", "row", "col", "header", F.col("text").alias("said"), "target", "spanned")
+
+
+@query(f"select id, case when id % 2 = 0 then 'tree' else 'bench' end kind, {_HEIGHT} as \"value\" from {B.sql('customers')}")
+def tree_bench_heights(spark, d):
+    """Heights of trees and of benches, each selection with a journal of its own."""
+    places = B.customers(spark, d).select("id", "lat", "lng")
+    ask = lambda kind, left: lookups.lookup(places.filter(F.col("id") % 2 == left), Heights(), _folder(spark, kind), delay=0.01, again=lookups.passing).select("id", F.lit(kind).alias("kind"), "value")
+    return ask("tree", 0).unionByName(ask("bench", 1))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import policy
+from wayfold.plans import bindings as B
 from wayfold.plans.registry import query
 from wayfold.sources import versions
 from wayfold.sources.layers import table
@@ -101,3 +102,23 @@ def pushed_fixes(spark, d):
 def device_silences(spark, d):
     """Where no fix came from a device for twelve seconds."""
     return positions.silences(positions.read(spark, _log(spark, d))).select("user_id", "after_event", F.unix_micros("at").alias("at_us"))
+
+
+_SEEN = ["id", "case when id % 13 <> 0 then lat end lat", "lng", "case when id % 11 <> 0 then 51.3e0 end center_lat", "9.4e0 center_lng", "case when id % 7 = 0 then 170e0 when id % 5 <> 0 then 9.39e0 end west", "51.29e0 south", "case when id % 7 = 0 then 9.405e0 when id % 9 = 0 then 400e0 else 9.41e0 end east", "case when id % 17 = 0 then 51e0 else 51.31e0 end north"]
+
+
+@query(f"""select id, case when lat is not null and center_lat is not null then round(6371008.8e0 * 2 * asin(least(1, sqrt(pow(sin(radians(lat - center_lat) / 2), 2) + cos(radians(center_lat)) * cos(radians(lat)) * pow(sin(radians(lng - center_lng) / 2), 2)))), 3) end distance_m,
+ lat is null or west is null or south > north or lat between south and north and (east - west >= 360 or case when id % 7 = 0 then lng >= 170 or lng <= 9.405e0 else lng between west and case when east = 400 then 40 else east end end) in_view from (select {", ".join(_SEEN)} from {B.sql('customers')}) v""")
+def host_views(spark, d):
+    """Distance from the camera and whether an entity is in view, also across the antimeridian; what isn't known hides nothing."""
+    return policy.host_views(B.customers(spark, d).selectExpr(*_SEEN)).select("id", F.round("distance_m", 3).alias("distance_m"), "in_view")
+
+
+_DEVICE = ["c_custkey id", "case c_custkey % 3 when 0 then 'terrain' when 1 then 'auto' end preference", "c_custkey % 5 = 0 reduced_power", "case when c_custkey % 4 <> 0 then c_custkey % 7 <> 0 end webgl2", "c_custkey % 8 <> 1 terrain"]
+
+
+@query(f"select id, case when preference = 'terrain' and not reduced_power and coalesce(webgl2, false) and terrain then 'terrain' else 'leaflet' end renderer, case when preference = 'terrain' then case when reduced_power then 'reduced-power' when webgl2 is null or not webgl2 then 'webgl2-unavailable' when not terrain then 'terrain-renderer-unavailable' end end fallback from (select {', '.join(_DEVICE)} from customer)")
+def renderers(spark, d):
+    """Which renderer a device gets, and why not the one that it asks for."""
+    r = policy.renderer(*(F.col(c) for c in ("preference", "reduced_power", "webgl2", "terrain")))
+    return table(spark, d, "customer").selectExpr(*_DEVICE).select("id", r.alias("r")).select("id", "r.*")

@@ -69,8 +69,25 @@ def _put(store: fs.FileSystem, path: str, record: dict) -> None:
     store.move(staged, path)
 
 
-def asked(service: Service, places: list[tuple[float, float]], retries: int, delay: float) -> tuple[list[float], int]:
-    """(values, attempts) of one batch. An answer that is too short, or lacks a value, counts as none."""
+class StatusError(RuntimeError):
+    """An answer with a status that says that there is none."""
+
+    def __init__(self, status: int) -> None:
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+#: Statuses that may be gone the next time.
+PASSING = (429, 500, 502, 503, 504)
+
+
+def passing(e: Exception) -> bool:
+    """Whether a failure may be gone the next time: a busy or broken service, no connection, no answer in time."""
+    return e.status in PASSING if isinstance(e, StatusError) else isinstance(e, (ConnectionError, TimeoutError))
+
+
+def asked(service: Service, places: list[tuple[float, float]], retries: int, delay: float, again: Callable[[Exception], bool] | None = None) -> tuple[list[float], int]:
+    """(values, attempts) of one batch. An answer that is too short, or lacks a value, counts as none. Failures that ``again`` says no to aren't tried again."""
     for attempt in range(1, retries + 1):
         try:
             values = list(service(places))
@@ -78,17 +95,17 @@ def asked(service: Service, places: list[tuple[float, float]], retries: int, del
                 raise ValueError(f"{sum(v is not None for v in values)} values for {len(places)} places")
             return [float(v) for v in values], attempt
         except Exception as e:
-            if attempt == retries:
-                raise RuntimeError(f"a batch failed after {retries} attempts: {e}") from e
+            if attempt == retries or again and not again(e):
+                raise RuntimeError(f"a batch failed after {attempt} attempts: {e}") from e
             time.sleep(delay * attempt)
     raise ValueError("at least one attempt")
 
 
-def lookup(selection: DataFrame, service: Service, folder: str, *, key: str = "id", known: dict[str, DataFrame] | None = None, batch: int = BATCH, retries: int = RETRIES, delay: float = DELAY_S, force: bool = False) -> DataFrame:
+def lookup(selection: DataFrame, service: Service, folder: str, *, key: str = "id", known: dict[str, DataFrame] | None = None, batch: int = BATCH, retries: int = RETRIES, delay: float = DELAY_S, again: Callable[[Exception], bool] | None = None, force: bool = False) -> DataFrame:
     """``selection`` (key, lat, lng, ...) with value, source (reused or fetched) and origin (the layer, or the batch's file).
 
     Places are asked for once each, in batches that Spark deals out; ``service`` takes (lat, lng) pairs. Reading the result again asks nothing again. With ``force``
-    an old journal is forgotten. Rows without coordinates fail.
+    an old journal is forgotten. Failures are tried again, or with ``again`` (such as passing()) only those that it says yes to. Rows without coordinates fail.
     """
     spark = selection.sparkSession
     digest = content_hash(selection.select(key, "lat", "lng"), "selection").first().content_hash
@@ -114,7 +131,7 @@ def lookup(selection: DataFrame, service: Service, folder: str, *, key: str = "i
             if record["selection_sha256"] != digest or [tuple(p) for p in record["places"]] != places:
                 record = None
         if record is None:
-            values, attempts = asked(service, places, retries, delay)
+            values, attempts = asked(service, places, retries, delay, again)
             record = {"selection_sha256": digest, "places": places, "values": values, "attempts": attempts}
             _put(store, f"{root}/{name}", record)
         return pa.table({"lat7": table.column("lat7"), "lng7": table.column("lng7"), "value": pa.array(record["values"], pa.float64()), "origin": pa.array([name] * len(places))})
