@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 import __spark_entry__
 from wayfold.functions import geo, normalize, records
 from wayfold.operators import contracts, graph, raster, routing, sequences, spatial
-from wayfold.plans import bindings, catalog
+from wayfold.plans import bindings, catalog, contract_queries, terrain_queries
 from wayfold.sources import layers
 from wayfold.streaming import history, proximity
 
@@ -360,3 +360,47 @@ def test_ordered_digests(spark):
     assert digest(df, run=7) == digest(df.orderBy(F.desc("id")).repartition(9), run=7) and digest(df)[1] == 500
     assert digest(df)[0] != digest(df.filter("id <> 250"))[0] != digest(df.withColumn("t", F.when(F.col("id") == 250, "y").otherwise(F.col("t"))))[0]
     assert digest(df.limit(0)) == digest(df.limit(0), run=3) and digest(df.limit(0))[1] == 0
+
+
+RULES = {
+    "_CONTRACT": (
+        "filename string, load_phase string, boot_required boolean, producer string, field string",
+        ("a.json", "initial", True, "copy", "schema_version"),
+        {"safe_filename": [{"filename": x} for x in ("", "/a.json", "a/../b.json", None)], "known_phase": [{"load_phase": x, "boot_required": False} for x in ("later", None)], "known_producer": [{"producer": "zip"}], "boot_is_initial": [{"load_phase": "hydrate"}], "schema_declared": [{"field": None}]},
+    ),
+    "_POI_RULES": (
+        "family string, element_type string, method string, position_type string, version string, tagged boolean, relation string, height double, source_ref string",
+        ("access", "node", "source_node", "source_point", "3", True, "inside_park", None, "r"),
+        {
+            "family_known": [{"family": "kiosk"}, {"family": None}], "element_known": [{"element_type": "relation"}], "element_version": [{"version": None}], "method_of_element": [{"method": "bounds_midpoint"}, {"element_type": "way", "position_type": "representative_point"}],
+            "type_of_element": [{"position_type": "representative_point"}], "scope_known": [{"relation": "somewhere"}], "height_unknown": [{"height": 3.0}], "source_named": [{"source_ref": None}], "access_is_tagged_node": [{"tagged": False}, {"element_type": "way", "method": "bounds_midpoint"}],
+        },
+    ),
+    "_TERRAIN_RULES": (
+        "format string, tile_size int, zooms string, tile_count int, tile_bytes bigint, units string, west double, east double",
+        ("maplibre-raster-dem-terrarium-v1", 256, "13,14,15,16", 60, 8388608, "metres", 9.3, 9.4),
+        {"format": [{"format": "png"}], "tile_size": [{"tile_size": 512}], "zooms": [{"zooms": "13,14"}], "tiles": [{"tile_count": 59}], "bytes": [{"tile_bytes": 8388609}], "units": [{"units": "feet"}], "bounds": [{"west": 9.4}, {"west": None}]},
+    ),
+    "_TREES": (
+        "id bigint, brand string, kind string, lat double, lng double, girth int",
+        (1, "Brand#1", "Quercus", 51.31, 9.4, None),
+        {"ids": [{"id": None}], "catalogue_number": [{"brand": "x"}], "species": [{"kind": ""}, {"kind": None}], "in_bounds": [{"lat": 51.4}, {"lng": 9.5}], "girth_positive": [{"girth": 0}], "not_pending": [{"id": 97}]},
+    ),
+    "_SEMANTICS": (
+        "format string, bits int, cell double, nodata double, crs int, width int, height int",
+        ("TIFF", 32, 1.0, -9999.0, 25832, 3098, 2096),
+        {"float_tiff": [{"format": "PNG"}], "bits_32": [{"bits": 16}], "metre_cells": [{"cell": 2.0}], "nodata_value": [{"nodata": None}, {"nodata": 0.0}], "zone_32": [{"crs": 4326}], "area_within_cap": [{"width": 80_000}]},
+    ),
+}
+
+
+@pytest.mark.parametrize("rules", RULES)
+def test_each_rule_fails_on_a_row_of_its_own(spark, rules):
+    schema, good, bad = RULES[rules]
+    named = getattr(terrain_queries if rules == "_SEMANTICS" else contract_queries, rules)
+    assert set(bad) == set(named)
+    names = [c.split()[0] for c in schema.split(", ")]
+    cases = [("", good)] + [(rule, tuple((dict(zip(names, good, strict=True)) | change)[n] for n in names)) for rule, changes in bad.items() for change in changes]
+    rows = spark.createDataFrame([(rule, *row) for rule, row in cases], f"rule string, {schema}")
+    for r in rows.select("rule", contracts.broken({n: F.expr(x) for n, x in named.items()}).alias("broken")).collect():
+        assert r.rule in r.broken if r.rule else r.broken == []
