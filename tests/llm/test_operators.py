@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import chat, decontam, folds, importance, jaccard, langid, mixing, neighbours, quality, queries, repair, rules, sharding, suffixes, toxicity
+from wayfold.llm import chat, decontam, folds, importance, jaccard, langid, mixing, neighbours, quality, queries, repair, rules, sharding, storage, suffixes, toxicity
 from wayfold.llm import kernels as K
 from wayfold.llm.components import components
 
@@ -859,3 +860,28 @@ def test_collisions_need_not_be_complete():
     vectors = random.standard_normal((50, 6))
     for found, product in neighbours.search(neighbours.build(vectors), vectors[:3], 100):
         assert sorted(found.tolist()) == list(range(50)) and len(product) == 50
+
+
+def test_scopes_of_two_threads_stay_apart(spark):
+    """A block that ends in one thread removes nothing that another still reads."""
+    ready, done, seen = threading.Event(), threading.Event(), {}
+
+    def other():
+        with storage.temporary(spark):
+            table = storage.materialize(spark.range(5), "other")
+            ready.set()
+            done.wait(60)
+            seen["rows"] = table.count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert ready.wait(60)
+    with storage.temporary(spark):
+        mine = storage.materialize(spark.range(3), "mine")
+        kept = storage.materialize(spark.range(4), "kept", keep=True)
+        assert mine.count() == 3
+    done.set()
+    thread.join()
+    assert seen == {"rows": 5} and kept.count() == 4
+    with pytest.raises(Exception, match="mine-"):
+        mine.count()
