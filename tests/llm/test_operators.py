@@ -353,6 +353,19 @@ def test_rules_against_brute_force(docs, odd):
     assert rules.keep_good(odd).columns == odd.columns
 
 
+def test_every_trigram_is_counted(spark):
+    """No cap: in rows of every length, over many batches and more languages than a task holds tables for, all trigrams of byte classes."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc é\n1#"), int(n))) for n in rng.integers(0, 400, 300)] + ["x" * 400_000, "", "ab", "abc"]
+    rows = [(f"l{i % 11}", t) for i, t in enumerate(texts)]
+    want = collections.Counter()
+    for name, t in rows:
+        x = rules._CLASS[np.frombuffer(t.encode(), np.uint8)].tolist()
+        want.update((name, a << 14 | b << 7 | c) for a, b, c in zip(x, x[1:], x[2:]))
+    got = rules.count_trigrams(spark.createDataFrame(rows, "lang string, text string"), F.col("lang")).collect()
+    assert {(r.lang, r.code): r.n for r in got} == want and len(got) == len(want)
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = rules.train(docs, F.lit("*"))
     classes = np.unique(rules._CLASS)
