@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import threading
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -366,6 +367,13 @@ def test_every_trigram_is_counted(spark):
     assert {(r.lang, r.code): r.n for r in got} == want and len(got) == len(want)
 
 
+def test_a_carried_text_goes_to_the_workers_once(spark, docs):
+    measured = rules.measure(docs, None, F.lit("*"), carry=["doc_id", "text", "lang"])
+    sent = measured._jdf.queryExecution().optimizedPlan().children().head().output().size()
+    assert sent == 4 and measured.columns[:3] == ["doc_id", "text", "lang"]
+    assert sorted(measured.select("doc_id", "text", "lang").collect(), key=str) == sorted(docs.select("doc_id", "text", "lang").collect(), key=str)
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = rules.train(docs, F.lit("*"))
     classes = np.unique(rules._CLASS)
@@ -594,6 +602,36 @@ def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch):
     assert suffixes.digests(empty(odd)).count() == 0
 
 
+class _Captured:
+    """Takes the place of a table: keeps the function that tasks would run."""
+
+    def __getattr__(self, name):
+        return lambda *args, **kwargs: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def _peak_mb(operator, batches):
+    """The most memory that numpy takes at once while a task maps the batches."""
+    table = _Captured()
+    operator(table)
+    tracemalloc.start()
+    for _ in table.run(iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_memory_of_a_task_is_that_of_small_chunks(spark):
+    """Two tasks, and workers that wait, share what an executor's heap leaves."""
+    rng = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(16)] * 2000), pa.array(["".join(rng.choice(list("abcdefgh  \n"), 2000)) for _ in range(2000)])], ["rid", "text"])
+    assert _peak_mb(lambda t: rules.count_trigrams(t, F.lit("*")), [batch]) < 50
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------------------
 
 

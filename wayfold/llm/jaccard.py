@@ -58,7 +58,7 @@ def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for c in K.chunks(batch.column(0)):
+            for c in K.chunks(batch.column(0), K.DENSE):
                 sets = [*shingle_sets(c, k)]
                 total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         at = np.flatnonzero(total)
@@ -83,7 +83,7 @@ def _signed(docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = sketch.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(1), K.DENSE):
                 n, sig, prefixes = np.zeros(c.rows, np.int64), np.zeros((2, c.rows), np.uint64), []
                 frequent = np.zeros(c.rows, np.int32)
                 for i, s in enumerate(shingle_sets(c, k)):
@@ -107,7 +107,7 @@ def _sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, k: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(1), K.DENSE):
                 sets = list(shingle_sets(c, k))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), K.list_array(flat.view(np.int64), K.starts(np.array([len(s) for s in sets], np.int64)), pa.int64())], ["node", "tokens"])

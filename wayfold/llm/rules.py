@@ -65,12 +65,12 @@ def count_trigrams(docs: DataFrame, lang: Column, text: str = "text") -> DataFra
 
         for batch in batches:
             names = np.array(batch.column(0).to_pylist())
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(1), K.DENSE):
                 code, row = _trigrams(c)
                 own = names[c.first : c.first + c.rows]
                 for name in np.unique(own):
                     held.setdefault(name, np.zeros(1 << 3 * BITS, np.int64))
-                    held[name] += np.bincount(code[(own == name)[row]], minlength=1 << 3 * BITS)
+                    np.add.at(held[name], code[(own == name)[row]], 1)
             if len(held) > 8:
                 yield from flush()
         yield from flush()
@@ -202,12 +202,13 @@ def _duplicate_lines(c: K.Chunk) -> np.ndarray:
 def measure(docs: DataFrame, model: Model | None, lang: Column, *, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """``carry`` columns of each row and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, model_lang, n_grams, log_probability (of the text, by word; null without words, trigrams or model)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names_of = ["_text" if x == text else x for x in carry]  # a text that is carried goes to the workers once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             names = np.array(batch.column(1).to_pylist())
-            for c in K.chunks(batch.column(0)):
+            for c in K.chunks(batch.column(0), K.DENSE):
                 w = K.words(c)
                 per = lambda flag, c=c: np.diff(np.concatenate([[0], np.cumsum(flag)])[c.offsets])
                 points = ~K.SPACE[c.data] & ((c.data & 0xC0) != 0x80)
@@ -218,19 +219,19 @@ def measure(docs: DataFrame, model: Model | None, lang: Column, *, text: str = "
                     mine = (own == name)[row]
                     value, known = tables.setdefault(name, (np.zeros(1 << 3 * BITS, np.float32), np.zeros(1 << 3 * BITS, bool)))
                     codes = code[mine]
-                    new = np.flatnonzero(np.bincount(codes[~known[codes]], minlength=1 << 3 * BITS))
+                    new = np.unique(codes[~known[codes]])
                     value[new], known[new] = shared.value.log_probability(name, new), True
                     total += np.bincount(row[mine], value[codes], minlength=c.rows)
                 if len(tables) > 8:
                     tables.clear()
                 mean = pa.array(total / np.maximum(w.per_doc, 1), mask=(n == 0) | (w.per_doc == 0) | (shared.value is None))
                 stats = [w.per_doc, per(points), per(_SYMBOL[c.data]), _duplicate_lines(c), _repeat_words(c, w)]
-                rest = [batch.column(i).slice(c.first, c.rows) for i in range(2, batch.num_columns)]
+                rest = [batch.column(name).slice(c.first, c.rows) for name in names_of]
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x.astype(np.int64)) for x in stats), batch.column(1).slice(c.first, c.rows), pa.array(n.astype(np.int64)), mean], [*carry, *_MEASURES])
 
     kinds = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in carry)
     schema = (kinds + ", " if kinds else "") + "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, model_lang string, n_grams bigint, log_probability double"
-    return docs.select(F.col(text).alias("_text"), lang.alias("_lang"), *carry).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("_text"), lang.alias("_lang"), *(x for x in carry if x != text)).mapInArrow(run, schema)
 
 
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "model_lang", "n_grams", "log_probability"]
