@@ -629,7 +629,22 @@ def test_memory_of_a_task_is_that_of_small_chunks(spark):
     """Two tasks, and workers that wait, share what an executor's heap leaves."""
     rng = np.random.default_rng(3)
     batch = pa.RecordBatch.from_arrays([pa.array([bytes(16)] * 2000), pa.array(["".join(rng.choice(list("abcdefgh  \n"), 2000)) for _ in range(2000)])], ["rid", "text"])
+    assert _peak_mb(suffixes._anchors, [batch]) < 50
     assert _peak_mb(lambda t: rules.count_trigrams(t, F.lit("*")), [batch]) < 50
+    n = 20_000
+    ctx = rng.integers(97, 105, (n, 300)).astype(np.uint8)
+    bucket = np.sort(rng.integers(0, n // 4, n))
+    columns = [bucket, bucket, np.arange(n), np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int32), np.full(n, 100, np.int32), [x.tobytes() for x in ctx]]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], suffixes._COLUMNS)
+    assert _peak_mb(suffixes._sorted_spans, [rows.slice(0, n // 2), rows.slice(n // 2)]) < 100
+
+
+def test_buckets_stay_whole(spark):
+    for sizes in ([], [1], [5000], [1] * 5000, [3000, 1, 1, 4000, 2], [2047, 1, 1, 2047]):
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        parts = [t.column("bucket").to_pylist() for t in suffixes._whole_buckets(pa.table({"bucket": bucket.astype(np.int64)}))]
+        assert list(itertools.chain.from_iterable(parts)) == bucket.tolist() and all(parts)
+        assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:])) and all(len(p) <= suffixes.GROUP or len(set(p)) == 1 for p in parts)
 
 
 # -- pipeline -------------------------------------------------------------------------------------------------------------------

@@ -83,7 +83,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0)
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(1), K.DENSE):
                 if a := anchors_of(c):
                     yield pa.RecordBatch.from_arrays(
                         [rid.take(pa.array(a["row"] + c.first)), *(pa.array(a[k].astype(np.int32)) for k in ("lo", "hi", "at")), pa.array(a["gram"].view(np.int64)), pa.array(a["context"].view(np.int64))],
@@ -207,6 +207,17 @@ def _strings(ctx: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     return data, off[owner] + within, owner, within
 
 
+def _whole_buckets(table: pa.Table) -> Iterator[pa.Table]:
+    """Runs of about GROUP rows of a table in order of its buckets, none of which is cut; the sort holds a dozen numbers for each byte of its rows."""
+    bucket = table.column("bucket").to_numpy()
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    at = 0
+    while at < len(bucket):
+        to = int(edges[max(np.searchsorted(edges, at + GROUP, "right") - 1, np.searchsorted(edges, at, "right"))])
+        yield table.slice(at, to - at)
+        at = to
+
+
 #: A context to be sorted: strings of one bucket meet; ``emits``: its repeated strings are asked for; ``ends``: by its first and last string; ``off``: where its
 #: bytes begin in the whole context, ``at``: where the anchor lies in them.
 _ROW = "bucket bigint, gram bigint, context bigint, emits boolean, ends boolean, off int, at int, ctx binary"
@@ -239,9 +250,9 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
             if cut or held[0].column("bucket")[0].as_py() != bucket[-1]:
                 table = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
                 held = [batch.slice(cut)]
-                yield spans(table)
+                yield from map(spans, _whole_buckets(table))
         if held:
-            yield spans(pa.Table.from_batches(held))
+            yield from map(spans, _whole_buckets(pa.Table.from_batches(held)))
 
     return rows.select(*_COLUMNS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "gram bigint, context bigint, b int, e int")
 
