@@ -705,6 +705,28 @@ def _overlaps(tokens, item):
     return False
 
 
+def _largest_plan(spark, act):
+    """Operators in the largest plan that Spark ran during ``act``."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        bus.waitUntilEmpty(60_000)
+        listed = store.executionsList()
+        each = [listed.apply(i) for i in range(listed.size())]
+        return {e.executionId(): e.physicalPlanDescription() for e in each}
+
+    before = plans()
+    act()
+    return max(len(re.findall(r"^\(\d+\) ", text, re.M)) for i, text in plans().items() if i not in before)
+
+
+def test_driver_plans_stay_small(spark, docs):
+    # the driver's memory goes up with each plan's size, not with the input's: one plan for the whole model had 404 operators, the first round of stars over these pairs 357
+    assert _largest_plan(spark, lambda: rules.train(docs, F.lit("*"))) < 150
+    pairs = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).union(docs.select("doc_id", F.col("doc_id") + 2))
+    assert _largest_plan(spark, lambda: components(pairs).count()) < 150
+
+
 def test_pipeline_on_odd_rows(spark, odd):
     """Nulls, empty and long texts, ties, repeated rows and clashing names pass every stage without harm, and so do no rows at all."""
     for name, stage in corpus_pipeline.STAGES:

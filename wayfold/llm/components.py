@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     round shrinks paths by half or better and writes its edges to the shared folder; no node's neighbours
     are gathered, only their minimum is.
     """
-    now = edges.filter(F.col("a") != F.col("b")).select(F.col("a"), F.col("b")).distinct()
+    # a round reads its edges many times over: from a table, so that its plan doesn't hold theirs as often
+    now = materialize(edges.filter(F.col("a") != F.col("b")).select(F.col("a"), F.col("b")).distinct(), "edges")
     state = None
     while True:
         now = materialize(_small_star(_large_star(now)), "stars")

@@ -219,7 +219,8 @@ def _across(placed: DataFrame, num: int, den: int) -> DataFrame:
     cells = query.join(matrix.filter("m_at is not null"), "token").filter(fit).select("node", "component", "column").distinct()
     common = cells.join(placed.select("node", "n", "token"), "node").join(matrix, ["component", "column", "token"])
     counted = common.groupBy("node", "n", "component", "column").agg(F.count(F.lit(1)).alias("common"), F.min("m_min").alias("m_min"))
-    reached = counted.filter(_bounded(F.col("common"), F.col("n"), F.col("m_min"), F.col("n"), num, den)).select("node", "n", "component", "column")
+    # written, so that this plan and that of the opened columns are two
+    reached = materialize(counted.filter(_bounded(F.col("common"), F.col("n"), F.col("m_min"), F.col("n"), num, den)).select("node", "n", "component", "column"), "reached")
     opened = reached.join(member.select(F.col("node").alias("b"), F.col("n").alias("m"), "component", "column"), ["component", "column"])
     pairs = opened.filter(_fit(F.col("n"), F.col("m"), num, den) & (F.col("m") <= F.col("n"))).select(F.col("node").alias("a"), "b")
     return _plausible(pairs.distinct(), placed, num, den)

@@ -139,21 +139,27 @@ def train(docs: DataFrame, lang: Column, text: str = "text") -> Model:
 
 
 def _estimated(counts: DataFrame) -> Model:
-    """The model of trigram counts (lang, code, n)."""
+    """The model of trigram counts (lang, code, n).
+
+    Each order's table, of bounded size, is written before the next reads it: in one plan every order would stand in it several
+    times over, and what the driver needs to plan and to describe that outweighs the model.
+    """
     three = counts.withColumn("context", F.shiftright("code", BITS)).withColumn("low", F.col("code").bitwiseAND(F.lit((1 << 2 * BITS) - 1)))
-    two = three.groupBy("lang", F.col("low").alias("code")).agg(F.count(F.lit(1)).alias("n")).withColumn("context", F.shiftright("code", BITS)).withColumn("low", F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)))
+    two = materialize(three.groupBy("lang", F.col("low").alias("code")).agg(F.count(F.lit(1)).alias("n")), "bigrams")
+    two = two.withColumn("context", F.shiftright("code", BITS)).withColumn("low", F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)))
     one = two.groupBy("lang", F.col("low").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     # single classes: continuation counts with one added to each class, so that none has probability 0
     mass = F.sum("n").over(W.partitionBy("lang")) + (1 << BITS)
-    one = one.withColumn("p1", (F.col("n") + 1) / mass).withColumn("p0", 1 / mass).withColumn("zero", F.lit(0))
+    one = materialize(one.withColumn("p1", (F.col("n") + 1) / mass).withColumn("p0", 1 / mass).withColumn("zero", F.lit(0)), "classes")
+    weight = (F.col("freed") / F.col("total")).alias("weight")
+    columns = lambda p, lower: ("lang", "code", "context", weight, (F.col("discounted") / F.col("total") + F.col("freed") / F.col("total") * F.col(lower)).alias(p))
     two = _discounted(two, ["context"]).join(one.select("lang", F.col("code").alias("low"), "p1"), ["lang", "low"])
-    two = two.withColumn("p2", F.col("discounted") / F.col("total") + F.col("freed") / F.col("total") * F.col("p1"))
+    two = materialize(two.select(*columns("p2", "p1")), "bigram_values")
     three = _discounted(three, ["context"]).join(two.select("lang", F.col("code").alias("low"), "p2"), ["lang", "low"])
-    three = three.withColumn("p3", F.col("discounted") / F.col("total") + F.col("freed") / F.col("total") * F.col("p2"))
+    three = materialize(three.select(*columns("p3", "p2")), "trigram_values")
     rows = lambda kind, df, code, p: df.select(F.lit(kind).alias("kind"), "lang", F.col(code).cast("int").alias("code"), F.ln(p).cast("float").alias("value"))
-    weight = F.col("freed") / F.col("total")
     entries = rows(3, three, "code", F.col("p3")).union(rows(2, two, "code", F.col("p2"))).union(rows(1, one, "code", F.col("p1")))
-    entries = entries.union(rows(0, one, "zero", F.col("p0")).distinct()).union(rows(23, three, "context", weight).distinct()).union(rows(12, two, "context", weight).distinct())
+    entries = entries.union(rows(0, one, "zero", F.col("p0")).distinct()).union(rows(23, three, "context", F.col("weight")).distinct()).union(rows(12, two, "context", F.col("weight")).distinct())
     keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
     got = entries.toArrow().to_pandas()
     for (kind, name), part in got.groupby(["kind", "lang"]):
