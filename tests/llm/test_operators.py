@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import chat, decontam, folds, importance, jaccard, langid, mixing, neighbours, quality, queries, repair, rules, sharding, storage, suffixes, toxicity
+from wayfold.llm import chat, decontam, filters, folds, importance, jaccard, langid, mixing, neighbours, quality, queries, repair, rules, sharding, storage, suffixes, toxicity
 from wayfold.llm import kernels as K
 from wayfold.llm.components import components
 
@@ -319,6 +319,18 @@ def test_jaccard_odd(odd):
     assert sorted(r.doc_id or 0 for r in jaccard.keep_one(odd).collect()) == [0, 0, 1, 3, 4, 5, 6, 7]
 
 
+def test_whole_sets_take_one_worker_for_each_task(spark, docs, monkeypatch):
+    # a second mapInArrow in a stage has workers of its own, and an executor keeps them all
+    ids = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("node"))
+    want = {r.doc_id: len(s) for r, s in zip(docs.collect(), _sets(r.text for r in docs.collect())) if r.doc_id % 3 == 0}
+    for most in (filters.MOST, 0):  # by a bitmap, and by a semi-join
+        monkeypatch.setattr(filters, "MOST", most)
+        found = jaccard._sets(docs, ids, "doc_id", "text", 5)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        got = {r.node: len(set(r.tokens)) for r in found.collect()}
+        assert {i: got[i] for i in want} == want and (most or got == want)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}

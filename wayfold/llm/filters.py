@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +39,18 @@ def holds(known: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (known[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def among(rows: DataFrame, wanted: DataFrame, key: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: str | None = None) -> DataFrame:
     """The rows whose ``key`` is in the one column of ``wanted``, and, where a bitmap sieves them, a few more.
 
     Up to 2**MOST / EACH different keys a broadcast bitmap keeps other rows from being shuffled at all; beyond that it would be too
-    large, and a semi-join picks the rows.
+    large, and a semi-join picks the rows. What comes of the batches is given to ``then``, whose rows have ``schema``: in the workers that
+    sieve, since a mapInArrow after this one would take a second worker for each task, and workers keep their memory.
     """
     wanted = wanted.toDF("_wanted")
     bits = bits_for(wanted.count())
     if bits > MOST:
-        return rows.join(wanted, rows[key] == F.col("_wanted"), "left_semi")
+        picked = rows.join(wanted, rows[key] == F.col("_wanted"), "left_semi")
+        return picked.mapInArrow(then, schema) if schema else picked
     known = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("_wanted"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,4 +59,5 @@ def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
             if len(hit):
                 yield batch.take(pa.array(hit)).select(range(batch.num_columns - 1))
 
-    return rows.filter(F.col(key).isNotNull()).withColumn("_bit", bit_of(F.xxhash64(key), bits)).mapInArrow(run, rows.schema)
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_bit", bit_of(F.xxhash64(key), bits))
+    return keyed.mapInArrow(lambda batches: then(run(batches)), schema or rows.schema)

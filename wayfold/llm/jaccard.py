@@ -112,8 +112,8 @@ def _sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, k: int) -> DataF
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), K.list_array(flat.view(np.int64), K.starts(np.array([len(s) for s in sets], np.int64)), pa.int64())], ["node", "tokens"])
 
-    some = among(docs.select(F.col(doc).alias("node"), F.col(text).alias("text")), ids, "node")
-    return some.mapInArrow(run, f"node {docs.schema[doc].dataType.simpleString()}, tokens array<bigint>")
+    texts = docs.select(F.col(doc).alias("node"), F.col(text).alias("text"))
+    return among(texts, ids, "node", run, f"node {docs.schema[doc].dataType.simpleString()}, tokens array<bigint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, k: int, num: int, den: int) -> DataFrame:
