@@ -4,10 +4,12 @@ import datetime
 import json
 import pathlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import features
+from wayfold.plans import catalog
 from wayfold.sources import collections, files, lookups, publishing, wiki
 from wayfold.streaming import positions
 
@@ -230,3 +232,15 @@ def test_only_passing_failures_are_tried_again(error, attempts):
     with pytest.raises(RuntimeError, match=f"after {attempts} attempts"):
         lookups.asked(service, [(1.0, 2.0)], 3, 0.0, lookups.passing)
     assert len(tried) == attempts
+
+
+def test_profile_lines_round_as_sql(spark, tmp_path):
+    """Every height between every lowest and highest that parts can have."""
+    sizes = [(1, 1 + k, 1 + m) for m in range(50) for k in range(m + 1)]
+    parts = [(50 * row + col, size) for row, three in enumerate(sizes) for col, size in enumerate(three)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.row: r.points for r in catalog.queries()["profile_lines"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        want = dict(con.sql(catalog.oracle_sql()["profile_lines"]).fetchall())
+    assert len(got) == 1275 and got == want

@@ -57,13 +57,14 @@ def profile_points(distances: Column, elevations: Column, width: int = WIDTH, he
     """``x,y`` pairs with one decimal of a profile scaled to a box: distances from left to right, the highest point MARGIN from the top.
 
     Empty unless both arrays are as long as one another, not empty and finite. Flat and very short profiles are scaled as if 1 m high and long.
+    Rounded are ten times the value, as SQL does it: of 26.849999999999998 that makes 26.9, and its digits alone 26.8.
     """
     fine = (F.size(elevations) > 0) & (F.size(distances) == F.size(elevations)) & F.forall(elevations, lambda z: _finite(z).isNotNull()) & F.forall(distances, lambda d: _finite(d).isNotNull())
     low = F.array_min(elevations)
     span = F.greatest(F.lit(1.0), F.array_max(elevations) - low)
     start = F.get(distances, F.lit(0))
     across = F.greatest(F.lit(1.0), F.element_at(distances, -1) - start)
-    one = lambda x: F.format_string("%.1f", F.round(x, 1))
+    one = lambda x: F.format_string("%.1f", F.round(x * 10) / 10)
     pairs = F.zip_with(distances, elevations, lambda d, z: F.concat(one((d - start) / across * width), F.lit(","), one(F.lit(height - MARGIN) - (z - low) / span * (height - 2 * MARGIN))))
     return F.when(F.coalesce(fine, F.lit(False)), F.array_join(pairs, " ")).otherwise("")
 
