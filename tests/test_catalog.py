@@ -404,3 +404,44 @@ def test_each_rule_fails_on_a_row_of_its_own(spark, rules):
     rows = spark.createDataFrame([(rule, *row) for rule, row in cases], f"rule string, {schema}")
     for r in rows.select("rule", contracts.broken({n: F.expr(x) for n, x in named.items()}).alias("broken")).collect():
         assert r.rule in r.broken if r.rule else r.broken == []
+
+
+def _every_label(segments, origin):
+    """Least (cost, path) of every node by rounds over all segments, as the SQL of routes has it."""
+    after, best = {}, {origin: ([0.0, 0.0], [])}
+    for s in segments:
+        after.setdefault(s[1], []).append(s)
+    front = dict(best)
+    while front:
+        reached = {}
+        for node, (cost, path) in front.items():
+            for id, _, to, *w in after.get(node, ()):
+                label = ([c + x for c, x in zip(cost, w, strict=True)], [*path, id])
+                if to not in reached or label < reached[to]:
+                    reached[to] = label
+        front = {k: v for k, v in reached.items() if k not in best or v < best[k]}
+        best |= front
+    return best
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.1])
+def test_routes_search_only_around_their_ends(spark, monkeypatch, scale):
+    """Whole costs and costs that round, many ties, the way to oneself, an end that can't be reached; what is written is far less than a row for each node."""
+    pick, n = random.Random(3), 4000
+    segments = [(f"s{pick.random():.9f}", a, b, pick.randrange(1, 9) * scale, float(pick.randrange(4))) for a in range(n) for b in (pick.randrange(n), pick.randrange(n), (a + 1) % n)]
+    segments += [("out", n, 0, 1.0, 1.0)]
+    asked = [(5, 2100), (5, 7), (5, 5), (1234, 77), (5, n), (n, 3)]
+    rows = []
+    cut = graph.cut
+
+    def counted(df, **k):
+        rows.append((df.columns, (out := cut(df, **k)).count()))
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    table = spark.createDataFrame(segments, "id string, src long, dst long, x double, y double")
+    found = graph.least_routes(table, spark.createDataFrame(asked, "origin long, node long"), [F.col("x"), F.col("y")])
+    got = {(r.origin, r.node): (r.cost, r.path) for r in found.collect()}
+    assert got == {(a, b): label for a, b in asked if (label := _every_label(segments, a).get(b))}
+    assert len(got) == 5 and got[5, 5] == ([0.0, 0.0], [])
+    assert max(k for columns, k in rows if "changed" in columns) < n / 2

@@ -12,6 +12,9 @@ from wayfold.sources.scratch import cut
 
 #: Rounds between two cuts of the lineage: each cut costs a write, each round more makes the plan longer.
 ROUNDS_PER_CUT = 3
+#: Rounds of a search between two looks at which pairs are done; the share of a root's open labels that a round extends; rows of open labels up to
+#: which those of a round are broadcast; the share of a sum that rounding may have added, far more than it ever does.
+ROUNDS_PER_CHECK, FRONT_SHARE, FRONT_ROWS, ROUNDING = 2, 0.5, 200_000, 1e-9
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -89,22 +92,107 @@ def shortest(edges: DataFrame, source: int, cost: list[Column]) -> DataFrame:
     return best.select("node", *(F.col(f"label.c{i}").alias(f"cost_{i}") for i in range(n)), F.col("label.hops").alias("hops"), F.col("label.parent").alias("parent"))
 
 
-def least_routes(segments: DataFrame, origins: DataFrame, cost: list[Column]) -> DataFrame:
-    """(origin, node, cost, path): least routes from each of ``origins`` (origin) over directed segments (id, src, dst, ...).
+def least_routes(segments: DataFrame, pairs: DataFrame, cost: list[Column], *, paths: bool = True) -> DataFrame:
+    """(origin, node, cost, path): the least route of each of ``pairs`` (origin, node) that has one, over directed segments (id, src, dst, ...).
 
-    cost is an array, compared element by element; ties go to the lexicographically smaller array of segment ids, path. Paths are carried
-    along, because the tie rule needs them: for networks whose routes have a bounded number of segments.
+    cost is an array of sums, compared element by element, of non-negative costs; ties go to the lexicographically smaller array of segment ids,
+    path (null without ``paths``). Two balls around the ends of a pair grow until they hold every route that is as short as the least, so of a
+    large network only what lies around the ends is searched. Paths are carried only within them and along routes that can still be least.
     """
     steps = cut(segments.select("id", "src", "dst", F.array(*(c.cast("double") for c in cost)).alias("w")))
+    # sums of whole numbers are exact; the first cost that isn't whole decides up to rounding, so that nothing after it may be relied on
+    parts = [F.get("w", F.lit(i)) for i in range(len(cost))]
+    whole = steps.agg(*(F.coalesce(F.bool_and(x == F.floor(x)) & (F.sum(x) < 2.0**53), F.lit(True)) for x in parts)).first()
+    depth = next((i + 1 for i, x in enumerate(whole) if not x), len(cost))
+    exact = all(whole)
+    head = lambda a: F.slice(a, 1, depth)
+    state, pairs = _balls(steps.select("src", "dst", head("w").alias("w")), pairs.select("origin", "node").distinct(), depth, exact)
+    found = pairs.filter("best is not null")
+    if exact and not paths:
+        return found.select("origin", "node", F.col("best").alias("cost"), F.lit(None).cast("array<string>").alias("path"))
+
+    near, far = _ball(state, 0, "origin", "src", "f"), _ball(state, 1, "node", "dst", "b")
+    inside = lambda label, least: F.col(label).isNotNull() & (F.col(least).isNull() | (F.col(label) < F.col(least)))
+    rest = F.least("b", "to_least")
+    can_be_least = lambda so_far: _lowered(_sum(so_far, "rest"), depth, exact) <= F.col("best")
+    out_of = found.join(near, "origin").filter(inside("f", "from_least")).join(steps, "src").join(far, ["node", "dst"], "left")
+    into = found.join(far, "node").filter(inside("b", "to_least")).join(steps, "dst").join(near, ["origin", "src"], "left").filter(~inside("f", "from_least"))
+    columns = ["origin", "src", "dst", "id", "w", "f", "from_least", "best", rest.alias("rest")]
+    kept = out_of.select(*columns).unionByName(into.select(*columns)).filter(can_be_least(_sum(F.least("f", "from_least"), head("w"))))
+    kept = cut(kept.select("origin", "src", "dst", "id", "w", "best", "rest"))
+
     none = F.array().cast("array<string>")
-    start = origins.select("origin", F.col("origin").alias("node"), F.struct(F.array(*[F.lit(0.0)] * len(cost)).alias("cost"), none.alias("path")).alias("label"))
+    start = found.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.struct(F.array(*[F.lit(0.0)] * len(cost)).alias("cost"), none.alias("path")).alias("label"))
 
     def extend(front: DataFrame) -> DataFrame:
-        total = F.zip_with("label.cost", "w", lambda a, b: a + b)
-        label = F.struct(total.alias("cost"), F.concat("label.path", F.array("id")).alias("path"))
-        return front.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), label.alias("label"))
+        label = F.struct(_sum("label.cost", "w").alias("cost"), F.concat("label.path", F.array("id")).alias("path"))
+        at = front.withColumnRenamed("node", "src").join(kept, ["origin", "src"]).select("origin", F.col("dst").alias("node"), label.alias("label"), "rest", "best")
+        return at.filter(can_be_least(head("label.cost"))).select("origin", "node", "label")
+
+    best = _to_fixpoint(start, ["origin", "node"], extend)
+    return found.select("origin", "node").join(best, ["origin", "node"]).select("origin", "node", "label.cost", "label.path")
+
+
+def _sum(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _lowered(total: Column, depth: int, exact: bool) -> Column:
+    """``total`` without what rounding may have added to its last element."""
+    if exact:
+        return total
+    return F.transform(total, lambda x, i: F.when(i == depth - 1, x * (1 - ROUNDING)).otherwise(x))
+
 
-    return _to_fixpoint(start, ["origin", "node"], extend).select("origin", "node", "label.cost", "label.path")
+def _ball(state: DataFrame, side: int, root: str, node: str, label: str) -> DataFrame:
+    return state.filter(F.col("side") == side).select(F.col("root").alias(root), F.col("node").alias(node), F.col("label").alias(label))
+
+
+def _balls(steps: DataFrame, pairs: DataFrame, depth: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Balls around both ends of ``pairs`` (origin, node) over directed steps (src, dst, w), as large as the pairs' least costs need.
+
+    Gives (side, root, node, label, open), side 0 from origins and 1 back from nodes, and (origin, node, best, from_least, to_least): the least cost, null
+    if there is no route, and how far each side's labels are final: a label below is least, and what has none below isn't nearer. Null: all are.
+
+    A round extends the lower share of each root's open labels. What is open bounds what isn't found yet: a pair is done when the least open
+    labels of its sides sum up to more than the best meeting, or a side has none left.
+    """
+    both = cut(steps.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("to"), "w").unionByName(steps.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("to"), "w")))
+    none = F.lit(None).cast("array<double>")
+    ends = lambda p: p.select(F.lit(0).alias("side"), F.col("origin").alias("root")).unionByName(p.select(F.lit(1).alias("side"), F.col("node").alias("root"))).distinct()
+    state = cut(ends(pairs).select("side", "root", F.col("root").alias("node"), F.array(*[F.lit(0.0)] * depth).alias("label"), F.lit(True).alias("open")))
+    pairs = cut(pairs.select("origin", "node", none.alias("best"), none.alias("from_least"), none.alias("to_least"), F.lit(False).alias("done")))
+    while True:
+        active = ends(pairs.filter("not done"))
+        for _ in range(ROUNDS_PER_CHECK):
+            opened = state.filter("open").join(active, ["side", "root"], "left_semi")
+            limits = _lower_share(opened.select("side", "root", "label"), depth)
+            front = state.filter("open").join(limits, ["side", "root"]).filter("label <= limit").select("side", "root", "node", "label")
+            # of a known number of rows
+            front = F.broadcast(front) if state.filter("open").count() <= FRONT_ROWS else front
+            reached = both.join(front, ["side", "node"]).select("side", "root", F.col("to").alias("node"), F.struct(_sum("label", "w").alias("label"), F.lit(1).alias("new"), F.lit(True).alias("open")).alias("x"))
+            still = F.col("open") & ~F.coalesce(F.col("label") <= F.col("limit"), F.lit(False))
+            before = state.join(limits, ["side", "root"], "left").select("side", "root", "node", F.struct("label", F.lit(0).alias("new"), still.alias("open")).alias("x"))
+            state = cut(before.unionByName(reached).groupBy("side", "root", "node").agg(F.min("x").alias("x")).select("side", "root", "node", "x.label", "x.open"), instead_of=state)
+        least = state.filter("open").groupBy("side", "root").agg(F.min("label").alias("least"))
+        of = lambda side, root, name: least.filter(F.col("side") == side).select(F.col("root").alias(root), F.col("least").alias(name))
+        left = pairs.filter("not done").select("origin", "node")
+        met = left.join(_ball(state, 0, "origin", "at", "f"), "origin").join(_ball(state, 1, "node", "at", "b"), ["node", "at"]).groupBy("origin", "node").agg(F.min(_sum("f", "b")).alias("best"))
+        left = left.join(met, ["origin", "node"], "left").join(of(0, "origin", "from_least"), "origin", "left").join(of(1, "node", "to_least"), "node", "left")
+        done = F.col("from_least").isNull() | F.col("to_least").isNull() | F.coalesce(_lowered(_sum("from_least", "to_least"), depth, exact) > F.col("best"), F.lit(False))
+        pairs = cut(pairs.filter("done").unionByName(left.withColumn("done", done)), instead_of=pairs)
+        if pairs.filter("not done").isEmpty():
+            return state, pairs.drop("done")
+
+
+def _lower_share(labels: DataFrame, depth: int) -> DataFrame:
+    """(side, root, limit): the label up to which about FRONT_SHARE of a root's labels (side, root, label) lie, the least of them always."""
+    out = None
+    for i in range(depth):
+        at = labels if out is None else labels.join(out, ["side", "root"]).filter(F.slice("label", 1, i) == F.col("limit"))
+        next_part = at.groupBy("side", "root").agg(F.percentile_approx(F.get("label", F.lit(i)), FRONT_SHARE).alias("part"))
+        out = next_part.select("side", "root", F.array("part").alias("limit")) if out is None else out.join(next_part, ["side", "root"]).select("side", "root", F.array_append("limit", F.col("part")).alias("limit"))
+    return out
 
 
 def route(tree: DataFrame, target: int) -> DataFrame:

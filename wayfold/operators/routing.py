@@ -49,11 +49,11 @@ def routes(segments: DataFrame, requests: DataFrame, policy: str) -> DataFrame:
     """(request, from_node, to_node, outcome, cost, path) for ``requests`` (request, from_node, to_node) under a soft policy.
 
     outcome is ok, unknown-endpoint or no-route; a route from a node to itself is ok with no segments. Only segments that may be walked are
-    used. Each origin is searched once, however many requests share it.
+    used. Each pair of ends is searched once, however many requests share it.
     """
     known = F.col("from_node").isNotNull() & F.col("to_node").isNotNull()
-    origins = requests.filter(known).select(F.col("from_node").alias("origin")).distinct()
-    found = graph.least_routes(admissible(segments), origins, POLICIES[policy]()).withColumnRenamed("origin", "from_node").withColumnRenamed("node", "to_node")
+    pairs = requests.filter(known).select(F.col("from_node").alias("origin"), F.col("to_node").alias("node"))
+    found = graph.least_routes(admissible(segments), pairs, POLICIES[policy]()).withColumnRenamed("origin", "from_node").withColumnRenamed("node", "to_node")
     out = requests.join(found, ["from_node", "to_node"], "left")
     outcome = F.when(~known, "unknown-endpoint").when(F.col("path").isNull(), "no-route").otherwise("ok")
     return out.select("request", "from_node", "to_node", outcome.alias("outcome"), "cost", "path")
@@ -94,7 +94,7 @@ def plan_walks(network: DataFrame, anchors: DataFrame, requests: DataFrame, prof
     asked = cut(asked.withColumn("early", early))
     usable = network.filter(normalize.network_segment_allowed(F.col("eligible"), F.col("distance_m"), F.col("steps"), without_steps=PROFILES.get(profile, False)))
     legs = usable.select("id", "src", "dst", "distance_m").unionByName(usable.filter("coalesce(oneway, 'both') = 'both'").select(F.concat(F.lit("-"), "id").alias("id"), F.col("dst").alias("src"), F.col("src").alias("dst"), "distance_m"))
-    found = graph.least_routes(legs, asked.filter("early is null").select(F.col("from_node").alias("origin")).distinct(), [F.col("distance_m")])
+    found = graph.least_routes(legs, asked.filter("early is null").select(F.col("from_node").alias("origin"), F.col("to_node").alias("node")), [F.col("distance_m")])
     out = asked.join(found.withColumnRenamed("origin", "from_node").withColumnRenamed("node", "to_node"), ["from_node", "to_node"], "left")
     outcome = F.coalesce("early", F.when(F.col("path").isNull(), "no-route-for-profile").otherwise("ok"))
     ok = F.col("outcome") == "ok"
@@ -131,11 +131,11 @@ def pairwise(edges: DataFrame, snapped: DataFrame) -> DataFrame:
     """(a, b, net_m, total_m) for each pair of places a < b with a route over undirected edges (id, src, dst, w) between the nodes that they
     were snapped to (place, node, snap_m); total_m includes the way to and from the network."""
     both = edges.select("id", "src", "dst", "w").union(edges.select("id", "dst", "src", "w"))
-    from_nodes = snapped.select(F.col("node").alias("origin")).distinct()
-    reached = graph.least_routes(both, from_nodes, [F.col("w")])
     a = snapped.select(F.col("place").alias("a"), F.col("node").alias("origin"), F.col("snap_m").alias("a_m"))
     b = snapped.select(F.col("place").alias("b"), "node", F.col("snap_m").alias("b_m"))
-    pairs = reached.join(a, "origin").join(b, "node").filter("a < b")
+    asked = cut(a.join(b, F.col("a") < F.col("b")))
+    reached = graph.least_routes(both, asked.select("origin", "node"), [F.col("w")], paths=False)
+    pairs = asked.join(reached, ["origin", "node"])
     net = F.get("cost", F.lit(0))
     return pairs.select("a", "b", net.alias("net_m"), F.round(F.col("a_m") + net + F.col("b_m"), 3).alias("total_m"))
 
