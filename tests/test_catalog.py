@@ -445,3 +445,26 @@ def test_routes_search_only_around_their_ends(spark, monkeypatch, scale):
     assert got == {(a, b): label for a, b in asked if (label := _every_label(segments, a).get(b))}
     assert len(got) == 5 and got[5, 5] == ([0.0, 0.0], [])
     assert max(k for columns, k in rows if "changed" in columns) < n / 2
+
+
+def test_topk_pairs_few_where_points_are_dense(spark, monkeypatch):
+    """Many points within metres, half of them at one place, a few elsewhere: as comparing all, by far fewer pairs."""
+    pick = random.Random(5)
+    at = lambda i: (51.31, 9.39) if i % 2 else (51.31 + pick.random() / 2000, 9.39 + pick.random() / 2000) if i % 50 else (51.31 + pick.random() / 50, 9.39 + pick.random() / 50)
+    frame = lambda n: spark.createDataFrame([(i, *at(i)) for i in range(n)] + [(n, None, 9.39)], "id long, lat double, lng double")
+    left, right = frame(600), frame(600)
+    rows, within = [], spatial.within_radius
+
+    def counted(*a):
+        rows.append((out := within(*a)).count())
+        return out
+
+    monkeypatch.setattr(spatial, "within_radius", counted)
+    got = sorted(map(tuple, spatial.proximity_topk(left, right, 800.0, 3).collect()))
+    every = sorted((r.id, r.distance_m, r.other) for r in within(left, right, 800.0).collect())
+    nth, want = {}, []
+    for a, m, b in every:
+        nth[a] = nth.get(a, 0) + 1
+        want += [(a, b, m, nth[a])] if nth[a] <= 3 else []
+    assert got == sorted(want)
+    assert sum(rows) < len(every) / 10

@@ -15,6 +15,8 @@ from wayfold.sources.scratch import cut
 HALF_TURN_M = math.pi * geo.EARTH_RADIUS_M
 #: Distances are rounded to millimetres before they are compared, so that cells have to be a little wider than the radius.
 ROUNDED_M = 0.001
+#: How often a radius is quartered at most, and the pairs of neighbouring cells that the first circles may make for each point that is looked for.
+MOST_RINGS, PAIRS_PER_FOUND = 6, 16
 
 
 def _columns_of(band: Column, metres: float, height: float) -> Column:
@@ -51,36 +53,57 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float) -> DataFrame
     return near.select("id", "other", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
 
 
-def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *, rings: int = 1) -> DataFrame:
+def proximity_topk(left: DataFrame, right: DataFrame, metres: float, k: int, *, rings: int | None = None) -> DataFrame:
     """Each left point's ``k`` nearest right points within ``metres``, ties by id: (id, other, distance_m, rank). Left ids are unique.
 
     Small circles first: a point that has ``k`` within a quarter of the radius needs no wider search, as whatever lies beyond is farther.
-    So where right points are dense, far fewer pairs are made than the whole radius holds. ``rings`` is how often the radius is quartered.
+    So where right points are dense, far fewer pairs are made than the whole radius holds. ``rings`` is how often the radius is quartered,
+    by default as often as the points' density asks for. Points at one place are searched once, and of right ones there only the first ``k`` can count.
     """
-    found = None
+    spots = cut(left.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).groupBy("lat", "lng").agg(F.min("id").alias("id")).select("id", "lat", "lng"))
+    first = right.withColumn("_n", F.row_number().over(W.partitionBy("lat", "lng").orderBy("id"))).filter(F.col("_n") <= k)
+    first = cut(first.select("id", "lat", "lng"))
+    rings = _rings_for(spots, first, metres, k) if rings is None else rings
+    found, open_spots = None, spots
     for i in range(rings, -1, -1):
-        ranked = within_radius(left, right, metres / 4**i)
+        ranked = within_radius(open_spots, first, metres / 4**i)
         by = W.partitionBy("id").orderBy("distance_m", "other")
         ranked = ranked.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
         if i:
             full = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("id"))).filter(F.col("_n") == k).drop("_n")
             full = cut(full)
-            left = left.join(full.select("id").distinct(), "id", "left_anti")
+            open_spots = cut(open_spots.join(full.select("id").distinct(), "id", "left_anti"))
             ranked = full
         found = ranked if found is None else found.unionByName(ranked)
-    return found
+    found = spots.join(found, "id").drop("id")
+    return left.select("id", "lat", "lng").join(found, ["lat", "lng"]).select("id", "other", "distance_m", "rank")
+
+
+def _rings_for(left: DataFrame, right: DataFrame, metres: float, k: int) -> int:
+    """The least number of times to quarter a radius after which cells as wide hold, around left points, about PAIRS_PER_FOUND pairs for each of ``k``."""
+    side = lambda points, is_left: points.select("lat", "lng", F.lit(is_left).alias("l"))
+    level = side(left, 1).unionByName(side(right, 0)).withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(MOST_RINGS))))
+    height = F.lit(math.degrees(metres / geo.EARTH_RADIUS_M)) / F.pow(F.lit(4.0), F.col("ring"))
+    cells = level.groupBy("ring", F.floor(F.col("lat") / height).alias("y"), F.floor(F.col("lng") / height).alias("x")).agg(F.sum("l").alias("l"), F.sum(1 - F.col("l")).alias("r"))
+    per_ring = cells.groupBy("ring").agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("pairs"), F.sum("l").alias("l")).collect()
+    return min((r.ring for r in per_ring if 9 * r.pairs <= PAIRS_PER_FOUND * k * r.l), default=MOST_RINGS)
 
 
 def nearest(points: DataFrame, places: DataFrame, within: float | None = None, *, start: float = 250.0) -> DataFrame:
     """``points`` (id, ...) with place and distance_m of the nearest of ``places`` (id, lat, lng), lower id on a tie; null beyond ``within``.
 
     Circles grow fourfold from ``start`` metres until every point has found a place, or reach ``within``. Ids are unique. Without places, or
-    without coordinates, both are null.
+    without coordinates, both are null. The fewer of the two are copied into the cells around them.
     """
     most, reach = min(within if within is not None else HALF_TURN_M, HALF_TURN_M), start
     left, found = points.select("id", "lat", "lng").filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()), None
+    fewer = left.count() < places.count()
     while True:
-        near = within_radius(left, places, min(reach, most)).groupBy("id").agg(F.min(F.struct("distance_m", "other")).alias("near"))
+        if fewer:
+            pairs = within_radius(places, left, min(reach, most)).select(F.col("other").alias("id"), F.col("id").alias("other"), "distance_m")
+        else:
+            pairs = within_radius(left, places, min(reach, most))
+        near = pairs.groupBy("id").agg(F.min(F.struct("distance_m", "other")).alias("near"))
         near = cut(near.select("id", F.col("near.other").alias("place"), F.col("near.distance_m").alias("distance_m")))
         found = near if found is None else found.unionByName(near)
         left = left.join(near.select("id"), "id", "left_anti")
