@@ -468,3 +468,14 @@ def test_topk_pairs_few_where_points_are_dense(spark, monkeypatch):
         want += [(a, b, m, nth[a])] if nth[a] <= 3 else []
     assert got == sorted(want)
     assert sum(rows) < len(every) / 10
+
+
+def test_profiles_shuffle_lines_once_and_samples_twice(spark):
+    """Lines are numbered and measured where they lie, each sample meets its four cells in one row and goes back to its line."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["route_profiles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("Join") == 1

@@ -24,18 +24,23 @@ def bilinear(points: DataFrame, grid: DataFrame, columns: int, rows: int, *, key
     """(key, z): elevations between the centres of four cells, weighted by nearness. Points beyond the outer centres take the edge's cells.
 
     Points outside the grid are null, or count as on its edge with ``clamp``; so are points near a cell that isn't there or holds none.
+    The four cells are brought together once for each place in the grid and not for each point, which then meets them in one row.
     """
     x, y = F.col("x"), F.col("y")
     inside = x.between(0.0, float(columns)) & y.between(0.0, float(rows))
     e, n = (F.least(F.greatest(v - 0.5, F.lit(0.0)), F.lit(float(most - 1))) for v, most in ((x, columns), (y, rows)))
     at = points.select(*key, F.when(F.lit(clamp) | inside, e).alias("_e"), F.when(F.lit(clamp) | inside, n).alias("_n"))
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    four = at.select(*key, "_e", "_n", corner.alias("_k"))
-    weight = lambda v, k: F.when(F.col(k) == 1, F.col(v) - F.floor(v)).otherwise(1 - F.col(v) + F.floor(v))
-    four = four.select(*key, F.least(F.floor("_n") + F.col("_k.i"), F.lit(rows - 1)).alias("row"), F.least(F.floor("_e") + F.col("_k.j"), F.lit(columns - 1)).alias("col"), (weight("_n", "_k.i") * weight("_e", "_k.j")).alias("share"))
-    found = four.join(grid.filter(F.col("z") != NODATA).select("row", "col", "z"), ["row", "col"], "left")
-    missing = F.bool_or(F.col("z").isNull() & (F.coalesce("share", F.lit(1.0)) > 0))
-    return found.groupBy(*key).agg(F.when(~missing, F.sum(F.coalesce(F.col("z") * F.col("share"), F.lit(0.0)))).alias("z"))
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    held = grid.filter(F.col("z") != NODATA).select(F.explode(F.array(*(F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(2 * i + j).alias("k"), F.col("z").cast("double").alias("z")) for i, j in corners))).alias("c")).select("c.*")
+    four = held.groupBy("row", "col").agg(*(F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"_z{k}") for k in range(4)))
+    found = at.join(four, (F.floor("_n") == F.col("row")) & (F.floor("_e") == F.col("col")), "left")
+    weight = lambda v, k: F.col(v) - F.floor(v) if k else 1 - F.col(v) + F.floor(v)
+    shares = [weight("_n", i) * weight("_e", j) for i, j in corners]
+    missing, total = F.lit(False), F.lit(0.0)
+    for k, share in enumerate(shares):
+        z = F.col(f"_z{k}")
+        missing, total = missing | (z.isNull() & (F.coalesce(share, F.lit(1.0)) > 0)), total + F.coalesce(z * share, F.lit(0.0))
+    return found.select(*key, F.when(~missing, total).alias("z"))
 
 
 def statistics(grid: DataFrame) -> DataFrame:

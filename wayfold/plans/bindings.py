@@ -125,8 +125,12 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, pos, node, lat, lng, z, surface, steps, d): a polyline for each order, a vertex for each item."""
-    return shape(spark, sf_dir, "polylines")
+    """(line, pos, node, lat, lng, z, surface, steps, d): a polyline for each order, a vertex for each item.
+
+    Numbered before anything is renamed, so that what goes by line later lies as the numbering left it.
+    """
+    number, rest = _LINES[1].removesuffix(" pos"), [c for c in _LINES if c != _LINES[1]]
+    return table(spark, sf_dir, "lineitem").withColumn("pos", F.expr(number)).selectExpr(rest[0], "pos", *rest[1:])
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,9 +151,8 @@ def route_profiles(spark, d):
     lines = B.polylines(spark, d).select("line", "pos", "lat", "lng")
     at = sequences.resample(lines, 500.0)
     rows = _rows(spark, d)
-    z = raster.bilinear(at.selectExpr("line", "k", f"{_X} x", f"{_Y.format(rows=rows)} y"), B.shape(spark, d, "raster"), _COLUMNS, rows, key=["line", "k"], clamp=True)
-    spacing = at.groupBy("line").agg(F.max("gap_m").alias("gap_m"))
-    return sequences.profile_summary(z.select("line", "k", F.round("z", 6).alias("z")).join(spacing, "line"), digits=6)
+    z = raster.bilinear(at.selectExpr("line", "k", "gap_m", f"{_X} x", f"{_Y.format(rows=rows)} y"), B.shape(spark, d, "raster"), _COLUMNS, rows, key=["line", "k", "gap_m"], clamp=True)
+    return sequences.profile_summary(z.withColumn("z", F.round("z", 6)), digits=6)
 
 
 _META = ["p_partkey id", "case p_partkey % 7 when 0 then 'PNG' else 'TIFF' end format", "case p_partkey % 5 when 0 then 16 else 32 end bits", "case p_partkey % 11 when 0 then 2e0 else 1e0 end cell", "case p_partkey % 6 when 0 then null else -9999e0 end nodata", "case p_partkey % 8 when 0 then 4326 else 25832 end crs", "526677e0 + p_partkey west", "5685981e0 north", "3098 width", "2096 + p_partkey % 700 height"]
