@@ -479,3 +479,23 @@ def test_profiles_shuffle_lines_once_and_samples_twice(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("Exchange hashpartitioning") == 4 and plan.count("Join") == 1
+
+
+def test_policies_are_searched_in_the_same_rounds(spark, monkeypatch):
+    """Both policies' routes at once are those of one search each, with the tables of the longer one only."""
+    pick, n = random.Random(11), 60
+    rows = [(f"{a}-{i}", a, pick.randrange(n), float(pick.randrange(1, 6)), pick.random() < 0.3, pick.choice([None, 1.0, 2.0])) for a in range(n) for i in range(3)]
+    usable = spark.createDataFrame(rows, "id string, src long, dst long, distance_m double, steps boolean, ascent_m double")
+    gate = "array(struct(cast(null as string) foot, cast(null as string) access, cast(null as string) barrier)) barriers"
+    segments = usable.selectExpr("*", "true eligible", "cast(null as string) foot", "cast(null as string) access", gate)
+    asked = spark.createDataFrame([(i, pick.randrange(n), pick.randrange(n)) for i in range(6)] + [(6, 1, None), (7, 3, 3)], "request long, from_node long, to_node long")
+    names, written, cut = ["avoid_known_steps_lower_ascent", "shortest"], [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, **k: [written.append(1), cut(df, **k)][1])
+    both = sorted((r.policy, r.request, r.outcome, r.path) for r in routing.routes_under(segments, asked, names).collect())
+    together, each, one = len(written), [], []
+    for name in names:
+        before = len(written)
+        each += [(name, r.request, r.outcome, r.path) for r in routing.routes(segments, asked, name).collect()]
+        one.append(len(written) - before)
+    assert both == sorted(each) and len(both) == 16
+    assert together < 0.8 * sum(one)

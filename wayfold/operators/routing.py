@@ -53,10 +53,35 @@ def routes(segments: DataFrame, requests: DataFrame, policy: str) -> DataFrame:
     """
     known = F.col("from_node").isNotNull() & F.col("to_node").isNotNull()
     pairs = requests.filter(known).select(F.col("from_node").alias("origin"), F.col("to_node").alias("node"))
-    found = graph.least_routes(admissible(segments), pairs, POLICIES[policy]()).withColumnRenamed("origin", "from_node").withColumnRenamed("node", "to_node")
-    out = requests.join(found, ["from_node", "to_node"], "left")
+    found = graph.least_routes(admissible(segments), pairs, POLICIES[policy]())
+    return _outcomes(requests, found)
+
+
+def routes_under(segments: DataFrame, requests: DataFrame, policies: list[str]) -> DataFrame:
+    """(policy, ...) and what routes() gives for each of ``policies``, all searched in the same rounds; a cost has as many elements as the longest, the rest 0.
+
+    Every policy has a copy of the network to itself, whose nodes are named (policy, node).
+    """
+    costs = {p: POLICIES[p]() for p in policies}
+    most = max(map(len, costs.values()))
+    usable, wide = cut(admissible(segments).select("id", "src", "dst", *(F.array(*c, *[F.lit(0.0)] * (most - len(c))).alias(f"_{i}") for i, c in enumerate(costs.values())))), None
+    for i in range(len(policies)):
+        own = usable.select("id", *(F.struct(F.lit(i).alias("policy"), F.col(end).alias("node")).alias(end) for end in ("src", "dst")), F.col(f"_{i}").alias("w"))
+        wide = own if wide is None else wide.unionByName(own)
+    asked = requests.withColumn("policy", F.explode(F.array(*map(F.lit, range(len(policies))))))
+    pairs = asked.filter("from_node is not null and to_node is not null").select(*(F.struct("policy", F.col(c).alias("node")).alias(to) for c, to in (("from_node", "origin"), ("to_node", "node"))))
+    found = graph.least_routes(wide, pairs, [F.get("w", F.lit(i)) for i in range(most)])
+    found = found.select(F.col("origin.policy").alias("policy"), F.col("origin.node").alias("origin"), F.col("node.node").alias("node"), "cost", "path")
+    names = F.element_at(F.array(*map(F.lit, policies)), F.col("policy") + 1)
+    return _outcomes(asked, found, "policy").withColumn("policy", names)
+
+
+def _outcomes(requests: DataFrame, found: DataFrame, *by: str) -> DataFrame:
+    found = found.withColumnRenamed("origin", "from_node").withColumnRenamed("node", "to_node")
+    out = requests.join(found, [*by, "from_node", "to_node"], "left")
+    known = F.col("from_node").isNotNull() & F.col("to_node").isNotNull()
     outcome = F.when(~known, "unknown-endpoint").when(F.col("path").isNull(), "no-route").otherwise("ok")
-    return out.select("request", "from_node", "to_node", outcome.alias("outcome"), "cost", "path")
+    return out.select(*by, "request", "from_node", "to_node", outcome.alias("outcome"), "cost", "path")
 
 
 def evidence(found: DataFrame, segments: DataFrame) -> DataFrame:

@@ -244,9 +244,10 @@ _BAD_ROUTES = {
 def routing_checks(spark, d):
     """What must hold of routes under both policies, on routes some of which were damaged; a failing check names its requests."""
     segments, asked = _segments(spark, d), _requests(spark, d)
-    soft = routing.cut(routing.routes(segments, asked, "avoid_known_steps_lower_ascent"))
-    hard = routing.cut(routing.routes(segments, asked, "shortest"))
-    facts = [routing.evidence(r, segments).select("request", F.col("known_step_m").alias("step_m"), "distance_m") for r in (soft, hard)]
+    policies = ["avoid_known_steps_lower_ascent", "shortest"]
+    both = routing.cut(routing.routes_under(segments, asked, policies))
+    soft, hard = (both.filter(F.col("policy") == p).drop("policy") for p in policies)
+    facts = [routing.cut(routing.evidence(r, segments).select("request", F.col("known_step_m").alias("step_m"), "distance_m")) for r in (soft, hard)]
     hit = lambda k: F.col("request") % 5 == k
     longer = lambda c: F.concat(F.coalesce(c, F.array().cast("array<string>")), F.array(F.lit("zz")))
     again = hard.withColumn("path", F.when(hit(4), longer(F.col("path"))).otherwise(F.col("path")))
